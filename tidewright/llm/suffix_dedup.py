@@ -113,19 +113,18 @@ class _Deal:
         self.rest = _U(bits - bucket_bits)
         bucket = (self.keys >> self.rest).astype(np.int64)
         self.starts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+        self.stops = np.append(self.starts, len(bucket))[1:]
         self.buckets = bucket[self.starts]
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
-        ends = [*self.starts[1:], len(self.keys)]
         low = self.keys & ((_U(1) << self.rest) - _U(1))
-        for b, i, j in zip(self.buckets, self.starts, ends, strict=True):
+        for b, i, j in zip(self.buckets, self.starts, self.stops, strict=True):
             yield int(b), _deltas(low[i:j])
 
     def repeated(self, bitmaps: dict[int, bytes]) -> np.ndarray:
         """For each position: whether its key occurs again, by the bits that came back."""
         hit = self.own.copy()
-        ends = [*self.starts[1:], len(self.keys)]
-        for b, i, j in zip(self.buckets, self.starts, ends, strict=True):
+        for b, i, j in zip(self.buckets, self.starts, self.stops, strict=True):
             if (bits := bitmaps.get(int(b))) is not None:
                 hit[i:j] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
         return hit[self.where]
