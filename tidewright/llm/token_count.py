@@ -7,30 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import id_and_bytes, small_batches
-from tidewright.llm.tokens import Words, encode, parts
-
-#: Bytes of text in a batch handed to the encoder.
-BATCH_BYTES = 1 << 20
-
-
-def _by_bytes(texts: list[str]):
-    """Ranges of texts of about BATCH_BYTES each, so that batches take alike long."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
+from tidewright.llm.tokens import by_bytes, encode, parts, words_of
 
 def _counter(path: str):
     """texts -> lengths. Byte-level BPE texts whose white space is single blanks and line feeds are
     counted by word, each word with the blank before it, as no token spans such a cut; all other
     texts, and other kinds of tokenizer, go to the library in parts or as they are."""
     byte_level = path.endswith(".json") and "byte_bpe" in path.rsplit("/", 1)[-1]
-    words = Words(path, len)
+    words = words_of("count", path, len, int.__add__) if byte_level else None
 
     def count(texts: list[str]) -> list[int]:
         if not byte_level:
@@ -73,8 +57,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         count = _counter(path)
         for b in batches:
             raw = [d or b"" for d in b.column(1).to_pylist()]
-            texts = [d.decode("utf-8", "replace") for d in raw]
-            n = [c for i, j in _by_bytes(texts) for c in count(texts[i:j])]
+            n = [c for i, j in by_bytes(raw) for c in count([d.decode("utf-8", "replace") for d in raw[i:j]])]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array([len(d) for d in raw], pa.int64()), "n_tokens": pa.array(n, pa.int64())})
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import id_and_bytes, scratch, small_batches, stored
-from tidewright.llm.tokens import Words, load
+from tidewright.llm.tokens import by_bytes, load, words_of
 
 MAGIC = b"TWSST001"
 _ENTRY, _INDEX, _FOOTER = struct.Struct("<BBI"), struct.Struct("<13sQI"), struct.Struct("<QQQQQQB8s")
@@ -171,7 +171,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         shard = TaskContext.get().partitionId()
         width = 2 if max(load(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind = f"<u{width}"
-        words = Words(path, lambda ids: np.array(ids, kind).tobytes())
+        words = words_of(kind, path, lambda ids: np.array(ids, kind).tobytes(), bytes.__add__)
         end = np.array([end_id], kind).tobytes()
         fs, root = _open(folder)
         name = f"{root}/{shard:06d}-{uuid.uuid4().hex}.sst"
@@ -179,10 +179,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         first = last = None
         for b in batches:
             ids = b.column(0).to_pylist()
-            texts = [(d or b"").decode("utf-8", "replace").replace("\n", " ").split(" ") for d in b.column(1).to_pylist()]
-            for lo in range(0, len(texts), 256):
-                known = words.get({w for t in texts[lo : lo + 256] for w in t})
-                for doc_id, t in zip(ids[lo : lo + 256], texts[lo : lo + 256], strict=True):
+            raw = b.column(1).to_pylist()
+            for lo, hi in by_bytes(raw):
+                texts = [(d or b"").decode("utf-8", "replace").replace("\n", " ").split(" ") for d in raw[lo:hi]]
+                known = words.get({w for t in texts for w in t})
+                for doc_id, t in zip(ids[lo:hi], texts, strict=True):
                     if writer is None:
                         out = fs.open_output_stream(name)
                         writer, first, again = Writer(out, width), doc_id, 0

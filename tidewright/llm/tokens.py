@@ -9,15 +9,20 @@ import os
 import re
 from collections.abc import Callable
 
-#: Words remembered at once; when full, the memory starts anew. Bounds a worker's memory only.
-REMEMBERED = 300_000
+import numpy as np
+
+#: Words remembered in each of two generations; bounds a worker's memory only, not what is encoded.
+REMEMBERED = 400_000
 #: Longer words are encoded each time.
 LONGEST = 64
 #: Parts of long texts that are encoded as they are.
 PART = 1 << 16
+#: Bytes of text in a batch handed to the encoder.
+BATCH_BYTES = 4 << 20
 _CUT = re.compile(r"[!-~](?=[ \n])")
 
 _loaded: dict[str, object] = {}
+_words: dict[tuple, Words] = {}
 
 
 def load(path: str):
@@ -46,6 +51,18 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def by_bytes(texts: list):
+    """Ranges of texts of about BATCH_BYTES each, so that batches take alike long and memory is bounded."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= BATCH_BYTES:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def parts(text: str) -> list[str]:
     """A long text cut before white space that follows a visible ASCII character.
 
@@ -59,19 +76,92 @@ def parts(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+def _pieces(word: str, lower: bool) -> tuple[str, ...]:
+    """A word as pieces that many words share: full stops and commas after a Latin letter or a digit
+    are tokens of their own in the pre-tokenizers used here, and case is lost in those that lower it."""
+    if "<|" in word:
+        return (word,)
+    if lower and word.isascii():
+        word = word.lower()
+    stem = word.rstrip(".,")
+    if len(stem) < len(word) and stem and stem[-1] < "\u0250" and (stem[-1].isalpha() or "0" <= stem[-1] <= "9"):
+        return stem, word[len(stem) :]
+    return (word,)
+
+
 class Words:
-    """Remembers for each word what make() gave; missing words are encoded in one batch."""
+    """Remembers what make() gave for the ids of each word; pieces that are missing are encoded in one batch.
+
+    add() joins what two pieces gave. When a generation is full it becomes the old one, from
+    which words in use move on, so frequent words stay.
+    """
 
-    def __init__(self, path: str, make: Callable):
-        self.path, self.make, self.known = path, make, {}
+    def __init__(self, path: str, make: Callable, add: Callable):
+        self.path, self.make, self.add, self.new, self.old = path, make, add, {}, {}
+        self.lower = "Lowercase" in str(getattr(load(path), "normalizer", ""))
+        vocab = load(path).get_vocab()
+        #: Ids that end a word, in vocabularies that mark them; otherwise the id of a line feed.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.marked = bool(self.ends.any())
+        if not self.marked:
+            self.ends[vocab["\u010a"]] = True
+
+    def _together(self, words: list[str]) -> list:
+        """What make() gives for plain words, encoded as one text: the library's cost a call is many words'.
+
+        With marked word ends, words of letters alone are joined by blanks, and each has one marked
+        id, its last. Otherwise words are joined by line feeds, each a token of its own between them.
+        A word has one such mark at least, so equal numbers prove that each has one; where they
+        differ (some letters turn into several in lower case), words are encoded one by one.
+        """
+        out = []
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            ids = np.array(encode(self.path, [(" " if self.marked else "\n").join(part)])[0], np.int64)
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) != len(part) - (not self.marked):
+                out += [self.make(x) for x in encode(self.path, part)]
+                continue
+            skip = 0 if self.marked else 1
+            stops = cuts + 1 if self.marked else np.append(cuts, len(ids))
+            starts = np.concatenate([[0], stops[:-1] + skip])
+            out += [self.make(ids[i:j]) for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
+        return out
+
+    def _encoded(self, words: list[str]) -> dict:
+        plain = [w for w in words if (w if self.marked else w[w.startswith(" ") :]).isalpha()]
+        rest = list(set(words).difference(plain))
+        found = dict(zip(plain, self._together(plain), strict=True)) if plain else {}
+        return found | {w: self.make(ids) for w, ids in zip(rest, encode(self.path, rest), strict=True)}
 
     def get(self, wanted: set[str]) -> dict:
-        missing = list(wanted - self.known.keys())
+        """A dict that holds all wanted words."""
+        if len(self.new) > REMEMBERED:
+            self.new, self.old = {}, self.new
+        missing = wanted - self.new.keys()
+        if missing and self.old:
+            used = missing & self.old.keys()
+            self.new.update((w, self.old[w]) for w in used)
+            missing -= used
         if not missing:
-            return self.known
-        if len(self.known) + len(missing) > REMEMBERED:
-            missing = list(wanted)
-            self.known = {}
-        found = {w: self.make(ids) for w, ids in zip(missing, encode(self.path, missing), strict=True)}
-        self.known |= {w: x for w, x in found.items() if len(w) <= LONGEST}
-        return self.known if all(len(w) <= LONGEST for w in missing) else self.known | found
+            return self.new
+        cut = {w: _pieces(w, self.lower) for w in missing}
+        found = self._encoded(list({p for ps in cut.values() for p in ps} - self.new.keys()))
+        known = self.new | found if any(len(w) > LONGEST for w in missing) else self.new
+        known.update(found)
+        for w, ps in cut.items():
+            if len(ps) == 2:
+                known[w] = self.add(known[ps[0]], known[ps[1]])
+            elif ps[0] != w:
+                known[w] = known[ps[0]]
+        if known is not self.new:
+            self.new.update((w, known[w]) for w in missing if len(w) <= LONGEST)
+        return known
+
+
+def words_of(kind: str, path: str, make: Callable, add: Callable) -> Words:
+    """The worker's own memory for a kind of value; it outlives the task."""
+    if (kind, path) not in _words:
+        _words[kind, path] = Words(path, make, add)
+    return _words[kind, path]
