@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words remembered in each of two generations; bounds a worker's memory only, not what is encoded.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Longer words are encoded each time.
 LONGEST = 64
 #: Parts of long texts that are encoded as they are.
@@ -76,17 +76,13 @@ def parts(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def _pieces(word: str, lower: bool) -> tuple[str, ...]:
-    """A word as pieces that many words share: full stops and commas after a Latin letter or a digit
-    are tokens of their own in the pre-tokenizers used here, and case is lost in those that lower it."""
-    if "<|" in word:
-        return (word,)
-    if lower and word.isascii():
-        word = word.lower()
+def _parted(word: str) -> tuple[str, str] | None:
+    """A word and the full stops and commas that end it, if a Latin letter or a digit stands before
+    them: tokens of their own in the pre-tokenizers used here, so that many words share their stem."""
     stem = word.rstrip(".,")
-    if len(stem) < len(word) and stem and stem[-1] < "\u0250" and (stem[-1].isalpha() or "0" <= stem[-1] <= "9"):
+    if stem and "<|" not in word and stem[-1] < "\u0250" and (stem[-1].isalpha() or "0" <= stem[-1] <= "9"):
         return stem, word[len(stem) :]
-    return (word,)
+    return None
 
 
 class Words:
@@ -139,26 +135,34 @@ class Words:
         """A dict that holds all wanted words."""
         if len(self.new) > REMEMBERED:
             self.new, self.old = {}, self.new
-        missing = wanted - self.new.keys()
+        missing = wanted.difference(self.new)
         if missing and self.old:
             used = missing & self.old.keys()
             self.new.update((w, self.old[w]) for w in used)
-            missing -= used
+            missing.difference_update(used)
         if not missing:
             return self.new
-        cut = {w: _pieces(w, self.lower) for w in missing}
-        found = self._encoded(list({p for ps in cut.values() for p in ps} - self.new.keys()))
-        known = self.new | found if any(len(w) > LONGEST for w in missing) else self.new
+        wanted = list(missing)
+        plain = self._lowered(wanted) if self.lower else wanted
+        forms = set(plain)
+        parted = {w: p for w in forms if w.endswith((".", ",")) and (p := _parted(w))}
+        need = (forms - parted.keys()).union(*parted.values()).difference(self.new)
+        found = self._encoded(list(need))
+        known = self.new if all(len(w) <= LONGEST for w in wanted) else dict(self.new)
         known.update(found)
-        for w, ps in cut.items():
-            if len(ps) == 2:
-                known[w] = self.add(known[ps[0]], known[ps[1]])
-            elif ps[0] != w:
-                known[w] = known[ps[0]]
+        known.update((w, self.add(known[a], known[b])) for w, (a, b) in parted.items())
+        if self.lower:
+            known.update(zip(wanted, list(map(known.__getitem__, plain)), strict=True))
         if known is not self.new:
-            self.new.update((w, known[w]) for w in missing if len(w) <= LONGEST)
+            self.new.update((w, known[w]) for w in wanted if len(w) <= LONGEST)
         return known
 
+    @staticmethod
+    def _lowered(words: list[str]) -> list[str]:
+        """A-Z in lower case, which the tokenizer makes of them anyway; words that may hold a special token stay."""
+        low = "\n".join(words).encode().lower().decode().split("\n")
+        return [w if "<|" in x else x for w, x in zip(words, low, strict=True)] if any("<|" in x for x in low) else low
+
 
 def words_of(kind: str, path: str, make: Callable, add: Callable) -> Words:
     """The worker's own memory for a kind of value; it outlives the task."""
