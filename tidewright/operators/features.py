@@ -77,19 +77,17 @@ def clip_bounds(raw: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str
     out = {"linear": lambda c, p: F.percentile(c, F.lit(p)), "approx": lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(100_000))}
     if interpolation in out:
         return rows.agg(*[out[interpolation](F.col(f"raw_{n}b"), p).alias(f"{side}_{n}") for n in lags for side, p in (("lo", q), ("hi", 1 - q))])
-    # the wanted places lie at the ends, so each end needs its least or greatest values alone: ranks come from counts of values
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"raw_{n}b").alias("x")) for n in lags])).alias("r")).select("r.*").where("x IS NOT NULL")
-    values = long.groupBy("lag", "x").agg(F.count("*").alias("n"))
-    bins = values.withColumn("bin", F.floor(F.col("x") * 1000))  # ranks are summed by bin, then within the bin that holds the place
-    per_bin = bins.groupBy("lag", "bin").agg(F.sum("n").alias("n"))
+    # counts by bin find the bin of each wanted place; only that bin's rows are ranked, so values are never grouped
+    cells = F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"raw_{n}b").alias("x")) for n in lags])
+    long = rows.select(F.explode(cells).alias("r")).select("r.*").where("x IS NOT NULL").withColumn("bin", F.floor(F.col("x") * 1000))
+    per_bin = long.groupBy("lag", "bin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("lag").orderBy("bin"))
     total = F.sum("n").over(Window.partitionBy("lag"))
     counted = per_bin.select("lag", "bin", (upto - F.col("n")).alias("before"), upto.alias("upto"), (total - 1).alias("last"))
     ends = F.array(F.struct(F.lit("lo").alias("side"), F.round(F.col("last") * q).alias("k")), F.struct(F.lit("hi").alias("side"), F.round(F.col("last") * (1 - q)).alias("k")))
-    places = counted.select("lag", "bin", "before", "upto", F.explode(ends).alias("p")).where("p.k >= before AND p.k < upto")
-    inside = bins.join(places.select("lag", "bin", "before", "p.side", "p.k"), ["lag", "bin"])
-    run = F.col("before") + F.sum("n").over(Window.partitionBy("lag", "side").orderBy("x"))
-    found = inside.select("lag", "side", "x", "k", run.alias("upto")).where("k < upto").groupBy("lag", "side").agg(F.min("x").alias("x"))
+    places = counted.select("lag", "bin", "before", "upto", F.explode(ends).alias("p")).where("p.k >= before AND p.k < upto").select("lag", "bin", "before", "p.side", "p.k")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("lag", "side").orderBy("x")) - 1
+    found = long.join(F.broadcast(places), ["lag", "bin"]).select("lag", "side", "x", "k", place.alias("place")).where("place = k")  # one row a lag and side
     return found.agg(*[F.max(F.when((F.col("lag") == n) & (F.col("side") == side), F.col("x"))).alias(f"{side}_{n}") for n in lags for side in ("lo", "hi")])
 
 

@@ -377,6 +377,9 @@ _THRESHOLD = 0.01
 _WEIGHTS = """w AS (
   SELECT d, 0 AS k, 1.0::DOUBLE AS w FROM ds
   UNION ALL SELECT d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) FROM w WHERE k + 1 < 1000 AND abs(-w * (d - (k + 1) + 1) / (k + 1)) >= {t})"""
+_WEIGHTS_2 = """w2 AS (
+  SELECT d, 0 AS k, 1.0::DOUBLE AS w FROM ds2
+  UNION ALL SELECT d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) FROM w2 WHERE k + 1 < 1000 AND abs(-w * (d - (k + 1) + 1) / (k + 1)) >= {t})"""
 
 
 def _orders(spark, sf):
@@ -397,21 +400,37 @@ fd AS (
   GROUP BY s.ticker, s.bar_ts, s.rn, g.d)"""
 
 
-_ADF = """lagged AS (
-  SELECT ticker, d, x - lag(x) OVER w AS y, lag(x) OVER w - avg(x) OVER (PARTITION BY ticker, d) AS l, lag(x) OVER w - lag(x, 2) OVER w AS z FROM {0} WINDOW w AS (PARTITION BY ticker, d ORDER BY rn)),
-s AS (
+def _adf(source: str, tag: str = "") -> str:
+    """SQL: the unit-root statistic of each (ticker, d) of source, as adf with the tag."""
+    return f"""lagged{tag} AS (
+  SELECT ticker, d, x - lag(x) OVER w AS y, lag(x) OVER w - avg(x) OVER (PARTITION BY ticker, d) AS l, lag(x) OVER w - lag(x, 2) OVER w AS z FROM {source} WINDOW w AS (PARTITION BY ticker, d ORDER BY rn)),
+s{tag} AS (
   SELECT ticker, d, count(*) AS m, count(z) AS n, regr_sxx(y, l) AS lla, regr_sxy(y, l) AS lya, regr_syy(y, l) AS yya,
     regr_sxx(y, l) FILTER (WHERE z IS NOT NULL) AS ll, regr_sxy(y, l) FILTER (WHERE z IS NOT NULL) AS ly, regr_syy(y, l) FILTER (WHERE z IS NOT NULL) AS yy,
-    regr_sxx(y, z) AS zz, regr_sxy(y, z) AS zy, regr_sxy(l, z) AS lz FROM lagged WHERE y IS NOT NULL GROUP BY ticker, d),
-t AS (SELECT *, (zz * ly - lz * zy) / (ll * zz - lz * lz) AS b, (ll * zy - lz * ly) / (ll * zz - lz * lz) AS g, ll * zz - lz * lz AS det FROM s),
-u AS (SELECT *, yy - b * ly - g * zy AS ssr1, yy - ly * ly / ll AS ssr0 FROM t),
-adf AS (
+    regr_sxx(y, z) AS zz, regr_sxy(y, z) AS zy, regr_sxy(l, z) AS lz FROM lagged{tag} WHERE y IS NOT NULL GROUP BY ticker, d),
+t{tag} AS (SELECT *, (zz * ly - lz * zy) / (ll * zz - lz * lz) AS b, (ll * zy - lz * ly) / (ll * zz - lz * lz) AS g, ll * zz - lz * lz AS det FROM s{tag}),
+u{tag} AS (SELECT *, yy - b * ly - g * zy AS ssr1, yy - ly * ly / ll AS ssr0 FROM t{tag}),
+adf{tag} AS (
   SELECT ticker, d, m + 1 AS n, CASE WHEN n * ln(ssr1 / n) + 6 < n * ln(ssr0 / n) + 4 THEN 1 ELSE 0 END AS lag,
-    CASE WHEN n * ln(ssr1 / n) + 6 < n * ln(ssr0 / n) + 4 THEN b / sqrt(ssr1 / (n - 3) * zz / det) ELSE lya / lla / sqrt((yya - lya * lya / lla) / (m - 2) / lla) END AS stat FROM u)"""
+    CASE WHEN n * ln(ssr1 / n) + 6 < n * ln(ssr0 / n) + 4 THEN b / sqrt(ssr1 / (n - 3) * zz / det) ELSE lya / lla / sqrt((yya - lya * lya / lla) / (m - 2) / lla) END AS stat FROM u{tag})"""
+
+
 _CRIT = fracdiff.critical(0.05)
 _GRID = fracdiff.grid()
 _GRID_SQL = ", ".join(f"({d!r}::DOUBLE)" for d in _GRID)
-_SEARCH = f"WITH RECURSIVE {views.LEVELS}, ds AS (SELECT * FROM (VALUES {_GRID_SQL}) v(d)), {_WEIGHTS.format(t=_THRESHOLD)}, {_differenced('ds')}, {_ADF.format('fd')}, mind AS (SELECT t.ticker, coalesce(min(adf.d) FILTER (WHERE stat < {_CRIT!r} AND n >= 50), 1.0::DOUBLE) AS d FROM (SELECT DISTINCT ticker FROM levels) t LEFT JOIN adf ON adf.ticker = t.ticker GROUP BY t.ticker)"
+_SEARCH = f"WITH RECURSIVE {views.LEVELS}, ds AS (SELECT * FROM (VALUES {_GRID_SQL}) v(d)), {_WEIGHTS.format(t=_THRESHOLD)}, {_differenced('ds')}, {_adf('fd')}, mind AS (SELECT t.ticker, coalesce(min(adf.d) FILTER (WHERE stat < {_CRIT!r} AND n >= 50), 1.0::DOUBLE) AS d FROM (SELECT DISTINCT ticker FROM levels) t LEFT JOIN adf ON adf.ticker = t.ticker GROUP BY t.ticker)"
+
+#: The second pass: ten even steps from 0.1 up to the grid's order of each ticker.
+_REFINED = f"""{_SEARCH}, wanted AS (SELECT DISTINCT ticker, 0.1::DOUBLE + (d - 0.1::DOUBLE) * CAST(i AS DOUBLE) / 9 AS d FROM mind CROSS JOIN range(10) r(i)),
+ds2 AS (SELECT DISTINCT d FROM wanted), {_WEIGHTS_2.format(t=_THRESHOLD)}, ws2 AS (SELECT d, count(*) AS n FROM w2 GROUP BY d),
+fd2 AS (
+  SELECT s.ticker, s.rn, v.d, sum(w2.w * p.x) AS x
+  FROM levels s JOIN wanted v ON v.ticker = s.ticker JOIN ws2 g ON g.d = v.d AND s.rn >= g.n JOIN w2 ON w2.d = v.d JOIN levels p ON p.ticker = s.ticker AND p.rn = s.rn - w2.k
+  GROUP BY s.ticker, s.rn, v.d),
+{_adf('fd2', '2')},
+fine AS (SELECT mind.ticker, round(coalesce(min(adf2.d) FILTER (WHERE stat < {_CRIT!r} AND n >= 50), any_value(mind.d)), 3) AS d FROM mind LEFT JOIN adf2 ON adf2.ticker = mind.ticker GROUP BY mind.ticker)"""
+#: The search over log prices.
+_LOGS = _SEARCH.replace(views.LEVELS, views.BARS_D1 + ", levels AS (SELECT ticker, bar_ts, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts) AS rn, ln(close) AS x FROM bars_d1)")
 
 
 @_query("frac_diff", f"WITH RECURSIVE {views.LEVELS}, ds AS (SELECT 0.3::DOUBLE AS d), {_WEIGHTS.format(t=_THRESHOLD)}, {_differenced('ds')} SELECT l.ticker, l.bar_ts, round(fd.x, 4) AS x_frac_diff FROM levels l LEFT JOIN fd ON fd.ticker = l.ticker AND fd.rn = l.rn")
@@ -419,7 +438,7 @@ def frac_diff(spark, sf):
     return rounded(fracdiff.frac_diff(views.levels(spark, sf), 0.3, _THRESHOLD).select("ticker", "bar_ts", "x_frac_diff"), 4)
 
 
-@_query("adf_test", f"WITH {views.LEVELS}, one AS (SELECT ticker, rn, x, 0 AS d FROM levels), {_ADF.format('one')} SELECT ticker, n, lag, round(stat, 6) AS stat FROM adf")
+@_query("adf_test", f"WITH {views.LEVELS}, one AS (SELECT ticker, rn, x, 0 AS d FROM levels), {_adf('one')} SELECT ticker, n, lag, round(stat, 6) AS stat FROM adf")
 def adf_test(spark, sf):
     return rounded(fracdiff.adf_test(views.levels(spark, sf)))
 
@@ -434,7 +453,7 @@ def min_d_grid(spark, sf):
     return fracdiff.min_d_grid(views.levels(spark, sf), threshold=_THRESHOLD)
 
 
-@_query("min_d_refined")
+@_query("min_d_refined", f"{_REFINED} SELECT ticker, d FROM fine")
 def min_d_refined(spark, sf):
     return fracdiff.min_d_refined(views.levels(spark, sf), threshold=_THRESHOLD)
 
@@ -447,7 +466,7 @@ def global_d(spark, sf):
     return fracdiff.global_d(fracdiff.min_d_grid(views.levels(spark, sf), threshold=_THRESHOLD))
 
 
-@_query("reference_ticker_d")
+@_query("reference_ticker_d", f"{_REFINED} SELECT d FROM fine WHERE ticker = 'Supplier#000000001'")
 def reference_ticker_d(spark, sf):
     return fracdiff.reference_ticker_d(views.levels(spark, sf), "Supplier#000000001", threshold=_THRESHOLD)
 
@@ -462,9 +481,9 @@ def memory_corr(spark, sf):
     return rounded(fracdiff.memory_corr(fracdiff.frac_diff(views.levels(spark, sf), 0.3, _THRESHOLD), "x", "x_frac_diff"))
 
 
-@_query("ffd_features")
+@_query("ffd_features", f"{_LOGS}, pick AS ({_PICK}) SELECT l.ticker, l.bar_ts, round(l.x, 6) AS log_close, round(fd.x, 6) + 0.0 AS log_close_frac_diff FROM levels l CROSS JOIN pick LEFT JOIN fd ON fd.ticker = l.ticker AND fd.rn = l.rn AND fd.d = pick.d")
 def ffd_features(spark, sf):
-    return fracdiff.ffd_features(views.bars_d1(spark, sf), _THRESHOLD).select("ticker", "bar_ts", "log_close", "log_close_frac_diff")
+    return rounded(fracdiff.ffd_features(views.bars_d1(spark, sf), _THRESHOLD).select("ticker", "bar_ts", "log_close", "log_close_frac_diff"))
 
 
 # --- windows
