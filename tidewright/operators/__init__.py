@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators from DataFrame to DataFrame."""

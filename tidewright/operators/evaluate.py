@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.features import average_rank, full_mean
+from tidewright.functions.windows import average_rank, full_mean
 
 
 def date_ranks(df: DataFrame, ts: str = "bar_ts") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.functions.windows import average_rank, by_ticker, full_mean
+
 LAGS = (1, 5, 10, 21, 42, 63)
 LAGGED = (1, 5, 10, 21)
 LOOKBACKS = (1, 2, 3, 4, 5)
@@ -20,16 +22,6 @@ MONTH_BARS = {"1d": 21, "1h": 147}
 NOT_FEATURES = ("bar_ts", "ticker", "sector", "industry")
 
 
-def by_ticker(ts: str = "bar_ts"):
-    return Window.partitionBy("ticker").orderBy(ts)
-
-
-def full_mean(x: Column, n: int, w) -> Column:
-    """Mean over the last n rows; null until n values are there."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(frame) == n, F.avg(x).over(frame))
-
-
 def dollar_volume(df: DataFrame) -> DataFrame:
     return df.withColumn("dollar_vol", F.col("close") * F.col("volume"))
 
@@ -39,13 +31,6 @@ def dollar_volume_month(df: DataFrame, bars: int = MONTH_BARS["1d"]) -> DataFram
     return df.withColumn("dollar_vol_1m", full_mean(F.col("dollar_vol"), bars, by_ticker()))
 
 
-def average_rank(x: Column, *partition: str, ascending: bool = False) -> Column:
-    """Rank with ties at their mean; null for nulls. Both windows are by the partition, so one shuffle serves."""
-    order = x.asc_nulls_last() if ascending else x.desc_nulls_last()
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, x))
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*partition).orderBy(order)) + (ties - 1) / 2.0)
-
-
 def dollar_volume_rank(df: DataFrame) -> DataFrame:
     """Descending average rank of the month's dollar volume among the tickers of a time."""
     return df.withColumn("dollar_vol_rank", average_rank(F.col("dollar_vol_1m"), "bar_ts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.features import by_ticker
+from tidewright.functions.windows import by_ticker
 
 
 def window_index(df: DataFrame, length: int = 60) -> DataFrame:

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Views over the given tables and the registered queries."""

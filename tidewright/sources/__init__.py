@@ -1 +1 @@
-"""See the modules of this package."""
+"""Bars from raw records, dimensions, sinks and the shared folder."""
