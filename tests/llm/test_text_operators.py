@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, language_id, simhash, suffix_dedup, token_count, token_shards, tokens
+from tidewright.llm import decontaminate, language_id, shingle_sets, simhash, suffix_dedup, token_count, token_shards, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ta", "ri", "mo", "sel", "vun", "pra", "ko") for b in ("na", "lek", "dor", "mi", "sha", "")]
@@ -163,6 +163,74 @@ def test_near_duplicates(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def jaccard_classes(texts):
+    """Components of all pairs whose five-word Jaccard similarity is 0.8 or more, pair by pair."""
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(seed=5):
+    """Chains of copies with some words changed, around a similarity of 0.8; all share a passage; many copies of one text; a long text and its part."""
+    rng = random.Random(seed)
+    shared, texts = prose(rng, 12), []
+    for n in (14, 60, 150, 400):
+        for _ in range(4):
+            w = prose(rng, n).split()
+            for _ in range(5):
+                texts.append(shared + " " + " ".join(w))
+                for at in rng.sample(range(n), max(1, n // rng.choice([40, 55, 75]))):
+                    w[at] = f"new{rng.random()}"
+    base = prose(rng, 90).split()
+    for _ in range(90):
+        k, m = rng.randint(0, 85), rng.randint(0, 85)
+        texts.append(" ".join(f"e{rng.random()}" if i in (k, m) else x for i, x in enumerate(base)))
+    whole = prose(rng, 104).split()
+    texts += [" ".join(whole), " ".join(whole[:84]), " ".join(whole[:83]), "a b", "A  b", "a b c", None, " "]
+    return [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4]), (None, "alone and without an id")]
+
+
+@pytest.mark.parametrize("direct,pivots", [(64, 8), (1000, 8), (3, 1)])
+def test_shingle_sets_equal_all_pairs(spark, monkeypatch, direct, pivots):
+    monkeypatch.setattr(shingle_sets, "DIRECT", direct)
+    monkeypatch.setattr(shingle_sets, "PIVOTS", pivots)
+    monkeypatch.setattr(shingle_sets, "PER_TASK", 2000)
+    rows = edited()
+    cls = jaccard_classes([t for _, t in rows])
+    least = {}
+    for c, (i, _) in zip(cls, rows, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).repartition(5)
+    got = Counter((r["doc_id"], r["component_id"]) for r in shingle_sets.near_duplicates(df).collect())
+    assert got == Counter((i, least.get(c)) for (i, _), c in zip(rows, cls, strict=True))
+    kept = shingle_sets.keep_one(df)
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([*least.values(), None])
+    assert shingle_sets.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_one_of_pairs_of_similarity_08(spark):
+    texts = [t for _, t in edited()[:80]]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = corpus_pipeline.one_of_near_duplicates(spark, df, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(jaccard_classes(texts)))
+
+
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", " ", "  two  spaces ", "a\n\nb", "a \n b", "tab\there", "nb sp", "x\x1cy !\x1c! z", "it's THEY'RE I'll", "<|endoftext|> a <|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|>x", "Ünïcode Straße ΣΑΣ", "é ́x", "日本語 テキスト", "🙂🙂 ok", "word,. (x). a... b!? c,", "1234 5,6", "\r\nline\r\n", "ends in space ", "﻿bom"]
 SAMPLE = [*ODD, *(t or "" for _, t, *_ in corpus()), " ".join(ODD) * 40]

@@ -146,10 +146,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, id_col: str
     """
     prints = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(stored(links(distinct, limit), "links"))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = stored(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
+    return named(prints, distinct, stored(links(distinct, limit), "links"))
+
+
+def named(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from prints (doc_id, fp), distinct (fp, least doc_id) and edges (a, b) between fps."""
+    roots = components(edges)
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -158,7 +163,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of repeated rows of that id, and of a group whose ids are all null, one row stays.
     """
-    found = near_duplicates(docs, **options)
+    return one_of_each(docs, near_duplicates(docs, **options))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one, from what near_duplicates returns."""
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stay")), "left_semi")
     # repeated ids alone go through a choice; ids that occur once pass untouched
