@@ -1,23 +1,40 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and scratch tables in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests on one machine) a temporary folder."""
+    """``spark.checkpoint.dir`` of the session as a full URI.
+
+    A path without a scheme belongs to Hadoop's default file system, as everywhere in Spark. Only
+    on a local master, where all tasks run on this machine, an unset folder is replaced by a
+    temporary one; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(found)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.rstrip("/").replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a table or folder in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs a re-read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
