@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and the defined results of odd inputs."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 import corpus_pipeline
 from tidewright.llm import decontaminate, language_id, shingle_sets, simhash, suffix_dedup, token_count, token_shards, tokens
@@ -205,11 +206,12 @@ def edited(seed=5):
     return [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4]), (None, "alone and without an id")]
 
 
-@pytest.mark.parametrize("direct,pivots", [(64, 8), (1000, 8), (3, 1)])
-def test_shingle_sets_equal_all_pairs(spark, monkeypatch, direct, pivots):
+@pytest.mark.parametrize("direct,block", [(16, 4096), (1000, 8), (2, 5)])
+def test_similar_texts_equal_all_pairs(spark, monkeypatch, direct, block):
     monkeypatch.setattr(shingle_sets, "DIRECT", direct)
-    monkeypatch.setattr(shingle_sets, "PIVOTS", pivots)
+    monkeypatch.setattr(shingle_sets, "BLOCK", block)
     monkeypatch.setattr(shingle_sets, "PER_TASK", 2000)
+    monkeypatch.setattr(shingle_sets, "RUN", 7)
     rows = edited()
     cls = jaccard_classes([t for _, t in rows])
     least = {}
@@ -217,11 +219,11 @@ def test_shingle_sets_equal_all_pairs(spark, monkeypatch, direct, pivots):
         if i is not None:
             least[c] = min(least.get(c, i), i)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).repartition(5)
-    got = Counter((r["doc_id"], r["component_id"]) for r in shingle_sets.near_duplicates(df).collect())
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, 5, similarity=0.8).collect())
     assert got == Counter((i, least.get(c)) for (i, _), c in zip(rows, cls, strict=True))
-    kept = shingle_sets.keep_one(df)
+    kept = simhash.keep_one(df, words=5, similarity=0.8)
     assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([*least.values(), None])
-    assert shingle_sets.near_duplicates(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0), 5, similarity=0.8).count() == 0
 
 
 def test_pipeline_keeps_one_of_pairs_of_similarity_08(spark):
@@ -231,44 +233,71 @@ def test_pipeline_keeps_one_of_pairs_of_similarity_08(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(jaccard_classes(texts)))
 
 
-BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = ["", " ", "  two  spaces ", "a\n\nb", "a \n b", "tab\there", "nb sp", "x\x1cy !\x1c! z", "it's THEY'RE I'll", "<|endoftext|> a <|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|>x", "Ünïcode Straße ΣΑΣ", "é ́x", "日本語 テキスト", "🙂🙂 ok", "word,. (x). a... b!? c,", "1234 5,6", "\r\nline\r\n", "ends in space ", "﻿bom"]
 SAMPLE = [*ODD, *(t or "" for _, t, *_ in corpus()), " ".join(ODD) * 40]
 
 
-@pytest.mark.parametrize("path", [BYTE, public_tokenizers.path("piece_bpe_32k.model")])
+def test_styles_follow_from_the_settings(tmp_path):
+    assert [tokens.style_of(p) for p in (BYTE, WORD, PIECE)] == ["leads", "drops", "pieces"]
+    other = Tokenizer.from_file(BYTE)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "byte_bpe_prefix.json"))
+    assert tokens.style_of(str(tmp_path / "byte_bpe_prefix.json")) == "whole"
+
+
+@pytest.mark.parametrize("path", [BYTE, PIECE, WORD])
 def test_token_counts(spark, path):
     want = [len(x) for x in tokens.encode(path, SAMPLE)]
-    rows = [(i, t) for i, t in enumerate(SAMPLE)] + [(None, None)]
-    got = {r["doc_id"]: r for r in token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, 100).collect()}
-    assert [got[i]["n_tokens"] for i in range(len(SAMPLE))] == want
+    rows = [(i, t) for i, t in enumerate(SAMPLE)] + [(None, None), (3, SAMPLE[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("data", F.lit(1)).withColumn("n_tokens", F.lit("clash"))
+    out = token_count.count_tokens(df, path, 100)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == len(rows) and [got[i]["n_tokens"] for i in range(len(SAMPLE))] == want
     assert got[None]["n_tokens"] == 0 and all(r["over_limit"] == (r["n_tokens"] > 100) for r in got.values())
-    assert got[0]["n_bytes"] == 0
+    assert got[0]["n_bytes"] == 0 and token_count.count_tokens(df.limit(0), path).count() == 0
+
 
+TEXTS = st.text(alphabet=st.sampled_from("aBz09é .,\n\t'!-<|>\x1c\u0301日ſ"), max_size=40) | st.lists(st.sampled_from(["<|endoftext|>", "it's", "A.B", " 12,", "x\n", "ÀÉ"]), max_size=6).map(" ".join)
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aB1é .,\n\t'! \x1cs<|>"), max_size=40))
-def test_word_counts_equal_whole_texts(text):
-    assert token_count._counter(BYTE)([text]) == [len(tokens.encode(BYTE, [text])[0])]
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS, max_size=5))
+def test_words_and_lengths_equal_the_library(texts):
+    raw = [t.encode() for t in texts]
+    assert list(tokens.ids(WORD, raw, "<u2")) == [np.array(x, "<u2").tobytes() for x in tokens.encode(WORD, texts)]
+    for path in (BYTE, PIECE):
+        assert tokens.lengths(path, raw).tolist() == [len(x) for x in tokens.encode(path, texts)]
 
-def test_long_texts_are_cut_safely(monkeypatch):
+
+@pytest.mark.parametrize("path", [BYTE, WORD, PIECE])
+def test_long_texts_are_cut_safely(monkeypatch, path):
     monkeypatch.setattr(tokens, "PART", 50)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 200)
     text = " ".join(ODD) * 5
-    cut = tokens.parts(text)
-    assert "".join(cut) == text and len(cut) > 5
-    assert [i for p in cut for i in tokens.encode(BYTE, [p])[0]] == tokens.encode(BYTE, [text])[0]
+    assert len(tokens.parts(text, tokens.style_of(path))) > 5 and tokens.parts(text, "whole") == [text]
+    want = tokens.encode(path, [text, "", "x"])
+    assert list(tokens.ids(path, [text.encode(), None, b"x"], "<u2")) == [np.array(x, "<u2").tobytes() for x in want]
+    assert tokens.lengths(path, [text.encode(), None, b"x"]).tolist() == [len(x) for x in want]
+
 
+def test_a_full_table_of_words_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 10)
+    table = tokens.Words(WORD, "<u4")
+    for k in range(4):
+        part = [t for t in SAMPLE[k::4]]
+        assert list(table.encode([t.encode() for t in part])) == [np.array(x, "<u4").tobytes() for x in tokens.encode(WORD, part)]
 
-def test_shards_round_trip(spark, monkeypatch):
+
+@pytest.mark.parametrize("tokenizer", [WORD, BYTE, PIECE])
+def test_shards_round_trip(spark, monkeypatch, tokenizer):
     monkeypatch.setattr(token_shards, "BLOCK_BYTES", 300)
     rng = random.Random(4)
-    rows = [(rng.randint(-50, 3000), t) for t in SAMPLE] + [(None, "null id"), (7, None), (7, "again"), (7, "again")]
+    rows = [(rng.randint(-50, 3000), t) for t in SAMPLE] + [(None, "null id"), (7, None), (7, "again"), (7, "again"), (1 << 62, "far"), (-(1 << 62), "far")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
-    manifest = token_shards.write_shards(df, WORD, 1, shard_bytes=4000).cache()
+    manifest = token_shards.write_shards(df, tokenizer, 1, shard_bytes=4000).cache()
     assert manifest.count() > 2
-    lib = Tokenizer.from_file(WORD)
-    encoded = lambda t: lib.encode(t or "", add_special_tokens=False).ids + [1]
+    encoded = lambda t: tokens.encode(tokenizer, [t or ""])[0] + [1]
     got = token_shards.read_shards(manifest).orderBy("start").collect()
     assert Counter((r["doc_id"], r["ids"]) for r in got) == Counter((i, np.array(encoded(t), "<u4").tobytes()) for i, t in rows)
     ids = [r["doc_id"] for r in got]
@@ -278,19 +307,19 @@ def test_shards_round_trip(spark, monkeypatch):
     d = token_shards.digest(token_shards.read_shards(manifest)).where("start = 0").first()
     assert d["ids_crc32"] == zlib.crc32(got[0]["ids"])
     wanted = sorted({i for i, _ in rows if i is not None})
-    asked = spark.createDataFrame([(i,) for i in wanted + [99999, None, 7]], "doc_id long")
+    asked = spark.createDataFrame([(i,) for i in wanted + [99999, None, 7, 1 << 63 - 1, -(1 << 63)]], "doc_id long")
     found = Counter((r["doc_id"], r["tokens"]) for r in token_shards.find(manifest, asked).collect())
     assert found == Counter((r["doc_id"], r["ids"]) for r in got if r["doc_id"] is not None)
     fs, path = pafs.FileSystem.from_uri(manifest.first()["file"])
     shard = token_shards.Shard(fs, path)
     assert shard.n == manifest.first()["n_docs"] and shard.tokens == manifest.first()["n_tokens"] and shard.get(10**12) == []
-    assert token_shards.read_shards(token_shards.write_shards(df.limit(0), WORD, 1)).count() == 0
+    nothing = token_shards.write_shards(df.limit(0), tokenizer, 1)
+    assert token_shards.read_shards(nothing).count() == 0 and token_shards.find(nothing, asked).count() == 0
 
 
-def overlap(p, t, least):
-    """Slow greedy string tiling: always the longest common run of free words, first place first."""
-    fp, ft = [True] * len(p), [True] * len(t)
-    total = 0
+def slow_tiles(p, t, least):
+    """Greedy string tiling: always the longest common run of free words, ties by place in p, then in t."""
+    fp, ft, done = [True] * len(p), [x != 0 for x in t], []
     while True:
         best = (0, 0, 0)
         for i in range(len(p)):
@@ -302,28 +331,48 @@ def overlap(p, t, least):
                     best = (n, i, j)
         n, i, j = best
         if n < least:
-            return total
+            return sorted(done)
         fp[i : i + n] = [False] * n
         ft[j : j + n] = [False] * n
-        total += n
+        done.append((i, j, n))
 
 
-def test_tiles_cover_what_slow_tiling_covers():
-    for seed in range(60):
+def test_tiles_equal_slow_tiling():
+    for seed in range(80):
         rng = random.Random(seed)
-        p = [rng.randint(1, 6) for _ in range(rng.randint(3, 24))]
-        t = [rng.randint(1, 6) for _ in range(rng.randint(3, 40))] + p[5:12] + p[:6]
-        got = decontaminate.tiles(np.array(p, np.uint64), np.array(t, np.uint64), 3)
-        used_p = [k for i, _, n in got for k in range(i, i + n)]
-        used_t = [k for _, j, n in got for k in range(j, j + n)]
-        assert len(set(used_p)) == len(used_p) and len(set(used_t)) == len(used_t)
-        assert all(p[i : i + n] == t[j : j + n] and n >= 3 for i, j, n in got)
-        assert abs(len(used_p) - overlap(p, t, 3)) <= 2  # ties between runs of one length may fall otherwise
+        p = [rng.randint(1, 4 + seed % 5) for _ in range(rng.randint(1, 30))]
+        t = [rng.randint(0, 4 + seed % 5) for _ in range(rng.randint(0, 40))] + p[5:12] + p[:6]
+        assert decontaminate.tiles(np.array(p, np.uint64), np.array(t, np.uint64), 1 + seed % 4) == slow_tiles(p, t, 1 + seed % 4)
+
+
+def test_decontamination_equals_tiling_all_pairs(spark):
+    rng = random.Random(12)
+    common = prose(rng, 8)  # in every item and document
+    items = [common + " " + prose(rng, n) for n in (4, 9, 20, 45)] + [common, "one", "two words", "four words of item", ""]
+    texts = []
+    for k in range(60):
+        w = items[k % 5].split()
+        cut = rng.randint(0, len(w))
+        drop = rng.randint(0, len(w))
+        texts.append(" ".join([prose(rng, rng.randint(0, 9)), *w[cut:], prose(rng, 3), *[x for i, x in enumerate(w[:cut]) if i != drop], common if k % 3 else ""]))
+    texts += ["one", "it is one of two words", "four words of an item", "x four words of item", ""]
+    split = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    number = {w: i + 1 for i, w in enumerate(sorted({w for t in texts + items for w in split(t)}))}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in enumerate(items):
+            a, b = [number[w] for w in split(p)], [number[w] for w in split(t)]
+            found = slow_tiles(a, b, min(5, len(a))) if a else []
+            if a and sum(n for *_, n in found) / len(a) >= 0.8:
+                want[d, i] = (pytest.approx(sum(n for *_, n in found) / len(a)), len(found))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = decontaminate.tile_matches(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["coverage"], r["n_tiles"]) for r in got.collect()} == want and len(want) > 20
 
 
 def test_decontamination(spark):
     rng = random.Random(9)
-    items = [prose(rng, 30) for _ in range(4)] + ["too short", None, ""]
+    items = [prose(rng, 30) for _ in range(4)] + ["too short", None, ""]  # no text holds the short one whole
     w = items[0].split()
     texts = {
         1: prose(rng, 40) + " " + items[1] + " " + prose(rng, 40),
@@ -333,7 +382,7 @@ def test_decontamination(spark):
         5: " ".join(w[:12]) + " " + prose(rng, 60),  # less than the coverage
         6: None, 7: "", 8: prose(rng, 20000) + " " + items[3],
     }
-    df = spark.createDataFrame([(i, t, "c") for i, t in texts.items()] + [(None, items[1], "c"), (4, items[3], "c")], "doc_id long, text string, item_id string")
+    df = spark.createDataFrame([(i, t, "c") for i, t in texts.items()] + [(None, items[1], "c"), (4, items[3], "c")], "doc_id long, text string, item_id string").withColumns({n: F.lit("clash") for n in ("_id", "_text", "id", "row", "text_hash", "uid")})
     bench = spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
     found = decontaminate.tile_matches(df, bench)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 0), (3, 2), (8, 3), (None, 1), (4, 3)}
@@ -372,22 +421,121 @@ def test_language_mixtures_and_odd_texts(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
 
 
+def test_mixtures_equal_slow_inference(spark):
+    """Every document by itself, word by word, in plain loops."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    by = {r["lang"]: r["text"] for r in df.where("lang IS NOT NULL AND n_chars > 900").dropDuplicates(["lang"]).collect()}
+    langs = list(by)
+    extra = [(1000 + k, by[a][:700] + " | " + by[b][:300]) for k, (a, b) in enumerate((a, b) for a in langs for b in langs if a != b)]
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()] + extra + [(2000, "x"), (2001, "da da"), (2002, None)]
+
+    def slow(text):
+        low = [b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").lower().encode()]
+        words = bytes(low).split()
+        like = []
+        for w in words:
+            padded = b" " + w + b" "
+            ll = np.zeros(len(model.langs))
+            for i in range(len(w)):
+                a, b, c = padded[i : i + 3]
+                ll = ll + model.logp[((a << 16 | b << 8 | c) * 0x9E3779B1 % (1 << 32)) >> 17]
+            like.append(0.98 * np.exp((ll - ll.max()).astype(float)) + 0.02)
+        if not words:
+            return None
+        total = lambda pi: sum(math.log(float(x @ pi)) for x in like)
+        one = [sum(math.log(x[k]) for x in like) for k in range(len(model.langs))]
+        pi = np.eye(len(model.langs))[int(np.argmax(one))]
+        best = max(one)
+        while len(words) > 1 and (pi == 0).any():
+            gain = [sum(x[k] / float(x @ pi) for x in like) if pi[k] == 0 else -1 for k in range(len(pi))]
+            n = (pi > 0).sum()
+            trial = pi * n / (n + 1)
+            trial[int(np.argmax(gain))] = 1 / (n + 1)
+            for _ in range(6):
+                trial = sum(x * trial / float(x @ trial) for x in like) / len(like)
+            if 2 * (total(trial) - best) <= 4.0 * math.log(max(len(words), 2)):
+                break
+            pi, best = trial, total(trial)
+        return pi
+
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    several = 0
+    for i, t in rows:
+        pi = slow(t)
+        if pi is not None:
+            several += (pi > 0).sum() > 1
+            found = [got[i]["proportions"].get(x, 0.0) for x in model.langs]
+            assert found == pytest.approx(pi.tolist(), abs=2e-3)
+    assert several > 8 and got[2002]["lang_pred"] == "und"
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    df = spark.createDataFrame([(k, "text", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="3 distinct"):
+        language_id.train(df)
+
+
+CLASHES = ("row", "data", "_stay", "_again", "id", "again", "fp", "size", "copies", "q", "h", "lang_pred", "score")
+
+
+def clashing(df):
+    return df.withColumns({n: F.lit("clash") for n in CLASHES})
+
+
+def odd_docs(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250").select(*[x.split()[0] for x in DOCS.split(", ")])
+    long = " ".join(r["text"] for r in docs.where("lang = 'en'").limit(40).collect()) * 3
+    odd = [(9001, "12 34", "en", "src1", 5), (9002, None, None, None, 0), (9003, "", "en", None, 0), (9004, long, None, "src1", 0), (None, long + " tail of it", "en", "src1", 0), (9005, "so here it is " + bench, "en", "src2", 0), (None, None, None, None, None)]
+    again = docs.where("doc_id IN (3, 4)")
+    return clashing(docs.unionByName(spark.createDataFrame(odd, DOCS)).unionByName(again)).cache(), bench
+
+
 def test_pipeline_stages(spark):
-    """Each stage against what brute force keeps of its own input."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250").unionByName(spark.createDataFrame([(9001, "12 34", "en", "src1", 5), (9002, None, None, None, 0)], DOCS)).cache()
+    """Each stage against what brute force keeps of its own input, with nulls, repeats, a very long text and clashing names."""
+    docs, _ = odd_docs(spark)
     (_, lang), (_, near), (_, clean), (_, mixed), (_, out) = corpus_pipeline.STAGES
     a = lang(spark, docs, SF).cache()
-    assert a.columns == docs.columns and {r["doc_id"] for r in docs.select("doc_id").subtract(a.select("doc_id")).collect()} >= {9001, 9002} and a.count() > 240
+    gone = {r["doc_id"] for r in docs.select("doc_id").subtract(a.select("doc_id")).collect()}
+    assert a.columns == docs.columns and gone >= {9001, 9002, 9003} and a.count() > 240 and a.where("doc_id = 9004 OR doc_id IS NULL").count() == 2
     rows = a.orderBy("doc_id").collect()
-    cls = classes([reference_fingerprint(r["text"]) for r in rows], 4)
+    cls = jaccard_classes([r["text"] for r in rows])
+    least = {}
+    for c, r in zip(cls, rows, strict=True):
+        if r["doc_id"] is not None:
+            least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
     b = near(spark, a, SF).cache()
-    assert sorted(r["doc_id"] for r in b.collect()) == sorted({rows[c]["doc_id"] for c in cls})
+    assert b.columns == docs.columns and sorted(r["doc_id"] for r in b.collect()) == sorted(least.values()) and 9004 in least.values()
     c = clean(spark, b, SF).cache()
     bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {r["doc_id"] for r in b.collect() if any(t in r["text"] for t in bench)}
-    assert {r["doc_id"] for r in b.collect()} - {r["doc_id"] for r in c.collect()} >= dirty
-    m = mixed(spark, c, SF)
+    assert c.columns == docs.columns and 9005 in dirty and {r["doc_id"] for r in b.collect()} - {r["doc_id"] for r in c.collect()} >= dirty
+    m = mixed(spark, c, SF).cache()
     assert m.columns == docs.columns and max(r["count"] for r in m.groupBy("doc_id").count().collect()) <= 2
-    m = m.cache()
     got = out(spark, m, SF)
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in m.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_runs_as_its_stages(spark, tmp_path):
+    docs, _ = odd_docs(spark)
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        want = stage(spark, want, str(tmp_path)).cache()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got.collect())
+    assert rows == sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in want.collect())
+    starts = np.cumsum([0, *(r[2] for r in rows)])
+    assert [r[0] for r in rows] == starts[:-1].tolist() and len(rows) > 200
+
+
+def test_keep_one_with_clashing_names(spark):
+    df = clashing(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (3, "x")], "doc_id long, text string"))
+    for options in ({}, {"words": 5, "similarity": 0.8}):
+        kept = simhash.keep_one(df, **options)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]

@@ -45,7 +45,9 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
 
     turns: conv_id, turn, role, text. Rows are ordered by turn (null first), then role, then
     text, so ties and repeated rows have one result; repeated rows are repeated turns. Null text
-    or role: empty. Null conv_id: one conversation of its own. The machine reads the roles in
+    or role: empty. A row with a null conv_id belongs to no other: it is a conversation of its
+    own, so such rows never gather in one task. Empty table: empty result. Very long texts are
+    formatted whole. Other columns are left out, so names can't clash. The machine reads the roles in
     order; a role that no move allows leaves the state as it is and adds to n_rejected; valid:
     none rejected and the last state is final. Invalid conversations are formatted too, so the
     caller chooses. Concatenated segment texts equal formatted. A conversation is one row of the
@@ -53,11 +55,12 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     """
     t = template
     moves = F.create_map(*[F.lit(x) for state, roles in t.moves.items() for role in roles for x in (f"{state}\n{role}", True)])
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = turns.select("conv_id", alone.alias("alone"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seg = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     no = F.lit(False)
     ready = rows.select(
-        "conv_id", "turn", "role",
+        "conv_id", "alone", "turn", "role",
         F.concat(F.lit(t.start), escape(F.col("role"), role=True), F.lit(t.after_role)).alias("head"),
         escape(F.col("text")).alias("body"),
     )
@@ -66,7 +69,7 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
         F.struct(x["role"].alias("state"), a["bad"].alias("bad")),
     ).otherwise(F.struct(a["state"].alias("state"), (a["bad"] + 1).alias("bad")))
     return (
-        ready.groupBy("conv_id")
+        ready.groupBy("conv_id", "alone")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "head"))).alias("turns"))
         .select(
             "conv_id",

@@ -8,13 +8,15 @@ the tiles cover enough of the item's words.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_batches, stored
+from tidewright.llm.common import stored
 
 #: Slots of the filter that documents' runs pass before the seed join: 2 MB, whatever the benchmark's size.
 SLOTS = 1 << 24
@@ -50,8 +52,8 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def runs(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """Hashes of runs of n words, by first word; 0 where a run would leave its text."""
     out = np.zeros(len(h), _U)
-    if len(h) >= n:
-        acc = np.zeros(len(h) - n + 1, _U)
+    if n and len(h) >= n:
+        acc = np.full(len(h) - n + 1, _U(n))
         for k in range(n):
             acc = acc * _U(_BASE) + h[k : len(h) - n + 1 + k]
         out[: len(acc)] = np.where(text[: len(acc)] == text[n - 1 :], _mix(acc) | _U(1), _U(0))
@@ -61,7 +63,8 @@ def runs(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of word hashes p and t: (start in p, start in t, length), lengths >= least.
 
-    t may hold several stretches parted by 0, which matches nothing.
+    Always the longest run of words that are free in both is marked next, ties by its start in p,
+    then in t. t may hold several stretches parted by 0, which matches nothing.
     """
     free_p, free_t = np.ones(len(p), bool), t != 0
     done: list[tuple[int, int, int]] = []
@@ -78,13 +81,12 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
         return at, h
 
     s = min(len(p), len(t))
-    while s >= least:
-        longest = 0
+    while s >= least and free_p.any():
         at_p, hp = windows(p, free_p, s)
         at_t, ht = windows(t, free_t, s)
         order = np.argsort(ht, kind="stable")
         lo, hi = np.searchsorted(ht[order], hp), np.searchsorted(ht[order], hp, side="right")
-        found = []
+        waiting = []
         for i, a, b in zip(at_p.tolist(), lo.tolist(), hi.tolist(), strict=True):
             for j in at_t[order[a:b]].tolist():
                 if (i and j and free_p[i - 1] and free_t[j - 1] and p[i - 1] == t[j - 1]) or not np.array_equal(p[i : i + s], t[j : j + s]):
@@ -92,19 +94,20 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
                 n = s
                 while i + n < len(p) and j + n < len(t) and free_p[i + n] and free_t[j + n] and p[i + n] == t[j + n]:
                     n += 1
-                found.append((n, i, j))
-                longest = max(longest, n)
-        again = False
-        for n, i, j in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if free_p[i : i + n].all() and free_t[j : j + n].all():
-                free_p[i : i + n] = free_t[j : j + n] = False
-                done.append((i, j, n))
-            else:
-                again = True  # part of it may still be free: look again at this length
-        if not (again and found):
-            s = s // 2 if s // 2 >= least else least if s > least else 0
-        elif not any(free_p):
-            break
+                waiting.append((-n, i, j))
+        heapq.heapify(waiting)
+        while waiting:
+            n, i, j = heapq.heappop(waiting)
+            free = free_p[i : i - n] & free_t[j : j - n]
+            if free.all():
+                free_p[i : i - n] = free_t[j : j - n] = False
+                done.append((i, j, -n))
+                continue
+            turns = np.flatnonzero(np.diff(free.astype(np.int8), prepend=0, append=0))
+            for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+                if b - a >= s:  # what a longer tile left of this run
+                    heapq.heappush(waiting, (a - b, i + a, j + a))
+        s = s // 2 if s // 2 >= least else least if s > least else 0
     return sorted(done)
 
 
@@ -127,13 +130,19 @@ def _seed_filter(seeds: DataFrame) -> np.ndarray:
 def tile_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, tiles array<struct<item_start, n_words>>, text_hash) of pairs that reach coverage.
 
-    coverage: share of the item's words that tiles cover. Items of fewer than min_match words
-    have no seed and are never reported. Null texts have no words. Null or repeated ids: every
-    row is judged by itself, and equal pairs of repeated rows appear once each. Whole texts are
-    scanned; only the stretches around shared runs travel on. Empty tables: empty result.
+    coverage: share of the item's words that tiles of min_match words or more cover; an item of
+    fewer words has to occur whole. Words are compared by 64-bit hashes. Null and empty texts have
+    no words, and an item without words is in no document. Null or repeated ids: every row is
+    judged by itself, repeated rows give a pair each, and repeated items count once. Whole texts
+    are scanned, in runs of about 1 MB; only the stretches around shared runs travel on. Empty
+    tables: empty result. Other columns of both tables are left out, so names can't clash.
+
+    Candidates come from an item's rarest seeds: tiles of 5 words or more that cover c of n words
+    hold ceil(c n / 5) of its seeds at least, so all but one fewer of its most frequent seeds have
+    to be joined, and a run of words that many documents and items share is joined for none of
+    them unless an item has little else.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def item_rows(batches):
         for b in batches:
@@ -141,16 +150,29 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
             h, doc = words(texts)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
             lists = [h[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
-            seeds = [runs(x, np.zeros(len(x), np.int64), min_match) for x in lists]
+            seeds = [runs(x, np.zeros(len(x), np.int64), min(min_match, len(x))) for x in lists]
             yield pa.RecordBatch.from_pydict({"item_id": b.column(0), "words": pa.array([x.tobytes() for x in lists], pa.binary()), "n_words": pa.array([len(x) for x in lists], pa.int64()), "seeds": pa.array([s[s > 0].view(np.int64).tolist() for s in seeds], pa.list_(pa.int64()))})
 
-    items = stored(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("data")).distinct().mapInArrow(item_rows, "item_id long, words binary, n_words long, seeds array<long>"), "items")
-    items = items.withColumn("item", F.xxhash64("item_id", "words"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("binary").alias("data")).distinct()
+    items = stored(items.mapInArrow(item_rows, "item_id long, words binary, n_words long, seeds array<long>").where("n_words > 0").withColumn("item", F.xxhash64("item_id", "words")), "items")
+    lengths = sorted({min_match, *(r[0] for r in items.select("n_words").where(F.col("n_words") < min_match).distinct().collect())})
     seeds = items.select("item", "n_words", F.explode("seeds").alias("seed")).groupBy("seed", "item", "n_words").agg(F.count("*").alias("times"))
     sent = spark.sparkContext.broadcast(_seed_filter(seeds))  # SLOTS bits
 
+    def found_in(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, seed, words of the seed) of runs that may be a seed, by first word."""
+        out = []
+        for n in lengths:
+            seed = runs(h, doc, n)
+            slot = (seed >> _U(40)).astype(np.int64)
+            hit = np.flatnonzero((seed > 0) & ((sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0))
+            out.append((hit, seed[hit], np.full(len(hit), n)))
+        at, seed, size = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], seed[order], size[order]
+
     def stretches(batches):
-        slots, part, n = sent.value, TaskContext.get().partitionId(), 0
+        part, n = TaskContext.get().partitionId(), 0
         for b in batches:
             raw, size, start = b.column(1).to_pylist(), 0, 0
             for i, d in enumerate(raw):
@@ -158,17 +180,15 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
                 if size < RUN_BYTES and i + 1 < len(raw):
                     continue
                 h, doc = words(raw[start : i + 1])
-                seed = runs(h, doc, min_match)
-                slot = (seed >> _U(40)).astype(np.int64)
-                hit = np.flatnonzero((seed > 0) & ((slots[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0))
+                at, seed, long = found_in(h, doc)
                 out = {k: [] for k in ("uid", "doc_id", "text_hash", "seeds", "stretch")}
-                for mine in np.split(hit, np.flatnonzero(np.diff(doc[hit])) + 1) if len(hit) else []:
-                    at = start + int(doc[mine[0]])
-                    covered = np.unique((mine[:, None] + np.arange(min_match)).ravel())
+                for mine in np.split(np.arange(len(at)), np.flatnonzero(np.diff(doc[at])) + 1) if len(at) else []:
+                    row = start + int(doc[at[mine[0]]])
+                    covered = np.unique(np.repeat(at[mine] - np.cumsum(long[mine]) + long[mine], long[mine]) + np.arange(long[mine].sum()))
                     parts = np.split(h[covered], np.flatnonzero(np.diff(covered) > 1) + 1)
                     out["uid"].append((part << 33) | n)
-                    out["doc_id"].append(b.column(0)[at].as_py())
-                    out["text_hash"].append(b.column(2)[at].as_py())
+                    out["doc_id"].append(b.column(0)[row].as_py())
+                    out["text_hash"].append(b.column(2)[row].as_py())
                     out["seeds"].append(np.unique(seed[mine]).view(np.int64).tolist())
                     out["stretch"].append(np.concatenate([x for p in parts for x in (p, np.zeros(1, _U))]).tobytes())
                     n += 1
@@ -176,22 +196,26 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
                 if out["uid"]:
                     yield pa.RecordBatch.from_pydict({"uid": pa.array(out["uid"], pa.int64()), "doc_id": pa.array(out["doc_id"], pa.int64()), "text_hash": pa.array(out["text_hash"], pa.int64()), "seeds": pa.array(out["seeds"], pa.list_(pa.int64())), "stretch": pa.array(out["stretch"], pa.binary())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_hash"))
     near = stored(rows.mapInArrow(stretches, "uid long, doc_id long, text_hash long, seeds array<long>, stretch binary"), "stretches")
-    # a seed covers min_match words at most each time the item has it: pairs that can't reach the coverage end here
-    pairs = (
-        near.select("uid", F.explode("seeds").alias("seed")).join(seeds, "seed")
-        .groupBy("uid", "item").agg(F.sum("times").alias("times"), F.first("n_words").alias("n_words"))
-        .where(F.col("times") * min_match >= F.col("n_words") * coverage)
-    )
-    both = pairs.select("uid", "item").join(near.select("uid", "doc_id", "text_hash", "stretch"), "uid").join(items.select("item", "item_id", "words"), "item").select("doc_id", "text_hash", "item_id", "stretch", "words")
+    often = near.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n_docs"))
+    rare_first = Window.partitionBy("item").orderBy(F.coalesce("n_docs", F.lit(0)), "seed").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("times").over(Window.partitionBy("item"))
+    held = F.when(F.col("n_words") < min_match, 1).otherwise(F.ceil(F.col("n_words") * F.lit(coverage) / min_match))
+    ranked = seeds.join(often, "seed", "left").select("seed", "item", "n_docs", (total - held + 1).alias("needed"), F.coalesce(F.sum("times").over(rare_first), F.lit(0)).alias("before"))
+    wanted = ranked.where("before < needed AND n_docs IS NOT NULL").select("seed", "item")
+    pairs = near.select("uid", F.explode("seeds").alias("seed")).join(wanted, "seed").select("uid", "item").distinct()
+    both = pairs.join(near.select("uid", "doc_id", "text_hash", "stretch", F.col("seeds").alias("own")), "uid").join(items.select("item", "item_id", "words", "seeds"), "item").select("doc_id", "text_hash", "item_id", "stretch", "words", "own", "seeds")
 
     def tile(batches):
         for b in batches:
             out = {k: [] for k in ("coverage", "n_tiles", "tiles")}
-            for t, p in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for t, p, own, seed in zip(*(b.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True):
                 p = np.frombuffer(p, _U)
-                found = tiles(p, np.frombuffer(t, _U), min_match)
+                least = min(min_match, len(p))
+                # seeds that the document lacks cover nothing: pairs that can't reach the coverage end here
+                may = least * int(np.isin(np.array(seed, np.int64), np.array(own, np.int64)).sum()) >= coverage * len(p)
+                found = tiles(p, np.frombuffer(t, _U), least) if may else []
                 out["coverage"].append(sum(x[2] for x in found) / len(p))
                 out["n_tiles"].append(len(found))
                 out["tiles"].append([{"item_start": i, "n_words": n} for i, _, n in found])
@@ -201,7 +225,11 @@ def tile_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
     return found.where(F.col("coverage") >= coverage)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that reach the coverage with no item; all columns kept."""
-    found = tile_matches(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that reach the coverage with no item; all columns kept, whatever their names.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables: as tile_matches judges them.
+    """
+    found = tile_matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text") == F.col("text_hash")), "left_anti").select("row.*")

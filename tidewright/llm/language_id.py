@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import small_batches
+from tidewright.llm.common import sliced
 
 UNKNOWN = "und"
+#: Languages that a model may have; more are an error, as labels then are no languages and the model has no bound.
+MOST_LANGUAGES = 1000
 #: Hashed n-grams: the model has one row of this many entries a language, whatever the corpus.
 TABLE = 1 << 15
 #: Texts are handled in runs of about so many bytes, which bounds memory.
@@ -72,14 +74,15 @@ def _runs(texts: list[bytes | None]):
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts n-grams of all rows with a language, in Spark; the model has TABLE numbers a language.
 
-    Null languages and null texts are left out. No rows at all: a model without languages.
+    Null languages and null texts are left out; empty texts, repeated rows and very long texts
+    count like any others. Columns besides the two are left out. No rows at all: a model without
+    languages. More than MOST_LANGUAGES distinct labels: an error.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("data"))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in _runs(texts):
                 for lang in set(langs[i:j]):
@@ -90,6 +93,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at, pa.int32()), "n": pa.array(c[at], pa.int64())})
 
+    n_langs = rows.select("lang").distinct().count()
+    if n_langs > MOST_LANGUAGES:
+        raise ValueError(f"{n_langs} distinct languages; the labels need cleaning")
     counts = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most TABLE rows a language
     langs = tuple(sorted(set(table.column("lang").to_pylist()) if table.num_rows else ()))
@@ -160,11 +166,13 @@ def identify(docs: DataFrame, model: Model, penalty: float = 4.0, id_col: str =
 
     lang_pred: the language of the largest proportion, ties to the earlier name; score: that
     proportion. Null text, no letter, or a model without languages: ``und`` and score 0. Whole
-    texts are used; a text of one word is judged by that word. keep: names of further columns of
-    docs to carry along, given as expressions free of the names above.
+    texts are used, very long ones in a run of their own; a text of one word is judged by that
+    word. Null and repeated ids and repeated rows: every row is judged by itself, equal texts
+    alike. Empty table: empty result. keep: names or expressions of further columns of docs to
+    carry along; their names have to differ from those above, so pack columns of unknown names
+    into a struct. Other columns are left out.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.langs, model.logp))  # TABLE numbers a language
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"), *keep)
     extra = [f for f in rows.schema if f.name not in ("doc_id", "data")]
@@ -186,7 +194,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 4.0, id_col: str =
 
     def run(batches):
         langs = sent.value[0]
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             for i, j in _runs(texts):
                 pi, known = judged(texts[i:j])

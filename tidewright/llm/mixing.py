@@ -4,8 +4,9 @@ Every document of a source is to be taken e = target / source size times: floor(
 are certain, and the rest is the inclusion odds of one further copy. Documents are ranked by
 random odds divided by inclusion odds, u/(1-u) : p/(1-p), and a source's documents are taken in
 that order up to the words that its certain copies leave open: a sample of fixed size, in words.
-A weight column makes p differ within a source. The number u is a digest of seed, id and text,
-so reruns agree.
+A weight makes p differ within a source: expected copies are in proportion to it, up to the limit
+of copies, and what lies above the limit is shared again among the others. The number u is a
+digest of seed, id and text, so reruns agree.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import stored
 
-#: Bins of a source's ranking: a source is never sorted as a whole, only the bin that its cut falls into.
-BINS = 4096
+#: Bins of a source's ranking, and of the bin that its cut falls into: a source is never sorted as a whole, only the inner bin of the cut.
+BINS = 256
 WORD = r"[^\x20\x09-\x0D]+"
+#: Binary digits that a weight counts with: the weights of a source are grouped by value, and this bounds the groups.
+DIGITS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -46,33 +49,65 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return per.select("source", "source_size", "n_rows", F.when(F.col("held"), F.col("limit")).otherwise(F.col("w") * free).alias("target"))
 
 
-def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: int) -> list[Column]:
+def root_of_size(text: Column) -> Column:
+    """1 + the whole square root of a text's words: longer texts are likelier, without crowding out short ones."""
+    return F.floor(F.sqrt(n_words(text).cast("double"))).cast("double") + 1.0
+
+
+def _weight(given: Column | None) -> Column:
+    """A weight to DIGITS binary digits; null, NaN or negative: 0."""
+    if given is None:
+        return F.lit(1.0)
+    w = given.cast("double")
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(w)) - (DIGITS - 1))
+    return F.when((w > 0) & (w < float("inf")), F.floor(w / unit) * unit).otherwise(0.0)
+
+
+def _drawn(id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int) -> list[Column]:
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), (F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_w"), u.alias("_u"), digest.alias("_d")]
+    return [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _weight(weight).alias("_w"), u.alias("_u"), digest.alias("_d")]
+
 
+def _rates(keys: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """(source, source_size, target, rate): expected copies are least(weight * rate, most), and their words add up to the target.
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+    In descending order of weight, documents are held at the limit as long as the rate that the
+    others would get puts them above it. Windows run over the distinct weights of a source.
+    """
+    per = keys.groupBy("source", "_w").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("source").orderBy(F.desc("_w"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source")
+    mass = F.col("_w") * F.col("words")
+    before = F.coalesce(F.sum("words").over(earlier), F.lit(0)) * F.lit(float(most))
+    rest = F.sum(mass).over(whole) - F.coalesce(F.sum(mass).over(earlier), F.lit(0.0))
+    t = targets.select(F.col("source").alias("s"), "source_size", "target")
+    level = per.select("source", "_w", before.alias("before"), rest.alias("rest")).join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    level = level.withColumn("level", F.try_divide(F.col("target") - F.col("before"), F.col("rest")))
+    free = F.max(F.when(F.col("_w") * F.col("level") <= most, F.struct("_w", "level")))["level"]
+    # no weight is free: all that weigh anything are at the limit
+    return level.groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.coalesce(free, F.lit(float("inf"))).alias("rate"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, row struct), one row for each row of docs.
 
     copies: how often the mix takes the document, 0 to ceil(most); taken = copies * size. row
     holds all columns of docs, so clashing names are no trouble. Null text: size 0. Null source:
     a source of its own, last. Repeated rows are drawn alike and rank side by side; both or one
-    may be taken. A null or negative weight counts as 0. Documents of size 0 are taken with
-    their certain copies and by rank like all others. Empty table: empty result.
+    may be taken. Documents of size 0 are taken with their certain copies and by rank like all
+    others. weight: an expression over docs, None for even odds; null, NaN or negative counts as
+    0, and a document of weight 0 is never taken. Very long texts are single documents like any
+    other. Empty table: empty result.
     """
     spark = docs.sparkSession
-    drawn = docs.select(*_drawn(docs, id_col, text_col, source_col, weight_col, seed), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    drawn = docs.select(*_drawn(id_col, text_col, source_col, weight, seed), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     # sizes and draws alone are kept: a few dozen bytes a document, so that texts are read twice but never shuffled
     keys = stored(drawn.select("_id", "source", "size", "_w", "_u", "_d"), "draws")
     targets = source_targets(keys, weights, share, most)
-    # with weights, a document's expected copies are its share of the target, by weight
-    mass = keys.groupBy("source").agg(F.sum(F.col("_w") * F.col("size")).alias("mass"))
-    plan = stored(
-        targets.alias("t").join(mass.alias("m"), F.expr("t.source <=> m.source")).select("t.source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("mass")), F.lit(0.0)).alias("rate")),
-        "plan",
-    )
-    e = F.least(F.col("_w") * F.col("rate"), F.lit(float(most)))
+    plan = stored(_rates(keys, targets, most), "plan")
+    e = F.when(F.col("_w") > 0, F.least(F.col("_w") * F.col("rate"), F.lit(float(most)))).otherwise(0.0)
     p = e - F.floor(e)
     odds = F.col("_u") / (1 - F.col("_u"))
     ranked = [
@@ -84,21 +119,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     def placed(df: DataFrame) -> DataFrame:
         small = plan.select(F.col("source").alias("s"), "source_size", "target", "rate")
         df = df.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        return df.select("*", *ranked).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
+        return df.select("*", *ranked).withColumn("inner", F.floor(F.col("q") / (1 + F.col("q")) * (BINS * BINS)).cast("int"))
 
     at = placed(keys)
     open_words = at.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("open"))
-    bins = at.where("q is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("upto", F.sum("words").over(upto))
-    cut_bin = (
-        bins.alias("b").join(open_words.alias("o"), F.expr("b.source <=> o.source")).where("upto > open")
-        .groupBy("b.source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "open")).alias("c"))
-        .select("source", "c.bin", "c.before", "c.open")
-    )
-    cut_bin = stored(cut_bin, "bins")
+
+    def cut_of(rows: DataFrame, start: DataFrame) -> DataFrame:
+        """(source, bin, before, open): the bin in which the words reach what is open; start: (source, before, open)."""
+        bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
+        found = bins.alias("b").join(start.alias("o"), F.expr("b.source <=> o.source")).select("b.source", "bin", (F.col("upto") + F.col("before")).alias("upto"), "words", "open").where("upto > open")
+        return found.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "open")).alias("c")).select("source", "c.bin", "c.before", "c.open")
+
+    ranked_rows = at.where("q is not null")
+    outer = stored(cut_of(ranked_rows.select("source", "size", F.floor(F.col("inner") / BINS).cast("int").alias("bin")), open_words.select("source", F.lit(0).cast("long").alias("before"), "open")), "bins")
+    within = ranked_rows.alias("a").join(outer.alias("c"), F.expr(f"a.source <=> c.source AND floor(a.inner / {BINS}) = c.bin")).select("a.source", "a.size", F.col("a.inner").alias("bin"))
+    cut_bin = stored(cut_of(within, outer.select("source", "before", "open")), "bins")
     # only the bin of the cut is ranked document by document
-    inside = at.alias("a").join(cut_bin.alias("c"), F.expr("a.source <=> c.source AND a.bin = c.bin")).select("a.source", "a.size", "a.q", "a._id", "a._d", "c.before", "c.open", "c.bin")
+    inside = at.alias("a").join(cut_bin.alias("c"), F.expr("a.source <=> c.source AND a.inner = c.bin")).select("a.source", "a.size", "a.q", "a._id", "a._d", "c.before", "c.open", "c.bin")
     running = Window.partitionBy("source").orderBy("q", F.col("_id").asc_nulls_first(), "_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(running))
     # the document that the cut falls into is taken if that comes nearer to the target
@@ -110,6 +148,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     full = placed(drawn)
     full = full.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left")
     key = F.struct("q", "_id", "_d")
-    extra = F.when(F.col("q").isNull(), False).when(F.col("cut").isNull() | (F.col("bin") < F.col("cut")), True).when(F.col("bin") > F.col("cut"), False).otherwise(F.coalesce(key <= F.col("last"), F.lit(False)))
+    extra = F.when(F.col("q").isNull(), False).when(F.col("cut").isNull() | (F.col("inner") < F.col("cut")), True).when(F.col("inner") > F.col("cut"), False).otherwise(F.coalesce(key <= F.col("last"), F.lit(False)))
     copies = F.col("whole") + extra.cast("int")
     return full.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")

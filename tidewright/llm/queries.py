@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+import corpus_pipeline  # counted as part of this package
 from tidewright.llm import chat_format, decontaminate, language_id, mixing, simhash, suffix_dedup, token_count, token_shards, topk, url_filter
 
 #: Rules of the URL query: verdict, host, path.
@@ -40,14 +40,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    # a null id has no remainder: such rows are held out
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     model = language_id.train(docs.where(~held))
-    found = language_id.identify(docs, model)
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf_dir, "documents"), weight=mixing.root_of_size(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ _OP5 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
     md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS dg FROM documents),
-u AS (SELECT *, (CAST(CAST(('0x' || substr(dg, 1, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM d),
+u AS (SELECT *, floor(sqrt(CAST(size AS DOUBLE))) + 1 AS w, (CAST(CAST(('0x' || substr(dg, 1, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM d),
 per AS (
   SELECT source, sum(size)::DOUBLE AS ss, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
   FROM d GROUP BY source),
@@ -120,8 +120,15 @@ lv AS (
       / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ss * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM per),
 tg AS (
   SELECT source, ss, CASE WHEN cap / w <= level THEN cap ELSE w * (SELECT min_by(level, cap / w) FROM lv WHERE cap / w > level) END AS target FROM lv),
+ws AS (SELECT source, w, sum(size) AS words FROM u GROUP BY source, w),
+wl AS (
+  SELECT ws.source, w, ss, target,
+    (target - coalesce(sum(words) OVER (PARTITION BY ws.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
+      / nullif(sum(w * words) OVER (PARTITION BY ws.source) - coalesce(sum(w * words) OVER (PARTITION BY ws.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS level
+  FROM ws JOIN tg ON ws.source IS NOT DISTINCT FROM tg.source),
+rt AS (SELECT source, max(ss) AS ss, max(target) AS target, coalesce(max_by(level, w) FILTER (WHERE w * level <= 2), 'inf'::DOUBLE) AS rate FROM wl GROUP BY source),
 e AS (
-  SELECT u.*, CAST(ss AS BIGINT) AS source_size, target, least(target / ss, 2.0::DOUBLE) AS e FROM u JOIN tg ON u.source IS NOT DISTINCT FROM tg.source),
+  SELECT u.*, CAST(ss AS BIGINT) AS source_size, target, least(w * rate, 2.0::DOUBLE) AS e FROM u JOIN rt ON u.source IS NOT DISTINCT FROM rt.source),
 q AS (
   SELECT *, floor(e)::BIGINT AS whole, CASE WHEN e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q FROM e),
 o AS (SELECT source, max(target) - sum(whole * size) AS open FROM q GROUP BY source),

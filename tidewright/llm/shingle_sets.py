@@ -1,13 +1,14 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
+"""The exact half of op6 for a similarity: Jaccard of word shingles, for pairs that few fingerprint bits don't reach.
 
 Texts are sets of 64-bit shingle hashes. All sets are sorted by one order (shingles that a sample
 finds in many texts last, else by hash); two sets of n <= m members whose similarity reaches s
 share a member among the first n - ceil(s n) + 1 of the one and m - ceil(s m) + 1 of the other,
-and n >= s m. So an equality join on these prefixes loses no pair, whatever the sample. Members
-of a key are paired within such lengths; a key with many first pairs a few of them with all, and
-then only those that the verified links don't connect. Each set has a bitmap of parities of its
-members' low bits: two bitmaps differ in no more bits than the sets differ in members, which rules
-out most pairs without loss. Every other pair is verified on whole sets.
+and n >= s m. So an equality join on these prefixes loses no pair, whatever the sample. Sets that
+links found before connect are not paired again. Each set has a bitmap of parities of its members'
+low bits: two bitmaps differ in no more bits than the sets differ in members, which rules out most
+pairs without loss. The members of a key with many are compared by their bitmaps in blocks, and
+only pairs that may reach the similarity leave a task: first each set's nearest of another
+component, then, with the components that this gives, all. Every pair is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, id_and_bytes, small_batches, stored
-from tidewright.llm.simhash import SEED, named, one_of_each
+from tidewright.llm.common import components, id_and_bytes, sliced, stored
 
-#: Members of a key that are paired with each other at once; of more, PIVOTS are paired with all first.
-DIRECT, PIVOTS = 64, 8
+#: Members of a key that are paired with each other at once; keys of more go through again, BLOCK members against BLOCK.
+DIRECT, BLOCK = 16, 4096
 #: Prefix members that a task sorts at once.
 PER_TASK = 1_000_000
 #: Texts that are sampled for frequent shingles, shingles held, and texts of the sample that make one frequent.
 SAMPLE, HEAVY, FREQUENT = 20_000, 200_000, 2
 #: Most bits of a bitmap; a set has about a bit a member.
 MOST_BITS = 1 << 16
-_ENTRY = np.dtype([("key", "<u8"), ("fp", "<u8"), ("n", "<i8")])
+#: Members of a key in one row of what goes through again.
+RUN = 1 << 15
+_ENTRY = np.dtype([("key", "<u8"), ("fp", "<u8"), ("root", "<u8"), ("n", "<u4")])
+SEED = 42
 
 
 def shingle_set(data: bytes | None, words: int = 5) -> np.ndarray:
@@ -46,6 +49,15 @@ def shingle_set(data: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(text[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist() or [len(text)], strict=False)], np.uint64))
 
 
+def majority(hashes: list[np.ndarray]) -> int:
+    """The 64 bits that over half of all hashes have."""
+    bits, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        bits += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(bits * 2 > n, bitorder="little").tobytes(), "little")
+
+
 def _name(members: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(members.tobytes(), SEED)
 
@@ -72,7 +84,7 @@ def frequent(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     sample = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(share)) == 0)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(d, words) for d in b.column(1).to_pylist()]
             h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
@@ -85,8 +97,7 @@ def frequent(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
 
 
 def prefixes(docs: DataFrame, similarity: Fraction, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, n, prefix, bits): fp names the set (equal sets have equal names)."""
-    small_batches(docs.sparkSession)
+    """(doc_id, fp long, n, prefix, bits, print long): fp names the set (equal sets have equal names), print is its SimHash."""
     heavy, counts = frequent(docs, words, id_col, text_col)
 
     def prefix(members: np.ndarray) -> bytes:
@@ -99,25 +110,27 @@ def prefixes(docs: DataFrame, similarity: Fraction, words: int, id_col: str = "d
         return members[np.lexsort((members, rank))[:first]].tobytes()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(d, words) for d in b.column(1).to_pylist()]
+            prints = np.array([majority([x]) for x in found], np.uint64)
             names = np.array([_name(x) for x in found], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names.view(np.int64)), pa.array([len(x) for x in found], pa.int64()), pa.array([prefix(x) for x in found], pa.binary()), pa.array([parities(x) for x in found], pa.binary())], ["doc_id", "fp", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names.view(np.int64)), pa.array([len(x) for x in found], pa.int64()), pa.array([prefix(x) for x in found], pa.binary()), pa.array([parities(x) for x in found], pa.binary()), pa.array(prints.view(np.int64))], ["doc_id", "fp", "n", "prefix", "bits", "print"])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, n long, prefix binary, bits binary")
+    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, n long, prefix binary, bits binary, print long")
 
 
 def _near_lengths(n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: Fraction) -> np.ndarray:
     return np.minimum(n[a], n[b]) * similarity.denominator >= np.maximum(n[a], n[b]) * similarity.numerator
 
 
-def _pairs(n: np.ndarray, left: np.ndarray, similarity: Fraction, labels: np.ndarray | None = None):
-    """Arrays of positions (a, b): rows by run and n, left = members after a row in its run; those of equal label are left out."""
+def _pairs(n: np.ndarray, left: np.ndarray, similarity: Fraction, roots: np.ndarray):
+    """Arrays of positions (a, b): rows by run and n, left = members after a row in its run; those of equal root are left out."""
     idx, d = np.flatnonzero(left > 0), 1
     while len(idx):
         near = _near_lengths(n, idx, idx + d, similarity)
         a = idx[near]
-        yield (a, a + d) if labels is None else (a[labels[a] != labels[a + d]], a[labels[a] != labels[a + d]] + d)
+        a = a[roots[a] != roots[a + d]]
+        yield a, a + d
         d += 1
         idx = idx[near & (left[idx] >= d)]  # lengths rise within a run
 
@@ -135,7 +148,10 @@ def _distinct_pairs(fps: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b, run): pairs of names that share a prefix member; for keys of many members, their packed members to go through again."""
+    """(a, b, run): pairs of names of different roots that share a prefix member; for keys of many members, their packed members to go through again.
+
+    sets: one row a name: (fp, n, prefix, root).
+    """
     entries = sets.select(F.coalesce(F.sum(F.length("prefix")), F.lit(0)).alias("n")).first()["n"] // 8
     parts = np.uint64(entries // PER_TASK + 1)
 
@@ -144,7 +160,10 @@ def candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
             keys = [np.frombuffer(x, np.uint64) for x in b.column("prefix").to_pylist()]
             size = [len(k) for k in keys]
             e = np.empty(sum(size), _ENTRY)
-            e["key"], e["fp"], e["n"] = np.concatenate([np.empty(0, np.uint64), *keys]), np.repeat(np.asarray(b.column("fp")).view(np.uint64), size), np.repeat(np.asarray(b.column("n")), size)
+            e["key"] = np.concatenate([np.empty(0, np.uint64), *keys])
+            for c in ("fp", "root"):
+                e[c] = np.repeat(np.asarray(b.column(c)).view(np.uint64), size)
+            e["n"] = np.repeat(np.asarray(b.column("n")), size)
             part = (e["key"] >> np.uint64(32)) % parts
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=parts))
@@ -153,48 +172,88 @@ def candidates(sets: DataFrame, similarity: Fraction) -> DataFrame:
 
     def join(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table.column("e").to_pylist()), _ENTRY)
+        order = np.argsort(e["key"], kind="stable")
+        same = np.diff(e["key"][order]) == 0
+        e = e[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]  # most members are one set's alone
         e = e[np.lexsort((e["fp"], e["n"], e["key"]))]
-        e = e[np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["fp"][1:] != e["fp"][:-1])])]
         cuts = np.flatnonzero(np.diff(e["key"], prepend=~e["key"][:1]))
         length = np.diff(np.append(cuts, len(e)))
         left = np.repeat(cuts + length, length) - np.arange(len(e)) - 1
         large = np.repeat(length > DIRECT, length)
+        n, root = e["n"].astype(np.int64), e["root"]
+        open_runs = [(i, m) for i, m in zip(cuts[length > DIRECT].tolist(), length[length > DIRECT].tolist(), strict=True) if (root[i : i + m] != root[i]).any()]
 
-        def pivots():
-            for i, m in zip(cuts[length > DIRECT].tolist(), length[length > DIRECT].tolist(), strict=True):
-                for p in np.linspace(i, i + m - 1, PIVOTS).astype(np.int64):
-                    b = np.arange(i, i + m)
-                    b = b[b != p]
-                    b = b[_near_lengths(e["n"], np.full(len(b), p), b, similarity)]
-                    yield np.full(len(b), p), b
-
-        small = _pairs(e["n"], np.where(large, 0, left), similarity)
-        a, b = _distinct_pairs(e["fp"], (x for found in (small, pivots()) for x in found))
-        runs = [e[i : i + m].tobytes() for i, m in zip(cuts[length > DIRECT].tolist(), length[length > DIRECT].tolist(), strict=True)]
+        a, b = _distinct_pairs(e["fp"], _pairs(n, np.where(large, 0, left), similarity, root))
+        runs = [e[k : min(k + RUN, i + m)].tobytes() for i, m in open_runs for k in range(i, i + m, RUN)]
         return pa.table({"a": pa.array([*a, *[None] * len(runs)], pa.int64()), "b": pa.array([*b, *[None] * len(runs)], pa.int64()), "run": pa.array([*[None] * len(a), *runs], pa.binary())})
 
-    return sets.where("n > 0").select("fp", "n", "prefix").mapInArrow(deal, "part long, e binary").groupBy("part").applyInArrow(join, "a long, b long, run binary")
-
-
-def open_pairs(runs: DataFrame, roots: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b) of the keys of many members (column run) between the components (node, root) found so far."""
+    return sets.where("n > 0").select("fp", "root", "n", "prefix").mapInArrow(deal, "part long, e binary").groupBy("part").applyInArrow(join, "a long, b long, run binary")
+
+
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps as rows of size bytes; the XOR of the halves of a bitmap is that of half the size."""
+    rows = [np.frombuffer(x, np.uint8) for x in bits]
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in rows]).view(np.uint64)
+
+
+def _compare(table: pa.Table, similarity: Fraction, nearest: bool) -> pa.Table:
+    """Pairs (a, b) of one key and pair of blocks whose bitmaps don't rule them out; nearest: one for each set."""
+    fp, n, root = (np.asarray(table.column(c)) for c in ("fp", "n", "root"))
+    own, bits = np.asarray(table.column("own")), table.column("bits").to_pylist()
+    other = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    size = np.array([len(x) for x in bits])
+    out_a, out_b = [], []
+    for s in np.unique(size):
+        mine = np.flatnonzero(size == s)
+        # lengths of a pair differ by a quarter at most, so their bitmaps by one step of size
+        for t, yours in ((t, np.flatnonzero(size == t)) for t in (s // 2, s, 2 * s)):
+            if not len(yours):
+                continue
+            x, y = _folded([bits[i] for i in mine], min(s, t)), _folded([bits[i] for i in yours], min(s, t))
+            for lo in range(0, len(mine), 128):
+                at = mine[lo : lo + 128]
+                apart = np.zeros((len(at), len(yours)), np.int64)
+                for k in range(x.shape[1]):
+                    apart += np.bitwise_count(x[lo : lo + 128, k, None] ^ y[None, :, k])
+                both = n[at][:, None] + n[yours]
+                may = (root[at][:, None] != root[yours]) & ((both - apart) * similarity.denominator >= (both + apart) * similarity.numerator)
+                may &= _near_lengths(n, at[:, None], yours[None, :], similarity)
+                if other:
+                    may &= own[at][:, None] != own[yours]
+                if nearest:
+                    best = np.where(may, apart, np.iinfo(np.int64).max).argmin(axis=1)
+                    some = may[np.arange(len(at)), best]
+                    found = at[some], yours[best[some]]
+                else:
+                    may &= fp[at][:, None] < fp[yours]
+                    i, j = np.nonzero(may)
+                    found = at[i], yours[j]
+                out_a.append(np.minimum(fp[found[0]], fp[found[1]]))
+                out_b.append(np.maximum(fp[found[0]], fp[found[1]]))
+    empty = np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])], axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def open_pairs(runs: DataFrame, roots: DataFrame, least: DataFrame, similarity: Fraction, nearest: bool) -> DataFrame:
+    """(a, b) of the keys of many members (column run) between the components (node, root) found so far.
+
+    A key's members are cut into blocks, and a task compares two blocks, so no task grows with a key.
+    """
 
     def unpack(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
                 e = np.frombuffer(x, _ENTRY)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in ("key", "fp", "n")], ["key", "fp", "n"])
-
-    def join(table: pa.Table) -> pa.Table:
-        fps, n, root = (np.array(table.column(c), np.int64) for c in ("fp", "n", "root"))
-        order = np.lexsort((fps, n))
-        fps, n, root = fps[order].view(np.uint64), n[order], root[order]
-        left = np.arange(len(n))[::-1] if (root != root[0]).any() else np.zeros(len(n), np.int64)
-        a, b = _distinct_pairs(fps, _pairs(n, left, similarity, root))
-        return pa.table({"a": a, "b": b})
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[c]).view(np.int64)) for c in ("key", "fp")], ["key", "fp"])
 
-    members = runs.select("run").mapInArrow(unpack, "key long, fp long, n long").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return members.select("key", "fp", "n", F.coalesce("root", "fp").alias("root")).groupBy("key").applyInArrow(join, "a long, b long").distinct()
+    members = runs.select("run").mapInArrow(unpack, "key long, fp long").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    per = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    placed = members.join(per, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    dealt = placed.join(least.select("fp", "n", "bits"), "fp").select("key", "fp", "n", "root", "bits", "own", F.explode(each).alias("o"))
+    dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "fp", "n", "root", "bits")
+    return dealt.groupBy("key", "i", "j").applyInArrow(lambda t: _compare(t, similarity, nearest), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, similarity: Fraction, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +271,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, similarity: Fr
     texts = docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("_wanted")), "left_semi")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [shingle_set(d, words) for d in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_name(x) for x in found], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in found], pa.binary())], ["fp", "members"])
 
@@ -230,27 +289,20 @@ def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, similarity: Fr
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over pairs of that similarity or more.
+def completed(links: DataFrame, docs: DataFrame, least: DataFrame, similarity: Fraction, words: int, id_col: str, text_col: str) -> DataFrame:
+    """links and what the join on prefixes adds: all components of pairs of that similarity.
 
-    One row for each row of docs. Fewer words than a shingle: the whole sequence is the only
-    shingle; texts of no word (null, empty or blank) are alike. Null ids take part but don't name
-    a component unless all of its ids are null. Repeated rows share a component. Empty table:
-    empty result. Shingles and sets of equal 64-bit hash count as equal.
+    least: (fp, least, n, prefix, bits), a row a set.
     """
-    s = Fraction(str(similarity))
-    sets = stored(prefixes(docs, s, words, id_col, text_col), "prefixes")
-    least = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits")), "least")
-    found = stored(candidates(sets, s), "candidates")
+    roots = components(links).withColumnRenamed("node", "fp")
+    sets = least.join(roots, "fp", "left").select("fp", "n", "prefix", F.coalesce("root", "fp").alias("root"))
+    found = stored(candidates(sets, similarity), "candidates")
     pairs = stored(found.where("run IS NULL").select("a", "b").distinct(), "pairs")
-    links = stored(verified(pairs, docs, least, s, words, id_col, text_col), "links")
+    links = stored(links.unionByName(verified(pairs, docs, least, similarity, words, id_col, text_col)), "links")
     runs = found.where("run IS NOT NULL")
     if not runs.isEmpty():
-        more = stored(open_pairs(runs, components(links), s).join(pairs, ["a", "b"], "left_anti"), "more")
-        links = links.unionByName(stored(verified(more, docs, least, s, words, id_col, text_col), "links"))
-    return named(sets.select("doc_id", "fp"), least, links)
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row of the smallest doc_id of each component, all columns kept."""
-    return one_of_each(docs, near_duplicates(docs, **options))
+        for nearest in (True, False):
+            more = stored(open_pairs(runs, components(links), least, similarity, nearest).join(pairs, ["a", "b"], "left_anti"), "more")
+            links = stored(links.unionByName(verified(more, docs, least, similarity, words, id_col, text_col)), "links")
+            pairs = pairs.unionByName(more)
+    return links

@@ -6,24 +6,32 @@ each of its one-wildcard variants (64 in all), some key is equal. Distinct finge
 are indexed; members of a key are verified on all 64 bits, and a key yields links that span its
 linked members, never all pairs. A key with many members is split again by the same rule over
 the bits that it leaves open.
+
+With a similarity, links are verified on the shingle sets themselves. Few bits reach only part of
+the pairs of a Jaccard similarity of 0.8 (about 10 of 64 bits differ on average), and segments
+short enough for all of them would put unlike texts under one key; so pairs that the signatures
+don't connect are found by the exact join of ``shingle_sets``.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, id_and_bytes, small_batches, stored
+from tidewright.llm import shingle_sets
+from tidewright.llm.common import components, id_and_bytes, sliced, stored
 
 BITS = 64
 #: Members of a key that are compared with each other directly; more are split by further variants.
 DIRECT = 1024
 #: Fingerprints a task sorts at once.
 PER_TASK = 200_000
-SEED = 42
+SEED = shingle_sets.SEED
 
 
 def fingerprint(data: bytes | None, words: int = 4) -> int:
@@ -36,20 +44,15 @@ def fingerprint(data: bytes | None, words: int = 4) -> int:
     starts = (np.concatenate([[0], ends[:-1] + 1])).tolist()
     ends = ends[words - 1 :].tolist() or [len(text)]
     digest = xxhash.xxh64_intdigest
-    bits = np.zeros(BITS, np.int64)
-    n = len(ends)
-    for lo in range(0, n, 1 << 16):
-        h = np.array([digest(text[s:e], SEED) for s, e in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=False)], "<u8")
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > n, bitorder="little").tobytes(), "little")
+    parts = (slice(lo, lo + (1 << 16)) for lo in range(0, len(ends), 1 << 16))
+    return shingle_sets.majority(np.array([digest(text[s:e], SEED) for s, e in zip(starts[p], ends[p], strict=False)], "<u8") for p in parts)
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): the 64 bits as a signed long; null or empty text: 0."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(d, words) for d in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -136,19 +139,38 @@ def links(distinct: DataFrame, limit: int = 4) -> DataFrame:
     return distinct.select("fp").mapInArrow(deal, "v int, part long, fps binary").groupBy("v", "part").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links.
 
-    One row for each row of docs. Fewer words than a shingle: the whole sequence is the only
-    shingle; no word (null, empty or blank text): fingerprint 0, linked like any other. Null ids
-    take part but don't name a component unless all of its ids are null. Repeated rows share a
-    component. Empty table: empty result.
+    One row for each row of docs. similarity None: links are fingerprints that differ in at most
+    limit bits, and fp is the fingerprint. With a similarity: links are texts whose sets of
+    shingles have that Jaccard similarity or more, all of them, and fp names the set. Fewer words
+    than a shingle: the whole sequence is the only shingle; no word (null, empty or blank text):
+    fingerprint 0, linked like any other, and with a similarity alike. Very long texts are hashed
+    whole. Null ids take part but don't name a component unless all of its ids are null. Repeated
+    rows share a component. Empty table: empty result. Other columns are left out, so names can't
+    clash. Shingles and sets of equal 64-bit hash count as equal.
     """
+    if similarity is not None:
+        return _similar(docs, words, limit, Fraction(str(similarity)), id_col, text_col)
     prints = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     return named(prints, distinct, stored(links(distinct, limit), "links"))
 
 
+def _similar(docs: DataFrame, words: int, limit: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
+    sets = stored(shingle_sets.prefixes(docs, similarity, words, id_col, text_col), "prefixes")
+    least = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "print")]), "least")
+    # a fingerprint stands for one of its sets; others of the same fingerprint are paired with that one
+    stars = stored(least.where("n > 0").groupBy("print").agg(F.min("fp").alias("star")), "stars")
+    near = links(stars.select(F.col("print").alias("fp")), limit)
+    ends = [stars.select(F.col("print").alias(c), F.col("star").alias(f"star_{c}")) for c in "ab"]
+    between = near.join(ends[0], "a").join(ends[1], "b").select(F.least("star_a", "star_b").alias("a"), F.greatest("star_a", "star_b").alias("b"))
+    within = least.where("n > 0").select("fp", "print").join(stars, "print").where("fp <> star").select(F.least("fp", "star").alias("a"), F.greatest("fp", "star").alias("b"))
+    found = stored(shingle_sets.verified(stored(between.unionByName(within).distinct(), "pairs"), docs, least, similarity, words, id_col, text_col), "links")
+    return named(sets.select("doc_id", "fp"), least.select("fp", "least"), shingle_sets.completed(found, docs, least, similarity, words, id_col, text_col))
+
+
 def named(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) from prints (doc_id, fp), distinct (fp, least doc_id) and edges (a, b) between fps."""
     roots = components(edges)
@@ -166,16 +188,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return one_of_each(docs, near_duplicates(docs, **options))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """keep_one, from what near_duplicates returns."""
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """keep_one, from what near_duplicates returns; columns travel in a struct, so their names can't clash."""
+    stay = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
     # repeated ids alone go through a choice; ids that occur once pass untouched
-    repeated = stored(kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
-    if repeated.isEmpty():
-        return kept
-    same = docs["doc_id"].eqNullSafe(F.col("_again"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    again = stored(kept.groupBy("id").count().where("count > 1").select(F.col("id").alias("again")), "again")
+    if again.isEmpty():
+        return kept.select("row.*")
+    same = F.col("id").eqNullSafe(F.col("again"))
+    once = kept.join(again, same, "left_anti").select("row")
+    return once.unionByName(kept.join(again, same, "left_semi").groupBy("id").agg(F.first("row").alias("row")).select("row")).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

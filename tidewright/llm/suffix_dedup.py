@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import id_and_bytes, scratch, small_batches, stored
+from tidewright.llm.common import id_and_bytes, opened, scratch, stored
 
 #: A perfect difference set modulo 133 (every residue is a difference of two members).
 PERIOD = 133
@@ -194,7 +194,7 @@ class _Block:
 
 def _bits_of(path: str, part: int) -> dict[int, dict[int, bytes]]:
     """block -> bucket -> bits, for the blocks that one packing task wrote; reads that folder alone."""
-    fs, root = pafs.FileSystem.from_uri(f"{path}/part={part}")
+    fs, root = opened(f"{path}/part={part}")
     if fs.get_file_info(root).type == pafs.FileType.NotFound:
         return {}
     found: dict[int, dict[int, bytes]] = {}
@@ -255,7 +255,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
     gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     packed = stored(id_and_bytes(docs).mapInArrow(lambda it: _pack(it, block_bytes), _PACKED), "packed")
     total = packed.agg(F.sum("size")).first()[0] or 0
     v, cover = difference_cover(length)

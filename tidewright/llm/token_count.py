@@ -6,58 +6,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import id_and_bytes, small_batches
-from tidewright.llm.tokens import by_bytes, encode, parts, words_of
-
-def _counter(path: str):
-    """texts -> lengths. Byte-level BPE texts whose white space is single blanks and line feeds are
-    counted by word, each word with the blank before it, as no token spans such a cut; all other
-    texts, and other kinds of tokenizer, go to the library in parts or as they are."""
-    byte_level = path.endswith(".json") and "byte_bpe" in path.rsplit("/", 1)[-1]
-    words = words_of("count", path, len, int.__add__) if byte_level else None
-
-    def count(texts: list[str]) -> list[int]:
-        if not byte_level:
-            return [len(x) for x in encode(path, texts)]
-        split, rest, wanted = {}, {}, set()
-        for i, t in enumerate(texts):
-            lines = t.split("\n")
-            plain = [w for line in lines for w in line.split(" ")] if len(lines) > 1 else t.split(" ")
-            if plain != t.split():
-                rest[i] = parts(t)
-                continue
-            rows = [line.split(" ") for line in lines]
-            first, later = [r[0] for r in rows], [" " + w for r in rows for w in r[1:]]
-            split[i] = (first, later, len(lines) - 1)
-            wanted.update(first, later)
-        if any(x[2] for x in split.values()):
-            wanted.add("\n")
-        known = words.get(wanted)
-        out = [0] * len(texts)
-        for i, (first, later, feeds) in split.items():
-            out[i] = sum(map(known.__getitem__, first)) + sum(map(known.__getitem__, later)) + (feeds * known["\n"] if feeds else 0)
-        flat = [p for x in rest.values() for p in x]
-        lengths = iter([len(x) for x in encode(path, flat)] if flat else [])
-        for i, x in rest.items():
-            out[i] = sum(next(lengths) for _ in x)
-        return out
-
-    return count
+from tidewright.llm import tokens
+from tidewright.llm.common import id_and_bytes, sliced
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of docs.
 
-    Whole texts, no truncation; null text: empty, 0 tokens. Ids may be null or repeated. path: a
+    Texts go to the library's batch encoder, a few MB at a time; long ones are cut at boundaries
+    that no token spans, so their parts may lie in several batches and no batch is larger than
+    others. Where the tokenizer's settings prove no boundary safe, texts stay whole. Null text:
+    empty, 0 tokens. Null and repeated ids, and repeated rows: every row is counted by itself.
+    Empty table: empty result. Other columns of docs are left out, so names can't clash. path: a
     tokenizer file that every executor has.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        count = _counter(path)
-        for b in batches:
-            raw = [d or b"" for d in b.column(1).to_pylist()]
-            n = [c for i, j in by_bytes(raw) for c in count([d.decode("utf-8", "replace") for d in raw[i:j]])]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array([len(d) for d in raw], pa.int64()), "n_tokens": pa.array(n, pa.int64())})
+        for b in sliced(batches):
+            raw = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array([len(d or b"") for d in raw], pa.int64()), "n_tokens": pa.array(tokens.lengths(path, raw), pa.int64())})
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

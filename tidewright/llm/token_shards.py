@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import id_and_bytes, scratch, small_batches, stored
-from tidewright.llm.tokens import by_bytes, load, words_of
+from tidewright.llm import tokens
+from tidewright.llm.common import id_and_bytes, opened, scratch, sliced, stored
 
 MAGIC = b"TWSST001"
 _ENTRY, _INDEX, _FOOTER = struct.Struct("<BBI"), struct.Struct("<13sQI"), struct.Struct("<QQQQQQB8s")
@@ -143,24 +143,22 @@ class Shard:
         return found
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
-
-
 def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts and writes shards; returns the manifest (shard, file, n_docs, n_tokens, first_id, last_id).
 
-    Null text: only end_id. Null ids come first. Repeated ids are all kept, in an order that
-    follows from their texts. The range of a shard is over (id, digest of the text), so rows of
-    one id may spread over several shards and none grows with a hot id. A task writes to a name
-    of its own, and only files that the manifest names count, so a task that is lost or run
-    twice leaves nothing wrong. Empty table: an empty manifest. folder: a URI in a store that
-    executors share; default: the session's shared folder.
+    path: a tokenizer file of any kind that ``tokens`` loads, on every executor. Ids are those of
+    the library for whole texts, then end_id. Null text: only end_id. Null ids come first.
+    Repeated ids and repeated rows are all kept, in an order that follows from their texts. The
+    range of a shard is over (id, digest of the text), so rows of one id may spread over several
+    shards and none grows with a hot id. A task writes to a name of its own, and only files that
+    the manifest names count, so a task that is lost or run twice leaves nothing wrong. Empty
+    table: an empty manifest. Other columns of docs are left out, so names can't clash. folder: a
+    URI in a store that executors share and that pyarrow opens (file, hdfs, s3, gs; s3a is taken
+    for s3); default: the session's shared folder.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or scratch(spark, "shards")
-    fs, at = _open(folder)
+    fs, at = opened(folder)
     fs.create_dir(at, recursive=True)
     rows = id_and_bytes(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -169,28 +167,22 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
 
     def run(batches):
         shard = TaskContext.get().partitionId()
-        width = 2 if max(load(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        width = 2 if max(tokens.vocab_size(path), end_id + 1) <= 1 << 16 else 4
         kind = f"<u{width}"
-        words = words_of(kind, path, lambda ids: np.array(ids, kind).tobytes(), bytes.__add__)
         end = np.array([end_id], kind).tobytes()
-        fs, root = _open(folder)
+        fs, root = opened(folder)
         name = f"{root}/{shard:06d}-{uuid.uuid4().hex}.sst"
         writer = again = None
         first = last = None
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            raw = b.column(1).to_pylist()
-            for lo, hi in by_bytes(raw):
-                texts = [(d or b"").decode("utf-8", "replace").replace("\n", " ").split(" ") for d in raw[lo:hi]]
-                known = words.get({w for t in texts for w in t})
-                for doc_id, t in zip(ids[lo:hi], texts, strict=True):
-                    if writer is None:
-                        out = fs.open_output_stream(name)
-                        writer, first, again = Writer(out, width), doc_id, 0
-                    else:
-                        again = again + 1 if doc_id == last else 0
-                    last = doc_id
-                    writer.add(key_of(doc_id, again), b"".join(map(known.__getitem__, t)) + end)
+        for b in sliced(batches):
+            for doc_id, value in zip(b.column(0).to_pylist(), tokens.ids(path, b.column(1).to_pylist(), kind), strict=True):
+                if writer is None:
+                    out = fs.open_output_stream(name)
+                    writer, again = Writer(out, width), 0
+                else:
+                    again = again + 1 if doc_id == last else 0
+                first, last = doc_id if first is None else first, doc_id
+                writer.add(key_of(doc_id, again), value + end)
         if writer is not None:
             writer.close()
             out.close()
@@ -212,7 +204,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                shard = Shard(*_open(file))
+                shard = Shard(*opened(file))
                 for i in range(len(shard.index)):
                     rows = [(id_of(k), shard.ids(v).astype("<u4")) for k, v in shard.block(i)]
                     lens = np.array([len(v) for _, v in rows], np.int64)
@@ -226,14 +218,22 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def find(manifest: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, tokens binary): rows of the wanted ids, each looked up in the shards whose range holds it.
 
-    Wanted ids are dealt to shards by range; a task opens a shard once for its ids, and the
-    filter spares blocks of ids that are missing. Null ids find nothing; repeats are asked once.
+    The span of all ids is cut into about as many even cells as there are shards; a shard lies in
+    the cells that its range meets, an id in one, so the range join is an equality join on the
+    cell. A task opens a shard once for its ids, and the filter spares blocks of ids that are
+    missing. Null ids find nothing; repeats are asked once; empty tables give an empty result.
     """
     want = ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    dealt = want.join(manifest, (F.col("doc_id") >= F.coalesce("first_id", F.lit(-(1 << 63)))) & (F.col("doc_id") <= F.col("last_id"))).select("file", "doc_id")
+    given = manifest.where("last_id is not null")
+    lo, hi, n = given.agg(F.min("first_id"), F.max("last_id"), F.count("*")).first()
+    lo, cell = lo or 0, ((hi or 0) - (lo or 0)) // max(1, n) + 1
+    # far apart: halves as doubles, so that the difference of two longs can't overflow; still in order
+    place = lambda c: F.floor((F.col(c) / 2 - F.lit(lo / 2)) / F.lit(cell / 2)) if abs(lo) > 1 << 52 or cell > 1 << 52 else F.floor((F.col(c) - F.lit(lo)) / F.lit(cell))
+    cells = given.select("file", "first_id", "last_id", F.explode(F.sequence(place("first_id"), place("last_id"))).alias("cell"))
+    dealt = want.where(F.col("doc_id").between(lo, hi if hi is not None else lo)).withColumn("cell", place("doc_id")).join(cells, "cell").where("doc_id between first_id and last_id").select("file", "doc_id").distinct()
 
     def run(table: pa.Table) -> pa.Table:
-        shard = Shard(*_open(table.column("file")[0].as_py()))
+        shard = Shard(*opened(table.column("file")[0].as_py()))
         rows = [(i, v.astype("<u4").tobytes()) for i in table.column("doc_id").to_pylist() for v in shard.get(i)]
         return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "tokens": pa.array([r[1] for r in rows], pa.binary())})
 

@@ -1,28 +1,44 @@
-"""Tokenizers inside tasks: one instance a Python worker, and a bounded memory of words seen.
+"""Tokenizers inside tasks: one instance a Python worker, and a bounded table of words seen.
 
-Texts are cut only where no token can span the cut, so the parts' tokens are the whole's.
+Texts are cut only where no token can span the cut, so the parts' tokens are the whole's. Which
+cuts are safe follows from the tokenizer's own settings, never from its file name; a tokenizer
+of another kind gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Words remembered in each of two generations; bounds a worker's memory only, not what is encoded.
-REMEMBERED = 600_000
-#: Longer words are encoded each time.
-LONGEST = 64
-#: Parts of long texts that are encoded as they are.
+#: Words a worker's table holds before it starts anew from those of its last batch; bounds memory only, not what is encoded.
+REMEMBERED = 1_000_000
+#: Characters of a long text that are encoded at once.
 PART = 1 << 16
 #: Bytes of text in a batch handed to the encoder.
 BATCH_BYTES = 4 << 20
+#: Words that are learnt in one call.
+LEARN = 256
 _CUT = re.compile(r"[!-~](?=[ \n])")
+_BLANK = re.compile(r"[!-~](?= )")
+#: Alternatives of a pre-tokenizer's pattern that match no white space.
+_BLANKLESS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+_PLAIN_NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
+#: ASCII letters 1, digits 2, signs 3; 0 for all else and for the apostrophe, which may belong to what follows.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 0
 
 _loaded: dict[str, object] = {}
-_words: dict[tuple, Words] = {}
+_styles: dict[str, str] = {}
+_words: dict[tuple[str, str], Words] = {}
 
 
 def load(path: str):
@@ -43,15 +59,59 @@ def load(path: str):
     return _loaded[path]
 
 
+def vocab_size(path: str) -> int:
+    t = load(path)
+    return t.get_piece_size() if path.endswith(".model") else t.get_vocab_size()
+
+
+def style_of(path: str) -> str:
+    """Where a text may be cut, by the tokenizer's own settings.
+
+    ``drops``: white space makes no token, so texts fall into words at every blank. ``leads``:
+    white space goes with what follows it (byte-level pattern), so a cut may precede it.
+    ``pieces``: no piece holds a blank after another character and a blank is put before each
+    text, so a single blank may be left out. ``whole``: nothing is known; texts stay whole.
+    """
+    if path not in _styles:
+        _styles[path] = _piece_style(load(path)) if path.endswith(".model") else _json_style(json.loads(load(path).to_str()))
+    return _styles[path]
+
+
+def _piece_style(t) -> str:
+    pieces = (t.id_to_piece(i) for i in range(t.get_piece_size()))
+    inner = any("▁" in p.lstrip("▁") for p in pieces)
+    same = all(t.encode(a + " " + b) == t.encode(a) + t.encode(b) for a, b in (("a", "b"), ("a", " b"), ("a.", "  b "), ("a,", "\nb")))
+    return "pieces" if same and not inner else "whole"
+
+
+def _json_style(t: dict) -> str:
+    if any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in t["added_tokens"]):
+        return "whole"
+    normal, pre = t["normalizer"] or {}, t["pre_tokenizer"] or {}
+    if not normal and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+        return "leads"
+    plain = all(n in _PLAIN_NORMALIZERS for n in (normal.get("normalizers", [normal]) if normal else []))
+    first = (pre.get("pretokenizers") or [pre])[0]
+    words = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and set(first["pattern"].get("Regex", "").split("|")) <= _BLANKLESS
+    return "drops" if plain and words else "whole"
+
+
 def encode(path: str, texts: list[str]) -> list[list[int]]:
-    """Token ids of whole texts as the library gives them, nothing added."""
+    """Token ids of texts as the library gives them, nothing added."""
     t = load(path)
     if path.endswith(".model"):
         return t.encode(texts, num_threads=1)
     return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def by_bytes(texts: list):
+def _lengths(path: str, texts: list[str]) -> list[int]:
+    t = load(path)
+    if path.endswith(".model"):
+        return [len(x) for x in t.encode(texts, num_threads=1)]
+    return [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def by_bytes(texts: list) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about BATCH_BYTES each, so that batches take alike long and memory is bounded."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -63,109 +123,127 @@ def by_bytes(texts: list):
         yield start, len(texts)
 
 
-def parts(text: str) -> list[str]:
-    """A long text cut before white space that follows a visible ASCII character.
-
-    A byte-level BPE's pattern takes white space with what follows, never with what precedes,
-    and looks ahead only within white space; so such cuts part no token.
-    """
+def parts(text: str, style: str) -> list[str]:
+    """A long text cut at safe boundaries: before white space that follows a visible ASCII character."""
+    if style == "whole":
+        return [text]
+    cut, skip = (_BLANK, 1) if style == "pieces" else (_CUT, 0)
     out, at = [], 0
-    while len(text) - at > PART and (m := _CUT.search(text, at + PART)):
+    while len(text) - at > PART and (m := cut.search(text, at + PART)):
         out.append(text[at : m.end()])
-        at = m.end()
+        at = m.end() + skip
     return [*out, text[at:]]
 
 
-def _parted(word: str) -> tuple[str, str] | None:
-    """A word and the full stops and commas that end it, if a Latin letter or a digit stands before
-    them: tokens of their own in the pre-tokenizers used here, so that many words share their stem."""
-    stem = word.rstrip(".,")
-    if stem and "<|" not in word and stem[-1] < "\u0250" and (stem[-1].isalpha() or "0" <= stem[-1] <= "9"):
-        return stem, word[len(stem) :]
-    return None
+def _batches(path: str, raw: list[bytes | None]):
+    """(owner, part) lists of about BATCH_BYTES each; a long text may lie in several."""
+    style, owner, found, size = style_of(path), [], [], 0
+    for i, d in enumerate(raw):
+        for p in parts((d or b"").decode("utf-8", "replace"), style):
+            owner.append(i)
+            found.append(p)
+            size += len(p)
+            if size >= BATCH_BYTES:
+                yield owner, found
+                owner, found, size = [], [], 0
+    if owner:
+        yield owner, found
+
+
+def lengths(path: str, raw: list[bytes | None]) -> np.ndarray:
+    """Tokens of each text (UTF-8); only lengths leave the library."""
+    out = np.zeros(len(raw), np.int64)
+    for owner, found in _batches(path, raw):
+        np.add.at(out, owner, _lengths(path, found))
+    return out
+
+
+def ids(path: str, raw: list[bytes | None], kind: str) -> Iterator[bytes]:
+    """Token ids of each text as bytes of numpy type kind, in order."""
+    if style_of(path) == "drops":
+        if (path, kind) not in _words:
+            _words[path, kind] = Words(path, kind)
+        for lo, hi in by_bytes(raw):
+            yield from _words[path, kind].encode([d or b"" for d in raw[lo:hi]])
+        return
+    held, at = [], 0
+    for owner, found in _batches(path, raw):
+        for i, x in zip(owner, encode(path, found), strict=True):
+            if i != at:
+                yield b"".join(held)
+                held, at = [], i
+            held.append(np.array(x, kind).tobytes())
+    if raw:
+        yield b"".join(held)
 
 
 class Words:
-    """Remembers what make() gave for the ids of each word; pieces that are missing are encoded in one batch.
-
-    add() joins what two pieces gave. When a generation is full it becomes the old one, from
-    which words in use move on, so frequent words stay.
+    """A table of words and their ids for a tokenizer that drops white space.
+
+    A batch becomes one buffer of words. Arrow encodes them as a dictionary, so Python sees each
+    distinct word of a batch once, and ids are gathered from the table by position. ASCII runs of
+    letters, digits and signs are words of their own, as they are tokens of their own in the
+    pre-tokenizer, and A-Z are lowered where the tokenizer does so anyway; in a batch in which a
+    special token's string may stand, texts are cut at blanks only. New words of a-z go to the
+    library's model directly; others are encoded together, blanks between them, and the
+    library's offsets tell whose each id is.
     """
 
-    def __init__(self, path: str, make: Callable, add: Callable):
-        self.path, self.make, self.add, self.new, self.old = path, make, add, {}, {}
-        self.lower = "Lowercase" in str(getattr(load(path), "normalizer", ""))
-        vocab = load(path).get_vocab()
-        #: Ids that end a word, in vocabularies that mark them; otherwise the id of a line feed.
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.marked = bool(self.ends.any())
-        if not self.marked:
-            self.ends[vocab["\u010a"]] = True
-
-    def _together(self, words: list[str]) -> list:
-        """What make() gives for plain words, encoded as one text: the library's cost a call is many words'.
-
-        With marked word ends, words of letters alone are joined by blanks, and each has one marked
-        id, its last. Otherwise words are joined by line feeds, each a token of its own between them.
-        A word has one such mark at least, so equal numbers prove that each has one; where they
-        differ (some letters turn into several in lower case), words are encoded one by one.
-        """
-        out = []
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            ids = np.array(encode(self.path, [(" " if self.marked else "\n").join(part)])[0], np.int64)
-            cuts = np.flatnonzero(self.ends[ids])
-            if len(cuts) != len(part) - (not self.marked):
-                out += [self.make(x) for x in encode(self.path, part)]
-                continue
-            skip = 0 if self.marked else 1
-            stops = cuts + 1 if self.marked else np.append(cuts, len(ids))
-            starts = np.concatenate([[0], stops[:-1] + skip])
-            out += [self.make(ids[i:j]) for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
-        return out
-
-    def _encoded(self, words: list[str]) -> dict:
-        plain = [w for w in words if (w if self.marked else w[w.startswith(" ") :]).isalpha()]
-        rest = list(set(words).difference(plain))
-        found = dict(zip(plain, self._together(plain), strict=True)) if plain else {}
-        return found | {w: self.make(ids) for w, ids in zip(rest, encode(self.path, rest), strict=True)}
-
-    def get(self, wanted: set[str]) -> dict:
-        """A dict that holds all wanted words."""
-        if len(self.new) > REMEMBERED:
-            self.new, self.old = {}, self.new
-        missing = wanted.difference(self.new)
-        if missing and self.old:
-            used = missing & self.old.keys()
-            self.new.update((w, self.old[w]) for w in used)
-            missing.difference_update(used)
-        if not missing:
-            return self.new
-        wanted = list(missing)
-        plain = self._lowered(wanted) if self.lower else wanted
-        forms = set(plain)
-        parted = {w: p for w in forms if w.endswith((".", ",")) and (p := _parted(w))}
-        need = (forms - parted.keys()).union(*parted.values()).difference(self.new)
-        found = self._encoded(list(need))
-        known = self.new if all(len(w) <= LONGEST for w in wanted) else dict(self.new)
-        known.update(found)
-        known.update((w, self.add(known[a], known[b])) for w, (a, b) in parted.items())
-        if self.lower:
-            known.update(zip(wanted, list(map(known.__getitem__, plain)), strict=True))
-        if known is not self.new:
-            self.new.update((w, known[w]) for w in wanted if len(w) <= LONGEST)
-        return known
-
-    @staticmethod
-    def _lowered(words: list[str]) -> list[str]:
-        """A-Z in lower case, which the tokenizer makes of them anyway; words that may hold a special token stay."""
-        low = "\n".join(words).encode().lower().decode().split("\n")
-        return [w if "<|" in x else x for w, x in zip(words, low, strict=True)] if any("<|" in x for x in low) else low
-
-
-def words_of(kind: str, path: str, make: Callable, add: Callable) -> Words:
-    """The worker's own memory for a kind of value; it outlives the task."""
-    if (kind, path) not in _words:
-        _words[kind, path] = Words(path, make, add)
-    return _words[kind, path]
+    def __init__(self, path: str, kind: str):
+        self.path, self.kind = path, kind
+        self.lower = "Lowercase" in str(load(path).normalizer)
+        self.special = [t.content.lower()[:2].encode() for t in load(path).get_added_tokens_decoder().values()]
+        self._reset()
+
+    def _reset(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.flat, self.starts, self.lens = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        t = load(self.path)
+        plain = [w for w in words if w.isalpha() and w.islower()]
+        tokens = [[x.id for x in t.model.tokenize(w.decode())] for w in plain]
+        found, counts = [self.flat, np.array([i for x in tokens for i in x], self.kind)], [self.lens, np.array([len(x) for x in tokens], np.int64)]
+        rest = [w for w in words if not (w.isalpha() and w.islower())]
+        for lo in range(0, len(rest), LEARN):
+            texts = [w.decode("utf-8", "replace") for w in rest[lo : lo + LEARN]]
+            e = t.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(x) + 1 for x in texts])
+            place = np.searchsorted(begins, np.array([a for a, _ in e.offsets], np.int64), side="right") - 1
+            found.append(np.array(e.ids, self.kind))
+            counts.append(np.bincount(place, minlength=len(texts)))
+        self.at.update((w, len(self.at)) for w in (*plain, *rest))
+        self.flat, self.lens = np.concatenate(found), np.concatenate(counts)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all words, place of each word's first byte, words up to each text's end)."""
+        joined = b" ".join(texts) + b" "
+        data = np.frombuffer(joined, np.uint8)
+        blank = (data == 32) | (data == 10)
+        first = ~blank
+        first[1:] &= blank[:-1]
+        low = joined.lower()
+        if not any(s in low for s in self.special):
+            if self.lower:
+                data = np.frombuffer(low, np.uint8)  # bytes.lower changes A-Z alone
+            kind = _KIND[data]
+            first[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return data[~blank], np.flatnonzero(first[~blank]), np.searchsorted(np.flatnonzero(first), ends)
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        data, firsts, upto = self._cut(texts)
+        offsets = np.append(firsts, len(data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(firsts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if len(self.at) > REMEMBERED:
+            self._reset()
+        self._learn([w for w in distinct if w not in self.at])
+        word = np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))[np.asarray(words.indices)]
+        lens = self.lens[word]
+        tokens = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])
+        out = self.flat[np.arange(tokens[-1]) + np.repeat(self.starts[word] - tokens[:-1], lens)]
+        ends = tokens[upto].tolist()
+        for i, j in zip([0, *ends[:-1]], ends, strict=True):
+            yield out[i:j].tobytes()

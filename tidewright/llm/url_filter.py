@@ -7,8 +7,10 @@ token; a URL meets the rules of its tokens by an equality join and must hold all
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import stored
@@ -30,7 +32,7 @@ def path_of(url: Column) -> Column:
 def url_tokens(url: Column) -> Column:
     """Distinct tokens of a URL: scheme, host labels with their place from the right, path parts, query names, ending.
 
-    Digits become ``0``, so numbered pages share tokens. Null: no token.
+    The scheme and host are lower-cased. Digits become ``0``, so numbered pages share tokens. Null: no token.
     """
     host = F.reverse(F.split(host_of(url), r"\."))
     plain = lambda c: F.regexp_replace(F.lower(c), r"\d+", "0")
@@ -42,33 +44,71 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def _baskets(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, items, bad): the tokens of each labelled page; row numbers the pages."""
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
+    return pages.select("page_id", "url").join(bad, "page_id").select(F.monotonically_increasing_id().alias("row"), url_tokens(F.col("url")).alias("items"), "bad").where(F.size("items") > 0)
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_count: int = 5, error: float = 0.01) -> DataFrame:
     """(rule, anchor, tokens, confidence, support): token sets that imply a bad label.
 
     pages: page_id, url; labels: doc_id, quality, toxic, joined on page_id = doc_id. Bad: toxic
     is 1 or quality is 0; a page with several labels is bad if one is. Null ids join nothing;
-    null labels are not bad. A set that holds a smaller rule is dropped, as it decides nothing
-    more. No labelled page: no rules.
+    null labels are not bad; repeated pages count as often as they occur. Support counts pages
+    with the tokens and the label: a share of min_support and min_count pages at least. A rule
+    also has to be beyond chance: if its pages were bad at the rate of all pages, a confidence as
+    high would have to be rarer than ``error`` over all token sets tried (Chernoff's bound). A
+    set that holds a smaller rule is dropped, as it decides nothing more. Tokens that occur in
+    the same pages throughout are mined as one, and a rule asks for all of them, so mining
+    doesn't list their combinations. No labelled page, or labels that don't follow the urls: no
+    rules. Columns besides those named are left out.
     """
     spark = pages.sparkSession
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
-    baskets = pages.select("page_id", "url").join(bad, "page_id").select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    baskets = stored(baskets, "baskets")
+    baskets = stored(_baskets(pages, labels), "baskets")
+    n, n_bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
     empty = "rule long, anchor string, tokens array<string>, confidence double, support double"
-    if baskets.isEmpty():
+    if not n_bad:
         return spark.createDataFrame([], empty)
-    mined = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = mined.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    least = max(min_support, min_count / n)
+    if least > n_bad / n:
+        return spark.createDataFrame([], empty)
+    # tokens of equal pages: their count and two sums of page hashes agree
+    held = baskets.select(F.xxhash64("row").alias("h"), F.explode("items").alias("token"))
+    wrap = lambda c: F.sum(F.pmod(c, F.lit(1 << 31)))
+    per = held.groupBy("token").agg(F.count("*").alias("freq"), wrap(F.col("h")).alias("a"), wrap(F.shiftright("h", 31)).alias("b")).where(F.col("freq") >= least * n)
+    alike = Window.partitionBy("freq", "a", "b")
+    per = stored(per.select("token", "freq", F.min("token").over(alike).alias("first"), F.collect_set("token").over(alike).alias("alike")), "tokens")
+    firsts = per.where("token = first").select("token")
+    kept = baskets.select("row", F.explode("items").alias("token")).join(firsts, "token").groupBy("row").agg(F.collect_set("token").alias("found"))
+    nothing = F.array().cast("array<string>")
+    all_rows = baskets.select("row", "bad").join(kept, "row", "left").select(F.concat(F.coalesce("found", nothing), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(nothing)).alias("items"))
+    mined = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(stored(all_rows, "mined"))
+    tried = mined.freqItemsets.where(~F.array_contains("items", BAD)).count()
+    base, c = n_bad / n, F.col("confidence")
+    if base == 1:
+        return spark.createDataFrame([], empty)
+    # Chernoff: so many bad pages among those that hold the set are rarer than exp(-pages * apart)
+    apart = c * F.ln(c / base) + F.when(c < 1, (1 - c) * F.ln((1 - c) / (1 - base))).otherwise(0.0)
+    beyond = (c > base) & (F.col("support") * n / c * apart >= math.log(max(1, tried) / error))
+    rules = mined.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(beyond).select("antecedent", "confidence", "support")
     rules = stored(rules.select(F.monotonically_increasing_id().alias("rule"), "*"), "rules")
-    often = mined.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    anchors = rules.select("rule", F.explode("tokens").alias("token")).join(often, "token").groupBy("rule").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    rules = stored(rules.join(anchors, "rule"), "anchored")
+    full = rules.select("rule", F.explode("antecedent").alias("token")).join(per, "token").groupBy("rule").agg(F.array_sort(F.flatten(F.collect_list("alike"))).alias("tokens"), F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    rules = stored(rules.select("rule", "confidence", "support").join(full, "rule"), "anchored")
     # a rule within another lies under one of that other's tokens
     larger = rules.select(F.col("rule").alias("big"), F.col("tokens").alias("big_tokens"), F.explode("tokens").alias("anchor"))
     within = larger.join(rules.select("anchor", "tokens"), "anchor").where((F.size("tokens") < F.size("big_tokens")) & (F.size(F.array_except("tokens", "big_tokens")) == 0))
     return stored(rules.join(within.select(F.col("big").alias("rule")).distinct(), "rule", "left_anti").select("rule", "anchor", "tokens", "confidence", "support"), "kept")
 
 
+def precision(pages: DataFrame, labels: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row: n_matched labelled pages, the share of bad ones among them, and among all; for rules mined on other labels."""
+    own = stored(_baskets(pages, labels), "judged_pages")
+    hit = own.select("row", "items", F.explode("items").alias("anchor")).join(rules.select("anchor", "tokens"), "anchor").where(F.size(F.array_except("tokens", "items")) == 0).select("row").distinct().withColumn("hit", F.lit(1))
+    bad = F.col("bad").cast("double")
+    return own.join(hit, "row", "left").agg(F.count("hit").alias("n_matched"), F.avg(F.when(F.col("hit") == 1, bad)).alias("bad_share"), F.avg(bad).alias("base_share"))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, n_rules, confidence): urls (distinct) that hold all tokens of a rule, with the best confidence."""
     held = urls.select("url", url_tokens(F.col("url")).alias("own")).select("url", "own", F.explode("own").alias("anchor"))
@@ -98,7 +138,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: DataFrame, **mining) -> Da
 
     verdict: the given rule's; without one, ``block`` if a mined rule matches, else ``allow``.
     rule: host and path of the given rule, null without one. Null url or one without ``://``:
-    empty host and path, and no given rule. Every step works on distinct urls, so a common url
+    empty host and path, and no given rule. Very long urls are judged whole; repeated pages get
+    equal rows; null ids stay. Empty tables: no rows, or no rules. Columns besides those named
+    are left out, so names can't clash. Every step works on distinct urls, so a common url
     or host costs once; each page then takes its url's verdict.
     """
     mined = mine_rules(pages, labels, **mining)
