@@ -223,11 +223,14 @@ def _pack(batches, block_bytes: int):
 
     def row():
         ids = np.array([i if i is not None else 0 for i, _ in held], np.int64)
+        places: dict[bytes, list[int]] = {}
+        for k, (_, d) in enumerate(held):
+            places.setdefault(hashlib.blake2b(d, digest_size=16).digest(), []).append(k)
         return pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int64()), "block": pa.array([(part << 32) | n], pa.int64()), "size": pa.array([size], pa.int64()),
             "ids": [ids.tobytes()], "null_ids": [bytes(int(i is None) for i, _ in held)],
             "lens": [np.array([len(d) for _, d in held], np.int64).tobytes()],
-            "digests": [[hashlib.blake2b(d, digest_size=16).digest() for _, d in held]],
+            "texts": pa.array([[{"digest": d, "places": p} for d, p in places.items()]], pa.list_(pa.struct([("digest", pa.binary()), ("places", pa.list_(pa.int32()))]))),
             "data": [zstandard.compress(b"".join(d for _, d in held), 1)],
         })
 
@@ -243,7 +246,7 @@ def _pack(batches, block_bytes: int):
         yield row()
 
 
-_PACKED = "part long, block long, size long, ids binary, null_ids binary, lens binary, digests array<binary>, data binary"
+_PACKED = "part long, block long, size long, ids binary, null_ids binary, lens binary, texts array<struct<digest:binary,places:array<int>>>, data binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -251,8 +254,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
 
     spans: maximal runs of removed bytes, in bytes of the text. Null text: empty. Repeated rows
     and rows with a null or repeated doc_id are separate texts, so both lose what they share.
-    Strings never cross documents. Texts shorter than length are kept whole. An empty table
-    gives an empty result.
+    Strings never cross documents. Texts shorter than length are kept whole; a text longer than a
+    block is a block of its own. An empty table gives an empty result. Other columns are left
+    out, so names can't clash. Strings of equal 62-bit fingerprint count as equal.
     """
     spark = docs.sparkSession
     packed = stored(id_and_bytes(docs).mapInArrow(lambda it: _pack(it, block_bytes), _PACKED), "packed")
@@ -264,16 +268,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return max(0, math.ceil(math.log2(max(1, keys / KEYS_PER_BUCKET))))
 
     # texts that occur again as a whole: one of them stands for all in the passes below
-    each = packed.select("part", "block", F.posexplode("digests").alias("k", "digest"))
-    groups = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("block", "k")).alias("first")).where("n > 1")
-    copies = each.join(groups, "digest").select("part", "block", (F.col("k") * 2 + F.when(F.struct("block", "k") == F.col("first"), 1).otherwise(0)).cast("long").alias("code"))
+    # a block lists its distinct texts, so a text of many copies is one row a block here
+    each = packed.select("part", "block", F.explode("texts").alias("t")).select("part", "block", "t.digest", "t.places")
+    groups = each.groupBy("digest").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("block", F.col("places")[0].alias("k"))).alias("first")).where("n > 1")
+    stands = lambda k: (F.col("block") == F.col("first.block")) & (k == F.col("first.k"))
+    copies = each.join(groups, "digest").select("part", "block", F.transform("places", lambda k: (k * 2 + F.when(stands(k), 1).otherwise(0)).cast("long")).alias("codes"))
 
     def as_bits(batches):
         for b in batches:
             codes = [np.array(x, np.int64).tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"part": b.column(0), "block": b.column(1), "bucket": pa.array([0] * b.num_rows, pa.int64()), "bits": pa.array(codes, pa.binary())})
 
-    copies = copies.groupBy("part", "block").agg(F.collect_list("code").alias("codes")).mapInArrow(as_bits, _BITS)
+    copies = copies.groupBy("part", "block").agg(F.flatten(F.collect_list("codes")).alias("codes")).mapInArrow(as_bits, _BITS)
 
     def kept_bits(df: DataFrame, name: str) -> str:
         path = scratch(spark, name)
@@ -281,7 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         return path
 
     at_copies = kept_bits(copies, "copies")
-    plain = packed.drop("digests")
+    plain = packed.drop("texts")
     rank_bucket, rank_bits = bucket_bits(samples), min(62, max(40, math.ceil(math.log2(samples)) + 8))
 
     def send_samples(batches):
