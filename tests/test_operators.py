@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import BAR, bar_rows
 from tidewright.operators import evaluate, features, fracdiff, indicators, risk, validate, windows
-from tidewright.sources import bars
+from tidewright.sources import bars, folders
 from tidewright.streaming import incremental
 
 
@@ -61,6 +61,16 @@ def test_finite_check_names_all_missing(spark, single):
     assert row["n_null"] + row["n_nan"] == 300
 
 
+def test_report_covers_schema_and_reads_once(spark, single):
+    df = single.withColumn("seq", F.col("bar_ts")).withColumn("close", F.when(F.col("open") < 100, -1.0).otherwise(F.col("close")))
+    report = validate.validation_report(df, "seq")
+    assert failed(report) == {("prices", "close")} and report.count() == 7 + 7 + 1 + 4 + 4 + 1
+    assert failed(validate.validation_report(df.drop("low").withColumn("volume", F.lit("x")), "seq")) >= {("missing", "low"), ("type", "volume")}
+    assert ("empty", "") in failed(validate.validation_report(df.limit(0), "seq"))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and "Union" not in plan
+
+
 def three(spark):
     return spark.createDataFrame([("T", dt.datetime(2024, 1, i + 1), c) for i, c in enumerate((100.0, 110.0, 105.0))], "ticker string, bar_ts timestamp_ntz, close double")
 
@@ -85,6 +95,15 @@ def test_nearest_bounds_are_elements(spark, multi, q):
         assert got[f"hi_{n}"] == x[math.floor((len(x) - 1) * (1 - q) + 0.5)]
 
 
+@pytest.mark.parametrize("q", [0.0, 0.013, 0.25])
+def test_linear_bounds_interpolate(spark, multi, q):
+    raw = features.raw_returns(multi, (1, 5))
+    got = features.clip_bounds(raw, (1, 5), q, "linear").first()
+    for n in (1, 5):
+        x = [r[0] for r in raw.select(f"raw_{n}b").dropna().collect()]
+        assert got[f"lo_{n}"] == pytest.approx(np.quantile(x, q)) and got[f"hi_{n}"] == pytest.approx(np.quantile(x, 1 - q))
+
+
 def test_lags_and_targets_come_from_their_own_column(spark, single):
     df = features.forward_targets(features.lagged_returns(features.clipped_returns(single)))
     rows = df.orderBy("bar_ts").collect()
@@ -138,6 +157,23 @@ def test_indicators(spark, single):
     assert z[0] == pytest.approx(0, abs=1e-9) and z[1] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("n,alpha,start,size", [(5, 1 / 3, 4, 3), (5, 1 / 3, 4, 5), (14, 1 / 14, 13, 700), (12, 2 / 13, 25, 1100)])
+def test_smoothing_equals_a_loop(n, alpha, start, size):
+    x = np.random.default_rng(n).normal(100, 5, size)
+    got, y = indicators._smooth(x, n, alpha, start), None
+    for i in range(size):
+        if i == start:
+            y = x[i - n + 1 : i + 1].mean()
+        elif i > start:
+            y += alpha * (x[i] - y)
+        assert np.isnan(got[i]) if y is None else got[i] == pytest.approx(y, rel=1e-12)
+
+
+def test_repeated_times_do_not_multiply_rows(spark, single):
+    twice = single.unionByName(single.limit(5))
+    assert indicators.technical(twice).count() == 305
+
+
 def test_two_crows_pattern(spark):
     base = [(10.0, 10.2)] * 12 + [(10.0, 13.0), (14.5, 13.5), (14.0, 11.0)]
     df = spark.createDataFrame([("T", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), o, c) for i, (o, c) in enumerate(base)], "ticker string, bar_ts timestamp_ntz, open double, close double")
@@ -213,6 +249,13 @@ def test_constant_and_short_series_have_no_statistic(spark):
     assert {r["d"] for r in fracdiff.min_d_grid(df, threshold=0.01).collect()} == {1.0}
 
 
+def test_vector_statistic_equals_aggregates(spark):
+    rows = walk(spark) + walk(spark, 300, 7, "V") + [("N", t, v + (i % 2)) for i, (_, t, v) in enumerate(walk(spark, 60, 9))]
+    got = {r["ticker"]: r["stat"] for r in fracdiff.adf_test(spark.createDataFrame(rows, SERIES)).collect()}
+    for t, stat in got.items():
+        assert fracdiff._statistic(np.array([r[2] for r in rows if r[0] == t])) == pytest.approx(stat, rel=1e-6, abs=1e-9)
+
+
 def test_least_order_and_refinement(spark):
     df = spark.createDataFrame(walk(spark) + walk(spark, 400, 5, "V"), SERIES)
     grid = {r["ticker"]: r["d"] for r in fracdiff.min_d_grid(df, threshold=0.01).collect()}
@@ -269,6 +312,8 @@ def test_splits_and_batches(spark):
     assert windows.check_split(windows.time_split_date(df, "2024-01-02")) == {"train": 96, "val": 104}
     with pytest.raises(ValueError, match="empty"):
         windows.check_split(windows.time_split_date(df, "2023-01-01"))
+    with pytest.raises(Exception, match="empty"):
+        windows.batches(windows.time_split_date(df, "2023-01-01"), 10, 32).collect()
     b = windows.batches(windows.time_split_ratio(df), 10, 32).where("split = 'train'").orderBy("idx").collect()
     assert [r["idx"] for r in b] == list(range(142)) and [r["batch"] for r in b] == [i // 32 for i in range(142)]
 
@@ -289,6 +334,33 @@ def test_covariances(spark):
     assert all(r["corr"] == 1 for r in risk.cov_to_corr(risk.sample_cov(df)).collect() if r["i"] == r["j"])
 
 
+def test_only_complete_rows_count(spark):
+    df, x = returns(spark)
+    gaps = df.where("NOT (asset = 'a1' AND day(bar_ts) = 3)").withColumn("ret", F.when((F.col("asset") != "a2") | (F.dayofmonth("bar_ts") != 9), F.col("ret")))
+    keep = [i for i in range(200) if (dt.datetime(2024, 1, 1) + dt.timedelta(days=i)).day not in (3, 9)]
+    s = np.cov(x[keep].T, ddof=0)
+    assert {(r["i"], r["j"]): r["cov"] for r in risk.sample_cov(gaps).collect()} == {(f"a{i}", f"a{j}"): pytest.approx(s[i, j]) for i in range(4) for j in range(i, 4)}
+    full = df.where(~F.dayofmonth("bar_ts").isin(3, 9))
+    table = lambda d: {(r["i"], r["j"]): r["cov"] for r in risk.ledoit_wolf(d).collect()}
+    assert table(gaps) == pytest.approx(table(full))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaf_order_equals_slow_linkage(seed):
+    d = np.random.default_rng(seed).random((25, 25))
+    d = np.round(d + d.T, 1 if seed % 2 else 12)  # odd seeds have ties
+    np.fill_diagonal(d, 0)
+    got = risk._leaf_order(d)
+    assert sorted(got) == list(range(25))
+    if seed % 2:
+        return
+    clusters = [[k] for k in range(25)]
+    while len(clusters) > 1:
+        _, a, b = min((d[np.ix_(clusters[x], clusters[y])].min(), x, y) for x in range(len(clusters)) for y in range(x + 1, len(clusters)))
+        clusters[a] = clusters[a] + clusters.pop(b)
+    assert got == clusters[0]
+
+
 def test_denoise_keeps_trace_and_hrp_sums_to_one(spark):
     df, x = returns(spark)
     cov = risk.ledoit_wolf(df).drop("shrinkage")
@@ -303,7 +375,7 @@ def weights_of(df):
     return {r["asset"]: r["weight"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("w,most", [([0.5, 0.3, 0.1, 0.1], 0.3), ([0.4, 0.35, 0.2, 0.05], 0.3), ([0.25] * 4, 0.3), ([0.9, 0.1, 0.0, 0.0], 0.4), ([0.6, 0.4, 0.0, 0.0], 0.5)])
+@pytest.mark.parametrize("w,most", [([0.5, 0.3, 0.1, 0.1], 0.3), ([0.4, 0.35, 0.2, 0.05], 0.3), ([0.25] * 4, 0.3), ([0.9, 0.1, 0.0, 0.0], 0.4), ([0.6, 0.4, 0.0, 0.0], 0.5), ([0.5, 0.5, 0.0, 0.0], 0.3), ([0.6, 0.4, 0.0, 0.0], 0.4), ([1.0, 0.0, 0.0, 0.0], 0.25)])
 def test_cap_equals_a_loop(spark, w, most):
     left = dict(enumerate(w))
     want, budget = {}, 1.0
@@ -311,13 +383,13 @@ def test_cap_equals_a_loop(spark, w, most):
         while left:
             k = max(left, key=lambda i: (left[i], -i))
             total = sum(left.values())
-            if total <= 0 or left[k] * budget / total <= most + 1e-12:
+            if total <= 1e-15 or left[k] * budget / total <= most + 1e-12:
                 break
             want[k] = most
             budget -= most
             left.pop(k)
         total = sum(left.values())
-        want |= {k: x * budget / total if total > 0 else budget / len(left) for k, x in left.items()}
+        want = want | {k: x * budget / total for k, x in left.items()} if total > 1e-15 else dict.fromkeys(range(len(w)), 1 / len(w))
     else:
         want = left
     df = spark.createDataFrame([("P", f"a{i}", x) for i, x in enumerate(w)], "portfolio string, asset string, weight double")
@@ -331,7 +403,13 @@ def test_rules_on_weights(spark):
     assert weights_of(risk.min_position(make(0.96, 0.04), 0.05)) == {"a0": 1.0, "a1": 0.0}
     assert weights_of(risk.min_position(make(0.02, 0.02), 0.05)) == {"a0": 0.5, "a1": 0.5}
     assert weights_of(risk.max_position(make(0.4), 0.3)) == {"a0": 1.0}
-    assert weights_of(risk.max_position(make(0.5, 0.5), 0.3)) == {"a0": None, "a1": None}
+    assert weights_of(risk.max_position(make(0.5, 0.5, 0.0, 0.0), 0.3)) == dict.fromkeys(("a0", "a1", "a2", "a3"), 0.25)
+    assert weights_of(risk.constrained_weights(make(0.48, 0.48, 0.04, 0.0), 0.05, 0.3)) == dict.fromkeys(("a0", "a1", "a2", "a3"), 0.25)
+    assert weights_of(risk.max_position(make(0.5, 0.5), 0.3, strict=False)) == {"a0": None, "a1": None}
+    with pytest.raises(Exception, match="under 1/2"):
+        risk.max_position(make(0.5, 0.5), 0.3).collect()
+    with pytest.raises(Exception, match="sum to"):
+        risk.constrained_weights(make(-0.5, -0.5, 0.0), 0.0, 0.5).collect()
     assert all(r["sums_to_one"] for r in risk.constrained_weights(make(0.5, 0.2, 0.2, 0.08, 0.02), 0.05, 0.4).collect())
 
 
@@ -353,20 +431,94 @@ def test_folds(spark):
         assert got[f, "test"][0] == 10 and got[f, "train"][0] == 30 and got[f, "train"][2] < got[f, "test"][1] - dt.timedelta(days=1)
 
 
-def test_linear_models(spark):
-    df = model(spark)
-    folds = evaluate.cv_folds(df, 2, 30, 10, 1)
-    gram = evaluate.fold_gram(df, folds, ["a", "b"], "y").cache()
-    coefs = lambda d: {(r["fold"], r["alpha"], r["feature"]): r["coef"] for r in d.collect()}
-    plain, zero = coefs(evaluate.ols(gram, ["a", "b"], "y")), coefs(evaluate.ridge(gram, ["a", "b"], "y", [0.0]))
-    assert plain == pytest.approx(zero) and plain[0, 0.0, "a"] == pytest.approx(2, abs=0.1)
-    big = coefs(evaluate.lasso(gram, ["a", "b"], "y", [100.0]))
-    assert big[0, 100.0, "a"] == 0 and big[0, 100.0, "b"] == 0
-    assert coefs(evaluate.lasso(gram, ["a", "b"], "y", [0.0], 1e-12)) == pytest.approx(plain, abs=1e-6)
-    preds = evaluate.predict(df, folds, evaluate.ols(gram, ["a", "b"], "y"), ["a", "b"], "y")
-    assert preds.count() == 80 and preds.agg(F.corr("predicted", "actual")).first()[0] > 0.95
-    scale = {(r["fold"], r["column"]): r for r in evaluate.fold_scaler(df.withColumn("c", F.lit(3.0)), folds, ["c", "y"]).collect()}
-    assert scale[0, "c"]["std"] == 1.0 and scale[0, "c"]["mean"] == 3.0
+@pytest.mark.parametrize("n,splits,train,test,look", [(60, None, 7, 3, 1), (60, 4, 7, 3, 0), (20, None, 18, 1, 1), (20, None, 19, 1, 1), (9, None, 3, 4, 2)])
+def test_folds_equal_a_loop(spark, n, splits, train, test, look):
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i) for i in range(n)]
+    df = spark.createDataFrame([(t, x) for t in times for x in "ab"], "bar_ts timestamp_ntz, ticker string")
+    want, late = set(), times[::-1]
+    for i in range(n if splits is None else splits):
+        end = (i + 1) * test
+        if end + look + train >= n:
+            break
+        want |= {(i, "test", t) for t in late[i * test : end]} | {(i, "train", t) for t in late[end + look : end + look + train]}
+    assert {tuple(r) for r in evaluate.cv_folds(df, splits, train, test, look).collect()} == want
+
+
+def by_fold(spark, n_splits=2):
+    """Rows of each fold's training and test part as arrays."""
+    df = model(spark).withColumn("a", F.col("a") + 1000).withColumn("c", F.lit(7.0))
+    folds = evaluate.cv_folds(df, n_splits, 30, 10, 1)
+    rows = df.join(folds, "bar_ts").collect()
+    pick = lambda f, part: np.array([[r["a"], r["b"], r["c"], r["y"]] for r in rows if r["fold"] == f and r["part"] == part])
+    return df, folds, {f: (pick(f, "train"), pick(f, "test")) for f in range(n_splits)}
+
+
+def coefs(d):
+    return {(r["fold"], r["alpha"], r["feature"]): (r["coef"], r["slope"]) for r in d.collect()}
+
+
+def scaled(m):
+    mean, std = m.mean(axis=0), m.std(axis=0)
+    std = np.where(std < 1e-9, 1, std)
+    return (m - mean) / std, mean, std
+
+
+def test_linear_models_are_those_of_scaled_columns(spark):
+    df, folds, parts = by_fold(spark)
+    x = ["a", "b", "c"]
+    alphas = [0.01, 5.0, 500.0]
+    plain, shrunk, sparse = coefs(evaluate.ols(df, folds, x, "y")), coefs(evaluate.ridge(df, folds, x, "y", alphas)), coefs(evaluate.lasso(df, folds, x, "y", [1e-3, 0.1, 2.0], 1e-12))
+    for f, (train, _) in parts.items():
+        z, mean, std = scaled(train)
+        n = len(z)
+        for alpha, found in [(0.0, plain), *((a, shrunk) for a in alphas)]:
+            b = np.linalg.pinv(z[:, :3].T @ z[:, :3] + alpha * np.eye(3)) @ (z[:, :3].T @ z[:, 3])
+            assert [found[f, alpha, c][0] for c in x] == pytest.approx(b.tolist(), abs=1e-8)
+            slope = b * std[3] / std[:3]
+            assert [found[f, alpha, c][1] for c in x] == pytest.approx(slope.tolist(), abs=1e-8)
+            assert found[f, alpha, "1"][1] == pytest.approx(mean[3] - mean[:3] @ slope, abs=1e-6)
+        for alpha in (1e-3, 0.1, 2.0):
+            b = np.zeros(3)
+            for _ in range(2000):  # the same descent on the rows themselves
+                for j in range(2):
+                    rho = z[:, j] @ (z[:, 3] - z[:, :3] @ b + z[:, j] * b[j])
+                    b[j] = np.sign(rho) * max(abs(rho) - n * alpha, 0) / (z[:, j] @ z[:, j])
+            assert [sparse[f, alpha, c][0] for c in x] == pytest.approx(b.tolist(), abs=1e-8)
+        assert sparse[f, 2.0, "a"][0] == 0 == sparse[f, 2.0, "b"][0]
+    assert len(evaluate.RIDGE_ALPHAS) == 18 and len(evaluate.LASSO_ALPHAS) == 40
+    scale = {(r["fold"], r["column"]): r for r in evaluate.fold_scaler(df, folds, ["c", "y"]).collect()}
+    assert scale[0, "c"]["std"] == 1.0 and scale[0, "c"]["mean"] == 7.0
+
+
+def test_walk_forward_predictions_are_in_the_units_of_y(spark):
+    df, folds, parts = by_fold(spark)
+    preds = evaluate.predict(df, folds, evaluate.ridge(df, folds, ["a", "b"], "y", [2.0]), ["a", "b"], "y")
+    for f, (train, test) in parts.items():
+        z, mean, std = scaled(train)
+        z = z[:, [0, 1, 3]]
+        b = np.linalg.solve(z[:, :2].T @ z[:, :2] + 2.0 * np.eye(2), z[:, :2].T @ z[:, 2])
+        want = (test[:, :2] - mean[:2]) / std[:2] @ b * std[3] + mean[3]
+        got = preds.where(F.col("fold") == f).collect()
+        assert sorted(r["predicted"] for r in got) == pytest.approx(sorted(want.tolist())) and sorted(r["actual"] for r in got) == pytest.approx(sorted(test[:, 3].tolist()))
+    scores = evaluate.alpha_scores(evaluate.daily_ic(preds)).first()
+    assert scores["is_best"] and scores["mean_ic"] > 80
+
+
+def test_gram_and_correlations_equal_numpy(spark):
+    df, folds, parts = by_fold(spark)
+    gram = {(r["fold"], r["a"], r["b"]): (r["n"], r["s"]) for r in evaluate.fold_gram(df, folds, ["a", "b"], "y").collect()}
+    for f, (train, _) in parts.items():
+        m = np.column_stack([np.ones(len(train)), train[:, [0, 1, 3]]])
+        for i, a in enumerate(("1", "a", "b", "y")):
+            for j, b in enumerate(("1", "a", "b", "y")):
+                if i <= j:
+                    assert gram[f, a, b] == (len(train), pytest.approx(m[:, i] @ m[:, j]))
+    holes = df.withColumn("b", F.when(F.col("ticker") != "T1", F.col("b"))).withColumn("y", F.when(F.dayofmonth("bar_ts") > 3, F.col("y")))
+    rows = [(r["a"], r["b"], r["y"]) for r in holes.collect()]
+    for (i, a), (j, b) in [((0, "a"), (1, "b")), ((1, "b"), (2, "y")), ((0, "a"), (2, "y"))]:
+        both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+        got = {(r["a"], r["b"]): r["corr"] for r in evaluate.feature_corr(holes.repartition(3), ["a", "b", "y", "c"]).collect()}
+        assert got[a, b] == pytest.approx(np.corrcoef(both.T)[0, 1]) and got[b, a] == pytest.approx(got[a, b]) and got[a, a] == 1 and got["c", a] is None
 
 
 def test_scores(spark):
@@ -411,3 +563,45 @@ def test_incremental_validation(spark, tmp_path):
     run()  # nothing new: nothing counted again
     assert spark.read.parquet(where["good"]).count() == 2
     assert {r["reason"] for r in spark.read.parquet(where["bad"]).collect()} == {"price", "order", "null"}
+
+
+def test_ticker_dimension(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text('- ticker: X\n  aliases: ["X", "Ex"]\n  tier: 1\n  cik: "0001"\n- ticker: Y\n  underlying: X\n')
+    (tmp_path / "t.json").write_text('[{"ticker": "X", "aliases": ["X", "Ex"], "tier": 1, "cik": "0001"}, {"ticker": "Y", "underlying": "X"}]')
+    a, b = (bars.read_ticker_dimension(spark, str(tmp_path / f"t.{x}")) for x in ("yaml", "json"))
+    rows = sorted(a.collect())
+    assert rows == sorted(b.collect()) and a.schema == b.schema
+    assert rows[0]["aliases"] == ["X", "Ex"] and rows[0]["tier"] == 1 and rows[1]["underlying"] == "X" and rows[1]["tier"] is None
+
+
+class _Session:
+    """A session with settings of its own on a given context."""
+
+    def __init__(self, context, folder=None):
+        self.sparkContext, self.conf = context, {"spark.checkpoint.dir": folder} if folder else {}
+
+
+def test_shared_folder(spark, tmp_path):
+    for text in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        assert folders.shared_dir(_Session(spark.sparkContext, text)) == f"file://{tmp_path}"
+    one = _Session(spark.sparkContext, str(tmp_path))
+    uri = folders.put(one, "x.txt", b"text")
+    assert uri.startswith(f"file://{tmp_path}/") and spark.read.text(uri).first()[0] == "text"
+    folders.clear(one)
+    assert not [x for x in tmp_path.iterdir() if x.name.startswith("tidewright")]
+    assert folders.stored(spark.range(3), "some").count() == 3
+
+
+class _Cluster:
+    """A context on a cluster whose settings name no shared folder."""
+
+    master = "spark://host:7077"
+
+    @staticmethod
+    def getConf():
+        return {}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folders.shared_dir(_Session(_Cluster))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,18 @@ def average_rank(x: Column, *partition: str, ascending: bool = False) -> Column:
     order = x.asc_nulls_last() if ascending else x.desc_nulls_last()
     ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, x))
     return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*partition).orderBy(order)) + (ties - 1) / 2.0)
+
+
+def numbered(df: DataFrame, ts: str = "bar_ts", latest_first: bool = False) -> DataFrame:
+    """(ts, i, n): the distinct times numbered from 0, and how many there are.
+
+    Times are numbered by counts of the days before and then within the day, so the only window
+    that spans everything runs over one row a day.
+    """
+    order = (lambda c: F.desc(c)) if latest_first else (lambda c: F.asc(c))
+    times = df.select(ts).distinct().withColumn("_day", F.to_date(ts))
+    days = times.groupBy("_day").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(order("_day")))
+    days = days.select("_day", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    within = F.row_number().over(Window.partitionBy("_day").orderBy(order(ts))) - 1
+    return times.join(days, "_day").select(ts, (F.col("_before") + within).alias("i"), "n")

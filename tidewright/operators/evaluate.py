@@ -4,37 +4,46 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.windows import average_rank, full_mean
+from tidewright.functions.windows import average_rank, full_mean, numbered
 
 
-def date_ranks(df: DataFrame, ts: str = "bar_ts") -> DataFrame:
-    """(ts, r): the distinct times numbered from the latest, 0 first; one row a time."""
-    return df.select(ts).distinct().select(ts, (F.row_number().over(Window.orderBy(F.desc(ts))) - 1).alias("r"))
+#: A decade from 1e-4 on and its fivefold, as the penalties of the walk-forward runs.
+RIDGE_ALPHAS = sorted(m * 10.0**e for e in range(-4, 5) for m in (1, 5))
+LASSO_ALPHAS = sorted(m * 10.0 ** (-4 + 5 * k / 19) for k in range(20) for m in (1, 5))
 
 
-def fold_table(df: DataFrame, n_splits: int, train: int, test: int, lookahead: int, ts: str = "bar_ts") -> DataFrame:
-    """(fold, test_lo, test_hi, train_lo, train_hi): bounds on ranks, the lower inclusive, the upper exclusive."""
-    n = df.agg(F.countDistinct(ts).alias("n"))
-    fold = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold"))
-    end = (F.col("fold") + 1) * test
-    lo = end + lookahead
-    return fold.where(lo + train < F.col("n")).select("fold", (F.col("fold") * test).alias("test_lo"), end.alias("test_hi"), lo.alias("train_lo"), (lo + train).alias("train_hi"))
+def date_ranks(df: DataFrame, ts: str = "bar_ts") -> DataFrame:
+    """(ts, r, n): the distinct times numbered from the latest, 0 first, and their number; one row a time."""
+    return numbered(df, ts, latest_first=True).withColumnRenamed("i", "r")
 
 
-def cv_folds(df: DataFrame, n_splits: int, train: int, test: int, lookahead: int, ts: str = "bar_ts") -> DataFrame:
+def cv_folds(df: DataFrame, n_splits: int | None = None, train: int = 63, test: int = 10, lookahead: int = 1, ts: str = "bar_ts") -> DataFrame:
     """(fold, part, ts): the times of each fold's test and training part.
 
     Times count back from the latest. Fold i tests on ranks [i*test, (i+1)*test) and trains on
     the ``train`` ranks that start ``lookahead`` after the test part; a fold whose training part
-    would reach the first time or beyond is left out. Folds are a few rows and are broadcast to the
-    distinct times, so rows of the panel aren't multiplied here.
+    would reach the first time or beyond is left out. n_splits: None for as many folds as the
+    times allow. A time finds its folds from its own rank, so nothing is joined.
     """
-    folds = fold_table(df, n_splits, train, test, lookahead, ts)
-    parts = folds.select("fold", F.explode(F.array(F.struct(F.lit("test").alias("part"), F.col("test_lo").alias("lo"), F.col("test_hi").alias("hi")), F.struct(F.lit("train").alias("part"), F.col("train_lo").alias("lo"), F.col("train_hi").alias("hi")))).alias("p")).select("fold", "p.*")
-    return date_ranks(df, ts).join(F.broadcast(parts), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).select("fold", "part", ts)
+    ranks = date_ranks(df, ts)
+    # fold i exists if (i + 1) * test + lookahead + train < n
+    last = F.floor((F.col("n") - lookahead - train - 1) / test) - 1
+    last = last if n_splits is None else F.least(last, F.lit(n_splits - 1))
+    tested = F.floor(F.col("r") / test)
+    # it trains fold i if (i + 1) * test + lookahead <= r < (i + 1) * test + lookahead + train
+    hi = F.floor((F.col("r") - lookahead) / test) - 1
+    lo = F.greatest(F.floor((F.col("r") - lookahead - train) / test), F.lit(0))
+    hi = F.least(hi, last)
+    some = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
+    cells = F.concat(
+        F.transform(some(tested, F.least(tested, last)), lambda i: F.struct(i.cast("int").alias("fold"), F.lit("test").alias("part"))),
+        F.transform(some(lo, hi), lambda i: F.struct(i.cast("int").alias("fold"), F.lit("train").alias("part"))),
+    )
+    return ranks.select(ts, F.explode(cells).alias("c")).select("c.fold", "c.part", ts)
 
 
 def fold_scaler(df: DataFrame, folds: DataFrame, columns: list[str], ts: str = "bar_ts") -> DataFrame:
@@ -45,22 +54,46 @@ def fold_scaler(df: DataFrame, folds: DataFrame, columns: list[str], ts: str = "
     return sums.select("fold", F.explode(cells).alias("c")).select("fold", "c.*")
 
 
-def fold_gram(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
+def fold_gram(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "bar_ts", shift: dict[str, float] | None = None) -> DataFrame:
     """(fold, a, b, n, s): sums of products of the intercept ``1``, the columns x and y over training rows, a <= b by place.
 
-    One pass: each pair is one sum with partial aggregation, so no fold's rows are gathered.
+    Products are summed by time first, as matrix products of Arrow batches, and folds then add up
+    the few rows of their times: a row of the panel is read once, however many folds it trains,
+    and no fold's rows are gathered. shift: numbers to take from columns before, so that a large
+    mean costs no digits.
     """
     names = ["1", *x, y]
-    value = lambda c: F.lit(1.0) if c == "1" else F.col(c)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    rows = df.join(folds.where("part = 'train'").select("fold", ts), ts)
-    sums = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(value(a) * value(b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("s")) for k, (a, b) in enumerate(pairs)])
-    return sums.select("fold", "n", F.explode(cells).alias("c")).select("fold", "c.a", "c.b", "n", "c.s")
+    p = len(names)
+    upper = np.triu_indices(p)
+    off = np.array([(shift or {}).get(c, 0.0) for c in names])
+
+    def products(batches):
+        for b in batches:
+            rows = np.column_stack([np.ones(b.num_rows), *(b.column(1 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(p - 1))]) - off
+            time = b.column(0).cast(pa.int64()).to_numpy()
+            order = np.argsort(time, kind="stable")
+            cuts = np.flatnonzero(np.diff(time[order], prepend=time[order[:1]] - 1))
+            at, sums = [], []
+            for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                m = rows[order[i:j]]
+                at.append(time[order[i]])
+                sums.append((m.T @ m)[upper])
+            if at:
+                cells = pa.array(np.concatenate(sums))
+                yield pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int64()), "g": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(upper[0]), pa.int32()), cells)})
+
+    at = F.unix_micros(F.col(ts).cast("timestamp")).alias("t")
+    sent = df.select(F.col(ts).cast("timestamp_ntz").alias("t"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names[1:])])
+    by_time = sent.mapInArrow(products, "t long, g array<double>").select("t", F.posexplode("g").alias("k", "s")).groupBy("t", "k").agg(F.sum("s").alias("s"))
+    train = folds.where("part = 'train'").select("fold", at)
+    label = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b")) for i, j in zip(*upper, strict=True)])
+    sums = by_time.join(train, "t").groupBy("fold", "k").agg(F.sum("s").alias("s"))
+    n = F.max(F.when(F.col("k") == 0, F.col("s"))).over(Window.partitionBy("fold")).cast("long")
+    return sums.select("fold", "k", n.alias("n"), "s").select("fold", F.get(label, F.col("k")).alias("l"), "n", "s").select("fold", "l.a", "l.b", "n", "s")
 
 
 def _system(pdf: pd.DataFrame, x: list[str], y: str):
-    """Centred Gram matrix, right side, means and row count of one fold."""
+    """Scaled Gram matrix and right side, means, deviations and row count of one fold; a deviation of 0 counts as 1."""
     at = {c: k for k, c in enumerate(["1", *x, y])}
     g = np.zeros((len(at), len(at)))
     i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
@@ -68,7 +101,13 @@ def _system(pdf: pd.DataFrame, x: list[str], y: str):
     n = g[0, 0]
     mean = g[0, 1:] / n
     c = g[1:, 1:] - n * np.outer(mean, mean)
-    return c[:-1, :-1], c[:-1, -1], mean[:-1], mean[-1], n
+    std = np.sqrt(np.maximum(np.diag(c), 0) / n)
+    std[std <= 1e-12 * np.sqrt(np.maximum(np.diag(g)[1:], 0) / n)] = 0
+    c[std == 0] = 0
+    c[:, std == 0] = 0
+    std[std == 0] = 1
+    c /= np.outer(std, std)
+    return c[:-1, :-1], c[:-1, -1], mean, std, n
 
 
 def _lasso(g: np.ndarray, r: np.ndarray, lam: float, tol: float, max_iter: int) -> np.ndarray:
@@ -87,40 +126,51 @@ def _lasso(g: np.ndarray, r: np.ndarray, lam: float, tol: float, max_iter: int)
     return b
 
 
-def _fit(gram: DataFrame, x: list[str], y: str, alphas: list[float], solve) -> DataFrame:
-    """One small system for each (fold, alpha); the intercept is left without penalty."""
+def _fit(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float], solve, ts: str) -> DataFrame:
+    """One small system for each (fold, alpha), of columns scaled by the fold's training rows."""
+    wanted = [*x, y]
+    means = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(wanted)]).first()
+    shift = {c: float(m or 0.0) for c, m in zip(wanted, means, strict=True)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, r, mx, my, n = _system(pdf, x, y)
+        g, r, mean, std, n = _system(pdf, x, y)
         alpha = float(pdf["alpha"].iloc[0])
         b = solve(g, r, alpha, n)
-        return pd.DataFrame({"fold": int(pdf["fold"].iloc[0]), "alpha": alpha, "feature": ["1", *x], "coef": [my - mx @ b, *b]})
+        slope = b * std[-1] / std[:-1]
+        level = mean[-1] + shift[y] - (mean[:-1] + np.array([shift[c] for c in x])) @ slope
+        return pd.DataFrame({"fold": int(pdf["fold"].iloc[0]), "alpha": alpha, "feature": ["1", *x], "coef": [0.0, *b], "slope": [level, *slope]})
 
+    gram = fold_gram(df, folds, x, y, ts, shift)
     wide = gram.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    return wide.groupBy("fold", "alpha").applyInPandas(run, "fold int, alpha double, feature string, coef double")
+    return wide.groupBy("fold", "alpha").applyInPandas(run, "fold int, alpha double, feature string, coef double, slope double")
 
 
-def ols(gram: DataFrame, x: list[str], y: str) -> DataFrame:
-    """Least squares a fold; the shortest solution where columns depend on each other."""
-    return _fit(gram, x, y, [0.0], lambda g, r, a, n: np.linalg.lstsq(g, r, rcond=None)[0])
+def ols(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
+    """(fold, alpha 0, feature, coef, slope): least squares a fold; the shortest solution where columns depend on each other.
+
+    coef: of x and y scaled to mean 0 and deviation 1 by the fold's training rows; slope: in the
+    units of the columns, with the level under the feature ``1``. Rows have no nulls.
+    """
+    return _fit(df, folds, x, y, [0.0], lambda g, r, a, n: np.linalg.lstsq(g, r, rcond=None)[0], ts)
 
 
-def ridge(gram: DataFrame, x: list[str], y: str, alphas: list[float]) -> DataFrame:
-    return _fit(gram, x, y, alphas, lambda g, r, a, n: np.linalg.lstsq(g + a * np.eye(len(r)), r, rcond=None)[0])
+def ridge(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float] = RIDGE_ALPHAS, ts: str = "bar_ts") -> DataFrame:
+    """As ols, with alpha on the diagonal of the scaled system."""
+    return _fit(df, folds, x, y, alphas, lambda g, r, a, n: np.linalg.lstsq(g + a * np.eye(len(r)), r, rcond=None)[0], ts)
 
 
-def lasso(gram: DataFrame, x: list[str], y: str, alphas: list[float], tol: float = 1e-4, max_iter: int = 1000) -> DataFrame:
-    """Penalty n * alpha on absolute coefficients, in at most max_iter sweeps."""
-    return _fit(gram, x, y, alphas, lambda g, r, a, n: _lasso(g, r, n * a, tol, max_iter))
+def lasso(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float] = LASSO_ALPHAS, tol: float = 1e-4, max_iter: int = 1000, ts: str = "bar_ts") -> DataFrame:
+    """As ols, with a penalty n * alpha on absolute coefficients of the scaled system, in at most max_iter sweeps."""
+    return _fit(df, folds, x, y, alphas, lambda g, r, a, n: _lasso(g, r, n * a, tol, max_iter), ts)
 
 
-def predict(df: DataFrame, folds: DataFrame, coefs: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
-    """(fold, alpha, ticker, ts, predicted, actual) for the test rows of each fold."""
-    by_fold = coefs.groupBy("fold", "alpha").agg(F.map_from_entries(F.collect_list(F.struct("feature", "coef"))).alias("c"))
+def predict(df: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
+    """(fold, alpha, ticker, ts, predicted, actual) for the test rows of each fold, in the units of y."""
+    by_fold = models.groupBy("fold", "alpha").agg(F.map_from_entries(F.collect_list(F.struct("feature", "slope"))).alias("_slopes"))
     rows = df.join(folds.where("part = 'test'").select("fold", ts), ts).join(by_fold, "fold")
-    total = F.col("c")["1"]
+    total = F.col("_slopes")["1"]
     for name in x:
-        total = total + F.col("c")[name] * F.col(name)
+        total = total + F.col("_slopes")[name] * F.col(name)
     return rows.select("fold", "alpha", "ticker", ts, total.alias("predicted"), F.col(y).alias("actual"))
 
 
@@ -158,14 +208,32 @@ def top_features(stats: DataFrame, k: int = 10, by: str = "mean_coef") -> DataFr
 def feature_corr(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) for all ordered pairs of columns: over rows that have both; null without variance.
 
-    All pairs are sums of one aggregate, so rows are neither unpivoted nor joined.
+    An Arrow batch gives, as matrix products, each pair's count, sums, squares and products over
+    the rows that have both; a few numbers a pair and task are then added up. Columns are shifted
+    by their means first, so large ones cost no digits.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    agg = [f(a, b).alias(f"{n}{k}") for k, (a, b) in enumerate(pairs) for n, f in (("xy", F.regr_sxy), ("xx", F.regr_sxx), ("yy", F.regr_syy))]
-    sums = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(*agg)
-    corr = lambda k: F.when((F.col(f"xx{k}") > 0) & (F.col(f"yy{k}") > 0), F.try_divide(F.col(f"xy{k}"), F.sqrt(F.col(f"xx{k}")) * F.sqrt(F.col(f"yy{k}"))))
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(k).alias("corr")) for k, pair in enumerate(pairs) for a, b in dict.fromkeys((pair, pair[::-1]))]
-    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    p = len(columns)
+    found = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    shift = np.array([float(m) if m is not None and np.isfinite(m) else 0.0 for m in found])
+
+    def sums(batches):
+        total = np.zeros((6, p, p))
+        for b in batches:
+            v = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(p)]) - shift
+            has = np.column_stack([np.asarray(b.column(k).is_valid()) for k in range(p)]).astype(float)
+            v = np.where(has > 0, v, 0.0)
+            total += np.stack([has.T @ has, v.T @ has, has.T @ v, (v * v).T @ has, has.T @ (v * v), v.T @ v])
+        i, j = np.divmod(np.arange(p * p), p)
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j} | {n: total[k].ravel() for k, n in enumerate(("n", "x", "y", "xx", "yy", "xy"))})
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(sums, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    s = rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    c = F.col
+    varies = lambda q, m: c(q) - F.try_divide(c(m) * c(m), c("n"))
+    real = lambda q, m: varies(q, m) > 1e-14 * c(q)
+    corr = F.when(real("xx", "x") & real("yy", "y"), (c("xy") - c("x") * c("y") / c("n")) / (F.sqrt(varies("xx", "x")) * F.sqrt(varies("yy", "y"))))
+    names = F.array(*[F.lit(x) for x in columns])
+    return s.select(F.get(names, c("i").cast("int")).alias("a"), F.get(names, c("j").cast("int")).alias("b"), F.when(c("i") == c("j"), F.when(corr.isNotNull(), 1.0)).otherwise(corr).alias("corr"))
 
 
 def strong_features(corr: DataFrame, least: float = 0.7) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions.windows import average_rank, by_ticker, full_mean
+from tidewright.sources.folders import stored
 
 LAGS = (1, 5, 10, 21, 42, 63)
 LAGGED = (1, 5, 10, 21)
@@ -54,34 +55,37 @@ def raw_returns(df: DataFrame, lags=LAGS) -> DataFrame:
 def clip_bounds(raw: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None) -> DataFrame:
     """One row with lo_L and hi_L, quantiles over all tickers.
 
-    ``linear`` interpolates; ``nearest`` takes the element at round((n-1)q); ``approx`` is for
-    sizes at which the distinct values of an exact quantile don't fit one reducer.
-    fit_until: only rows up to that time count, which avoids looking ahead.
+    ``nearest`` takes the element at round((n-1)q); ``linear`` interpolates between the two
+    elements around (n-1)q. Counts by bin find the bins of the wanted places, and only the rows
+    of those are ranked, so no task holds all values. fit_until: only rows up to that time count,
+    which avoids looking ahead.
     """
     rows = raw if fit_until is None else raw.where(F.col("bar_ts") <= F.lit(fit_until).cast("timestamp_ntz"))
-    out = {"linear": lambda c, p: F.percentile(c, F.lit(p)), "approx": lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(100_000))}
-    if interpolation in out:
-        return rows.agg(*[out[interpolation](F.col(f"raw_{n}b"), p).alias(f"{side}_{n}") for n in lags for side, p in (("lo", q), ("hi", 1 - q))])
-    # counts by bin find the bin of each wanted place; only that bin's rows are ranked, so values are never grouped
     cells = F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"raw_{n}b").alias("x")) for n in lags])
     long = rows.select(F.explode(cells).alias("r")).select("r.*").where("x IS NOT NULL").withColumn("bin", F.floor(F.col("x") * 1000))
     per_bin = long.groupBy("lag", "bin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("lag").orderBy("bin"))
     total = F.sum("n").over(Window.partitionBy("lag"))
     counted = per_bin.select("lag", "bin", (upto - F.col("n")).alias("before"), upto.alias("upto"), (total - 1).alias("last"))
-    ends = F.array(F.struct(F.lit("lo").alias("side"), F.round(F.col("last") * q).alias("k")), F.struct(F.lit("hi").alias("side"), F.round(F.col("last") * (1 - q)).alias("k")))
-    places = counted.select("lag", "bin", "before", "upto", F.explode(ends).alias("p")).where("p.k >= before AND p.k < upto").select("lag", "bin", "before", "p.side", "p.k")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("lag", "side").orderBy("x")) - 1
-    found = long.join(F.broadcast(places), ["lag", "bin"]).select("lag", "side", "x", "k", place.alias("place")).where("place = k")  # one row a lag and side
-    return found.agg(*[F.max(F.when((F.col("lag") == n) & (F.col("side") == side), F.col("x"))).alias(f"{side}_{n}") for n in lags for side in ("lo", "hi")])
+
+    def ends(side: str, p: float) -> list[Column]:
+        at = F.col("last") * p
+        places = [(F.round(at), F.lit(1.0))] if interpolation == "nearest" else [(F.floor(at).cast("double"), 1 - (at - F.floor(at))), (F.floor(at).cast("double") + 1, at - F.floor(at))]
+        return [F.struct(F.lit(side).alias("side"), k.alias("k"), share.alias("share")) for k, share in places]
+
+    places = counted.select("lag", "bin", "before", "upto", F.explode(F.array(*ends("lo", q), *ends("hi", 1 - q))).alias("p")).where("p.k >= before AND p.k < upto").select("lag", "bin", "before", "p.side", "p.k", "p.share")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("lag", "side", "k").orderBy("x")) - 1
+    found = long.join(F.broadcast(places), ["lag", "bin"]).select("lag", "side", "x", "k", "share", place.alias("place")).where("place = k")  # two rows a lag and side at most
+    return found.agg(*[F.sum(F.when((F.col("lag") == n) & (F.col("side") == side) & (F.col("share") > 0), F.col("x") * F.col("share"))).alias(f"{side}_{n}") for n in lags for side in ("lo", "hi")])
 
 
 def clipped_returns(df: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None) -> DataFrame:
     """return_Lb: the return over L bars, clipped to quantiles over all tickers, as a rate a bar.
 
-    The bounds are one row, so the join carries a few numbers.
+    Raw returns are written once, as bounds and result both need them. The bounds are one row,
+    so the join carries a few numbers.
     """
-    raw = raw_returns(df, lags)
+    raw = stored(raw_returns(df, lags), "returns")
     bounds = clip_bounds(raw, lags, q, interpolation, fit_until)
 
     def rate(n: int) -> Column:

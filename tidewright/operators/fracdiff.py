@@ -1,15 +1,17 @@
 """Fractional differencing and the search for the least order that makes a series stationary.
 
-Series are (ticker, bar_ts, x). A whole grid of orders is one job: a frame of the last K values
-is collected once a row, each order is a dot product with its weights, and the unit-root test is
-sums of squares by (ticker, d), so nothing loops over tickers or orders.
+Series are (ticker, bar_ts, x). A whole search is one job, parallel over tickers: a ticker's values
+come to one task as a vector, every order is one convolution, and its unit-root test is sums of
+squares. The test of given series is aggregates alone.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,24 +56,31 @@ def frac_diff(series: DataFrame, d: float, threshold: float = 0.001, col: str =
     return series.withColumn(f"{col}_frac_diff", total)
 
 
-def _dot(values: Column, w: list[float]) -> Column:
-    """Sum of w_k times the value k rows before; values: the frame's rows, the newest last."""
-    newest = F.reverse(values)
-    return F.aggregate(F.zip_with(F.slice(newest, 1, len(w)), F.array(*[F.lit(x) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+def _differenced(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of w_k times the value k rows before, full frames only; x is NaN where it is null."""
+    return np.convolve(x, w, "valid") if len(x) >= len(w) else np.zeros(0)
+
+
+def _vector(table: pa.Table) -> np.ndarray:
+    return table.sort_by([("bar_ts", "ascending"), ("x", "ascending")]).column("x").to_numpy().astype(float)
 
 
 def grid_series(series: DataFrame, orders: list[float], threshold: float = 0.001) -> DataFrame:
-    """(ticker, bar_ts, d, x): the series under each order, rows with a full frame only.
+    """(ticker, bar_ts, d, x): the series under each order, rows with a full frame and without a null in it only."""
+    table = {d: np.array(weights(d, threshold)) for d in orders}
 
-    Null values stay null: a frame carries them inside structs, as collect_list drops plain nulls.
-    """
-    table = {d: weights(d, threshold) for d in orders}
-    longest = max(len(w) for w in table.values())
-    w = Window.partitionBy("ticker").orderBy("bar_ts")
-    frame = F.collect_list(F.struct("x")).over(w.rowsBetween(-(longest - 1), 0))
-    held = series.select("ticker", "bar_ts", F.transform(frame, lambda s: s["x"]).alias("h"))
-    cells = F.array(*[F.struct(F.lit(d).alias("d"), F.when(F.size("h") >= len(wk), _dot(F.col("h"), wk)).alias("x")) for d, wk in table.items()])
-    return held.select("ticker", "bar_ts", F.explode(cells).alias("c")).select("ticker", "bar_ts", "c.d", "c.x").where("x IS NOT NULL")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("bar_ts", "ascending"), ("x", "ascending")])
+        x, out = t.column("x").to_numpy().astype(float), []
+        for d, w in table.items():
+            y = _differenced(x, w)
+            keep = ~np.isnan(y)
+            cut = t.slice(t.num_rows - len(y)).filter(pa.array(keep))
+            out.append(pa.table({"ticker": cut.column("ticker"), "bar_ts": cut.column("bar_ts"), "d": pa.array(np.full(int(keep.sum()), d)), "x": pa.array(y[keep])}))
+        return pa.concat_tables(out)
+
+    rows = series.select("ticker", "bar_ts", F.col("x").cast("double").alias("x"))
+    return rows.groupBy("ticker").applyInArrow(run, "ticker string, bar_ts timestamp_ntz, d double, x double")
 
 
 def adf_test(series: DataFrame, *keys: str) -> DataFrame:
@@ -136,51 +145,80 @@ def with_p(tests: DataFrame, significance: float = 0.05) -> DataFrame:
     return out.withColumn("is_stationary", F.coalesce(F.col("p_value") < significance, F.lit(False)))
 
 
-def _least_passing(tests: DataFrame, significance: float) -> Column:
-    ok = (F.col("stat") < critical(significance)) & (F.col("n") >= MIN_VALUES)
-    return F.min(F.when(ok, F.col("d")))
+def _statistic(x: np.ndarray) -> float:
+    """The statistic of ``adf_test`` for one vector; NaN where there is none."""
+    if len(x) < 5 or not np.isfinite(x).all():
+        return math.nan
+    centred = lambda v: v - v.mean()
+    y0, l0 = np.diff(x), x[:-1] - x[:-1].mean()
+    y, l, z = centred(y0[1:]), centred(l0[1:]), centred(y0[:-1])
+    ll, ly, yy, zz, zy, lz = l @ l, l @ y, y @ y, z @ z, z @ y, l @ z
+    n, det = len(y), ll * zz - lz * lz
+    if det > 0 and ll > 0:
+        b, g = (zz * ly - lz * zy) / det, (ll * zy - lz * ly) / det
+        one, none = yy - b * ly - g * zy, yy - ly * ly / ll
+        if one > 0 and none > 0 and n * math.log(one / n) + 6 < n * math.log(none / n) + 4:
+            return b / math.sqrt(one / (n - 3) * zz / det) if n > 3 else math.nan
+    y0, l0 = centred(y0), centred(l0)
+    ll, ly = l0 @ l0, l0 @ y0
+    ssr = y0 @ y0 - ly * ly / ll if ll > 0 else 0.0
+    return ly / ll / math.sqrt(ssr / (len(y0) - 2) / ll) if ssr > 0 and len(y0) > 2 else math.nan
 
 
 def grid(max_d: float = 1.0, min_d: float = 0.1, steps: int = 11) -> list[float]:
     return [d for d in (max_d * i / (steps - 1) for i in range(steps)) if d >= min_d]
 
 
-def min_d_grid(series: DataFrame, max_d: float = 1.0, min_d: float = 0.1, threshold: float = 0.001, significance: float = 0.05) -> DataFrame:
-    """(ticker, d): the least order of the grid whose series passes the test; max_d where none does."""
-    tests = adf_test(grid_series(series.select("ticker", "bar_ts", "x"), grid(max_d, min_d), threshold), "ticker", "d")
-    found = tests.groupBy("ticker").agg(_least_passing(tests, significance).alias("d"))
-    every = series.select("ticker").distinct()
-    return every.join(found, "ticker", "left").select("ticker", F.coalesce("d", F.lit(max_d)).alias("d"))
+def _search(series: DataFrame, max_d: float, min_d: float, threshold: float, significance: float, points: int) -> DataFrame:
+    """(ticker, d, fine): the least passing order of the grid, and of the finer steps up to it if points > 0."""
+    limit, known = critical(significance), {}
 
+    def run(t: pa.Table) -> pa.Table:
+        x = _vector(t)
 
-def min_d_refined(series: DataFrame, max_d: float = 1.0, min_d: float = 0.1, threshold: float = 0.001, significance: float = 0.05, points: int = 10) -> DataFrame:
-    """(ticker, d): the grid's order, then the least that passes of points even steps from min_d up to it, to 3 places.
+        def first(orders: list[float]) -> float | None:
+            for d in orders:
+                if d not in known:
+                    known[d] = np.array(weights(d, threshold))
+                y = _differenced(x, known[d])
+                y = y[~np.isnan(y)]
+                if len(y) >= MIN_VALUES and _statistic(y) < limit:
+                    return d
+            return None
+
+        found = first(grid(max_d, min_d))
+        d = max_d if found is None else found
+        fine = first([min_d + (d - min_d) * i / (points - 1) for i in range(points)]) if points else None
+        known.clear()
+        return pa.table({"ticker": t.column("ticker")[:1], "d": [d], "fine": [round(d if fine is None else fine, 3)]})
 
-    Steps differ by ticker only through the grid's order, so the second pass tests the steps of
-    every grid order once and each ticker picks from its own.
+    rows = series.select("ticker", "bar_ts", F.col("x").cast("double").alias("x"))
+    return rows.groupBy("ticker").applyInArrow(run, "ticker string, d double, fine double")
+
+
+def min_d_grid(series: DataFrame, max_d: float = 1.0, min_d: float = 0.1, threshold: float = 0.001, significance: float = 0.05) -> DataFrame:
+    """(ticker, d): the least order of the grid whose series passes the test; max_d where none does.
+
+    A ticker's orders are tried in turn up to the first that passes.
     """
-    first = min_d_grid(series, max_d, min_d, threshold, significance)
-    steps = {hi: [min_d + (hi - min_d) * i / (points - 1) for i in range(points)] for hi in grid(max_d, min_d)}
-    choice = F.create_map(*[x for hi, ds in steps.items() for x in (F.lit(hi), F.array(*[F.lit(d) for d in ds]))])
-    wanted = first.select("ticker", F.col("d").alias("hi"), F.explode(F.element_at(choice, F.col("d"))).alias("d")).distinct()
-    table = {d: weights(d, threshold) for d in sorted({d for ds in steps.values() for d in ds})}
-    longest = max(len(w) for w in table.values())
-    by_time = Window.partitionBy("ticker").orderBy("bar_ts")
-    frame = F.transform(F.collect_list(F.struct("x")).over(by_time.rowsBetween(-(longest - 1), 0)), lambda s: s["x"])
-    held = series.select("ticker", "bar_ts", frame.alias("h"))
-    w = F.create_map(*[x for d, ws in table.items() for x in (F.lit(d), F.array(*[F.lit(v) for v in ws]))])
-    pairs = held.join(wanted, "ticker").withColumn("w", F.element_at(w, F.col("d"))).where(F.size("h") >= F.size("w"))
-    dot = F.aggregate(F.zip_with(F.slice(F.reverse("h"), F.lit(1), F.size("w")), "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    tests = adf_test(pairs.select("ticker", "bar_ts", "d", dot.alias("x")).where("x IS NOT NULL"), "ticker", "d")
-    found = tests.groupBy("ticker").agg(_least_passing(tests, significance).alias("low"))
-    return first.join(found, "ticker", "left").select("ticker", F.round(F.coalesce("low", "d"), 3).alias("d"))
+    return _search(series, max_d, min_d, threshold, significance, 0).select("ticker", "d")
+
+
+def min_d_refined(series: DataFrame, max_d: float = 1.0, min_d: float = 0.1, threshold: float = 0.001, significance: float = 0.05, points: int = 10) -> DataFrame:
+    """(ticker, d): the grid's order, then the least that passes of points even steps from min_d up to it, to 3 places; one pass over a ticker's vector."""
+    return _search(series, max_d, min_d, threshold, significance, points).select("ticker", F.col("fine").alias("d"))
 
 
 def global_d(per_ticker: DataFrame, coverage: float = 0.8, max_d: float = 1.0) -> DataFrame:
-    """One row d: of the sorted orders the one at int(n * coverage), the last at most; max_d without tickers."""
-    ds = F.sort_array(F.collect_list("d"))
-    at = F.least(F.floor(F.size("ds") * coverage), F.size("ds") - 1).cast("int")
-    return per_ticker.agg(ds.alias("ds")).select(F.when(F.size("ds") > 0, F.get("ds", at)).otherwise(max_d).alias("d"))
+    """One row d: of the sorted orders the one at int(n * coverage), the last at most; max_d without tickers.
+
+    Tickers are counted by order, so what is sorted is one row an order of the grid.
+    """
+    counted = per_ticker.groupBy("d").agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(Window.orderBy("d")), F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    at = F.least(F.floor(total * coverage), total - 1)
+    picked = counted.select("d", upto.alias("upto"), at.alias("at")).where("upto > at")
+    return picked.agg(F.coalesce(F.min("d"), F.lit(max_d)).alias("d"))
 
 
 def reference_ticker_d(series: DataFrame, ticker: str, **options) -> DataFrame:
@@ -207,18 +245,10 @@ def memory_corr(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ffd_features(bars: DataFrame, threshold: float = 0.001, coverage: float = 0.8, **options) -> DataFrame:
-    """Adds log_close_frac_diff under the order that covers the tickers.
+    """Adds log_close and log_close_frac_diff under the order that covers the tickers.
 
-    The order is one of the grid's, so each of them is a column of dot products, and the one row
-    with the order picks; no value comes to the driver.
+    The order is one number; it comes to the driver, and the series is differenced under it alone.
     """
-    series = bars.withColumn("x", F.ln("close"))
-    d = global_d(min_d_grid(series, threshold=threshold, **options), coverage)
-    table = {x: weights(x, threshold) for x in [*grid(), 1.0]}
-    longest = max(len(w) for w in table.values())
-    by_time = Window.partitionBy("ticker").orderBy("bar_ts")
-    frame = F.transform(F.collect_list(F.struct("x")).over(by_time.rowsBetween(-(longest - 1), 0)), lambda s: s["x"])
-    w = F.create_map(*[y for k, ws in table.items() for y in (F.lit(k), F.array(*[F.lit(v) for v in ws]))])
-    held = series.withColumn("_h", frame).join(F.broadcast(d.withColumnRenamed("d", "_d"))).withColumn("_w", F.element_at(w, F.col("_d")))
-    dot = F.aggregate(F.zip_with(F.slice(F.reverse("_h"), F.lit(1), F.size("_w")), "_w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return held.select(*bars.columns, F.col("x").alias("log_close"), F.when(F.size("_h") >= F.size("_w"), dot).alias("log_close_frac_diff"))
+    series = bars.withColumn("log_close", F.ln("close"))
+    found = global_d(min_d_grid(series.withColumn("x", F.col("log_close")), threshold=threshold, **options), coverage).first()
+    return frac_diff(series, found["d"], threshold, "log_close")

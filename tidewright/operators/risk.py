@@ -20,25 +20,38 @@ def returns_wide(returns: DataFrame, assets: list[str]) -> DataFrame:
     return wide.where(" AND ".join(f"`{a}` IS NOT NULL" for a in assets))
 
 
-def sample_cov(returns: DataFrame) -> DataFrame:
-    """(portfolio, i, j, cov) for i <= j: population covariance of complete rows.
+def _complete(returns: DataFrame) -> DataFrame:
+    """(portfolio, bar_ts, r array<struct<asset, ret>>): the times at which every asset of a portfolio has one return, by asset."""
+    assets = returns.groupBy("portfolio").agg(F.countDistinct("asset").alias("p"))
+    rows = returns.where("ret IS NOT NULL").groupBy("portfolio", "bar_ts").agg(F.array_sort(F.collect_list(F.struct("asset", "ret"))).alias("r"))
+    full = (F.size("r") == F.col("p")) & (F.size(F.array_distinct(F.col("r.asset"))) == F.col("p"))
+    return rows.join(assets, "portfolio").where(full).select("portfolio", "bar_ts", "r")
 
-    A row of all assets is gathered once as an array and its pairs are exploded, which needs one
-    shuffle by (portfolio, time); a self-join would need two and a sort.
-    """
-    rows = returns.groupBy("portfolio", "bar_ts").agg(F.array_sort(F.collect_list(F.struct("asset", "ret"))).alias("r"))
-    first = rows.select("portfolio", F.posexplode("r").alias("k", "x"), "r")
+
+def _cov(complete: DataFrame) -> DataFrame:
+    first = complete.select("portfolio", F.posexplode("r").alias("k", "x"), "r")
     pairs = first.select("portfolio", "x", F.explode(F.slice("r", F.col("k") + 1, F.size("r"))).alias("y"))
     return pairs.groupBy("portfolio", F.col("x.asset").alias("i"), F.col("y.asset").alias("j")).agg(F.covar_pop("x.ret", "y.ret").alias("cov"))
 
 
+def sample_cov(returns: DataFrame) -> DataFrame:
+    """(portfolio, i, j, cov) for i <= j: population covariance of complete rows only.
+
+    A time at which an asset of the portfolio has no return is left out for all pairs. A row of
+    all assets is gathered once as an array and its pairs are exploded, which needs one shuffle
+    by (portfolio, time); a self-join would need two and a sort.
+    """
+    return _cov(_complete(returns))
+
+
 def ledoit_wolf(returns: DataFrame, cov: DataFrame | None = None) -> DataFrame:
-    """(portfolio, i, j, cov, shrinkage) for i <= j: covariance shrunk to a multiple of the identity (Ledoit and Wolf, 2004)."""
-    cov = sample_cov(returns) if cov is None else cov
+    """(portfolio, i, j, cov, shrinkage) for i <= j: covariance of complete rows shrunk to a multiple of the identity (Ledoit and Wolf, 2004)."""
+    complete = _complete(returns)
+    cov = _cov(complete) if cov is None else cov
     both = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
     s = cov.groupBy("portfolio").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))).alias("trace"), F.sum(both * F.col("cov") * F.col("cov")).alias("norm"), F.count_if(F.col("i") == F.col("j")).alias("p"))
-    mean = F.avg("ret").over(Window.partitionBy("portfolio", "asset"))
-    centred = returns.select("portfolio", "bar_ts", (F.col("ret") - mean).alias("x"))
+    mean = F.avg("r.ret").over(Window.partitionBy("portfolio", "r.asset"))
+    centred = complete.select("portfolio", "bar_ts", F.explode("r").alias("r")).select("portfolio", "bar_ts", (F.col("r.ret") - mean).alias("x"))
     fourth = centred.groupBy("portfolio", "bar_ts").agg(F.sum(F.col("x") * F.col("x")).alias("q")).groupBy("portfolio").agg(F.sum(F.col("q") * F.col("q")).alias("q2"), F.count("*").alias("n"))
     c = F.col
     mu = c("trace") / c("p")
@@ -88,12 +101,27 @@ def denoise_cov(cov: DataFrame, n_rows: DataFrame) -> DataFrame:
 
 
 def _leaf_order(dist: np.ndarray) -> list[int]:
-    """Single linkage; each merge puts the cluster with the smaller first member first, so ties have one result."""
-    clusters = [[k] for k in range(len(dist))]
-    while len(clusters) > 1:
-        _, a, b = min((dist[np.ix_(clusters[x], clusters[y])].min(), x, y) for x in range(len(clusters)) for y in range(x + 1, len(clusters)))
-        clusters[a] = clusters[a] + clusters.pop(b)
-    return clusters[0]
+    """Single linkage by a minimum spanning tree, in the square of the assets.
+
+    Edges join clusters in order of length, ties by their ends; the cluster of the smaller first
+    member goes first.
+    """
+    n = len(dist)
+    near, to, left, edges = dist[0].copy(), np.zeros(n, np.int64), np.ones(n, bool), []
+    left[0] = False
+    for _ in range(n - 1):
+        k = int(np.argmin(np.where(left, near, np.inf)))
+        edges.append((near[k], *sorted((k, int(to[k])))))
+        left[k] = False
+        closer = left & (dist[k] < near)
+        near[closer], to[closer] = dist[k][closer], k
+    cluster = {k: [k] for k in range(n)}
+    for _, a, b in sorted(edges):
+        x, y = sorted((cluster[a], cluster[b]), key=lambda c: c[0])
+        x += y
+        for k in y:
+            cluster[k] = x
+    return cluster[0]
 
 
 def _bisect(m: np.ndarray, order: list[int]) -> np.ndarray:
@@ -163,12 +191,13 @@ def min_position(weights: DataFrame, least: float = 0.05) -> DataFrame:
     return weights.withColumn("weight", F.when(F.count_if(w >= least).over(_all()) == 0, 1.0 / n).otherwise(_scaled(kept)))
 
 
-def max_position(weights: DataFrame, most: float = 0.2) -> DataFrame:
+def max_position(weights: DataFrame, most: float = 0.2, strict: bool = True) -> DataFrame:
     """Caps the largest weights one by one and scales the rest to what remains; ties by asset name.
 
-    A single asset gets 1. A cap under 1/n can't hold and gives null. In order of weight, the k-th
-    is capped if, scaled to what the k-1 caps before leave, it would exceed the cap, and all
-    before it were capped: prefix sums and one running minimum instead of a loop.
+    A single asset gets 1; portfolios with a null weight get nulls. Where the caps take all weight there is (nothing remains to scale),
+    every asset gets 1/n. A cap under 1/n can't hold: an error, or null if not strict. In order
+    of weight, the k-th is capped if, scaled to what the k-1 caps before leave, it would exceed
+    the cap, and all before it were capped: prefix sums and one running minimum instead of a loop.
     """
     w, c = F.col("weight"), F.lit(float(most))
     order = Window.partitionBy("portfolio").orderBy(F.desc("weight"), "asset")
@@ -179,14 +208,17 @@ def max_position(weights: DataFrame, most: float = 0.2) -> DataFrame:
     ranked = ranked.withColumn("_cap", F.min("_over").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     budget = 1 - F.sum("_cap").over(_all()) * c
     rest = F.sum(F.when(F.col("_cap") == 0, w).otherwise(0.0)).over(_all())
-    free = F.sum(1 - F.col("_cap")).over(_all())
-    share = F.when(rest > 0, w * budget / F.when(rest > 0, rest)).otherwise(budget / F.when(free > 0, free))
-    capped = F.when(F.col("_cap") == 1, c).otherwise(share)
-    out = F.when(F.col("_n") == 1, 1.0).when(c < 1.0 / F.col("_n"), None).when(F.col("_max") <= c + 1e-10, w).otherwise(capped)
+    capped = F.when(rest > 0, F.when(F.col("_cap") == 1, c).otherwise(w * budget / F.when(rest > 0, rest))).otherwise(1.0 / F.col("_n"))
+    low = F.raise_error(F.concat(F.lit(f"the cap {most} is under 1/"), F.col("_n").cast("string"))).cast("double") if strict else F.lit(None).cast("double")
+    out = F.when(F.count(w).over(_all()) < F.col("_n"), None).when(F.col("_n") == 1, 1.0).when(c < 1.0 / F.col("_n"), low).when(F.col("_max") <= c + 1e-10, w).otherwise(capped)
     return ranked.select(*[x for x in weights.columns if x != "weight"], out.alias("weight"))
 
 
-def constrained_weights(weights: DataFrame, least: float = 0.05, most: float = 0.2) -> DataFrame:
-    """The three rules in turn, with sums_to_one as a check."""
-    out = max_position(min_position(long_only(weights), least), most)
-    return out.withColumn("sums_to_one", F.coalesce(F.abs(F.sum("weight").over(_all()) - 1) <= CLOSE, F.lit(False)))
+def constrained_weights(weights: DataFrame, least: float = 0.05, most: float = 0.2, strict: bool = True) -> DataFrame:
+    """The three rules in turn; a portfolio whose weights don't sum to 1 is an error, or has sums_to_one false if not strict."""
+    out = max_position(min_position(long_only(weights), least), most, strict)
+    total = F.sum("weight").over(_all())
+    fine = F.coalesce(F.abs(total - 1) <= CLOSE, F.lit(False))
+    if strict:
+        fine = F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("weights sum to "), F.coalesce(total.cast("string"), F.lit("null")))).cast("boolean"))
+    return out.withColumn("sums_to_one", fine)

@@ -28,16 +28,19 @@ def _counts(df: DataFrame, bad: list[Column]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), *[F.count_if(b).alias(f"bad_{i}") for i, b in enumerate(bad)])
 
 
+def _schema_rows(df: DataFrame, required: T.StructType) -> list[tuple]:
+    have = {f.name: type(f.dataType) for f in df.schema}
+    rows = [("missing", f.name, int(f.name not in have), 1, f.name not in have) for f in required]
+    return rows + [("type", f.name, int(have[f.name] is not type(f.dataType)), 1, have[f.name] is not type(f.dataType)) for f in required if f.name in have]
+
+
 def validate_schema(df: DataFrame, required: T.StructType = BAR_SCHEMA) -> DataFrame:
     """Missing columns and types that differ, one row a required column, and one for an empty table.
 
     Types are compared by class; only columns that are present are compared. The schema is known
     without reading; emptiness reads one row.
     """
-    have = {f.name: type(f.dataType) for f in df.schema}
-    rows = [("missing", f.name, int(f.name not in have), 1, f.name not in have) for f in required]
-    rows += [("type", f.name, int(have[f.name] is not type(f.dataType)), 1, have[f.name] is not type(f.dataType)) for f in required if f.name in have]
-    known = df.sparkSession.createDataFrame(rows, REPORT)
+    known = df.sparkSession.createDataFrame(_schema_rows(df, required), REPORT)
     empty = df.limit(1).agg(F.count("*").alias("n")).select(F.lit("empty").alias("check"), F.lit("").alias("column"), (1 - F.col("n")).alias("n_bad"), F.col("n").alias("n_rows"), (F.col("n") == 0).alias("failed"))
     return known.unionByName(empty)
 
@@ -68,19 +71,23 @@ def validate_monotonic(df: DataFrame, group: str = "ticker", seq: str = "seq", t
     return _report(_counts(rows, [F.col("late")]), "monotonic", [ts], lambda bad, n: bad > 0)
 
 
-def validation_report(df: DataFrame, seq: str, tolerance: float = 0.001, min_price: float = 0.0, group: str = "ticker", ts: str = "bar_ts") -> DataFrame:
-    """Nulls of the price columns, prices and order, in one aggregate over one scan."""
+def validation_report(df: DataFrame, seq: str, tolerance: float = 0.001, min_price: float = 0.0, group: str = "ticker", ts: str = "bar_ts", required: T.StructType = BAR_SCHEMA) -> DataFrame:
+    """Schema, nulls of the price columns, prices and order: one aggregate over one scan gives all report rows.
+
+    Columns that are missing fail in the schema's rows and are left out of the others.
+    """
+    prices = [c for c in PRICES if c in df.columns]
     before = F.lag(ts).over(Window.partitionBy(group).orderBy(seq))
-    flagged = df.select(*PRICES, (F.col(ts) < before).alias("_late"))
-    counts = _counts(flagged, [F.col(c).isNull() for c in PRICES] + [F.col(c) < F.lit(min_price) for c in PRICES] + [F.col("_late")])
-    pick = lambda i, j: counts.select("n_rows", *[F.col(f"bad_{k}").alias(f"bad_{k - i}") for k in range(i, j)])
-    n = len(PRICES)
-    parts = [
-        _report(pick(0, n), "nulls", list(PRICES), lambda bad, rows: (rows == 0) | (bad > rows * F.lit(tolerance))),
-        _report(pick(n, 2 * n), "prices", list(PRICES), lambda bad, rows: bad > 0),
-        _report(pick(2 * n, 2 * n + 1), "monotonic", [ts], lambda bad, rows: bad > 0),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    flagged = df.select(*prices, (F.col(ts) < before).alias("_late"))
+    share = lambda bad, rows: (rows == 0) | (bad > rows * F.lit(tolerance))
+    any_bad = lambda bad, rows: bad > 0
+    checks = [("nulls", c, F.col(c).isNull(), share) for c in prices] + [("prices", c, F.col(c) < F.lit(min_price), any_bad) for c in prices] + [("monotonic", ts, F.col("_late"), any_bad)]
+    n = F.col("n_rows")
+    cell = lambda check, column, bad, rows, failed: F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), bad.cast("long").alias("n_bad"), rows.cast("long").alias("n_rows"), failed.alias("failed"))
+    cells = [cell(check, column, F.lit(bad), F.lit(rows), F.lit(failed)) for check, column, bad, rows, failed in _schema_rows(df, required)]
+    cells += [cell("empty", "", (n == 0).cast("long"), F.least(n, F.lit(1)), n == 0)]
+    cells += [cell(check, column, F.col(f"bad_{i}"), n, failed(F.col(f"bad_{i}"), n)) for i, (check, column, _, failed) in enumerate(checks)]
+    return _counts(flagged, [bad for _, _, bad, _ in checks]).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
 def raise_if_failed(report: DataFrame) -> None:

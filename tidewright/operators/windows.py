@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.windows import by_ticker
+from tidewright.functions.windows import by_ticker, numbered
 
 
 def window_index(df: DataFrame, length: int = 60) -> DataFrame:
@@ -43,18 +43,9 @@ def time_split_date(df: DataFrame, cutoff: str) -> DataFrame:
 
 
 def split_time(df: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """One row cutoff: of the sorted distinct times the one at int(n * ratio); the last at most.
-
-    Times are numbered by day counts and then within the day, so no window spans all times.
-    """
-    times = df.select("bar_ts").distinct().withColumn("day", F.to_date("bar_ts"))
-    days = times.groupBy("day").agg(F.count("*").alias("n"))  # one row a day
-    upto = F.sum("n").over(Window.orderBy("day"))
-    total = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    at = F.least(F.floor(total * ratio), total - 1)
-    day = days.select("day", (upto - F.col("n")).alias("before"), upto.alias("upto"), at.alias("at")).where("at >= before AND at < upto")
-    rn = F.row_number().over(Window.partitionBy("day").orderBy("bar_ts")) - 1
-    return times.join(F.broadcast(day), "day").select("bar_ts", (F.col("before") + rn).alias("i"), "at").where("i = at").select(F.col("bar_ts").alias("cutoff"))
+    """One row cutoff: of the sorted distinct times the one at int(n * ratio); the last at most."""
+    at = F.least(F.floor(F.col("n") * ratio), F.col("n") - 1)
+    return numbered(df).where(F.col("i") == at).select(F.col("bar_ts").alias("cutoff"))
 
 
 def time_split_ratio(df: DataFrame, ratio: float = 0.8) -> DataFrame:
@@ -73,12 +64,14 @@ def check_split(split: DataFrame) -> dict[str, int]:
 def batches(df: DataFrame, length: int = 60, size: int = 32) -> DataFrame:
     """(split, ticker, start, idx, batch): windows of each side numbered in order of ticker and start.
 
-    df has the column split; windows are built within a side, so none straddles the cut. Numbers
+    df has the column split, and a training row at least (an error otherwise); windows are built within a side, so none straddles the cut. Numbers
     are prefix sums over one row a ticker, plus the start within the ticker.
     """
     per = df.groupBy("split", "ticker").agg(F.greatest(F.count("*") - length, F.lit(0)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("split").orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     idx = F.col("before") + F.col("start")
+    trained = F.max(F.col("split") == "train").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    per = per.withColumn("_ok", trained).where(F.when(F.col("_ok"), True).otherwise(F.raise_error(F.lit("the training side is empty")).cast("boolean")))
     starts = per.withColumn("before", before).where("n > 0").select("split", "ticker", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("start"))
     return starts.select("split", "ticker", "start", idx.alias("idx"), F.floor(idx / size).alias("batch"))
 

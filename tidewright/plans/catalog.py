@@ -124,7 +124,11 @@ def stage_tables(spark, sf):
     return valid.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-@_query("incremental_validate")
+@_query(
+    "incremental_validate",
+    f"""{_H1}, f AS (SELECT ticker, open, high, low, close, bar_ts < lag(bar_ts) OVER (PARTITION BY ticker ORDER BY bar_ts) AS late FROM bars_h1)
+SELECT CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR least(open, high, low, close) < 0 OR coalesce(late, false) THEN 'bad' ELSE 'good' END AS side, ticker, count(*) AS n FROM f GROUP BY ALL""",
+)
 def incremental_validate(spark, sf):
     base = folders.scratch(spark, "incoming")
     w = Window.partitionBy("ticker").orderBy("bar_ts")
@@ -138,7 +142,17 @@ def incremental_validate(spark, sf):
 # --- validation
 
 
-@_query("validate_schema")
+def _schema_sql(have: tuple[str, ...]) -> str:
+    """Report rows of the schema; the types of the columns that are there are right."""
+    required = [f.name for f in validate.BAR_SCHEMA]
+    rows = [("missing", c, c not in have) for c in required] + [("type", c, False) for c in required if c in have]
+    return " UNION ALL ".join(f"SELECT '{check}' AS \"check\", '{c}' AS \"column\", CAST({int(bad)} AS BIGINT) AS n_bad, CAST(1 AS BIGINT) AS n_rows, {str(bad).lower()} AS failed" for check, c, bad in rows)
+
+
+_EMPTY = "SELECT 'empty' AS \"check\", '' AS \"column\", CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_bad, CAST(least(count(*), 1) AS BIGINT) AS n_rows, count(*) = 0 AS failed FROM bars_d1"
+
+
+@_query("validate_schema", f"{_D1} {_schema_sql(('bar_ts', 'ticker', *validate.PRICES))} UNION ALL {_EMPTY}")
 def validate_schema(spark, sf):
     return validate.validate_schema(views.bars_d1(spark, sf).drop("volume"))
 
@@ -170,7 +184,8 @@ def validate_monotonic(spark, sf):
     f"""{_D1}, m AS (SELECT *, bar_ts < lag(bar_ts) OVER (PARTITION BY ticker ORDER BY close, bar_ts) AS late FROM bars_d1)
 """
     + " UNION ALL ".join(
-        [f"SELECT 'nulls' AS \"check\", '{c}' AS \"column\", count(*) - count({c}) AS n_bad, count(*) AS n_rows, count(*) = 0 OR count(*) - count({c}) > count(*) * 0.001 AS failed FROM m" for c in validate.PRICES]
+        [_schema_sql(("bar_ts", "ticker", *validate.PRICES, "volume")), _EMPTY]
+        + [f"SELECT 'nulls' AS \"check\", '{c}' AS \"column\", count(*) - count({c}) AS n_bad, count(*) AS n_rows, count(*) = 0 OR count(*) - count({c}) > count(*) * 0.001 AS failed FROM m" for c in validate.PRICES]
         + [f"SELECT 'prices', '{c}', count(*) FILTER (WHERE {c} < 0), count(*), count(*) FILTER (WHERE {c} < 0) > 0 FROM m" for c in validate.PRICES]
         + ["SELECT 'monotonic', 'bar_ts', count(*) FILTER (WHERE late), count(*), count(*) FILTER (WHERE late) > 0 FROM m"]
     ),
@@ -222,8 +237,8 @@ def log_price(spark, sf):
 
 
 _LAGS = features.LAGS
-_RAW = f"{_D1}, raw AS (SELECT *, " + ", ".join(f"close / lag(close, {n}) OVER (PARTITION BY ticker ORDER BY bar_ts) - 1 AS raw_{n}b" for n in _LAGS) + " FROM bars_d1)"
-_RET = _RAW + ", bounds AS (SELECT " + ", ".join(f"list_sort(list(raw_{n}b) FILTER (WHERE raw_{n}b IS NOT NULL))[CAST(round((count(raw_{n}b) - 1) * {q}) AS BIGINT) + 1] AS {side}_{n}" for n in _LAGS for side, q in (("lo", "0.001::DOUBLE"), ("hi", "0.999::DOUBLE"))) + " FROM raw), ret AS (SELECT raw.*, " + ", ".join(f"CASE WHEN raw_{n}b IS NOT NULL THEN pow(1 + least(greatest(raw_{n}b, lo_{n}), hi_{n}), 1.0::DOUBLE / {n}) - 1 END AS return_{n}b" for n in _LAGS) + " FROM raw CROSS JOIN bounds)"
+_RAW = f"{_D1}, raw AS MATERIALIZED (SELECT *, " + ", ".join(f"close / lag(close, {n}) OVER (PARTITION BY ticker ORDER BY bar_ts) - 1 AS raw_{n}b" for n in _LAGS) + " FROM bars_d1)"
+_RET = _RAW + ", sorted AS MATERIALIZED (SELECT " + ", ".join(f"list_sort(list(raw_{n}b) FILTER (WHERE raw_{n}b IS NOT NULL)) AS s_{n}" for n in _LAGS) + " FROM raw), bounds AS MATERIALIZED (SELECT " + ", ".join(f"s_{n}[CAST(round((len(s_{n}) - 1) * {q}) AS BIGINT) + 1] AS {side}_{n}" for n in _LAGS for side, q in (("lo", "0.001::DOUBLE"), ("hi", "0.999::DOUBLE"))) + " FROM sorted), ret AS (SELECT raw.*, " + ", ".join(f"CASE WHEN raw_{n}b IS NOT NULL THEN pow(1 + least(greatest(raw_{n}b, lo_{n}), hi_{n}), 1.0::DOUBLE / {n}) - 1 END AS return_{n}b" for n in _LAGS) + " FROM raw CROSS JOIN bounds)"
 
 
 @_query("clipped_returns", f"{_RET} SELECT ticker, bar_ts, {_r(*[f'return_{n}b' for n in _LAGS])} FROM ret")
@@ -286,11 +301,6 @@ def model_frame(spark, sf):
     return rounded(features.model_frame(_model_rows(spark, sf), ["actual"]))
 
 
-@_query("all_features")
-def all_features(spark, sf):
-    return features.all_features(views.bars_d1(spark, sf))
-
-
 # --- indicators
 
 
@@ -319,22 +329,22 @@ _STEP = f"{_RN}, st AS (SELECT ticker, rn, greatest(close - lag(close) OVER w, 0
 
 @_query("ema5", f"{_RN}, {_ema('e5', 'b', 'close', 5, 5, 5)} SELECT b.ticker, bar_ts, round(y, 6) AS ema5 FROM b LEFT JOIN e5 ON b.ticker = e5.ticker AND b.rn = e5.rn")
 def ema5(spark, sf):
-    return rounded(indicators.recursive(views.bars_d1(spark, sf)).select("ticker", "bar_ts", "ema5"))
+    return rounded(indicators.recursive(views.bars_d1(spark, sf), ("ema5",)).select("ticker", "bar_ts", "ema5"))
 
 
 @_query("macd", f"{_MACD} SELECT b.ticker, bar_ts, round(macd, 6) AS macd FROM b LEFT JOIN m ON b.ticker = m.ticker AND b.rn = m.rn AND m.rn >= 34")
 def macd(spark, sf):
-    return rounded(indicators.recursive(views.bars_d1(spark, sf)).select("ticker", "bar_ts", "macd"))
+    return rounded(indicators.recursive(views.bars_d1(spark, sf), ("macd",)).select("ticker", "bar_ts", "macd"))
 
 
 @_query("macd_signal", f"{_SIGNAL} SELECT b.ticker, bar_ts, round(y, 6) AS macd_signal FROM b LEFT JOIN sig ON b.ticker = sig.ticker AND b.rn = sig.rn + 25")
 def macd_signal(spark, sf):
-    return rounded(indicators.recursive(views.bars_d1(spark, sf)).select("ticker", "bar_ts", "macd_signal"))
+    return rounded(indicators.recursive(views.bars_d1(spark, sf), ("macd_signal",)).select("ticker", "bar_ts", "macd_signal"))
 
 
 @_query("rsi", f"{_STEP}, {_wilder('u', 'st', 'up')}, {_wilder('d', 'st', 'down')} SELECT b.ticker, bar_ts, round(CASE WHEN u.y + d.y = 0 THEN 0 ELSE 100 * u.y / (u.y + d.y) END, 6) AS rsi FROM b LEFT JOIN u ON b.ticker = u.ticker AND b.rn = u.rn LEFT JOIN d ON b.ticker = d.ticker AND b.rn = d.rn")
 def rsi(spark, sf):
-    return rounded(indicators.recursive(views.bars_d1(spark, sf)).select("ticker", "bar_ts", "rsi"))
+    return rounded(indicators.recursive(views.bars_d1(spark, sf), ("rsi",)).select("ticker", "bar_ts", "rsi"))
 
 
 @_query("atr_zscore", f"{_STEP}, {_wilder('a', 'st', 'tr')} SELECT b.ticker, bar_ts, round((y - avg(y) OVER (PARTITION BY b.ticker)) / stddev_samp(y) OVER (PARTITION BY b.ticker), 6) AS atr_z FROM b LEFT JOIN a ON b.ticker = a.ticker AND b.rn = a.rn")
@@ -371,9 +381,33 @@ def bollinger_distance(spark, sf):
     return rounded(indicators.bollinger_distance(views.bars_d1(spark, sf)).select("ticker", "bar_ts", "bb_high", "bb_low"))
 
 
+def _parts(sql: str, first: str) -> str:
+    """The common table expressions of sql from the one named first on."""
+    return sql[sql.index(f"{first} AS") :]
+
+
+_CROWS = """crows AS (SELECT ticker, bar_ts, open, close, lag(open, 2) OVER w AS o1, lag(close, 2) OVER w AS c1, lag(open) OVER w AS o2, lag(close) OVER w AS c2,
+  avg(abs(close - open)) OVER (PARTITION BY ticker ORDER BY bar_ts ROWS BETWEEN 12 PRECEDING AND 3 PRECEDING) AS body, row_number() OVER w AS rn FROM bars_d1 WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts))"""
+_TWO_CROWS = "CASE WHEN k.rn > 12 AND c1 > o1 AND c1 - o1 > body AND c2 < o2 AND least(o2, c2) > greatest(o1, c1) AND k.close < k.open AND k.open < o2 AND k.open > c2 AND k.close > o1 AND k.close < c1 THEN -100 ELSE 0 END AS cdl2crows"
+_FEATURE_SQL = f"""{_MACD}, {_ema('e5', 'b', 'close', 5, 5, 5)}, {_parts(_VOL, 'dv')}, {_parts(_RET, 'raw')}, {_CROWS},
+lagged AS (SELECT *, {", ".join(f"lag(return_{n}b, {n * t}) OVER w AS return_{n}b_lag{t}" for n, t in _LAGGED)}, {", ".join(f"lead(return_{h}b, {h}) OVER w AS target_{h}b" for h in features.HORIZONS)} FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts))
+SELECT b.ticker, b.bar_ts, b.open, b.high, b.low, b.close, b.volume, dollar_vol, dollar_vol_rank, (b.high + b.low + 2 * b.close) / 4 AS wclprice, {", ".join(f"round({c}, 6) + 0.0 AS {n}" for c, n in [("dollar_vol_1m", "dollar_vol_1m"), ("e5.y", "ema5"), ("macd", "macd"), *((f"l.return_{n}b", f"return_{n}b") for n in _LAGS), *((f"return_{n}b_lag{t}", f"return_{n}b_lag{t}") for n, t in _LAGGED), *((f"target_{h}b", f"target_{h}b") for h in features.HORIZONS)])},
+  {_TWO_CROWS}, CAST(year(b.bar_ts) - 2020 AS INTEGER) AS year, {", ".join(f"round({f}(2 * pi() * {x} / {p}), 6) + 0.0 AS {n}_{f}" for n, x, p in (("month", "month(b.bar_ts)", 12), ("weekday", "isodow(b.bar_ts)", 7)) for f in ("sin", "cos"))},
+  {", ".join(f'CAST(b.sector = {chr(39)}{r}{chr(39)} AS INTEGER) AS "sector_{r}"' for r in _REGIONS)}
+FROM b JOIN dr ON dr.ticker = b.ticker AND dr.bar_ts = b.bar_ts JOIN lagged l ON l.ticker = b.ticker AND l.bar_ts = b.bar_ts JOIN crows k ON k.ticker = b.ticker AND k.bar_ts = b.bar_ts
+LEFT JOIN e5 ON e5.ticker = b.ticker AND e5.rn = b.rn LEFT JOIN m ON m.ticker = b.ticker AND m.rn = b.rn AND m.rn >= 34"""
+
+
+@_query("all_features", _FEATURE_SQL)
+def all_features(spark, sf):
+    exact = ("open", "high", "low", "close", "volume", "dollar_vol", "dollar_vol_rank", "wclprice")  # as they come on both sides
+    df = features.all_features(views.bars_d1(spark, sf))
+    return df.select(*[F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in exact else F.col(f"`{f.name}`") for f in df.schema])
+
+
 # --- fractional differencing
 
-_THRESHOLD = 0.01
+_THRESHOLD = 0.001
 _WEIGHTS = """w AS (
   SELECT d, 0 AS k, 1.0::DOUBLE AS w FROM ds
   UNION ALL SELECT d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) FROM w WHERE k + 1 < 1000 AND abs(-w * (d - (k + 1) + 1) / (k + 1)) >= {t})"""
@@ -391,13 +425,17 @@ def ffd_weights(spark, sf):
     return fracdiff.ffd_weights(_orders(spark, sf)).select("d", "k", F.round("w", 9).alias("w"))
 
 
-def _differenced(ds: str, source: str = "levels") -> str:
-    """SQL: the series of each order in ds, full frames only."""
-    return f"""ws AS (SELECT d, list(w ORDER BY k) AS ws, count(*) AS n FROM w GROUP BY d),
-fd AS (
-  SELECT s.ticker, s.bar_ts, s.rn, g.d, sum(w.w * p.x) AS x
-  FROM {source} s JOIN ws g ON s.rn >= g.n JOIN w ON w.d = g.d JOIN {source} p ON p.ticker = s.ticker AND p.rn = s.rn - w.k
-  GROUP BY s.ticker, s.bar_ts, s.rn, g.d)"""
+#: Rows that the longest weights reach over, with some to spare.
+_FRAME = 100
+assert max(len(fracdiff.weights(k / 200, _THRESHOLD)) for k in range(20, 201)) <= _FRAME
+
+
+def _differenced(ds: str, source: str = "levels", tag: str = "", wanted: str = "") -> str:
+    """SQL: the series of each order in ds, full frames only: an inner product of the last values and the weights."""
+    only = f"JOIN {wanted} v ON v.ticker = h.ticker AND v.d = g.d" if wanted else ""
+    return f"""ws{tag} AS (SELECT d, list(w ORDER BY k DESC) AS ws, count(*) AS n FROM w{tag} GROUP BY d),
+held{tag} AS (SELECT ticker, bar_ts, rn, list(x) OVER (PARTITION BY ticker ORDER BY rn ROWS BETWEEN {_FRAME - 1} PRECEDING AND CURRENT ROW) AS h FROM {source}),
+fd{tag} AS (SELECT h.ticker, h.bar_ts, h.rn, g.d, list_inner_product(list_slice(h.h, len(h.h) - g.n + 1, len(h.h)), g.ws) AS x FROM held{tag} h JOIN ws{tag} g ON h.rn >= g.n {only})"""
 
 
 def _adf(source: str, tag: str = "") -> str:
@@ -418,19 +456,20 @@ adf{tag} AS (
 _CRIT = fracdiff.critical(0.05)
 _GRID = fracdiff.grid()
 _GRID_SQL = ", ".join(f"({d!r}::DOUBLE)" for d in _GRID)
-_SEARCH = f"WITH RECURSIVE {views.LEVELS}, ds AS (SELECT * FROM (VALUES {_GRID_SQL}) v(d)), {_WEIGHTS.format(t=_THRESHOLD)}, {_differenced('ds')}, {_adf('fd')}, mind AS (SELECT t.ticker, coalesce(min(adf.d) FILTER (WHERE stat < {_CRIT!r} AND n >= 50), 1.0::DOUBLE) AS d FROM (SELECT DISTINCT ticker FROM levels) t LEFT JOIN adf ON adf.ticker = t.ticker GROUP BY t.ticker)"
 
+
+def _search(given: str, source: str = "levels") -> str:
+    """SQL: the least passing order of the grid for each ticker of source, as mind."""
+    return f"WITH RECURSIVE {given}, ds AS (SELECT * FROM (VALUES {_GRID_SQL}) v(d)), {_WEIGHTS.format(t=_THRESHOLD)}, {_differenced('ds', source)}, {_adf('fd')}, mind AS MATERIALIZED (SELECT t.ticker, coalesce(min(adf.d) FILTER (WHERE stat < {_CRIT!r} AND n >= 50), 1.0::DOUBLE) AS d FROM (SELECT DISTINCT ticker FROM {source}) t LEFT JOIN adf ON adf.ticker = t.ticker GROUP BY t.ticker)"
+
+
+_SEARCH = _search(views.LEVELS)
 #: The second pass: ten even steps from 0.1 up to the grid's order of each ticker.
-_REFINED = f"""{_SEARCH}, wanted AS (SELECT DISTINCT ticker, 0.1::DOUBLE + (d - 0.1::DOUBLE) * CAST(i AS DOUBLE) / 9 AS d FROM mind CROSS JOIN range(10) r(i)),
-ds2 AS (SELECT DISTINCT d FROM wanted), {_WEIGHTS_2.format(t=_THRESHOLD)}, ws2 AS (SELECT d, count(*) AS n FROM w2 GROUP BY d),
-fd2 AS (
-  SELECT s.ticker, s.rn, v.d, sum(w2.w * p.x) AS x
-  FROM levels s JOIN wanted v ON v.ticker = s.ticker JOIN ws2 g ON g.d = v.d AND s.rn >= g.n JOIN w2 ON w2.d = v.d JOIN levels p ON p.ticker = s.ticker AND p.rn = s.rn - w2.k
-  GROUP BY s.ticker, s.rn, v.d),
-{_adf('fd2', '2')},
+_REFINED = f"""{_SEARCH}, wanted AS MATERIALIZED (SELECT DISTINCT ticker, 0.1::DOUBLE + (d - 0.1::DOUBLE) * CAST(i AS DOUBLE) / 9 AS d FROM mind CROSS JOIN range(10) r(i)),
+ds2 AS (SELECT DISTINCT d FROM wanted), {_WEIGHTS_2.format(t=_THRESHOLD)}, {_differenced('ds2', 'levels', '2', 'wanted')}, {_adf('fd2', '2')},
 fine AS (SELECT mind.ticker, round(coalesce(min(adf2.d) FILTER (WHERE stat < {_CRIT!r} AND n >= 50), any_value(mind.d)), 3) AS d FROM mind LEFT JOIN adf2 ON adf2.ticker = mind.ticker GROUP BY mind.ticker)"""
 #: The search over log prices.
-_LOGS = _SEARCH.replace(views.LEVELS, views.BARS_D1 + ", levels AS (SELECT ticker, bar_ts, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts) AS rn, ln(close) AS x FROM bars_d1)")
+_LOGS = _search(views.BARS_D1 + ", levels AS MATERIALIZED (SELECT ticker, bar_ts, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts) AS rn, ln(close) AS x FROM bars_d1)")
 
 
 @_query("frac_diff", f"WITH RECURSIVE {views.LEVELS}, ds AS (SELECT 0.3::DOUBLE AS d), {_WEIGHTS.format(t=_THRESHOLD)}, {_differenced('ds')} SELECT l.ticker, l.bar_ts, round(fd.x, 4) AS x_frac_diff FROM levels l LEFT JOIN fd ON fd.ticker = l.ticker AND fd.rn = l.rn")
@@ -471,7 +510,7 @@ def reference_ticker_d(spark, sf):
     return fracdiff.reference_ticker_d(views.levels(spark, sf), "Supplier#000000001", threshold=_THRESHOLD)
 
 
-@_query("train_cutoff_d", _SEARCH.replace("ds AS (SELECT * FROM", "early AS (SELECT * FROM levels WHERE bar_ts < TIMESTAMP '1997-01-01'), ds AS (SELECT * FROM").replace("FROM levels s", "FROM early s").replace("JOIN levels p", "JOIN early p").replace("DISTINCT ticker FROM levels", "DISTINCT ticker FROM early") + " " + _PICK)
+@_query("train_cutoff_d", f"{_search(views.LEVELS + ", early AS (SELECT * FROM levels WHERE bar_ts < TIMESTAMP '1997-01-01')", 'early')} {_PICK}")
 def train_cutoff_d(spark, sf):
     return fracdiff.train_cutoff_d(views.levels(spark, sf), "1996-12-31", threshold=_THRESHOLD)
 
@@ -481,7 +520,10 @@ def memory_corr(spark, sf):
     return rounded(fracdiff.memory_corr(fracdiff.frac_diff(views.levels(spark, sf), 0.3, _THRESHOLD), "x", "x_frac_diff"))
 
 
-@_query("ffd_features", f"{_LOGS}, pick AS ({_PICK}) SELECT l.ticker, l.bar_ts, round(l.x, 6) AS log_close, round(fd.x, 6) + 0.0 AS log_close_frac_diff FROM levels l CROSS JOIN pick LEFT JOIN fd ON fd.ticker = l.ticker AND fd.rn = l.rn AND fd.d = pick.d")
+_WEIGHTS_3 = _WEIGHTS_2.replace("w2", "w3").replace("ds2", "pick")
+
+
+@_query("ffd_features", f"{_LOGS}, pick AS MATERIALIZED ({_PICK}), {_WEIGHTS_3.format(t=_THRESHOLD)}, {_differenced('pick', 'levels', '3')} SELECT l.ticker, l.bar_ts, round(l.x, 6) AS log_close, round(fd3.x, 6) + 0.0 AS log_close_frac_diff FROM levels l LEFT JOIN fd3 ON fd3.ticker = l.ticker AND fd3.rn = l.rn")
 def ffd_features(spark, sf):
     return rounded(fracdiff.ffd_features(views.bars_d1(spark, sf), _THRESHOLD).select("ticker", "bar_ts", "log_close", "log_close_frac_diff"))
 
@@ -601,8 +643,8 @@ step AS (
   UNION ALL SELECT s.portfolio, s.k + 1, s.rest - o.weight, s.budget - {most} FROM step s JOIN o ON o.portfolio = s.portfolio AND o.k = s.k + 1 AND o.weight * s.budget > {most} * s.rest + 1e-12),
 last AS (SELECT portfolio, max(k) AS k, min_by(rest, -k) AS rest, min_by(budget, -k) AS budget FROM step GROUP BY portfolio),
 ca AS (
-  SELECT o.portfolio, o.asset, CASE WHEN n = 1 THEN 1 WHEN {most} < 1.0::DOUBLE / n THEN NULL WHEN top <= {most} + 1e-10 THEN weight WHEN o.k <= l.k THEN {most} WHEN l.rest > 0 THEN weight * budget / rest ELSE budget / (n - l.k) END AS weight
-  FROM o JOIN last l USING (portfolio))"""
+  SELECT o.portfolio, o.asset, CASE WHEN n = 1 THEN 1 WHEN {most} < 1.0::DOUBLE / n THEN NULL WHEN top <= {most} + 1e-10 THEN weight WHEN left_over <= 0 THEN 1.0::DOUBLE / n WHEN o.k <= l.k THEN {most} ELSE weight * budget / left_over END AS weight
+  FROM o JOIN last l USING (portfolio) JOIN (SELECT o.portfolio, coalesce(sum(weight) FILTER (WHERE o.k > l.k), 0) AS left_over FROM o JOIN last l USING (portfolio) GROUP BY o.portfolio) USING (portfolio))"""
 
 
 @_query("long_only", f"{_LONG} SELECT portfolio, asset, {_r('weight')} FROM lo")
@@ -620,15 +662,23 @@ def max_position(spark, sf):
     return rounded(risk.max_position(risk.long_only(views.weights(spark, sf)), 0.3))
 
 
-@_query("constrained_weights", f"{_MIN}, {_capped('mi', 0.4)} SELECT portfolio, asset, {_r('weight')}, coalesce(abs(sum(weight) OVER (PARTITION BY portfolio) - 1) <= 1e-6, false) AS sums_to_one FROM ca")
+#: Few survive a least weight of a quarter, so that caps often take all weight there is.
+_QUARTER = _MIN.replace("0.05", "0.25")
+
+
+@_query("max_position_spent", f"{_QUARTER}, {_capped('mi', 0.3)} SELECT portfolio, asset, {_r('weight')} FROM ca")
+def max_position_spent(spark, sf):
+    return rounded(risk.max_position(risk.min_position(risk.long_only(views.weights(spark, sf)), 0.25), 0.3))
+
+
+@_query("constrained_weights", f"{_QUARTER}, {_capped('mi', 0.4)} SELECT portfolio, asset, {_r('weight')}, coalesce(abs(sum(weight) OVER (PARTITION BY portfolio) - 1) <= 1e-6, false) AS sums_to_one FROM ca")
 def constrained_weights(spark, sf):
-    return rounded(risk.constrained_weights(views.weights(spark, sf), 0.05, 0.4))
+    return rounded(risk.constrained_weights(views.weights(spark, sf), 0.25, 0.4))
 
 
 # --- walk-forward evaluation
 
 _X, _Y = ["p1", "p2", "p3"], "actual"
-_FOLDS = dict(n_splits=5, train=120, test=20, lookahead=1)
 
 
 def _model_rows(spark, sf):
@@ -643,15 +693,15 @@ def _complete(spark, sf):
 
 
 def _folds(df):
-    return evaluate.cv_folds(df, **_FOLDS)
+    return evaluate.cv_folds(df, None, 63, 10, 1)
 
 
 _MODEL = f"""WITH {views.PREDS}, rowset AS (SELECT * FROM ahead WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL AND actual IS NOT NULL),
 dates AS (SELECT bar_ts, row_number() OVER (ORDER BY bar_ts DESC) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT bar_ts FROM rowset)),
-bounds AS (SELECT CAST(i AS INTEGER) AS fold, (i + 1) * 20 AS te FROM range(5) t(i)),
+bounds AS (SELECT CAST(i AS INTEGER) AS fold, (i + 1) * 10 AS te FROM range(100000) t(i) WHERE (i + 1) * 10 + 1 + 63 < (SELECT max(n) FROM dates)),
 folds AS (
-  SELECT fold, 'test' AS part, bar_ts FROM bounds JOIN dates ON r >= te - 20 AND r < te WHERE te + 1 + 120 < n
-  UNION ALL SELECT fold, 'train', bar_ts FROM bounds JOIN dates ON r >= te + 1 AND r < te + 1 + 120 WHERE te + 1 + 120 < n),
+  SELECT fold, 'test' AS part, bar_ts FROM bounds JOIN dates ON r >= te - 10 AND r < te
+  UNION ALL SELECT fold, 'train', bar_ts FROM bounds JOIN dates ON r >= te + 1 AND r < te + 1 + 63),
 tr AS (SELECT fold, rowset.* FROM rowset JOIN folds USING (bar_ts) WHERE part = 'train')"""
 
 
@@ -675,33 +725,52 @@ def fold_gram(spark, sf):
     return rounded(evaluate.fold_gram(df, _folds(df), _X, _Y), 4)
 
 
-def _gram(df):
-    return evaluate.fold_gram(df, _folds(df), _X, _Y)
-
-
-_ALPHAS = [0.01, 1.0, 100.0]
+_SLOPES = f"""{_MODEL},
+moments AS (
+  SELECT fold, count(*)::DOUBLE AS n, avg(p1) AS m1, avg(p2) AS m2, avg(p3) AS m3, avg(actual) AS my, stddev_pop(p1) AS s1, stddev_pop(p2) AS s2, stddev_pop(p3) AS s3, stddev_pop(actual) AS sy,
+    corr(p1, p2) * count(*) AS b, corr(p1, p3) * count(*) AS c, corr(p2, p3) * count(*) AS e, corr(p1, actual) * count(*) AS u, corr(p2, actual) * count(*) AS v, corr(p3, actual) * count(*) AS w FROM tr GROUP BY fold),
+sys AS (SELECT *, n + alpha AS a FROM moments CROSS JOIN (VALUES {{alphas}}) t(alpha)),
+dets AS (SELECT *, a * (a * a - e * e) - b * (b * a - e * c) + c * (b * e - a * c) AS det FROM sys),
+solved AS (
+  SELECT *, (u * (a * a - e * e) - b * (v * a - e * w) + c * (v * e - a * w)) / det AS b1, (a * (v * a - e * w) - u * (b * a - e * c) + c * (b * w - v * c)) / det AS b2, (a * (a * w - v * e) - b * (b * w - v * c) + u * (b * e - a * c)) / det AS b3 FROM dets),
+sloped AS (SELECT *, b1 * sy / s1 AS g1, b2 * sy / s2 AS g2, b3 * sy / s3 AS g3 FROM solved),
+coefs AS (
+  SELECT fold, alpha, '1' AS feature, 0.0::DOUBLE AS coef, my - m1 * g1 - m2 * g2 - m3 * g3 AS slope FROM sloped
+  UNION ALL SELECT fold, alpha, 'p1', b1, g1 FROM sloped UNION ALL SELECT fold, alpha, 'p2', b2, g2 FROM sloped UNION ALL SELECT fold, alpha, 'p3', b3, g3 FROM sloped),
+predicted AS (
+  SELECT f.fold, alpha, r.ticker, r.bar_ts, my - m1 * g1 - m2 * g2 - m3 * g3 + g1 * p1 + g2 * p2 + g3 * p3 AS predicted, actual
+  FROM rowset r JOIN folds f ON f.bar_ts = r.bar_ts AND part = 'test' JOIN sloped s ON s.fold = f.fold)"""
+_OLS = _SLOPES.format(alphas="(0.0::DOUBLE)")
+_RIDGE = _SLOPES.format(alphas=", ".join(f"({a!r}::DOUBLE)" for a in evaluate.RIDGE_ALPHAS))
+
+
+@_query("ols", f"{_OLS} SELECT fold, alpha, feature, {_r('coef', 'slope')} FROM coefs")
+def ols(spark, sf):
+    df = _complete(spark, sf)
+    return rounded(evaluate.ols(df, _folds(df), _X, _Y))
 
 
-@_query("ols")
-def ols(spark, sf):
-    return evaluate.ols(_gram(_complete(spark, sf)), _X, _Y)
+def _ridge(df, folds):
+    return evaluate.ridge(df, folds, _X, _Y)
 
 
-@_query("ridge")
+@_query("ridge", f"{_RIDGE} SELECT fold, alpha, feature, {_r('coef', 'slope')} FROM coefs")
 def ridge(spark, sf):
-    return evaluate.ridge(_gram(_complete(spark, sf)), _X, _Y, _ALPHAS)
+    df = _complete(spark, sf)
+    return rounded(_ridge(df, _folds(df)))
 
 
 @_query("lasso")
 def lasso(spark, sf):
-    return evaluate.lasso(_gram(_complete(spark, sf)), _X, _Y, [1e-4, 1e-2])
+    df = _complete(spark, sf)
+    return evaluate.lasso(df, _folds(df), _X, _Y)
 
 
-@_query("predict")
+@_query("predict", f"{_OLS} SELECT fold, alpha, ticker, bar_ts, {_r('predicted', 'actual')} FROM predicted")
 def predict(spark, sf):
     df = _complete(spark, sf)
     folds = _folds(df)
-    return evaluate.predict(df, folds, evaluate.ridge(_gram(df), _X, _Y, _ALPHAS), _X, _Y)
+    return rounded(evaluate.predict(df, folds, evaluate.ols(df, folds, _X, _Y), _X, _Y))
 
 
 _IC = f"""WITH {views.PREDS}, rk AS (
@@ -721,28 +790,47 @@ def daily_rmse(spark, sf):
     return rounded(evaluate.daily_rmse(views.preds(spark, sf)))
 
 
-@_query("alpha_scores", f"{_IC}, m AS (SELECT alpha, avg(ic) AS mean_ic FROM ic GROUP BY alpha) SELECT alpha, {_r('mean_ic')}, alpha = first_value(alpha) OVER (ORDER BY mean_ic DESC, alpha) AS is_best FROM m")
+def _walk_forward(spark, sf):
+    df = _complete(spark, sf)
+    folds = _folds(df)
+    return evaluate.predict(df, folds, _ridge(df, folds), _X, _Y)
+
+
+_WALK_IC = f"""{_RIDGE}, rk AS (
+  SELECT alpha, bar_ts, rank() OVER (PARTITION BY alpha, bar_ts ORDER BY predicted) + (count(*) OVER (PARTITION BY alpha, bar_ts, predicted) - 1) / 2.0::DOUBLE AS a,
+    rank() OVER (PARTITION BY alpha, bar_ts ORDER BY actual) + (count(*) OVER (PARTITION BY alpha, bar_ts, actual) - 1) / 2.0::DOUBLE AS b FROM predicted),
+ic AS (SELECT alpha, bar_ts, CASE WHEN count(DISTINCT a) > 1 AND count(DISTINCT b) > 1 THEN corr(a, b) * 100 END AS ic FROM rk GROUP BY alpha, bar_ts),
+m AS (SELECT alpha, avg(ic) AS mean_ic FROM ic GROUP BY alpha)"""
+
+
+@_query("alpha_scores", f"{_WALK_IC} SELECT alpha, round(mean_ic, 4) + 0.0 AS mean_ic, alpha = first_value(alpha) OVER (ORDER BY round(mean_ic, 4) DESC, alpha) AS is_best FROM m")
 def alpha_scores(spark, sf):
-    return rounded(evaluate.alpha_scores(evaluate.daily_ic(views.preds(spark, sf))))
+    """Penalties of the walk-forward ridge; means of daily scores count to 4 places, as predictions of near penalties rank alike."""
+    scores = evaluate.daily_ic(_walk_forward(spark, sf)).groupBy("alpha").agg(F.round(F.avg("ic"), 4).alias("ic"))
+    return rounded(evaluate.alpha_scores(scores), 4)
 
 
-def _slopes(spark, sf):
-    """Slope of the next return on each feature, by ticker: coefficients in the shape of the score tables."""
-    p = views.preds(spark, sf)
-    return p.groupBy("alpha", F.col("ticker").alias("fold"), F.concat(F.lit("p"), F.month("bar_ts")).alias("feature")).agg(F.coalesce(F.try_divide(F.regr_sxy("actual", "predicted"), F.regr_sxx("actual", "predicted")), F.lit(0.0)).alias("coef"))
+@_query("walk_forward_rmse", f"{_RIDGE} SELECT alpha, bar_ts, round(sqrt(avg((predicted - actual) * (predicted - actual))), 6) AS rmse FROM predicted GROUP BY alpha, bar_ts")
+def walk_forward_rmse(spark, sf):
+    return rounded(evaluate.daily_rmse(_walk_forward(spark, sf)))
+
 
+_COEF = f"{_RIDGE}, st AS (SELECT alpha, feature, avg(coef) AS mean_coef, stddev_samp(coef) AS std_coef, avg(abs(coef)) AS mean_abs FROM coefs WHERE feature <> '1' GROUP BY alpha, feature)"
 
-_COEF = f"WITH {views.PREDS}, coefs AS (SELECT alpha, ticker AS fold, 'p' || month(bar_ts) AS feature, CASE WHEN regr_sxx(actual, predicted) > 0 THEN regr_sxy(actual, predicted) / regr_sxx(actual, predicted) ELSE 0 END AS coef FROM preds GROUP BY alpha, ticker, month(bar_ts)), st AS (SELECT alpha, feature, avg(coef) AS mean_coef, stddev_samp(coef) AS std_coef, avg(abs(coef)) AS mean_abs FROM coefs GROUP BY alpha, feature)"
+
+def _coef_stats(spark, sf):
+    df = _complete(spark, sf)
+    return evaluate.coef_stats(_ridge(df, _folds(df)).where("feature <> '1'"))
 
 
 @_query("coef_stats", f"{_COEF} SELECT alpha, feature, {_r('mean_coef', 'std_coef', 'mean_abs')} FROM st")
 def coef_stats(spark, sf):
-    return rounded(evaluate.coef_stats(_slopes(spark, sf)))
+    return rounded(_coef_stats(spark, sf))
 
 
 @_query("top_features", f"{_COEF}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY alpha ORDER BY abs(mean_coef) DESC, feature) AS INTEGER) AS place FROM st) SELECT alpha, feature, {_r('mean_coef')}, place FROM k WHERE place <= 10")
 def top_features(spark, sf):
-    return rounded(evaluate.top_features(evaluate.coef_stats(_slopes(spark, sf))).select("alpha", "feature", "mean_coef", "place"))
+    return rounded(evaluate.top_features(_coef_stats(spark, sf)).select("alpha", "feature", "mean_coef", "place"))
 
 
 _NUM = ["open", "high", "low", "close", "volume"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
@@ -58,6 +58,26 @@ def sector_required_join(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     return bars.join(sectors.where("sector IS NOT NULL AND industry IS NOT NULL"), "ticker")
 
 
+#: What a ticker dimension holds.
+TICKERS = "ticker string, name string, aliases array<string>, sector string, tier int, cik string, instrument_type string, exchange string, benchmark string, suppliers array<string>, customers array<string>, underlying string"
+
+
+def read_ticker_dimension(spark: SparkSession, path: str) -> DataFrame:
+    """One row a ticker with its arrays and tier, from a list of mappings in a JSON (.json) or YAML file; keys that are absent are null.
+
+    Spark reads the file, whatever store it lies in; JSON is parsed in Spark, YAML (with PyYAML)
+    on the driver, as the dimension is a few rows.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith(".json"):
+        rows = spark.createDataFrame([(text,)], "text string").select(F.explode(F.from_json("text", f"array<struct<{TICKERS.replace(' ', ':').replace(',:', ',')}>>")).alias("r"))
+        return rows.select("r.*")
+    import yaml
+
+    names = [c.split()[0] for c in TICKERS.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in yaml.safe_load(text) or []], TICKERS)
+
+
 def ticker_universe(bars: DataFrame, universe: DataFrame) -> DataFrame:
     """The bars of tickers that the universe lists."""
     return bars.join(universe.select("ticker"), "ticker", "left_semi")

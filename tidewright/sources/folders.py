@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of each Spark application on a local master that names none.
+_temporary: dict[str, str | None] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session as a full URI.
 
@@ -19,18 +23,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        found = _temporary.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        _temporary[spark.sparkContext.applicationId] = found
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(found)
     uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return uri.rstrip("/").replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri.rstrip("/")
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file of the driver into the shared folder, through Hadoop's file systems; returns its URI."""
+    uri = f"{scratch(spark, 'files')}/{name}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data))
+    out.close()
+    return uri
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this Spark application; call it when no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidewright-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table or folder in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table or folder, in the shared folder's part of this Spark application."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
