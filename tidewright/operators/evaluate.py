@@ -127,22 +127,23 @@ def _lasso(g: np.ndarray, r: np.ndarray, lam: float, tol: float, max_iter: int)
 
 
 def _fit(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float], solve, ts: str) -> DataFrame:
-    """One small system for each (fold, alpha), of columns scaled by the fold's training rows."""
+    """One small system a fold, of columns scaled by the fold's training rows, solved for every alpha."""
     wanted = [*x, y]
     means = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(wanted)]).first()
     shift = {c: float(m or 0.0) for c, m in zip(wanted, means, strict=True)}
+    own = np.array([shift[c] for c in x])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, r, mean, std, n = _system(pdf, x, y)
-        alpha = float(pdf["alpha"].iloc[0])
-        b = solve(g, r, alpha, n)
-        slope = b * std[-1] / std[:-1]
-        level = mean[-1] + shift[y] - (mean[:-1] + np.array([shift[c] for c in x])) @ slope
-        return pd.DataFrame({"fold": int(pdf["fold"].iloc[0]), "alpha": alpha, "feature": ["1", *x], "coef": [0.0, *b], "slope": [level, *slope]})
-
-    gram = fold_gram(df, folds, x, y, ts, shift)
-    wide = gram.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    return wide.groupBy("fold", "alpha").applyInPandas(run, "fold int, alpha double, feature string, coef double, slope double")
+        fold, parts = int(pdf["fold"].iloc[0]), []
+        for alpha in alphas:
+            b = solve(g, r, alpha, n)
+            slope = b * std[-1] / std[:-1]
+            level = mean[-1] + shift[y] - (mean[:-1] + own) @ slope
+            parts.append(pd.DataFrame({"fold": fold, "alpha": float(alpha), "feature": ["1", *x], "coef": [0.0, *b], "slope": [level, *slope]}))
+        return pd.concat(parts)
+
+    return fold_gram(df, folds, x, y, ts, shift).groupBy("fold").applyInPandas(run, "fold int, alpha double, feature string, coef double, slope double")
 
 
 def ols(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:

@@ -279,21 +279,23 @@ def time_cycles(spark, sf):
 _REGIONS = ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
-def _region_sums(df: DataFrame) -> DataFrame:
-    """Dummies are columns by data; sums by ticker keep the query's columns fixed."""
-    have = set(df.columns)
-    return df.groupBy("ticker").agg(*[(F.sum(f"`sector_{r}`") if f"sector_{r}" in have else F.lit(0)).cast("long").alias(f"n_{r.lower().replace(' ', '_')}") for r in _REGIONS])
+def _flag(column: str, value) -> str:
+    return f"CAST({column} = {value!r} AS INTEGER)"
 
 
-@_query("sector_dummies", f"{_D1}, first_one AS (SELECT min(sector) AS f FROM bars_d1) SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE sector = '{r}' AND sector <> f) AS n_{r.lower().replace(' ', '_')}" for r in _REGIONS) + " FROM bars_d1 CROSS JOIN first_one GROUP BY ticker")
+@_query("sector_dummies", f"{_D1} SELECT ticker, bar_ts, close, " + ", ".join(f'{_flag("sector", r)} AS "sector_{r}"' for r in _REGIONS) + " FROM bars_d1")
 def sector_dummies(spark, sf):
-    return _region_sums(features.sector_dummies(views.bars_d1(spark, sf)))
+    """The columns of dummies follow the sectors in the data, all but the first."""
+    return features.sector_dummies(views.bars_d1(spark, sf)).drop("open", "high", "low", "volume")
 
 
-@_query("calendar_dummies", f"{_D1} SELECT ticker, " + ", ".join(f"count(*) FILTER (WHERE month(bar_ts) = {m}) AS n_month_{m}" for m in range(2, 13)) + " FROM bars_d1 GROUP BY ticker")
+#: Years of the line items but the first.
+_YEARS = range(1996, 2002)
+
+
+@_query("calendar_dummies", f"{_D1} SELECT ticker, bar_ts, close, " + ", ".join([*(f"{_flag('year(bar_ts)', y)} AS year_{y}" for y in _YEARS), *(f"{_flag('month(bar_ts)', m)} AS month_{m}" for m in range(2, 13)), *(f'{_flag("sector", r)} AS "{r}"' for r in _REGIONS)]) + " FROM bars_d1")
 def calendar_dummies(spark, sf):
-    d = features.calendar_dummies(views.bars_d1(spark, sf))
-    return d.groupBy("ticker").agg(*[(F.sum(f"month_{m}") if f"month_{m}" in d.columns else F.lit(0)).cast("long").alias(f"n_month_{m}") for m in range(2, 13)])
+    return features.calendar_dummies(views.bars_d1(spark, sf)).drop("open", "high", "low", "volume")
 
 
 @_query("model_frame", f"WITH {views.PREDS} SELECT ticker, bar_ts, {_r('p1', 'p2', 'p3', 'actual')} FROM ahead WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL AND actual IS NOT NULL")
@@ -391,7 +393,7 @@ _CROWS = """crows AS (SELECT ticker, bar_ts, open, close, lag(open, 2) OVER w AS
 _TWO_CROWS = "CASE WHEN k.rn > 12 AND c1 > o1 AND c1 - o1 > body AND c2 < o2 AND least(o2, c2) > greatest(o1, c1) AND k.close < k.open AND k.open < o2 AND k.open > c2 AND k.close > o1 AND k.close < c1 THEN -100 ELSE 0 END AS cdl2crows"
 _FEATURE_SQL = f"""{_MACD}, {_ema('e5', 'b', 'close', 5, 5, 5)}, {_parts(_VOL, 'dv')}, {_parts(_RET, 'raw')}, {_CROWS},
 lagged AS (SELECT *, {", ".join(f"lag(return_{n}b, {n * t}) OVER w AS return_{n}b_lag{t}" for n, t in _LAGGED)}, {", ".join(f"lead(return_{h}b, {h}) OVER w AS target_{h}b" for h in features.HORIZONS)} FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts))
-SELECT b.ticker, b.bar_ts, b.open, b.high, b.low, b.close, b.volume, dollar_vol, dollar_vol_rank, (b.high + b.low + 2 * b.close) / 4 AS wclprice, {", ".join(f"round({c}, 6) + 0.0 AS {n}" for c, n in [("dollar_vol_1m", "dollar_vol_1m"), ("e5.y", "ema5"), ("macd", "macd"), *((f"l.return_{n}b", f"return_{n}b") for n in _LAGS), *((f"return_{n}b_lag{t}", f"return_{n}b_lag{t}") for n, t in _LAGGED), *((f"target_{h}b", f"target_{h}b") for h in features.HORIZONS)])},
+SELECT b.ticker, b.bar_ts, b.open, b.high, b.low, b.close, b.volume, dollar_vol, dollar_vol_rank, (b.high + b.low + 2 * b.close) / 4 AS wclprice, CAST(CAST(dollar_vol_1m AS FLOAT) AS DOUBLE) AS dollar_vol_1m, {", ".join(f"round({c}, 6) + 0.0 AS {n}" for c, n in [("e5.y", "ema5"), ("macd", "macd"), *((f"l.return_{n}b", f"return_{n}b") for n in _LAGS), *((f"return_{n}b_lag{t}", f"return_{n}b_lag{t}") for n, t in _LAGGED), *((f"target_{h}b", f"target_{h}b") for h in features.HORIZONS)])},
   {_TWO_CROWS}, CAST(year(b.bar_ts) - 2020 AS INTEGER) AS year, {", ".join(f"round({f}(2 * pi() * {x} / {p}), 6) + 0.0 AS {n}_{f}" for n, x, p in (("month", "month(b.bar_ts)", 12), ("weekday", "isodow(b.bar_ts)", 7)) for f in ("sin", "cos"))},
   {", ".join(f'CAST(b.sector = {chr(39)}{r}{chr(39)} AS INTEGER) AS "sector_{r}"' for r in _REGIONS)}
 FROM b JOIN dr ON dr.ticker = b.ticker AND dr.bar_ts = b.bar_ts JOIN lagged l ON l.ticker = b.ticker AND l.bar_ts = b.bar_ts JOIN crows k ON k.ticker = b.ticker AND k.bar_ts = b.bar_ts
@@ -400,8 +402,8 @@ LEFT JOIN e5 ON e5.ticker = b.ticker AND e5.rn = b.rn LEFT JOIN m ON m.ticker =
 
 @_query("all_features", _FEATURE_SQL)
 def all_features(spark, sf):
-    exact = ("open", "high", "low", "close", "volume", "dollar_vol", "dollar_vol_rank", "wclprice")  # as they come on both sides
-    df = features.all_features(views.bars_d1(spark, sf))
+    exact = ("open", "high", "low", "close", "volume", "dollar_vol", "dollar_vol_1m", "dollar_vol_rank", "wclprice")  # as they come on both sides
+    df = features.all_features(views.bars_d1(spark, sf)).withColumn("dollar_vol_1m", F.col("dollar_vol_1m").cast("float").cast("double"))
     return df.select(*[F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in exact else F.col(f"`{f.name}`") for f in df.schema])
 
 
@@ -538,12 +540,12 @@ def window_index(spark, sf):
     return windows.window_index(views.bars_d1(spark, sf), 60)
 
 
-@_query("sliding_windows", f"{_IDX}, s AS (SELECT ticker, rn, n, CAST(volume AS FLOAT) AS target, sum(volume) OVER w AS total, first_value(volume) OVER w AS head FROM i WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT ticker, CAST(rn - 10 AS BIGINT) AS start, 10 AS n_rows, CAST(head AS DOUBLE) AS head, CAST(total AS DOUBLE) AS total, CAST(target AS DOUBLE) AS target FROM s WHERE rn >= 10 AND rn < n")
+@_query("sliding_windows", f"{_IDX} SELECT e.ticker, CAST(e.rn - 10 AS BIGINT) AS start, CAST(p.rn - e.rn + 9 AS INTEGER) AS pos, CAST(p.volume AS DOUBLE) AS volume, CAST(CAST(p.close AS FLOAT) AS DOUBLE) AS close, CAST(e.volume AS DOUBLE) AS target FROM i e JOIN i p ON p.ticker = e.ticker AND p.rn BETWEEN e.rn - 9 AND e.rn WHERE e.rn >= 10 AND e.rn < e.n")
 def sliding_windows(spark, sf):
-    """Each window by its size, first value, sum and target: volumes are whole, so floats are exact."""
+    """Every value of every window: one row a window and place."""
     w = windows.sliding_windows(views.bars_d1(spark, sf), ["volume", "close"], ["volume"], 10)
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x[0].cast("double"))
-    return w.select("ticker", "start", F.size("features").alias("n_rows"), F.col("features")[0][0].cast("double").alias("head"), total.alias("total"), F.col("target")[0].cast("double").alias("target"))
+    cells = w.select("ticker", "start", F.posexplode("features").alias("pos", "x"), F.col("target")[0].cast("double").alias("target"))
+    return cells.select("ticker", "start", "pos", F.col("x")[0].cast("double").alias("volume"), F.col("x")[1].cast("double").alias("close"), "target")
 
 
 @_query("time_split_date", f"{_H1} SELECT ticker, bar_ts, CASE WHEN bar_ts < TIMESTAMP '2024-01-16' THEN 'train' ELSE 'val' END AS split FROM bars_h1")
@@ -689,7 +691,8 @@ def _model_rows(spark, sf):
 
 
 def _complete(spark, sf):
-    return features.model_frame(_model_rows(spark, sf), [_Y], _X)
+    """Model rows, written once: folds, means, products and predictions all read them."""
+    return folders.stored(features.model_frame(_model_rows(spark, sf), [_Y], _X), "rows")
 
 
 def _folds(df):
@@ -725,10 +728,11 @@ def fold_gram(spark, sf):
     return rounded(evaluate.fold_gram(df, _folds(df), _X, _Y), 4)
 
 
-_SLOPES = f"""{_MODEL},
+_MOMENTS = f"""{_MODEL},
 moments AS (
   SELECT fold, count(*)::DOUBLE AS n, avg(p1) AS m1, avg(p2) AS m2, avg(p3) AS m3, avg(actual) AS my, stddev_pop(p1) AS s1, stddev_pop(p2) AS s2, stddev_pop(p3) AS s3, stddev_pop(actual) AS sy,
-    corr(p1, p2) * count(*) AS b, corr(p1, p3) * count(*) AS c, corr(p2, p3) * count(*) AS e, corr(p1, actual) * count(*) AS u, corr(p2, actual) * count(*) AS v, corr(p3, actual) * count(*) AS w FROM tr GROUP BY fold),
+    corr(p1, p2) * count(*) AS b, corr(p1, p3) * count(*) AS c, corr(p2, p3) * count(*) AS e, corr(p1, actual) * count(*) AS u, corr(p2, actual) * count(*) AS v, corr(p3, actual) * count(*) AS w FROM tr GROUP BY fold)"""
+_SLOPES = f"""{_MOMENTS},
 sys AS (SELECT *, n + alpha AS a FROM moments CROSS JOIN (VALUES {{alphas}}) t(alpha)),
 dets AS (SELECT *, a * (a * a - e * e) - b * (b * a - e * c) + c * (b * e - a * c) AS det FROM sys),
 solved AS (
@@ -760,10 +764,26 @@ def ridge(spark, sf):
     return rounded(_ridge(df, _folds(df)))
 
 
-@_query("lasso")
+def _shrunk(x: str) -> str:
+    return f"sign({x}) * greatest(abs({x}) - lam, 0) / n"
+
+
+_LASSO = f"""{_MOMENTS.replace('WITH', 'WITH RECURSIVE', 1)},
+pen AS MATERIALIZED (SELECT *, n * alpha AS lam FROM moments CROSS JOIN (VALUES {", ".join(f"({a!r}::DOUBLE)" for a in evaluate.LASSO_ALPHAS)}) t(alpha)),
+sweeps AS (
+  SELECT fold, alpha, 0 AS sweep, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 1.0::DOUBLE AS moved FROM pen
+  UNION ALL SELECT fold, alpha, sweep + 1, n1, n2, n3, greatest(abs(n1 - b1), abs(n2 - b2), abs(n3 - b3)) FROM (
+    SELECT *, {_shrunk("w - c * n1 - e * n2")} AS n3 FROM (
+      SELECT *, {_shrunk("v - b * n1 - e * b3")} AS n2 FROM (
+        SELECT s.*, p.* EXCLUDE (fold, alpha), {_shrunk("u - b * b2 - c * b3")} AS n1 FROM sweeps s JOIN pen p ON p.fold = s.fold AND p.alpha = s.alpha WHERE moved >= 1e-4 AND sweep < 1000)))),
+solved AS (SELECT p.*, s.b1, s.b2, s.b3 FROM (SELECT fold, alpha, max_by(b1, sweep) AS b1, max_by(b2, sweep) AS b2, max_by(b3, sweep) AS b3 FROM sweeps GROUP BY fold, alpha) s JOIN pen p ON p.fold = s.fold AND p.alpha = s.alpha),
+{_SLOPES[_SLOPES.index("sloped AS") : _SLOPES.index("predicted AS")].rstrip().rstrip(",")}"""
+
+
+@_query("lasso", f"{_LASSO} SELECT fold, feature, {_r('alpha', 'coef', 'slope')} FROM coefs")
 def lasso(spark, sf):
     df = _complete(spark, sf)
-    return evaluate.lasso(df, _folds(df), _X, _Y)
+    return rounded(evaluate.lasso(df, _folds(df), _X, _Y))
 
 
 @_query("predict", f"{_OLS} SELECT fold, alpha, ticker, bar_ts, {_r('predicted', 'actual')} FROM predicted")
