@@ -16,6 +16,10 @@ RIDGE_ALPHAS = sorted(m * 10.0**e for e in range(-4, 5) for m in (1, 5))
 LASSO_ALPHAS = sorted(m * 10.0 ** (-4 + 5 * k / 19) for k in range(20) for m in (1, 5))
 
 
+#: Sums of products that a task holds before it sends them on.
+HELD_BYTES = 64 << 20
+
+
 def date_ranks(df: DataFrame, ts: str = "bar_ts") -> DataFrame:
     """(ts, r, n): the distinct times numbered from the latest, 0 first, and their number; one row a time."""
     return numbered(df, ts, latest_first=True).withColumnRenamed("i", "r")
@@ -57,8 +61,8 @@ def fold_scaler(df: DataFrame, folds: DataFrame, columns: list[str], ts: str = "
 def fold_gram(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "bar_ts", shift: dict[str, float] | None = None) -> DataFrame:
     """(fold, a, b, n, s): sums of products of the intercept ``1``, the columns x and y over training rows, a <= b by place.
 
-    Products are summed by time first, as matrix products of Arrow batches, and folds then add up
-    the few rows of their times: a row of the panel is read once, however many folds it trains,
+    Products are summed by time first, in the Arrow batches of a task, and folds then add up the
+    few rows of their times: a row of the panel is read once, however many folds it trains,
     and no fold's rows are gathered. shift: numbers to take from columns before, so that a large
     mean costs no digits.
     """
@@ -67,20 +71,29 @@ def fold_gram(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "
     upper = np.triu_indices(p)
     off = np.array([(shift or {}).get(c, 0.0) for c in names])
 
+    def summed(time: np.ndarray, values) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct times and the sums of the columns that values gives, by time."""
+        order = np.argsort(time, kind="stable")
+        cuts = np.flatnonzero(np.diff(time[order], prepend=time[order[:1]] - 1))
+        return time[order[cuts]], np.concatenate([np.add.reduceat(v, cuts, axis=0) for v in values(order)], axis=1)
+
+    def sent_on(times: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(len(times) + 1) * len(upper[0]), pa.int32()), pa.array(sums.ravel()))
+        return pa.RecordBatch.from_pydict({"t": pa.array(times, pa.int64()), "g": cells})
+
     def products(batches):
+        empty = np.zeros(0, np.int64), np.zeros((0, len(upper[0])))
+        times, sums = empty
         for b in batches:
+            if not b.num_rows:
+                continue
             rows = np.column_stack([np.ones(b.num_rows), *(b.column(1 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(p - 1))]) - off
-            time = b.column(0).cast(pa.int64()).to_numpy()
-            order = np.argsort(time, kind="stable")
-            cuts = np.flatnonzero(np.diff(time[order], prepend=time[order[:1]] - 1))
-            at, sums = [], []
-            for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                m = rows[order[i:j]]
-                at.append(time[order[i]])
-                sums.append((m.T @ m)[upper])
-            if at:
-                cells = pa.array(np.concatenate(sums))
-                yield pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int64()), "g": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(upper[0]), pa.int32()), cells)})
+            t, s = summed(b.column(0).cast(pa.int64()).to_numpy(), lambda order, m=rows: (m[order, i:] * m[order, i, None] for i in range(p)))
+            times, sums = summed(np.concatenate([times, t]), lambda order, s=np.concatenate([sums, s]): [s[order]])
+            if sums.nbytes > HELD_BYTES:  # a task holds so much at most, however many times it sees
+                yield sent_on(times, sums)
+                times, sums = empty
+        yield sent_on(times, sums)
 
     at = F.unix_micros(F.col(ts).cast("timestamp")).alias("t")
     sent = df.select(F.col(ts).cast("timestamp_ntz").alias("t"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names[1:])])
