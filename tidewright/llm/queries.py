@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline  # counted as part of this package
-from tidewright.llm import chat_format, decontaminate, language_id, mixing, simhash, suffix_dedup, token_count, token_shards, topk, url_filter
+from tidewright.llm import chat_format, decontaminate, language_id, line_dedup, merkle, mixing, periodic_runs, simhash, suffix_dedup, token_count, token_shards, topk, url_filter
 
 #: Rules of the URL query: verdict, host, path.
 URL_RULES = (
@@ -73,10 +73,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "n_tiles", F.lit(True).alias("contaminated"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(tampered, F.translate("text", line_dedup.UPPER, line_dedup.LOWER)).otherwise(F.col("text"))
+    found = merkle.manifest(read(spark, sf_dir, "documents"), altered={"text": text})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", F.size("copied").cast("long").alias("n_copied"))
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by id, repeat a part of theirs from a word on to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(words):
+        n = F.size(words)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: words[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")]), " ")
+
+    words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
+    has_words = F.regexp_like("text", F.lit(mixing.WORD))
+    return docs.select("doc_id", F.when((h % 10 == 0) & has_words, F.transform(F.array(words), repeat)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(folded(read(spark, sf_dir, "documents")), least_words=6, least_exponent=4))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_common_lines(read(spark, sf_dir, "documents"), least_docs=5, least_chars=40))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_array_dedup": op1, "op2_chat_formatting": op2, "op3_exact_topk": op3, "op4_language_id": op4, "op5_source_mixing": op5,
         "op6_simhash_near_dedup": op6, "op7_token_shards": op7, "op8_url_filter": op8, "op9_token_counts": op9, "op10_decontamination": op10,
+        "op11_merkle_manifest": op11, "op12_periodic_runs": op12, "op13_line_dedup": op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -141,6 +173,64 @@ FROM r
 """
 
 
+
+
+def _merkle_sql(levels: int = 8, groups: int = 5) -> str:
+    """Levels of a source's tree and of the tree over the sources written out one by one; 16^levels leaves a source, 16^groups sources."""
+    fields = lambda text: " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    out = [
+        # crc32, bit by bit
+        f"""WITH d AS (
+  SELECT *, 4294967295 - list_reduce(list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i + 1]) AS BIGINT)),
+    lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(c, x)), 4294967295) AS crc FROM documents),
+t AS (SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now FROM d),
+h AS (SELECT doc_id, source, sha256({fields("text")}) AS leaf, sha256({fields("now")}) AS altered FROM t),
+l0 AS (
+  SELECT *, source AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS i, leaf AS node, altered AS f, '' AS proof FROM h),
+n0 AS (SELECT source, i, leaf AS node, count(*) OVER (PARTITION BY source) AS n FROM l0)"""
+    ]
+
+    def level(k: int, nodes: str, leaves: str) -> None:
+        """Nodes of the next level, and every leaf's proof and fold so far; a tree of one node stays as it is."""
+        out.append(f"""r{k} AS (
+  SELECT source, i // 16 AS i, max(n) AS n, string_agg(node, '' ORDER BY i) AS run, list(node ORDER BY i) AS each FROM {nodes} GROUP BY source, i // 16),
+n{k + 1} AS (SELECT source, i, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS node, (n + 15) // 16 AS n FROM r{k}),
+p{k} AS (
+  SELECT l.* REPLACE (l.i // 16 AS i, l.proof || array_to_string(each[:l.i % 16], '') || array_to_string(each[l.i % 16 + 2:], '') AS proof,
+    CASE WHEN n = 1 THEN f ELSE sha256(array_to_string(each[:l.i % 16], '') || f || array_to_string(each[l.i % 16 + 2:], '')) END AS f)
+  FROM {leaves} l JOIN r{k} r ON r.source IS NOT DISTINCT FROM l.source AND r.i = l.i // 16)""")
+
+    for k in range(levels):
+        level(k, f"n{k}", f"p{k - 1}" if k else "l0")
+    s = levels
+    out.append(f"""g AS (SELECT source AS name, 0 AS source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, node, count(*) OVER () AS n FROM n{s}),
+q AS (SELECT p.* REPLACE (g.i AS i, 0 AS source), g.node AS subroot FROM p{s - 1} p JOIN g ON g.name IS NOT DISTINCT FROM p.source)""")
+    for k in range(s, s + groups):
+        level(k, "g" if k == s else f"n{k}", "q" if k == s else f"p{k - 1}")
+    out.append("")
+    return ",\n".join(out).rstrip(",\n") + f"""
+SELECT p.doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.node AS verified,
+  CAST(CASE WHEN leaf = altered THEN 0 ELSE steps END AS BIGINT) AS n_copied
+FROM p{s + groups - 1} p CROSS JOIN n{s + groups} r
+JOIN (SELECT source, {" + ".join(f"CASE WHEN count(*) > {16**k} THEN 1 ELSE 0 END" for k in range(levels))} + (SELECT {" + ".join(f"CASE WHEN count(*) > {16**k} THEN 1 ELSE 0 END" for k in range(groups))} FROM g) AS steps FROM l0 GROUP BY source) c
+  ON c.source IS NOT DISTINCT FROM p.src
+"""
+
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, r, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+hot AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5),
+j AS (SELECT k.*, hot.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN hot ON k.key = hot.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator; the others are tested against brute force."""
-    return {"op2_chat_formatting": _OP2, "op3_exact_topk": _OP3, "op5_source_mixing": _OP5}
+    return {"op2_chat_formatting": _OP2, "op3_exact_topk": _OP3, "op5_source_mixing": _OP5, "op11_merkle_manifest": _merkle_sql(), "op13_line_dedup": _OP13}
