@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import BAR, bar_rows
+from tidewright.functions import series
 from tidewright.operators import evaluate, features, fracdiff, indicators, risk, validate, windows
 from tidewright.sources import bars, folders
 from tidewright.streaming import incremental
@@ -157,16 +158,112 @@ def test_indicators(spark, single):
     assert z[0] == pytest.approx(0, abs=1e-9) and z[1] == pytest.approx(1)
 
 
-@pytest.mark.parametrize("n,alpha,start,size", [(5, 1 / 3, 4, 3), (5, 1 / 3, 4, 5), (14, 1 / 14, 13, 700), (12, 2 / 13, 25, 1100)])
-def test_smoothing_equals_a_loop(n, alpha, start, size):
-    x = np.random.default_rng(n).normal(100, 5, size)
-    got, y = indicators._smooth(x, n, alpha, start), None
-    for i in range(size):
-        if i == start:
-            y = x[i - n + 1 : i + 1].mean()
-        elif i > start:
-            y += alpha * (x[i] - y)
-        assert np.isnan(got[i]) if y is None else got[i] == pytest.approx(y, rel=1e-12)
+def by_loop(close, high, low):
+    """The indicators of a series row by row: counted from the first value, null for good from a later null on."""
+    size, nan = len(close), float("nan")
+    out = {c: [nan] * size for c in indicators.RECURSIVE}
+
+    def mean(xs, n, seed, left):
+        y, got = nan, []
+        for i, x in enumerate(xs):
+            y = sum(xs[seed - n + 1 : seed + 1]) / n if i == seed else left * y + (1 - left) * x
+            got.append(y if i >= seed else nan)
+        return got
+
+    f = next((i for i in range(size) if close[i] == close[i]), size)
+    x = close[f:]
+    macd = [a - b for a, b in zip(mean(x, 12, 25, 11 / 13), mean(x, 26, 25, 25 / 27), strict=True)]
+    step = [b - a for a, b in zip(x, x[1:], strict=False)]
+    up, down = (mean([max(s * sign, 0) if s == s else nan for s in step], 14, 13, 13 / 14) for sign in (1, -1))
+    out["ema5"][f:] = mean(x, 5, 4, 4 / 6)
+    out["macd"][f + 33 :] = macd[33:]
+    out["macd_signal"][f + 25 :] = mean(macd[25:], 9, 8, 8 / 10)
+    out["rsi"][f + 1 :] = [0.0 if u + d == 0 else 100 * u / (u + d) for u, d in zip(up, down, strict=True)]
+    f = next((i for i in range(size) if close[i] == close[i] and high[i] == high[i] and low[i] == low[i]), size)
+    true = [nan if any(v != v for v in (high[i], low[i], close[i - 1])) else max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])) for i in range(f + 1, size)]
+    out["atr"][f + 1 :] = mean(true, 14, 13, 13 / 14)
+    return {c: v[:size] for c, v in out.items()}
+
+
+def with_gaps(seed):
+    """Series with nulls at every kind of place: none, at the start, in the seeds, at chunk edges, late, two of them, all."""
+    rows = []
+    for k, (n, gaps) in enumerate([(300, ()), (300, (0, 1, 2)), (300, (10,)), (300, (67, 68)), (300, (136,)), (300, (299,)), (30, ()), (20, range(20)), (300, range(60)), (300, range(70)), (300, range(102)), (300, (*range(35), 200)), (205, (204,)), (150, (100,)), (36, (0,)), (1, ())]):
+        for i, r in enumerate(bar_rows(f"T{k}", n, seed + k)):
+            close = None if i in gaps else r[5]
+            high = None if k == 13 and i == 50 else r[3]
+            rows.append((*r[:3], high, r[4], close, *r[6:]))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 68, 100])
+def test_indicators_equal_a_loop_with_nulls_and_in_chunks(spark, chunk):
+    rows = with_gaps(3)
+    df = spark.createDataFrame(rows, BAR).repartition(7)
+    found = indicators.recursive(df, chunk=chunk, keep=("open",))
+    assert chunk > 300 or "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["ticker"], []).append(r)
+    value = lambda x: float("nan") if x is None else x
+    for name in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == name]
+        want = by_loop(*([value(r[k]) for r in mine] for k in (5, 3, 4)))
+        have = sorted(got[name], key=lambda r: r["rn"])
+        assert [(r["rn"], r["bar_ts"], r["open"]) for r in have] == [(i + 1, r[1], r[2]) for i, r in enumerate(mine)]
+        for c in indicators.RECURSIVE:
+            np.testing.assert_allclose([value(r[c]) for r in have], want[c], rtol=1e-9, err_msg=f"{name} {c}")
+
+
+def test_a_null_time_shifts_no_other_row(spark, single):
+    odd = spark.createDataFrame([("TEST", None, 1.0, 2.0, 0.5, None, 1.0, "s", "i")], BAR)
+    values = lambda df: {r["bar_ts"]: (r["ema5"], r["macd"], r["wclprice"]) for r in indicators.technical(df).collect()}
+    plain, with_null = values(single), values(single.unionByName(odd))
+    assert with_null.pop(None) == (None, None, None) and with_null == plain
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 1500])
+def test_a_thousand_weights_equal_direct_sums(spark, chunk):
+    w = fracdiff.weights(0.45, 1e-5)
+    assert len(w) == 1000
+    rng = np.random.default_rng(5)
+    rows = [("A", i, float(x)) for i, x in enumerate(1e4 + np.cumsum(rng.normal(size=5200)))] + [("B", i, float(i)) for i in range(999)] + [("C", i, None if i in (3, 2400) else float(x)) for i, x in enumerate(rng.normal(size=4000))]
+    df = spark.createDataFrame(rows, "ticker string, i long, x double").withColumn("bar_ts", F.timestamp_seconds("i").cast("timestamp_ntz")).repartition(5)
+    got = {(r["ticker"], r["i"]): r["x_frac_diff"] for r in fracdiff.frac_diff(df, 0.45, 1e-5, chunk=chunk).collect()}
+    assert len(got) == len(rows)
+    for name in "ABC":
+        x = [r[2] for r in rows if r[0] == name]
+        for i in {*range(0, len(x), 97), 998, 999, 1002, 1003, 1004, 3399, 3400, len(x) - 1} & set(range(len(x))):
+            frame = x[i - 999 : i + 1] if i >= 999 else [None]
+            if None in frame:
+                assert got[name, i] is None
+            else:
+                assert got[name, i] == pytest.approx(math.fsum(wk * v for wk, v in zip(w, frame[::-1], strict=True)), abs=1e-8)
+
+
+@pytest.mark.parametrize("n", [100, 999, 1000, 4096, 9000])
+def test_overlap_save_equals_convolution(n):
+    rng = np.random.default_rng(n)
+    w, x = np.array(fracdiff.weights(0.3, 1e-6)), rng.normal(size=n)
+    x[rng.integers(0, n, 2)] = np.nan
+    np.testing.assert_allclose(fracdiff._differenced(x, w), np.convolve(x, w, "valid") if n >= len(w) else [], atol=1e-12)
+
+
+def test_windows_over_chunks_equal_those_over_whole_series(spark, multi):
+    df = multi.unionByName(multi.limit(40).withColumn("close", F.col("close") + 1))  # repeated times
+    df = features.dollar_volume(df).withColumns({f"return_{n}b": F.col("close") * n for n in features.HORIZONS}).repartition(5)
+    ops = [
+        (features.dollar_volume_month, 20, 0), (features.lagged_returns, 105, 0), (features.forward_targets, 0, 21), (indicators.cdl2crows, 12, 0), (indicators.bollinger_distance, 19, 0),
+        (features.raw_returns, 63, 0), (lambda d: fracdiff.frac_diff(d, 0.4, col="close"), len(fracdiff.weights(0.4)) - 1, 0),
+    ]
+    for op, before, after in ops:
+        for rows in (7, 50, 1000):
+            split = series.over_chunks(df, op, before, after, rows)
+            whole = op(df).select(split.columns)
+            key = lambda r: str(tuple(r))
+            flat = lambda d: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect()), key=str)
+            assert flat(split) == flat(whole), (op, rows)
+    assert "chunk" in series.over_chunks(df, features.forward_targets, 0, 21, 50)._jdf.queryExecution().toString()
 
 
 def test_repeated_times_do_not_multiply_rows(spark, single):

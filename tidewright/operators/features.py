@@ -29,7 +29,7 @@ def dollar_volume(df: DataFrame) -> DataFrame:
 
 def dollar_volume_month(df: DataFrame, bars: int = MONTH_BARS["1d"]) -> DataFrame:
     """Rolling mean of dollar volume over a month of bars."""
-    return df.withColumn("dollar_vol_1m", full_mean(F.col("dollar_vol"), bars, by_ticker()))
+    return df.withColumn("dollar_vol_1m", full_mean(F.col("dollar_vol"), bars, by_ticker(df)))
 
 
 def dollar_volume_rank(df: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def log_price(df: DataFrame) -> DataFrame:
 
 def raw_returns(df: DataFrame, lags=LAGS) -> DataFrame:
     """close / close L bars before - 1; null at the start and after a zero price."""
-    w = by_ticker()
+    w = by_ticker(df)
     return df.withColumns({f"raw_{n}b": F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1 for n in lags})
 
 
@@ -98,13 +98,13 @@ def clipped_returns(df: DataFrame, lags=LAGS, q: float = 0.001, interpolation: s
 
 def lagged_returns(df: DataFrame, lags=LAGGED, lookbacks=LOOKBACKS) -> DataFrame:
     """return_Lb_lagT: return_Lb of T * L bars before."""
-    w = by_ticker()
+    w = by_ticker(df)
     return df.withColumns({f"return_{n}b_lag{t}": F.lag(f"return_{n}b", t * n).over(w) for n in lags for t in lookbacks})
 
 
 def forward_targets(df: DataFrame, horizons=HORIZONS) -> DataFrame:
     """target_Hb: return_Hb of H bars ahead."""
-    w = by_ticker()
+    w = by_ticker(df)
     return df.withColumns({f"target_{h}b": F.lead(f"return_{h}b", h).over(w) for h in horizons})
 
 

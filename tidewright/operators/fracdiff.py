@@ -8,13 +8,22 @@ squares. The test of given series is aggregates alone.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidewright.functions import series as split
+from tidewright.functions.windows import by_ticker
+from tidewright.sources.folders import stored
+
+#: Up to so many weights are lags of a window; more are a convolution.
+EXPRESSED = 64
 #: The cubic fit of the p-value of a unit-root statistic (one series, constant), after MacKinnon (1994).
 SMALL_P, LARGE_P = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
 SPLIT, TOP, BOTTOM = -1.61, 2.74, -18.83
@@ -46,28 +55,73 @@ def ffd_weights(orders: DataFrame, threshold: float = 0.001, max_lags: int = 100
     return orders.select(F.col("d").cast("double").alias("d")).distinct().select("d", F.posexplode(fold).alias("k", "w"))
 
 
-def frac_diff(series: DataFrame, d: float, threshold: float = 0.001, col: str = "x") -> DataFrame:
-    """Adds x_frac_diff: null for the first K-1 rows of a ticker and wherever a lag is null; all rows stay."""
-    w = Window.partitionBy("ticker").orderBy("bar_ts")
-    total = None
-    for k, wk in enumerate(weights(d, threshold)):
-        term = F.lit(wk) * (F.lag(col, k).over(w) if k else F.col(col))
-        total = term if total is None else total + term
-    return series.withColumn(f"{col}_frac_diff", total)
+def frac_diff(series: DataFrame, d: float, threshold: float = 0.001, col: str = "x", max_lags: int = 1000, chunk: int = split.CHUNK) -> DataFrame:
+    """Adds x_frac_diff: null for the first K-1 rows of a ticker and wherever a lag is null; all rows stay.
+
+    Few weights are a window expression. Many are a convolution of a ticker's vector, or of
+    chunks with K-1 rows of halo where a series is longer than chunk. Rows of one time are
+    ordered by the value and come to the same result whichever way it is computed.
+    """
+    w, name = weights(d, threshold, max_lags), f"{col}_frac_diff"
+    if len(w) <= EXPRESSED:
+        order = by_ticker(series.select("ticker", "bar_ts", F.col(col).alias("x"))) if "place" not in series.columns and col == "x" else by_ticker(series)
+        terms = [F.lit(wk) * (F.lag(col, k).over(order) if k else F.col(col)) for k, wk in enumerate(w)]
+        return series.withColumn(name, reduce(add, terms))
+    halo, table = len(w) - 1, np.array(w)
+    rows = series.select("ticker", "bar_ts", F.col(col).cast("double").alias("x"), F.struct(*[series[f"`{c}`"] for c in series.columns]).alias("row"))
+    schema = T.StructType([rows.schema["row"], T.StructField("y", T.DoubleType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        by = ["place"] if "place" in t.column_names else ["bar_ts", "x"]
+        t = t.sort_by([(c, "ascending") for c in by], null_placement="at_start")
+        x = t.column("x").to_numpy().astype(float)
+        y = np.concatenate([np.full(min(halo, len(x)), np.nan), _differenced(x, table)])
+        out = pa.table({"row": t.column("row"), "y": pa.array(y, mask=np.isnan(y))})
+        return out.filter(t.column("own")) if "own" in t.column_names else out
+
+    rows = stored(rows, "series")
+    if split.longest(rows) <= chunk:
+        found = rows.groupBy("ticker").applyInArrow(run, schema)
+    else:
+        cut = split.chunked(split.places(rows, "ticker", ["bar_ts", "x"]), max(chunk, halo), halo)
+        found = cut.groupBy("ticker", "chunk").applyInArrow(run, schema)
+    return found.select("row.*", F.col("y").alias(name))
 
 
 def _differenced(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Sum of w_k times the value k rows before, full frames only; x is NaN where it is null."""
-    return np.convolve(x, w, "valid") if len(x) >= len(w) else np.zeros(0)
+    """Sum of w_k times the value k rows before, full frames only; x is NaN where it is null.
+
+    Many weights: overlap-save. Blocks that overlap by a frame less one are multiplied by the
+    weights in frequencies, and what wraps around is left out. Values are taken relative to their
+    block's mean, whose part is added back exactly, so that a far level costs no digits. NaN
+    stays where it reaches.
+    """
+    k = len(w)
+    if len(x) < k:
+        return np.zeros(0)
+    if k <= EXPRESSED:
+        return np.convolve(x, w, "valid")
+    size = 1 << max(4 * k - 1, 1023).bit_length()
+    step, n_out = size - k + 1, len(x) - k + 1
+    known = np.isfinite(x)
+    padded = np.pad(np.where(known, x, 0.0), (0, -n_out % step))
+    blocks = np.lib.stride_tricks.sliding_window_view(padded, size)[::step]
+    mean = blocks.mean(axis=1, keepdims=True)
+    y = np.fft.irfft(np.fft.rfft(blocks - mean, axis=1) * np.fft.rfft(w, size), size, axis=1)[:, k - 1 :] + mean * w.sum()
+    y = y.ravel()[:n_out]
+    if not known.all():
+        gaps = np.concatenate([[0], np.cumsum(~known)])
+        y[gaps[k:] > gaps[:-k]] = np.nan
+    return y
 
 
 def _vector(table: pa.Table) -> np.ndarray:
     return table.sort_by([("bar_ts", "ascending"), ("x", "ascending")]).column("x").to_numpy().astype(float)
 
 
-def grid_series(series: DataFrame, orders: list[float], threshold: float = 0.001) -> DataFrame:
+def grid_series(series: DataFrame, orders: list[float], threshold: float = 0.001, max_lags: int = 1000) -> DataFrame:
     """(ticker, bar_ts, d, x): the series under each order, rows with a full frame and without a null in it only."""
-    table = {d: np.array(weights(d, threshold)) for d in orders}
+    table = {d: np.array(weights(d, threshold, max_lags)) for d in orders}
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("bar_ts", "ascending"), ("x", "ascending")])
