@@ -180,7 +180,7 @@ def by_loop(close, high, low):
     out["macd_signal"][f + 25 :] = mean(macd[25:], 9, 8, 8 / 10)
     out["rsi"][f + 1 :] = [0.0 if u + d == 0 else 100 * u / (u + d) for u, d in zip(up, down, strict=True)]
     f = next((i for i in range(size) if close[i] == close[i] and high[i] == high[i] and low[i] == low[i]), size)
-    true = [nan if any(v != v for v in (high[i], low[i], close[i - 1])) else max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])) for i in range(f + 1, size)]
+    true = [nan if any(v != v for v in (high[i], low[i], close[i], close[i - 1])) else max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])) for i in range(f + 1, size)]
     out["atr"][f + 1 :] = mean(true, 14, 13, 13 / 14)
     return {c: v[:size] for c, v in out.items()}
 
@@ -468,6 +468,55 @@ def test_denoise_keeps_trace_and_hrp_sums_to_one(spark):
     assert sum(w.values()) == pytest.approx(1, abs=1e-4) and w["a0"] > w["a3"]
 
 
+def linked(dist):
+    """Leaf order by merging the two clusters with the nearest members until one is left; the lower number goes first."""
+    clusters, number = {k: [k] for k in range(len(dist))}, len(dist)
+    while len(clusters) > 1:
+        _, a, b = min((min(dist[i][j] for i in x for j in y), a, b) for a, x in clusters.items() for b, y in clusters.items() if a < b)
+        clusters[number] = clusters.pop(a) + clusters.pop(b)
+        number += 1
+    return clusters[number - 1]
+
+
+def parity(m, order):
+    """Weights by halving the order, one half after another."""
+    w, parts = np.ones(len(m)), [order]
+    risk_of = lambda p: (v := 1 / np.diag(m)[p] / (1 / np.diag(m)[p]).sum()) @ m[np.ix_(p, p)] @ v
+    while parts:
+        halves = [(p[: len(p) // 2], p[len(p) // 2 :]) for p in parts if len(p) > 1]
+        for x, y in halves:
+            share = 1 - risk_of(x) / (risk_of(x) + risk_of(y))
+            w[x] *= share
+            w[y] *= 1 - share
+        parts = [h for pair in halves for h in pair]
+    return w
+
+
+def test_hierarchical_weights_equal_the_published_order(spark):
+    rng, rows, want = np.random.default_rng(1), [], {}
+    for k in range(200):
+        p = 6 if k < 150 else int(rng.integers(1, 12))
+        x = rng.normal(size=(20, p)) @ rng.normal(size=(p, p))
+        m = np.cov(x.T).reshape(p, p)
+        s = np.sqrt(np.diag(m))
+        dist = np.sqrt((1 - np.round(np.clip(m / np.outer(s, s), -1, 1), 6)) / 2)
+        w = parity(m, linked(dist) if p > 1 else [0])
+        want |= {(k, f"a{i:02d}"): 0 if abs(v) < 1e-4 else round(v, 5) for i, v in enumerate(w)}
+        rows += [(k, f"a{i:02d}", f"a{j:02d}", float(m[i, j])) for i in range(p) for j in range(i, p)]
+    got = {(r["portfolio"], r["asset"]): r["weight"] for r in risk.hrp_weights(spark.createDataFrame(rows, "portfolio long, i string, j string, cov double")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-5) for k in want)
+
+
+def test_a_portfolio_counts_the_rows_that_it_used(spark):
+    df, x = returns(spark)
+    name = df.first()["portfolio"]
+    holed = df.where(~((F.col("asset") == "a0") & (F.dayofmonth("bar_ts") <= 5)))
+    n = {r["portfolio"]: r["n"] for r in risk.complete_rows(holed).collect()}
+    assert 0 < n[name] < df.select("bar_ts").distinct().count()
+    step = risk.hrp_weights(risk.denoise_cov(risk.ledoit_wolf(holed).drop("shrinkage"), spark.createDataFrame([(name, n[name])], f"portfolio {df.schema['portfolio'].dataType.simpleString()}, n long")))
+    assert weights_of(risk.hrp_portfolio(holed)) == weights_of(step)
+
+
 def weights_of(df):
     return {r["asset"]: r["weight"] for r in df.collect()}
 

@@ -101,27 +101,27 @@ def denoise_cov(cov: DataFrame, n_rows: DataFrame) -> DataFrame:
 
 
 def _leaf_order(dist: np.ndarray) -> list[int]:
-    """Single linkage by a minimum spanning tree, in the square of the assets.
+    """Leaves of the single-linkage tree, of every pair the cluster with the lower number first.
 
-    Edges join clusters in order of length, ties by their ends; the cluster of the smaller first
-    member goes first.
+    Assets are numbered by place and clusters by creation, after all assets, as linkage tables
+    number them. Assets join one at a time, always the nearest to those that have, from the first
+    asset on; the steps of that walk are merged in order of length, ties in order of the walk.
     """
     n = len(dist)
-    near, to, left, edges = dist[0].copy(), np.zeros(n, np.int64), np.ones(n, bool), []
-    left[0] = False
+    near, left, x, steps = np.full(n, np.inf), np.ones(n, bool), 0, []
     for _ in range(n - 1):
-        k = int(np.argmin(np.where(left, near, np.inf)))
-        edges.append((near[k], *sorted((k, int(to[k])))))
-        left[k] = False
-        closer = left & (dist[k] < near)
-        near[closer], to[closer] = dist[k][closer], k
-    cluster = {k: [k] for k in range(n)}
-    for _, a, b in sorted(edges):
-        x, y = sorted((cluster[a], cluster[b]), key=lambda c: c[0])
-        x += y
-        for k in y:
-            cluster[k] = x
-    return cluster[0]
+        left[x] = False
+        near = np.minimum(near, dist[x])
+        y = int(np.argmin(np.where(left, near, np.inf)))
+        steps.append((float(near[y]), x, y))
+        x = y
+    members, owner = {k: [k] for k in range(n)}, list(range(n))
+    for k, (_, a, b) in enumerate(sorted(steps, key=lambda s: s[0])):
+        low, high = sorted((owner[a], owner[b]))
+        members[n + k] = members.pop(low) + members.pop(high)
+        for i in members[n + k]:
+            owner[i] = n + k
+    return next(iter(members.values()))
 
 
 def _bisect(m: np.ndarray, order: list[int]) -> np.ndarray:
@@ -147,13 +147,18 @@ def _bisect(m: np.ndarray, order: list[int]) -> np.ndarray:
 
 
 def hrp_weights(cov: DataFrame) -> DataFrame:
-    """(portfolio, asset, weight): hierarchical risk parity; weights under 1e-4 become 0, rounded to 5 places."""
+    """(portfolio, asset, weight): hierarchical risk parity; weights under 1e-4 become 0, rounded to 5 places.
+
+    Distances are the roots of (1 - correlation) / 2, with correlations rounded to 6 places, and
+    the tree is that of single linkage (``_leaf_order``). One matrix a portfolio, portfolios in
+    parallel.
+    """
 
     def fix(pdf: pd.DataFrame) -> pd.DataFrame:
         names, m = _matrix(pdf)
         s = np.sqrt(np.maximum(np.diag(m), 0))
         s = np.where(s == 0, 1e-10, s)
-        corr = np.clip(m / np.outer(s, s), -1, 1)
+        corr = np.round(np.clip(m / np.outer(s, s), -1, 1), 6)
         w = _bisect(m, _leaf_order(np.sqrt((1 - corr) / 2)))
         w = np.where(np.abs(w) < 1e-4, 0, np.round(w, 5))
         return pd.DataFrame({"portfolio": pdf["portfolio"].iloc[0], "asset": names, "weight": w})
@@ -162,6 +167,21 @@ def hrp_weights(cov: DataFrame) -> DataFrame:
     return cov.groupBy("portfolio").applyInPandas(fix, f"portfolio {kind}, asset string, weight double")
 
 
+def complete_rows(returns: DataFrame) -> DataFrame:
+    """(portfolio, n): times at which every asset of the portfolio has a return."""
+    return _complete(returns).groupBy("portfolio").agg(F.count("*").alias("n"))
+
+
+def denoised(returns: DataFrame) -> DataFrame:
+    """(portfolio, i, j, cov): shrunk, then denoised with the number of the complete rows that the covariance used."""
+    return denoise_cov(ledoit_wolf(returns).drop("shrinkage"), complete_rows(returns))
+
+
+def hrp_portfolio(returns: DataFrame) -> DataFrame:
+    """(portfolio, asset, weight) from returns: shrinkage, denoising and hierarchical risk parity in one."""
+    return hrp_weights(denoised(returns))
+
+
 def dataset_profile(df: DataFrame, ticker: str = "ticker", ts: str = "bar_ts") -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.countDistinct(ticker).alias("n_tickers"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.lit(len(df.columns)).alias("n_columns"))
 

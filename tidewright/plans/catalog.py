@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.functions import series
+from tidewright.functions.windows import by_ticker
 from tidewright.operators import evaluate, features, fracdiff, indicators, risk, validate, windows
 from tidewright.plans import views
 from tidewright.sources import bars, folders
@@ -308,7 +310,7 @@ def model_frame(spark, sf):
 
 def _ema(name: str, source: str, value: str, n: int, seed_rn: int, out_rn: int) -> str:
     """An EMA as a recursion on row numbers, from the mean of the n rows that end at seed_rn."""
-    return f"""{name}_seed AS (SELECT ticker, avg({value}) AS y FROM {source} WHERE rn BETWEEN {seed_rn - n + 1} AND {seed_rn} GROUP BY ticker HAVING count(*) = {n}),
+    return f"""{name}_seed AS (SELECT ticker, CASE WHEN count({value}) = {n} THEN avg({value}) END AS y FROM {source} WHERE rn BETWEEN {seed_rn - n + 1} AND {seed_rn} GROUP BY ticker HAVING count(*) = {n}),
 {name} AS (
   SELECT ticker, CAST({seed_rn} AS BIGINT) AS rn, y FROM {name}_seed
   UNION ALL SELECT s.ticker, s.rn, e.y + (2.0::DOUBLE / {n + 1}) * (s.{value} - e.y) FROM {name} e JOIN {source} s ON s.ticker = e.ticker AND s.rn = e.rn + 1)"""
@@ -320,7 +322,7 @@ _SIGNAL = _MACD + ", mk AS (SELECT ticker, k AS rn, macd FROM m), " + _ema("sig"
 
 
 def _wilder(name: str, source: str, value: str) -> str:
-    return f"""{name}_seed AS (SELECT ticker, avg({value}) AS y FROM {source} WHERE rn BETWEEN 2 AND 15 GROUP BY ticker HAVING count(*) = 14),
+    return f"""{name}_seed AS (SELECT ticker, CASE WHEN count({value}) = 14 THEN avg({value}) END AS y FROM {source} WHERE rn BETWEEN 2 AND 15 GROUP BY ticker HAVING count(*) = 14),
 {name} AS (
   SELECT ticker, CAST(15 AS BIGINT) AS rn, y FROM {name}_seed
   UNION ALL SELECT s.ticker, s.rn, e.y + (s.{value} - e.y) / 14 FROM {name} e JOIN {source} s ON s.ticker = e.ticker AND s.rn = e.rn + 1)"""
@@ -359,6 +361,44 @@ def macd_zscore(spark, sf):
     return rounded(indicators.macd_zscore(views.bars_d1(spark, sf)))
 
 
+_GAPS = f"""WITH RECURSIVE {views.BARS_GAPS}, firsts AS (SELECT ticker, min(bar_ts) AS f FROM gaps WHERE close IS NOT NULL GROUP BY ticker),
+b AS (SELECT g.*, row_number() OVER (PARTITION BY g.ticker ORDER BY bar_ts) AS rn FROM gaps g JOIN firsts ON firsts.ticker = g.ticker AND bar_ts >= f)"""
+_GAP_STEP = """step AS (SELECT ticker, rn, high, low, lag(close) OVER w AS c, close - lag(close) OVER w AS s FROM b WINDOW w AS (PARTITION BY ticker ORDER BY rn)),
+st AS (SELECT ticker, rn, CASE WHEN s > 0 THEN s ELSE s * 0 END AS up, CASE WHEN s < 0 THEN -s ELSE s * 0 END AS down, CASE WHEN c IS NOT NULL AND s IS NOT NULL THEN greatest(high - low, abs(high - c), abs(low - c)) END AS tr FROM step)"""
+
+
+@_query(
+    "indicators_with_gaps",
+    f"""{_GAPS}, {_ema('e5', 'b', 'close', 5, 5, 5)}, {_ema('fast', 'b', 'close', 12, 26, 26)}, {_ema('slow', 'b', 'close', 26, 26, 26)},
+m AS (SELECT f.ticker, f.rn, f.y - s.y AS macd FROM fast f JOIN slow s ON f.ticker = s.ticker AND f.rn = s.rn), mk AS (SELECT ticker, rn - 25 AS rn, macd FROM m), {_ema('sig', 'mk', 'macd', 9, 9, 9)},
+{_GAP_STEP}, {_wilder('u', 'st', 'up')}, {_wilder('d', 'st', 'down')}, {_wilder('a', 'st', 'tr')}
+SELECT g.ticker, g.bar_ts, round(e5.y, 6) AS ema5, round(macd, 6) AS macd, round(sig.y, 6) AS macd_signal, round(CASE WHEN u.y + d.y = 0 THEN 0 ELSE 100 * u.y / (u.y + d.y) END, 6) AS rsi, round(a.y, 6) AS atr
+FROM gaps g LEFT JOIN b ON b.ticker = g.ticker AND b.bar_ts = g.bar_ts LEFT JOIN e5 ON e5.ticker = b.ticker AND e5.rn = b.rn LEFT JOIN m ON m.ticker = b.ticker AND m.rn = b.rn AND m.rn >= 34
+LEFT JOIN sig ON sig.ticker = b.ticker AND sig.rn = b.rn - 25 LEFT JOIN u ON u.ticker = b.ticker AND u.rn = b.rn LEFT JOIN d ON d.ticker = b.ticker AND d.rn = b.rn LEFT JOIN a ON a.ticker = b.ticker AND a.rn = b.rn""",
+)
+def indicators_with_gaps(spark, sf):
+    """All recursive indicators of series that lack closes, with every series dealt to tasks in chunks of 100 rows."""
+    return rounded(indicators.recursive(views.bars_gaps(spark, sf), chunk=100).drop("rn"))
+
+
+@_query(
+    "windows_in_chunks",
+    f"""{_VOL}, k AS (SELECT ticker, bar_ts, close, count(close) OVER w AS n, avg(close) OVER w AS m, stddev_pop(close) OVER w AS s, lead(close, 21) OVER t AS ahead, lag(close, 63) OVER t AS back
+  FROM bars_d1 WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), t AS (PARTITION BY ticker ORDER BY bar_ts))
+SELECT k.ticker, k.bar_ts, round(dollar_vol_1m, 2) AS dollar_vol_1m, CASE WHEN n = 20 AND 1 + (m + 2 * s - k.close) / (m + 2 * s) > 0 THEN round(ln(1 + (m + 2 * s - k.close) / (m + 2 * s)), 6) END AS bb_high, ahead, round(k.close / back - 1, 6) + 0.0 AS raw_63b
+FROM k JOIN dm ON dm.ticker = k.ticker AND dm.bar_ts = k.bar_ts""",
+)
+def windows_in_chunks(spark, sf):
+    """Windows that look back 63 rows and ahead 21, with every series dealt to tasks in chunks of 100 rows."""
+
+    def op(df):
+        df = features.raw_returns(indicators.bollinger_distance(features.dollar_volume_month(features.dollar_volume(df))), (63,))
+        return df.withColumn("ahead", F.lead("close", 21).over(by_ticker(df)))
+
+    df = series.over_chunks(views.bars_d1(spark, sf), op, before=63, after=21, rows=100)
+    return df.select("ticker", "bar_ts", F.round("dollar_vol_1m", 2).alias("dollar_vol_1m"), F.round("bb_high", 6).alias("bb_high"), "ahead", F.round("raw_63b", 6).alias("raw_63b"))
+
+
 @_query(
     "cdl2crows",
     f"""{_D1}, k AS (SELECT ticker, bar_ts, open, close, lag(open, 2) OVER w AS o1, lag(close, 2) OVER w AS c1, lag(open) OVER w AS o2, lag(close) OVER w AS c2,
@@ -432,11 +472,11 @@ _FRAME = 100
 assert max(len(fracdiff.weights(k / 200, _THRESHOLD)) for k in range(20, 201)) <= _FRAME
 
 
-def _differenced(ds: str, source: str = "levels", tag: str = "", wanted: str = "") -> str:
+def _differenced(ds: str, source: str = "levels", tag: str = "", wanted: str = "", frame: int = _FRAME) -> str:
     """SQL: the series of each order in ds, full frames only: an inner product of the last values and the weights."""
     only = f"JOIN {wanted} v ON v.ticker = h.ticker AND v.d = g.d" if wanted else ""
     return f"""ws{tag} AS (SELECT d, list(w ORDER BY k DESC) AS ws, count(*) AS n FROM w{tag} GROUP BY d),
-held{tag} AS (SELECT ticker, bar_ts, rn, list(x) OVER (PARTITION BY ticker ORDER BY rn ROWS BETWEEN {_FRAME - 1} PRECEDING AND CURRENT ROW) AS h FROM {source}),
+held{tag} AS (SELECT ticker, bar_ts, rn, list(x) OVER (PARTITION BY ticker ORDER BY rn ROWS BETWEEN {frame - 1} PRECEDING AND CURRENT ROW) AS h FROM {source}),
 fd{tag} AS (SELECT h.ticker, h.bar_ts, h.rn, g.d, list_inner_product(list_slice(h.h, len(h.h) - g.n + 1, len(h.h)), g.ws) AS x FROM held{tag} h JOIN ws{tag} g ON h.rn >= g.n {only})"""
 
 
@@ -479,6 +519,12 @@ def frac_diff(spark, sf):
     return rounded(fracdiff.frac_diff(views.levels(spark, sf), 0.3, _THRESHOLD).select("ticker", "bar_ts", "x_frac_diff"), 4)
 
 
+@_query("frac_diff_fine", f"WITH RECURSIVE {views.LEVELS}, ds AS (SELECT 0.3::DOUBLE AS d), {_WEIGHTS.format(t=0.0001)}, {_differenced('ds', frame=400)} SELECT l.ticker, l.bar_ts, round(fd.x, 4) AS x_frac_diff FROM levels l LEFT JOIN fd ON fd.ticker = l.ticker AND fd.rn = l.rn")
+def frac_diff_fine(spark, sf):
+    """388 weights, as a convolution of chunks."""
+    return rounded(fracdiff.frac_diff(views.levels(spark, sf), 0.3, 0.0001, chunk=100).select("ticker", "bar_ts", "x_frac_diff"), 4)
+
+
 @_query("adf_test", f"WITH {views.LEVELS}, one AS (SELECT ticker, rn, x, 0 AS d FROM levels), {_adf('one')} SELECT ticker, n, lag, round(stat, 6) AS stat FROM adf")
 def adf_test(spark, sf):
     return rounded(fracdiff.adf_test(views.levels(spark, sf)))

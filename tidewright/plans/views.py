@@ -30,6 +30,13 @@ def bars_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.fillna("Unknown", ["sector", "industry"]).select("ticker", "bar_ts", "open", "high", "low", "close", "volume", "sector", "industry")
 
 
+def bars_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of which some tickers lack closes: at the start, at every other of the first, in a month."""
+    k, t = F.substring("ticker", -3, 3).cast("int") % 5, F.col("bar_ts")
+    gone = ((k == 1) & (t < "1992-03-01")) | ((k == 2) & (F.date_trunc("month", t) == F.lit("1995-06-01").cast("timestamp"))) | ((k == 3) & (t < "1992-04-01") & (F.dayofmonth(t) % 2 == 0))
+    return bars_d1(spark, sf_dir).withColumn("close", F.when(~gone, F.col("close")))
+
+
 def bars_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     b = bars.ohlcv_bars(e, F.col("event_type"), F.col("ts"), F.col("value"), F.lit(1.0), ("ts", "event_id"), "hour")
@@ -77,6 +84,12 @@ bars_d1 AS (
   SELECT s_name AS ticker, bar_ts, open, high, low, close, volume, coalesce(r_name, 'Unknown') AS sector, coalesce(n_name, 'Unknown') AS industry
   FROM trade_bars LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
 
+BARS_GAPS = BARS_D1 + """,
+gaps AS (
+  SELECT * REPLACE (CASE WHEN (k = 1 AND bar_ts < TIMESTAMP '1992-03-01') OR (k = 2 AND date_trunc('month', bar_ts) = TIMESTAMP '1995-06-01')
+    OR (k = 3 AND bar_ts < TIMESTAMP '1992-04-01' AND day(bar_ts) % 2 = 0) THEN NULL ELSE close END AS close)
+  FROM (SELECT *, CAST(right(ticker, 3) AS INTEGER) % 5 AS k FROM bars_d1))"""
+
 BARS_H1 = """
 hourly AS (
   SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, value, event_id,
