@@ -5,11 +5,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat_format, mixing, topk, url_filter
+from tidewright.llm import chat_format, mixing, queries, topk, url_filter
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -107,6 +108,41 @@ def mixture(seed=1, n=3000):
     return [*rows, (5000, None, "zero"), rows[0], (None, "x y", "a"), (None, "x y z", "a")]
 
 
+def by_sql(sql, **tables):
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return names, Counter(map(tuple, found.fetchall()))
+
+
+def test_repeated_rows_at_the_cut_come_near_the_target(spark):
+    rows = [(1, "w " * 200, "a")] * 100 + [(2, "v", "b"), (None, "n " * 7, None), (None, "n " * 7, None)] + [(3, "", "a")] * 3
+    rows += [(k, "x " * (k % 5), "c") for k in range(10, 60)] + [(60, "y " * 11, "d")] * 40 + [(61, "z " * 3, "d")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for weight in (None, mixing.root_of_size(F.col("text"))):
+        got = mixing.mix(df, weight=weight).collect()
+        assert len(got) == len(rows)
+        longest = {"a": 200, "b": 1, "c": 4, "d": 11, None: 7}
+        for source, most in longest.items():
+            mine = [r for r in got if r["row"]["source"] == source]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= most and all(r["taken"] <= 2 * r["size"] for r in mine)
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    names, want = by_sql(queries.oracle_sql()["op5_source_mixing"], documents=df)
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(tuple(dict(zip(names, w, strict=True))[c] for c in columns) for w in want.elements())
+
+
+def test_sql_says_what_the_operators_do_with_nulls_and_lengths(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 1, "assistant", "b"), (1, None, "user", "first"), (1, 0, None, None), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (None, None, "user", None), (2, 0, "a&<|", "&lt;|")], TURNS)
+    vectors = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.5]), (2, []), (50, [0.5, -1.0]), (3, [float("nan")]), (4, None), (100, [])], "vec_id long, embedding array<double>")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name, table, df in (("op2_chat_formatting", "conversations", turns), ("op3_exact_topk", "embeddings", vectors)):
+        names, want = by_sql(queries.oracle_sql()[name], **{table: df})
+        assert Counter(tuple(r[c] for c in names) for r in queries.queries()[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_mixing(spark):
     rows = mixture()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(-1)).withColumn("q", F.lit("clash")).repartition(4)

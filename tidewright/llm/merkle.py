@@ -16,9 +16,10 @@ from functools import reduce
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.series import places
 from tidewright.llm.common import stored
 
 FAN = 16
@@ -60,36 +61,6 @@ def _siblings(tree: list[list[bytes]], k: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df (g, ...) with i, a row's place in its group by order, and n, the rows of the group.
-
-    A range sort over all groups, places within a task's part of a group, and counts by part: a
-    group may lie in any number of tasks. Rows that are equal in order are told apart by where
-    they were read, so that they don't all go to one task.
-    """
-    kept = df.columns
-    parts = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange("g", *order, "_read").sortWithinPartitions("g", *order, "_read").select(*kept)
-
-    def count(batches):
-        last, at = None, 0
-        for b in batches:
-            local = []
-            for g in b.column(0).to_pylist():
-                at = at + 1 if g == last else 0
-                last = g
-                local.append(at)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local, pa.int64())], [*b.schema.names, "at"])
-
-    parts = parts.select("g", *[c for c in kept if c != "g"])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    parts = stored(parts.mapInArrow(count, f"{fields}, at long").withColumn("part", F.spark_partition_id()), "leaves")
-    per = parts.groupBy("g", "part").agg(F.count("*").alias("rows"))
-    group = Window.partitionBy("g")
-    before = F.coalesce(F.sum("rows").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("g", "part", before.alias("before"), F.sum("rows").over(group).alias("n"))
-    return parts.join(per, ["g", "part"]).select(*kept, (F.col("before") + F.col("at")).alias("i"), "n")
-
-
 def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
     return nodes.withColumn("block", F.expr(f"i div {FAN**levels}"))
 
@@ -169,9 +140,9 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
     # null sorts first and joins with itself as a string of its own
     g = F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group))
     rows = docs.select(g.alias("g"), docs[f"`{id_col}`"].cast("long").alias("id"), leaf(*own).alias("digest"), leaf(*[altered.get(c, v) for c, v in zip(columns, own, strict=True)]).alias("now"))
-    leaves = stored(_numbered(rows, ["id", "digest", "now"]), "numbered")
+    leaves = stored(places(rows, "g", ["id", "digest", "now"], "i", "n"), "numbered")
     tiers = _tiers(leaves, levels)
-    groups = stored(_numbered(tiers[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), ["name"]), "groups")
+    groups = stored(places(tiers[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), "g", ["name"], "i", "n"), "groups")
     upper = _tiers(groups, levels)
     found = upper[-1].first()
     root = found["digest"] if found else b""

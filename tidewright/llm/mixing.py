@@ -18,6 +18,8 @@ from tidewright.llm.common import stored
 
 #: Bins of a source's ranking, and of the bin that its cut falls into: a source is never sorted as a whole, only the inner bin of the cut.
 BINS = 256
+#: Shares in which the repeated rows at a source's cut are numbered.
+SHARES = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 #: Binary digits that a weight counts with: the weights of a source are grouped by value, and this bounds the groups.
 DIGITS = 16
@@ -95,8 +97,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     copies: how often the mix takes the document, 0 to ceil(most); taken = copies * size. row
     holds all columns of docs, so clashing names are no trouble. Null text: size 0. Null source:
-    a source of its own, last. Repeated rows are drawn alike and rank side by side; both or one
-    may be taken. Documents of size 0 are taken with their certain copies and by rank like all
+    a source of its own, last. Repeated rows are drawn alike and rank side by side; where the
+    cut falls among them, as many are taken as come nearest to the target. Documents of size 0 are taken with their certain copies and by rank like all
     others. weight: an expression over docs, None for even odds; null, NaN or negative counts as
     0, and a document of weight 0 is never taken. Very long texts are single documents like any
     other. Empty table: empty result.
@@ -135,19 +137,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     outer = stored(cut_of(ranked_rows.select("source", "size", F.floor(F.col("inner") / BINS).cast("int").alias("bin")), open_words.select("source", F.lit(0).cast("long").alias("before"), "open")), "bins")
     within = ranked_rows.alias("a").join(outer.alias("c"), F.expr(f"a.source <=> c.source AND floor(a.inner / {BINS}) = c.bin")).select("a.source", "a.size", F.col("a.inner").alias("bin"))
     cut_bin = stored(cut_of(within, outer.select("source", "before", "open")), "bins")
-    # only the bin of the cut is ranked document by document
+    # only the bin of the cut is ranked, a row a key: repeated rows share their draw and are counted
     inside = at.alias("a").join(cut_bin.alias("c"), F.expr("a.source <=> c.source AND a.inner = c.bin")).select("a.source", "a.size", "a.q", "a._id", "a._d", "c.before", "c.open", "c.bin")
-    running = Window.partitionBy("source").orderBy("q", F.col("_id").asc_nulls_first(), "_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(running))
-    # the document that the cut falls into is taken if that comes nearer to the target
-    last = inside.where((F.col("upto") - F.col("size") / 2) <= F.col("open")).groupBy("source", "bin").agg(F.max(F.struct("q", "_id", "_d")).alias("last"))
+    inside = inside.groupBy("source", "bin", "q", "_id", "_d", "size", "before", "open").agg(F.count("*").alias("n"))
+    running = Window.partitionBy("source").orderBy("q", F.col("_id").asc_nulls_first(), "_d").rowsBetween(Window.unboundedPreceding, -1)
+    short = F.col("open") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(running), F.lit(0))
+    # the document that the cut falls into is taken if that comes nearer to the target; of repeated rows, as many as come nearest
+    fit = F.when(F.col("size") == 0, F.when(short >= 0, F.col("n")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), F.floor(short / F.col("size") + 0.5)))).cast("long")
+    last = inside.withColumn("fit", fit).where("fit > 0").groupBy("source", "bin").agg(F.max(F.struct("q", "_id", "_d", "fit", "n")).alias("last"))
     cuts = stored(
-        cut_bin.alias("c").join(last.alias("l"), F.expr("c.source <=> l.source"), "left").select(F.col("c.source").alias("cs"), F.col("c.bin").alias("cut"), "l.last"),
+        cut_bin.alias("c").join(last.alias("l"), F.expr("c.source <=> l.source"), "left").select(F.col("c.source").alias("cs"), F.col("c.bin").alias("cut"), F.struct("l.last.q", "l.last._id", "l.last._d").alias("last"), (F.col("l.last.n") > F.col("l.last.fit")).alias("partly"), F.col("l.last.fit").alias("fit")),
         "cuts",
     )
     full = placed(drawn)
     full = full.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left")
     key = F.struct("q", "_id", "_d")
     extra = F.when(F.col("q").isNull(), False).when(F.col("cut").isNull() | (F.col("inner") < F.col("cut")), True).when(F.col("inner") > F.col("cut"), False).otherwise(F.coalesce(key <= F.col("last"), F.lit(False)))
-    copies = F.col("whole") + extra.cast("int")
-    return full.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
+
+    def taken(df: DataFrame, one_more: Column) -> DataFrame:
+        copies = F.col("whole") + one_more.cast("int")
+        return df.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "row")
+
+    if cuts.where("partly").isEmpty():
+        return taken(full, extra)
+    # repeated rows at a cut: numbered within shares of them, and by the counts of the shares before
+    tie = F.coalesce(F.col("partly") & (F.col("inner") == F.col("cut")) & key.eqNullSafe(F.col("last")), F.lit(False))
+    ties = full.where(tie).withColumn("_share", F.monotonically_increasing_id() % SHARES)
+    counts = ties.groupBy("source", "_share").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = stored(counts.select(F.col("source").alias("_s"), F.col("_share").alias("_k"), before.alias("_before")), "shares")
+    number = F.row_number().over(Window.partitionBy("source", "_share").orderBy("_share"))
+    ties = ties.withColumn("_number", number).join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_share") == F.col("_k")))
+    return taken(full.where(~tie), extra).unionByName(taken(ties, F.col("_before") + F.col("_number") <= F.col("fit")))

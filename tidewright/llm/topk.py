@@ -54,7 +54,7 @@ class _Postings:
         row, term, w = row[order], term[order], w[order]
         cuts = np.flatnonzero(np.diff(term, prepend=-1))
         self.lists = []
-        for i, j in zip(cuts, [*cuts[1:], len(term)], strict=True):
+        for i, j in zip(cuts, np.append(cuts[1:], len(term)), strict=False):  # no cut: no row has a term
             used = np.flatnonzero(w[i:j]) + i
             full = j - i == self.n and 2 * len(used) > self.n
             self.lists.append((None, w[i:j]) if full else (row[used], w[used]))
