@@ -711,6 +711,53 @@ def test_incremental_validation(spark, tmp_path):
     assert {r["reason"] for r in spark.read.parquet(where["bad"]).collect()} == {"price", "order", "null"}
 
 
+@pytest.mark.parametrize("kind", ["one bin", "spread", "ties", "far", "constant"])
+def test_order_statistics_equal_sorting(spark, kind):
+    rng = np.random.default_rng(7)
+    n = 3000
+    x = {
+        "one bin": 1e-7 * rng.normal(size=n), "spread": np.concatenate([10.0 ** rng.integers(-12, 12, n - 2), [1e300, -1e300]]), "ties": rng.integers(0, 3, n).astype(float),
+        "far": 1e9 + rng.normal(size=n), "constant": np.full(n, 0.25),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),)], "x double").repartition(3)
+    places = [0, 3, n // 2, n - 1]
+    assert features.order_statistics(df, [("x", k) for k in places], 16) == [np.sort(x)[k] for k in places]
+
+
+def test_clip_bounds_of_few_values_and_by_sketch(spark):
+    few = spark.createDataFrame([(0.5, None), (float("nan"), None)], "raw_1b double, raw_5b double")
+    assert features.clip_bounds(few, (1, 5)).first().asDict() == {"lo_1": 0.5, "hi_1": 0.5, "lo_5": None, "hi_5": None}
+    many = spark.range(10_000).select((F.col("id") / 7).alias("raw_1b"))
+    exact, sketch = features.clip_bounds(many, (1,)).first(), features.clip_bounds(many, (1,), method="approx").first()
+    assert exact["lo_1"] == 10 / 7 and exact["hi_1"] == 9989 / 7 and all(abs(exact[k] - sketch[k]) <= 1 / 7 + 1e-9 for k in ("lo_1", "hi_1"))
+    with pytest.raises(ValueError):
+        features.clip_bounds(many, (1,), method="other")
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 2])
+def test_order_is_judged_over_batches_and_restarts(spark, tmp_path, chunk):
+    schema = "ticker string, bar_ts timestamp_ntz, open double, high double, low double, close double, seq int"
+    t = dt.datetime(2024, 1, 1)
+    where = {k: str(tmp_path / k) for k in ("in", "good", "bad", "checkpoint")}
+    bar = lambda ticker, day, seq: (ticker, None if day is None else t + dt.timedelta(day), 1.0, 1.0, 1.0, 1.0, seq)
+    calls = [
+        [bar("A", d, k) for k, d in enumerate((0, 1, 2, 5))] + [bar("B", 3, 0), bar(None, 4, 0), bar("C", None, 0)],
+        [bar("A", 4, 10), bar("A", 4, 11), bar("B", 3, 10), bar("C", 1, 1)],
+        [bar("A", 3, 20), bar(None, 3, 1), bar("B", 2, 20), bar("C", 0, 2), bar("D", 0, 0)],
+    ]
+    run = lambda: incremental.incremental_validate(spark, where["in"], spark.createDataFrame([], schema).schema, where["good"], where["bad"], where["checkpoint"], chunk=chunk)
+    for rows in calls:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where["in"])
+        run()
+    late = lambda: sorted((r["ticker"] or "", r["seq"]) for r in spark.read.parquet(where["bad"]).collect())
+    want = [("", 1), ("A", 10), ("A", 20), ("B", 20), ("C", 2)]
+    assert late() == want
+    for name in ("commits/2", "commits/.2.crc"):  # as if the last batch had failed after its writes
+        (tmp_path / "checkpoint" / name).unlink()
+    run()
+    assert late() == want and spark.read.parquet(where["good"]).count() == sum(map(len, calls)) - len(want)
+
+
 def test_ticker_dimension(spark, tmp_path):
     (tmp_path / "t.yaml").write_text('- ticker: X\n  aliases: ["X", "Ex"]\n  tier: 1\n  cik: "0001"\n- ticker: Y\n  underlying: X\n')
     (tmp_path / "t.json").write_text('[{"ticker": "X", "aliases": ["X", "Ex"], "tier": 1, "cik": "0001"}, {"ticker": "Y", "underlying": "X"}]')

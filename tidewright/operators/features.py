@@ -19,6 +19,8 @@ LAGS = (1, 5, 10, 21, 42, 63)
 LAGGED = (1, 5, 10, 21)
 LOOKBACKS = (1, 2, 3, 4, 5)
 HORIZONS = (1, 5, 10, 21)
+#: Bins of a round of refinement.
+BINS = 1024
 MONTH_BARS = {"1d": 21, "1h": 147}
 NOT_FEATURES = ("bar_ts", "ticker", "sector", "industry")
 
@@ -52,41 +54,84 @@ def raw_returns(df: DataFrame, lags=LAGS) -> DataFrame:
     return df.withColumns({f"raw_{n}b": F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1 for n in lags})
 
 
-def clip_bounds(raw: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None) -> DataFrame:
-    """One row with lo_L and hi_L, quantiles over all tickers.
+def _wanted(n: int, p: float, interpolation: str) -> list[tuple[int, float]]:
+    """Places among n sorted values and their shares in the quantile p."""
+    at = (n - 1) * p
+    if interpolation == "nearest":
+        return [(math.floor(at + 0.5), 1.0)]
+    low = math.floor(at)
+    return [(k, share) for k, share in ((low, 1 - (at - low)), (low + 1, at - low)) if share > 0]
 
-    ``nearest`` takes the element at round((n-1)q); ``linear`` interpolates between the two
-    elements around (n-1)q. Counts by bin find the bins of the wanted places, and only the rows
-    of those are ranked, so no task holds all values. fit_until: only rows up to that time count,
-    which avoids looking ahead.
-    """
-    rows = raw if fit_until is None else raw.where(F.col("bar_ts") <= F.lit(fit_until).cast("timestamp_ntz"))
-    cells = F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"raw_{n}b").alias("x")) for n in lags])
-    long = rows.select(F.explode(cells).alias("r")).select("r.*").where("x IS NOT NULL").withColumn("bin", F.floor(F.col("x") * 1000))
-    per_bin = long.groupBy("lag", "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lag").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("lag"))
-    counted = per_bin.select("lag", "bin", (upto - F.col("n")).alias("before"), upto.alias("upto"), (total - 1).alias("last"))
-
-    def ends(side: str, p: float) -> list[Column]:
-        at = F.col("last") * p
-        places = [(F.round(at), F.lit(1.0))] if interpolation == "nearest" else [(F.floor(at).cast("double"), 1 - (at - F.floor(at))), (F.floor(at).cast("double") + 1, at - F.floor(at))]
-        return [F.struct(F.lit(side).alias("side"), k.alias("k"), share.alias("share")) for k, share in places]
 
-    places = counted.select("lag", "bin", "before", "upto", F.explode(F.array(*ends("lo", q), *ends("hi", 1 - q))).alias("p")).where("p.k >= before AND p.k < upto").select("lag", "bin", "before", "p.side", "p.k", "p.share")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("lag", "side", "k").orderBy("x")) - 1
-    found = long.join(F.broadcast(places), ["lag", "bin"]).select("lag", "side", "x", "k", "share", place.alias("place")).where("place = k")  # two rows a lag and side at most
-    return found.agg(*[F.sum(F.when((F.col("lag") == n) & (F.col("side") == side) & (F.col("share") > 0), F.col("x") * F.col("share"))).alias(f"{side}_{n}") for n in lags for side in ("lo", "hi")])
+def order_statistics(rows: DataFrame, places: list[tuple[str, int]], bins: int = BINS) -> list[float]:
+    """The values at the given places, from 0, of the sorted finite values of the given columns.
 
+    Refinement in rounds: the values between the bounds of a place are counted in even bins, the
+    bin that holds the place gives the next bounds, and its least and greatest values tighten
+    them, until these are equal. A round is one aggregate of at most ``bins`` rows a place, so no
+    task ranks or holds values, however many fall together; equal values end in one round.
+    """
+    columns = list(dict.fromkeys(c for c, _ in places))
+    finite = {c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`").cast("double")) for c in columns}
+    ends = rows.agg(*[f(finite[c]).alias(f"{f.__name__}_{i}") for i, c in enumerate(columns) for f in (F.min, F.max)]).first()
+    span = {c: (ends[f"min_{i}"], ends[f"max_{i}"]) for i, c in enumerate(columns)}
+    # what is known of each place: bounds that it lies between, and the values before them
+    known = [(*span[c], 0) for c, _ in places]
+    while open_ := [i for i, (lo, hi, _) in enumerate(known) if lo < hi]:
+        cells = []
+        for i in open_:
+            x, (lo, hi, _) = finite[places[i][0]], known[i]
+            part = (x - F.lit(lo)) / F.lit(hi - lo) if math.isfinite(hi - lo) else (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+            at = F.least(F.floor(part * bins).cast("int"), F.lit(bins - 1))
+            cells.append(F.struct(F.lit(i).alias("place"), F.when((x >= lo) & (x <= hi), at).alias("bin"), x.alias("x")))
+        long = rows.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("bin IS NOT NULL")
+        counts: dict[int, list] = {i: [] for i in open_}
+        for r in long.groupBy("place", "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("place", "bin").collect():
+            counts[r["place"]].append(r)
+        for i in open_:
+            before = known[i][2]
+            for r in counts[i]:
+                if before + r["n"] > places[i][1]:
+                    known[i] = (r["lo"], r["hi"], before)
+                    break
+                before += r["n"]
+    return [lo for lo, _, _ in known]
+
+
+def clip_bounds(raw: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None, method: str = "exact", accuracy: int = 100_000) -> DataFrame:
+    """One row with lo_L and hi_L, quantiles over the finite returns of all tickers; null without any.
 
-def clipped_returns(df: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None) -> DataFrame:
+    ``nearest`` takes the element at round((n-1)q); ``linear`` interpolates between the two
+    elements around (n-1)q. ``exact`` finds the elements by refinement (``order_statistics``), in
+    a few scans of raw, which should be a stored table. ``approx`` takes Spark's mergeable
+    quantile sketch in one scan: its places are off by n / accuracy at most, and it doesn't
+    interpolate. fit_until: only rows up to that time count, which avoids looking ahead.
+    """
+    if method not in ("exact", "approx") or interpolation not in ("nearest", "linear"):
+        raise ValueError("method is exact or approx, interpolation nearest or linear")
+    rows = raw if fit_until is None else raw.where(F.col("bar_ts") <= F.lit(fit_until).cast("timestamp_ntz"))
+    rows = rows.select(*[F.when(F.abs(F.col(f"raw_{n}b")) < float("inf"), F.col(f"raw_{n}b")).alias(f"raw_{n}b") for n in lags])
+    if method == "approx":
+        both = rows.agg(*[F.percentile_approx(f"raw_{n}b", [q, 1 - q], accuracy).alias(f"b_{n}") for n in lags])
+        return both.select(*[F.col(f"b_{n}")[i].alias(f"{side}_{n}") for n in lags for i, side in enumerate(("lo", "hi"))])
+    counted = rows.agg(*[F.count(f"raw_{n}b").alias(f"n_{n}") for n in lags]).first()
+    wanted = [(n, side, k, share) for n in lags for side, p in (("lo", q), ("hi", 1 - q)) if counted[f"n_{n}"] for k, share in _wanted(counted[f"n_{n}"], p, interpolation)]
+    values = order_statistics(rows, [(f"raw_{n}b", k) for n, _, k, _ in wanted]) if wanted else []
+    bounds: dict[str, float] = {}
+    for (n, side, _, share), x in zip(wanted, values, strict=True):
+        bounds[f"{side}_{n}"] = bounds.get(f"{side}_{n}", 0.0) + x * share
+    names = [f"{side}_{n}" for n in lags for side in ("lo", "hi")]
+    return raw.sparkSession.range(1).select(*[F.lit(bounds.get(x)).cast("double").alias(x) for x in names])
+
+
+def clipped_returns(df: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None, method: str = "exact") -> DataFrame:
     """return_Lb: the return over L bars, clipped to quantiles over all tickers, as a rate a bar.
 
     Raw returns are written once, as bounds and result both need them. The bounds are one row,
     so the join carries a few numbers.
     """
     raw = stored(raw_returns(df, lags), "returns")
-    bounds = clip_bounds(raw, lags, q, interpolation, fit_until)
+    bounds = clip_bounds(raw, lags, q, interpolation, fit_until, method)
 
     def rate(n: int) -> Column:
         x = F.col(f"raw_{n}b")

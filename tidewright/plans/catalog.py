@@ -126,19 +126,29 @@ def stage_tables(spark, sf):
     return valid.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
+#: Order of arrival: every seventh bar comes two bars late, and some bars of the second part belong before the first part's end.
+_ARRIVED = "2 * rn + CASE WHEN rn % 7 = 0 THEN 5 ELSE 0 END"
+
+
 @_query(
     "incremental_validate",
-    f"""{_H1}, f AS (SELECT ticker, open, high, low, close, bar_ts < lag(bar_ts) OVER (PARTITION BY ticker ORDER BY bar_ts) AS late FROM bars_h1)
-SELECT CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR least(open, high, low, close) < 0 OR coalesce(late, false) THEN 'bad' ELSE 'good' END AS side, ticker, count(*) AS n FROM f GROUP BY ALL""",
+    f"""{_H1}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_ts) AS rn FROM bars_h1),
+f AS (SELECT ticker, open, high, low, close, bar_ts < lag(bar_ts) OVER (PARTITION BY ticker ORDER BY {_ARRIVED}) AS late FROM r)
+SELECT CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR least(open, high, low, close) < 0 THEN 'bad' WHEN coalesce(late, false) THEN 'late' ELSE 'good' END AS side, ticker, count(*) AS n FROM f GROUP BY ALL""",
 )
 def incremental_validate(spark, sf):
+    """All bars in three calls, cut at any place; what an earlier call has seen counts in the next."""
     base = folders.scratch(spark, "incoming")
     w = Window.partitionBy("ticker").orderBy("bar_ts")
-    rows = views.bars_h1(spark, sf).select("ticker", "bar_ts", "open", "high", "low", "close", F.row_number().over(w).alias("seq"))
-    rows.write.parquet(f"{base}/in")
-    incremental.incremental_validate(spark, f"{base}/in", rows.schema, f"{base}/good", f"{base}/bad", f"{base}/checkpoint")
-    sides = [spark.read.schema(rows.schema).parquet(f"{base}/{x}").select(F.lit(x).alias("side"), "ticker") for x in ("good", "bad")]
-    return sides[0].union(sides[1]).groupBy("side", "ticker").agg(F.count("*").alias("n"))
+    rows = views.bars_h1(spark, sf).select("ticker", "bar_ts", "open", "high", "low", "close", F.row_number().over(w).alias("rn")).withColumn("seq", F.expr(_ARRIVED)).drop("rn")
+    rows = folders.stored(rows, "bars")
+    for part in ("seq <= 105", "seq > 105 AND seq <= 413", "seq > 413"):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        incremental.incremental_validate(spark, f"{base}/in", rows.schema, f"{base}/good", f"{base}/bad", f"{base}/checkpoint", chunk=64)
+    good = spark.read.schema(rows.schema).parquet(f"{base}/good").select(F.lit("good").alias("side"), "ticker")
+    bad = spark.read.schema(T.StructType([*rows.schema, T.StructField("reason", T.StringType())])).parquet(f"{base}/bad")
+    bad = bad.select(F.when(F.col("reason") == "order", "late").otherwise("bad").alias("side"), "ticker")
+    return good.union(bad).groupBy("side", "ticker").agg(F.count("*").alias("n"))
 
 
 # --- validation
@@ -657,20 +667,14 @@ def cov_to_corr(spark, sf):
     return rounded(risk.cov_to_corr(risk.sample_cov(views.returns_h1(spark, sf))))
 
 
-def _denoised(spark, sf):
-    r = views.returns_h1(spark, sf)
-    n = r.groupBy("portfolio").agg(F.countDistinct("bar_ts").alias("n"))
-    return risk.denoise_cov(risk.ledoit_wolf(r).drop("shrinkage"), n)
-
-
 @_query("denoise_cov")
 def denoise_cov(spark, sf):
-    return _denoised(spark, sf)
+    return risk.denoised(views.returns_h1(spark, sf))
 
 
 @_query("hrp_weights")
 def hrp_weights(spark, sf):
-    return risk.hrp_weights(_denoised(spark, sf))
+    return risk.hrp_portfolio(views.returns_h1(spark, sf))
 
 
 @_query("dataset_profile", f"{_D1} SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, min(bar_ts) AS first_ts, max(bar_ts) AS last_ts, 9 AS n_columns FROM bars_d1")

@@ -34,17 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """Writes a small file of the driver into the shared folder, through Hadoop's file systems; returns its URI."""
     uri = f"{scratch(spark, 'files')}/{name}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    path, system = _path(spark, uri)
+    out = system.create(path)
     out.write(bytearray(data))
     out.close()
     return uri
 
 
+def _path(spark: SparkSession, uri: str):
+    """Hadoop's path of a URI, and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    path, system = _path(spark, uri)
+    return system.exists(path)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a file or folder; nothing happens if there is none."""
+    path, system = _path(spark, uri)
+    system.delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all scratch tables of this Spark application; call it when no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, _own(spark))
 
 
 def _own(spark: SparkSession) -> str:
