@@ -711,6 +711,77 @@ def test_incremental_validation(spark, tmp_path):
     assert {r["reason"] for r in spark.read.parquet(where["bad"]).collect()} == {"price", "order", "null"}
 
 
+@pytest.mark.parametrize("length,size,per_block", [(5, 4, 2), (3, 32, 64), (1, 3, 1)])
+def test_batches_hold_their_windows(spark, tmp_path, length, size, per_block):
+    rng = np.random.default_rng(6)
+    rows = [(t, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), float(rng.normal()), None if rng.random() < 0.05 else float(d), float(rng.normal())) for t, n in (("A", 50), ("B", 4), ("C", 33), ("D", length), ("E", 1), ("F", 40)) for d in range(n)]
+    df = spark.createDataFrame(rows, "ticker string, bar_ts timestamp_ntz, a double, b double, y double").withColumn("split", F.when(F.dayofyear("bar_ts") <= 30, "train").otherwise("val")).repartition(4)
+    index = {(r["split"], r["idx"]): r for r in windows.batches(df, length, size).collect()}
+    path = windows.write_blocks(df, ["a", "b"], ["y"], str(tmp_path / "blocks"), length, size, per_block)
+    seen = 0
+    for row in windows.read_batches(spark, path).collect():
+        x, y = windows.tensors(row)
+        assert x.shape == (row["n"], length, 2) and y.shape == (row["n"], 1) and row["first"] == row["batch"] * size
+        for k in range(row["n"]):
+            w = index[row["split"], row["first"] + k]
+            mine = sorted(r for r in rows if r[0] == w["ticker"] and (r[1].timetuple().tm_yday <= 30) == (row["split"] == "train"))[w["start"] : w["start"] + length]
+            np.testing.assert_array_equal(x[k], np.array([[np.nan if v is None else v for v in r[2:4]] for r in mine], np.float32))
+            assert y[k, 0] == np.float32(mine[-1][4]) and w["batch"] == row["batch"]
+            seen += 1
+    assert seen == len(index)
+    only = windows.read_batches(spark, path, "val")
+    assert {r["split"] for r in only.select("split").collect()} <= {"val"} and "PartitionFilters: [isnotnull(split" in only._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="empty"):
+        windows.write_blocks(df.where("split = 'val'"), ["a"], ["y"], str(tmp_path / "none"), length)
+
+
+def test_lasso_path_equals_cold_starts_in_fewer_visits():
+    rng, p, n = np.random.default_rng(4), 60, 400
+    x = rng.normal(size=(n, p)) @ (np.eye(p) + 0.3 * rng.normal(size=(p, p)) / np.sqrt(p))
+    x[:, 7] = 0
+    y = x[:, :6] @ [3, -2, 2, 1, -1, 0.5] + rng.normal(size=n)
+    g, r = x.T @ x, x.T @ y
+    penalties = [n * a for a in evaluate.LASSO_ALPHAS]
+
+    def cold(lam, tol):
+        """From zero, every feature in every sweep; the solution and the coordinates visited."""
+        b, visited = np.zeros(p), 0
+        while True:
+            before = b.copy()
+            for j in np.flatnonzero(np.diag(g)):
+                rho = r[j] - g[j] @ b + g[j, j] * b[j]
+                b[j] = np.sign(rho) * max(abs(rho) - lam, 0) / g[j, j]
+                visited += 1
+            if np.abs(b - before).max() < tol:
+                return b, visited
+
+    for lam, got in zip(penalties, evaluate._lasso_path(g, r, penalties, 1e-11, 5000), strict=True):
+        np.testing.assert_allclose(got, cold(lam, 1e-11)[0], atol=1e-8)
+    seen: list[int] = []  # at the published tolerance
+    evaluate._lasso_path(g, r, penalties, 1e-4, 1000, seen)
+    assert len(seen) == 40 and sum(seen) < sum(cold(lam, 1e-4)[1] for lam in penalties) / 2
+
+
+def test_penalty_vectors_equal_a_row_a_penalty(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"T{k:02d}", dt.datetime(2024, 1, 1) + dt.timedelta(days=d), float(rng.integers(0, 3)), float(rng.normal()), float(rng.integers(0, 4))) for d in range(40) for k in range(9)]
+    df = spark.createDataFrame(rows, "ticker string, bar_ts timestamp_ntz, a double, b double, y double")
+    flat = df.withColumn("y", F.when(F.col("bar_ts") > dt.datetime(2024, 2, 5), 1.0).otherwise(F.col("y")))  # times without variance
+    folds = evaluate.cv_folds(flat, None, 12, 4, 1)
+    models = evaluate.ridge(flat, folds, ["a", "b"], "y", [0.1, 100.0])
+    long = evaluate.predict(flat, folds, models, ["a", "b"], "y").cache()
+    paths = evaluate.predict_paths(flat, folds, models, ["a", "b"], "y")
+    key = lambda d: {(r["fold"], r["alpha"], r["ticker"], r["bar_ts"]): (r["predicted"], r["actual"]) for r in d.collect()}
+    got = key(paths.select("fold", "ticker", "bar_ts", "actual", F.explode(F.arrays_zip("alphas", "predicted")).alias("c")).selectExpr("fold", "c.alphas AS alpha", "ticker", "bar_ts", "c.predicted AS predicted", "actual"))
+    want = key(long)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    scores = {(r["alpha"], r["bar_ts"]): r for r in evaluate.walk_forward_scores(flat, folds, models, ["a", "b"], "y").collect()}
+    ic = {(r["alpha"], r["bar_ts"]): r["ic"] for r in evaluate.daily_ic(long).collect()}
+    rmse = {(r["alpha"], r["bar_ts"]): r["rmse"] for r in evaluate.daily_rmse(long).collect()}
+    assert scores.keys() == ic.keys() and any(v is None for v in ic.values())
+    assert all((scores[k]["ic"] is None) == (ic[k] is None) and (ic[k] is None or scores[k]["ic"] == pytest.approx(ic[k], abs=1e-9)) and scores[k]["rmse"] == pytest.approx(rmse[k]) and scores[k]["n"] == 9 for k in ic)
+
+
 @pytest.mark.parametrize("kind", ["one bin", "spread", "ties", "far", "constant"])
 def test_order_statistics_equal_sorting(spark, kind):
     rng = np.random.default_rng(7)

@@ -123,24 +123,52 @@ def _system(pdf: pd.DataFrame, x: list[str], y: str):
     return c[:-1, :-1], c[:-1, -1], mean, std, n
 
 
-def _lasso(g: np.ndarray, r: np.ndarray, lam: float, tol: float, max_iter: int) -> np.ndarray:
-    """Coordinate descent with soft thresholds on a Gram matrix."""
-    b = np.zeros(len(r))
-    for _ in range(max_iter):
+def _lasso_path(g: np.ndarray, r: np.ndarray, penalties: list[float], tol: float, max_iter: int, sweeps: list[int] | None = None) -> list[np.ndarray]:
+    """Coordinate descent with soft thresholds on a Gram matrix, for all penalties in descending order.
+
+    Each penalty starts at the solution of the one before and sweeps over the features that the
+    sequential strong rule (Tibshirani and others, 2012) leaves in; a feature that the optimality
+    conditions miss is added and the sweeps go on, so what was screened out is proved out. sweeps:
+    gets the number of coordinates visited for each penalty.
+    """
+    b, grad, out = np.zeros(len(r)), r.astype(float).copy(), {}
+    usable = np.diag(g) > 0
+    last, visited = np.abs(grad[usable]).max(initial=0.0), 0
+
+    def sweep(features: np.ndarray) -> float:
+        """One turn over the features; the largest change."""
+        nonlocal visited, grad
         largest = 0.0
-        for j in range(len(r)):
-            if g[j, j] <= 0:
-                continue
-            rho = r[j] - g[j] @ b + g[j, j] * b[j]
-            new = np.sign(rho) * max(abs(rho) - lam, 0) / g[j, j]
-            largest, b[j] = max(largest, abs(new - b[j])), new
-        if largest < tol:
-            break
-    return b
+        for j in np.flatnonzero(features).tolist():
+            rho = grad[j] + g[j, j] * b[j]
+            new = np.sign(rho) * max(abs(rho) - lam, 0.0) / g[j, j]
+            if new != b[j]:
+                grad = grad - g[:, j] * (new - b[j])
+                largest, b[j] = max(largest, abs(new - b[j])), new
+            visited += 1
+        return largest
+
+    for lam in sorted(set(penalties), reverse=True):
+        inside, left, visited = usable & ((np.abs(grad) >= 2 * lam - last) | (b != 0)), max_iter, 0
+        while left > 0:
+            moved, left = sweep(inside), left - 1
+            while moved >= tol and left > 0:  # what isn't zero, until it stands still
+                left -= 1
+                if sweep(inside & (b != 0)) < tol:
+                    break
+            if moved < tol:
+                missed = usable & ~inside & (np.abs(grad) > lam)
+                if not missed.any():
+                    break
+                inside |= missed
+        if sweeps is not None:
+            sweeps.append(visited)
+        out[lam], last = b.copy(), lam
+    return [out[lam] for lam in penalties]
 
 
 def _fit(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float], solve, ts: str) -> DataFrame:
-    """One small system a fold, of columns scaled by the fold's training rows, solved for every alpha."""
+    """One small system a fold, of columns scaled by the fold's training rows, solved for all alphas together."""
     wanted = [*x, y]
     means = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(wanted)]).first()
     shift = {c: float(m or 0.0) for c, m in zip(wanted, means, strict=True)}
@@ -149,8 +177,7 @@ def _fit(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[flo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, r, mean, std, n = _system(pdf, x, y)
         fold, parts = int(pdf["fold"].iloc[0]), []
-        for alpha in alphas:
-            b = solve(g, r, alpha, n)
+        for alpha, b in zip(alphas, solve(g, r, alphas, n), strict=True):
             slope = b * std[-1] / std[:-1]
             level = mean[-1] + shift[y] - (mean[:-1] + own) @ slope
             parts.append(pd.DataFrame({"fold": fold, "alpha": float(alpha), "feature": ["1", *x], "coef": [0.0, *b], "slope": [level, *slope]}))
@@ -165,17 +192,21 @@ def ols(df: DataFrame, folds: DataFrame, x: list[str], y: str, ts: str = "bar_ts
     coef: of x and y scaled to mean 0 and deviation 1 by the fold's training rows; slope: in the
     units of the columns, with the level under the feature ``1``. Rows have no nulls.
     """
-    return _fit(df, folds, x, y, [0.0], lambda g, r, a, n: np.linalg.lstsq(g, r, rcond=None)[0], ts)
+    return _fit(df, folds, x, y, [0.0], lambda g, r, alphas, n: [np.linalg.lstsq(g, r, rcond=None)[0]], ts)
 
 
 def ridge(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float] = RIDGE_ALPHAS, ts: str = "bar_ts") -> DataFrame:
     """As ols, with alpha on the diagonal of the scaled system."""
-    return _fit(df, folds, x, y, alphas, lambda g, r, a, n: np.linalg.lstsq(g + a * np.eye(len(r)), r, rcond=None)[0], ts)
+    return _fit(df, folds, x, y, alphas, lambda g, r, alphas, n: [np.linalg.lstsq(g + a * np.eye(len(r)), r, rcond=None)[0] for a in alphas], ts)
 
 
 def lasso(df: DataFrame, folds: DataFrame, x: list[str], y: str, alphas: list[float] = LASSO_ALPHAS, tol: float = 1e-4, max_iter: int = 1000, ts: str = "bar_ts") -> DataFrame:
-    """As ols, with a penalty n * alpha on absolute coefficients of the scaled system, in at most max_iter sweeps."""
-    return _fit(df, folds, x, y, alphas, lambda g, r, a, n: _lasso(g, r, n * a, tol, max_iter), ts)
+    """As ols, with a penalty n * alpha on absolute coefficients of the scaled system.
+
+    Coefficients stand still to tol or max_iter sweeps are over. All penalties of a fold are one
+    path with warm starts and screening.
+    """
+    return _fit(df, folds, x, y, alphas, lambda g, r, alphas, n: _lasso_path(g, r, [n * a for a in alphas], tol, max_iter), ts)
 
 
 def predict(df: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
@@ -188,6 +219,91 @@ def predict(df: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], y:
     return rows.select("fold", "alpha", "ticker", ts, total.alias("predicted"), F.col(y).alias("actual"))
 
 
+def _of_folds(df: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], y: str, ts: str, emit, schema: str) -> DataFrame:
+    """emit(alphas, table, predicted rows x alphas, actual) for the complete test rows of each fold.
+
+    A fold's models meet its rows once, whatever the number of penalties. Terms are added feature
+    by feature, so equal rows have equal predictions.
+    """
+    rows = df.join(folds.where("part = 'test'").select("fold", ts), ts)
+    rows = rows.select("fold", "ticker", F.col(ts).cast("timestamp_ntz").alias("ts"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate([*x, y])])
+    place = {c: k for k, c in enumerate(["1", *x])}
+
+    def run(t: pa.Table, m: pa.Table) -> pa.Table:
+        values = [t.column(f"c{k}").to_numpy().astype(float) for k in range(len(place))]
+        ok = ~np.isnan(np.column_stack(values)).any(axis=1)
+        t, values = t.filter(pa.array(ok)), [v[ok] for v in values]
+        alphas = sorted(set(m.column("alpha").to_pylist()))
+        slopes, at = np.full((len(place), len(alphas)), np.nan), {a: k for k, a in enumerate(alphas)}
+        for alpha, feature, slope in zip(*(m.column(c).to_pylist() for c in ("alpha", "feature", "slope")), strict=True):
+            slopes[place[feature], at[alpha]] = slope
+        predicted = np.repeat(slopes[:1], t.num_rows, axis=0)
+        for v, slope in zip(values[:-1], slopes[1:], strict=True):
+            predicted += v[:, None] * slope
+        return emit(alphas, t, predicted, values[-1])
+
+    return rows.groupBy("fold").cogroup(models.select("fold", "alpha", "feature", "slope").groupBy("fold")).applyInArrow(run, schema)
+
+
+def predict_paths(df: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
+    """(fold, ticker, ts, alphas array, predicted array, actual): a row of the panel is one row, whatever the number of penalties; rows with a null or NaN are left out."""
+
+    def emit(alphas: list[float], t: pa.Table, predicted: np.ndarray, actual: np.ndarray) -> pa.Table:
+        n, a = predicted.shape
+        cells = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * a, pa.int32()), pa.array(v.ravel()))
+        return pa.table({"fold": t.column("fold"), "ticker": t.column("ticker"), ts: t.column("ts"), "alphas": cells(np.tile(alphas, (n, 1))), "predicted": cells(predicted), "actual": pa.array(actual)})
+
+    return _of_folds(df, folds, models, x, y, ts, emit, f"fold int, ticker string, {ts} timestamp_ntz, alphas array<double>, predicted array<double>, actual double")
+
+
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks of each column from 1, ties at their mean."""
+    order = np.argsort(v, axis=0, kind="stable")
+    s = np.take_along_axis(v, order, axis=0)
+    new = np.concatenate([np.ones((1, v.shape[1]), bool), s[1:] != s[:-1]])
+    place = np.broadcast_to(np.arange(len(v))[:, None], v.shape)
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
+    ends = np.concatenate([new[1:], np.ones((1, v.shape[1]), bool)])
+    last = np.minimum.accumulate(np.where(ends, place, len(v))[::-1], axis=0)[::-1]
+    out = np.empty(v.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=0)
+    return out
+
+
+def walk_forward_scores(df: DataFrame, folds: DataFrame, models: DataFrame, x: list[str], y: str, ts: str = "bar_ts") -> DataFrame:
+    """(fold, alpha, ts, n, ic, rmse) of the test rows: rank correlation in percent and root of the mean squared error of a time's rows.
+
+    All penalties of a time are ranked as one matrix, in the task that has its fold: what is sent
+    on is a row a time and penalty. ic is null with under 2 distinct values on a side. A task
+    holds the test rows of a fold, that is some times of all tickers; for panels whose times hold
+    more rows than a task can, take ``predict`` with ``daily_ic`` and ``daily_rmse``.
+    """
+
+    def emit(alphas: list[float], t: pa.Table, predicted: np.ndarray, actual: np.ndarray) -> pa.Table:
+        time = t.column("ts").cast(pa.int64()).to_numpy()
+        order = np.argsort(time, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(time[order], prepend=time[order[:1]] - 1)), len(order)) if len(order) else np.zeros(1, int)
+        out = {c: [] for c in ("alpha", "t", "n", "ic", "rmse")}
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            at = order[i:j]
+            p, y = predicted[at], actual[at]
+            a, b = _ranks(p), _ranks(y[:, None])
+            a, b = a - a.mean(axis=0), b - b.mean()
+            size = np.sqrt((a * a).sum(axis=0) * (b * b).sum())
+            out["ic"] += [float(v) if s > 0 else None for v, s in zip(100 * (a * b).sum(axis=0) / np.where(size > 0, size, 1), size, strict=True)]
+            out["rmse"] += np.sqrt(((p - y[:, None]) ** 2).mean(axis=0)).tolist()
+            out["alpha"] += alphas
+            out["t"] += [int(time[at[0]])] * len(alphas)
+            out["n"] += [int(j - i)] * len(alphas)
+        fold = t.column("fold")[0].as_py() if t.num_rows else 0
+        return pa.table({
+            "fold": pa.array([fold] * len(out["n"]), pa.int32()), "alpha": pa.array(out["alpha"], pa.float64()), ts: pa.array(out["t"], pa.int64()).cast(pa.timestamp("us")),
+            "n": pa.array(out["n"], pa.int64()), "ic": pa.array(out["ic"], pa.float64()), "rmse": pa.array(out["rmse"], pa.float64()),
+        })
+
+    return _of_folds(df, folds, models, x, y, ts, emit, f"fold int, alpha double, {ts} timestamp_ntz, n long, ic double, rmse double")
+
+
 def daily_ic(preds: DataFrame, by: tuple[str, ...] = ("alpha",), ts: str = "bar_ts") -> DataFrame:
     """(by, ts, ic): rank correlation of predicted and actual in percent; null with under 2 distinct values on a side."""
     keys = [*by, ts]

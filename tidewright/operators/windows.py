@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.windows import by_ticker, numbered
+from tidewright.functions.windows import TIES, by_ticker, numbered
+
+BLOCK = "split string, block long, first long, size int, length int, pieces array<struct<ticker:string,start:long,n:long>>, features binary, targets binary"
 
 
 def window_index(df: DataFrame, length: int = 60) -> DataFrame:
@@ -76,6 +80,103 @@ def batches(df: DataFrame, length: int = 60, size: int = 32) -> DataFrame:
     return starts.select("split", "ticker", "start", idx.alias("idx"), F.floor(idx / size).alias("batch"))
 
 
+def blocks(df: DataFrame, features: list[str], targets: list[str], length: int = 60, size: int = 32, per_block: int = 64) -> DataFrame:
+    """(split, block, first, size, length, pieces array<struct<ticker, start, n>>, features binary, targets binary): the panel, dealt by batches.
+
+    A block holds the rows that its per_block batches of windows need, of whatever tickers these
+    are: float32, rows after rows, a null as NaN. So a row is stored once, and again only in the
+    length - 1 rows between blocks, and batches are cut from a block without any other. df has
+    the column split and windows are built within a side, as in ``batches``, whose numbers these
+    are. A block is a group of its own, of some thousand rows, so no ticker has to fit a task.
+    """
+    w = Window.partitionBy("split", "ticker").orderBy("bar_ts", *[c for c in TIES if c in df.columns])
+    cast = lambda names: F.array(*[F.col(c).cast("float") for c in names])
+    rows = df.select("split", "ticker", (F.row_number().over(w) - 1).cast("long").alias("r"), cast(features).alias("x"), cast(targets).alias("y"))
+    per = df.groupBy("split", "ticker").agg((F.count("*") - length).alias("n")).where("n > 0")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("split").orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(per.select("split", "ticker", "n", before.alias("before")), ["split", "ticker"])
+    deal = size * per_block
+    first, last = F.greatest(F.col("r") - length + 1, F.lit(0)), F.least(F.col("r"), F.col("n") - 1)
+    at = lambda start: F.floor((F.col("before") + start) / deal)
+    # the last row of a side's ticker is in no window
+    rows = rows.where(first <= last).withColumn("block", F.explode(F.sequence(at(first), at(last))))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("ticker", "ascending"), ("r", "ascending")])
+        block, tickers = t.column("block")[0].as_py(), t.column("ticker").to_pylist()
+        r, n, start = (t.column(c).to_numpy() for c in ("r", "n", "before"))
+        cuts = [0, *(i for i in range(1, len(tickers)) if tickers[i] != tickers[i - 1]), len(tickers)]
+        pieces = []
+        for i in cuts[:-1]:
+            low = max(0, block * deal - int(start[i]))
+            pieces.append({"ticker": tickers[i], "start": low, "n": min(int(n[i]), (block + 1) * deal - int(start[i])) - low})
+            assert r[i] == low  # a piece's rows begin with its first window
+        raw = lambda c: np.asarray(t.column(c).combine_chunks().flatten(), np.float32).tobytes()
+        return pa.table({
+            "split": t.column("split")[:1], "block": [block], "first": [block * deal], "size": pa.array([size], pa.int32()), "length": pa.array([length], pa.int32()),
+            "pieces": pa.array([pieces], pa.list_(pa.struct([("ticker", pa.string()), ("start", pa.int64()), ("n", pa.int64())]))), "features": [raw("x")], "targets": [raw("y")],
+        })
+
+    return rows.groupBy("split", "block").applyInArrow(pack, BLOCK)
+
+
+def write_blocks(df: DataFrame, features: list[str], targets: list[str], path: str, length: int = 60, size: int = 32, per_block: int = 64) -> str:
+    """Writes the blocks as Parquet, a folder for each split; returns path. An empty training side is an error."""
+    check_split(df)
+    blocks(df, features, targets, length, size, per_block).write.mode("overwrite").partitionBy("split").parquet(path)
+    return path
+
+
+def cut_batches(stored: DataFrame) -> DataFrame:
+    """(split, batch, first, n, length, features binary, targets binary): a batch a row, cut from blocks; ``tensors`` opens a row.
+
+    features: n x length x columns float32, targets: n x columns. Windows are views of a block's
+    rows until their batch is sent on.
+    """
+
+    def cut(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                length, size, pieces = row["length"], row["size"], row["pieces"]
+                rows = sum(p["n"] + length - 1 for p in pieces)
+                x, y = (np.frombuffer(row[c], np.float32).reshape(rows, -1) for c in ("features", "targets"))
+                views, ends, at = [], [], 0
+                for p in pieces:
+                    part = slice(at, at + p["n"] + length - 1)
+                    views.append(np.lib.stride_tricks.sliding_window_view(x[part], length, axis=0).transpose(0, 2, 1))
+                    ends.append(y[part][length - 1 :])
+                    at = part.stop
+                total = sum(map(len, views))
+                for i in range(0, total, size):
+                    n = min(size, total - i)
+                    out, target, filled, skipped = np.empty((n, length, x.shape[1]), np.float32), np.empty((n, y.shape[1]), np.float32), 0, 0
+                    for v, e in zip(views, ends, strict=True):
+                        lo, hi = max(0, i - skipped), min(len(v), i + n - skipped)
+                        if lo < hi:
+                            out[filled : filled + hi - lo], target[filled : filled + hi - lo] = v[lo:hi], e[lo:hi]
+                            filled += hi - lo
+                        skipped += len(v)
+                    first = row["first"] + i
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["split"]]), pa.array([first // size]), pa.array([first]), pa.array([n], pa.int32()), pa.array([length], pa.int32()),
+                        pa.array([memoryview(out).cast("B")], pa.binary()), pa.array([target.tobytes()], pa.binary()),
+                    ], names=["split", "batch", "first", "n", "length", "features", "targets"])
+
+    return stored.mapInArrow(cut, "split string, batch long, first long, n int, length int, features binary, targets binary")
+
+
+def read_batches(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """The batches of blocks that were written, of one split or all; only that split's folder is read."""
+    stored = spark.read.schema(BLOCK).parquet(path)
+    return cut_batches(stored if split is None else stored.where(F.col("split") == split))
+
+
+def tensors(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Features (windows x rows x columns) and targets (windows x columns) of a row of batches."""
+    n = batch["n"]
+    return np.frombuffer(batch["features"], np.float32).reshape(n, batch["length"], -1), np.frombuffer(batch["targets"], np.float32).reshape(n, -1)
+
+
 def window_manifest(df: DataFrame, features: list[str], targets: list[str], length: int = 60, timeframe: str = "1d") -> DataFrame:
     """One row: timeframe, n_rows, n_windows, n_features, n_targets, sequence_len; from counts alone."""
     per = df.groupBy("ticker").agg(F.count("*").alias("n"))

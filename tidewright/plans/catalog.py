@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -395,7 +396,7 @@ def indicators_with_gaps(spark, sf):
     "windows_in_chunks",
     f"""{_VOL}, k AS (SELECT ticker, bar_ts, close, count(close) OVER w AS n, avg(close) OVER w AS m, stddev_pop(close) OVER w AS s, lead(close, 21) OVER t AS ahead, lag(close, 63) OVER t AS back
   FROM bars_d1 WINDOW w AS (PARTITION BY ticker ORDER BY bar_ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), t AS (PARTITION BY ticker ORDER BY bar_ts))
-SELECT k.ticker, k.bar_ts, round(dollar_vol_1m, 2) AS dollar_vol_1m, CASE WHEN n = 20 AND 1 + (m + 2 * s - k.close) / (m + 2 * s) > 0 THEN round(ln(1 + (m + 2 * s - k.close) / (m + 2 * s)), 6) END AS bb_high, ahead, round(k.close / back - 1, 6) + 0.0 AS raw_63b
+SELECT k.ticker, k.bar_ts, CAST(CAST(dollar_vol_1m AS FLOAT) AS DOUBLE) AS dollar_vol_1m, CASE WHEN n = 20 AND 1 + (m + 2 * s - k.close) / (m + 2 * s) > 0 THEN round(ln(1 + (m + 2 * s - k.close) / (m + 2 * s)), 6) END AS bb_high, ahead, round(k.close / back - 1, 6) + 0.0 AS raw_63b
 FROM k JOIN dm ON dm.ticker = k.ticker AND dm.bar_ts = k.bar_ts""",
 )
 def windows_in_chunks(spark, sf):
@@ -406,7 +407,7 @@ def windows_in_chunks(spark, sf):
         return df.withColumn("ahead", F.lead("close", 21).over(by_ticker(df)))
 
     df = series.over_chunks(views.bars_d1(spark, sf), op, before=63, after=21, rows=100)
-    return df.select("ticker", "bar_ts", F.round("dollar_vol_1m", 2).alias("dollar_vol_1m"), F.round("bb_high", 6).alias("bb_high"), "ahead", F.round("raw_63b", 6).alias("raw_63b"))
+    return df.select("ticker", "bar_ts", F.col("dollar_vol_1m").cast("float").cast("double").alias("dollar_vol_1m"), F.round("bb_high", 6).alias("bb_high"), "ahead", F.round("raw_63b", 6).alias("raw_63b"))
 
 
 @_query(
@@ -628,6 +629,32 @@ def batches(spark, sf):
     return windows.batches(windows.time_split_ratio(views.bars_d1(spark, sf)), 60, 32)
 
 
+@_query(
+    "batch_tensors",
+    f"""{_D1}, {_CUT.format('bars_d1')}, sp AS (SELECT ticker, CASE WHEN bar_ts <= c THEN 'train' ELSE 'val' END AS split, bar_ts, CAST(CAST(volume AS FLOAT) AS DOUBLE) AS volume, CAST(CAST(close AS FLOAT) AS DOUBLE) AS close FROM bars_d1 CROSS JOIN cut),
+n AS (SELECT *, row_number() OVER (PARTITION BY split, ticker ORDER BY bar_ts) AS rn, count(*) OVER (PARTITION BY split, ticker) AS n,
+  sum(volume) OVER w AS vs, sum(close) OVER w AS cs, first_value(volume) OVER w AS v0 FROM sp WINDOW w AS (PARTITION BY split, ticker ORDER BY bar_ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+w AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ticker, rn) - 1 AS idx FROM n WHERE rn >= 20 AND rn < n)
+SELECT split, CAST(idx // 32 AS BIGINT) AS batch, count(*) AS n, sum(vs) AS volume, round(sum(cs), 1) AS close, min_by(v0, idx) AS first, max_by(close, idx) AS last, sum(close) AS target FROM w GROUP BY split, idx // 32""".replace("sum(close) AS target", "round(sum(close), 2) AS target"),
+)
+def batch_tensors(spark, sf):
+    """Every batch of windows of 20 rows, written as blocks by split and read back as tensors; their sums and corners."""
+    panel = windows.time_split_ratio(views.bars_d1(spark, sf))
+    path = windows.write_blocks(panel, ["volume", "close"], ["close"], folders.scratch(spark, "blocks"), 20, 32, 8)
+
+    def sums(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                x, y = windows.tensors(row)
+                yield pa.RecordBatch.from_pylist([{
+                    "split": row["split"], "batch": row["batch"], "n": row["n"], "volume": float(x[:, :, 0].sum(dtype=float)), "close": float(x[:, :, 1].sum(dtype=float)),
+                    "first": float(x[0, 0, 0]), "last": float(x[-1, -1, 1]), "target": float(y.sum(dtype=float)),
+                }])
+
+    found = windows.read_batches(spark, path).mapInArrow(sums, "split string, batch long, n long, volume double, close double, first double, last double, target double")
+    return found.select("split", "batch", "n", "volume", F.round("close", 1).alias("close"), "first", "last", F.round("target", 2).alias("target"))
+
+
 @_query("window_manifest", f"{_D1}, c AS (SELECT ticker, count(*) AS n FROM bars_d1 GROUP BY ticker) SELECT '1d' AS timeframe, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(greatest(n - 60, 0)) AS BIGINT) AS n_windows, 5 AS n_features, 1 AS n_targets, 60 AS sequence_len FROM c")
 def window_manifest(spark, sf):
     return windows.window_manifest(views.bars_d1(spark, sf), ["open", "high", "low", "close", "volume"], ["target_1b"])
@@ -825,7 +852,7 @@ sweeps AS (
   UNION ALL SELECT fold, alpha, sweep + 1, n1, n2, n3, greatest(abs(n1 - b1), abs(n2 - b2), abs(n3 - b3)) FROM (
     SELECT *, {_shrunk("w - c * n1 - e * n2")} AS n3 FROM (
       SELECT *, {_shrunk("v - b * n1 - e * b3")} AS n2 FROM (
-        SELECT s.*, p.* EXCLUDE (fold, alpha), {_shrunk("u - b * b2 - c * b3")} AS n1 FROM sweeps s JOIN pen p ON p.fold = s.fold AND p.alpha = s.alpha WHERE moved >= 1e-4 AND sweep < 1000)))),
+        SELECT s.*, p.* EXCLUDE (fold, alpha), {_shrunk("u - b * b2 - c * b3")} AS n1 FROM sweeps s JOIN pen p ON p.fold = s.fold AND p.alpha = s.alpha WHERE moved >= 1e-11 AND sweep < 1000)))),
 solved AS (SELECT p.*, s.b1, s.b2, s.b3 FROM (SELECT fold, alpha, max_by(b1, sweep) AS b1, max_by(b2, sweep) AS b2, max_by(b3, sweep) AS b3 FROM sweeps GROUP BY fold, alpha) s JOIN pen p ON p.fold = s.fold AND p.alpha = s.alpha),
 {_SLOPES[_SLOPES.index("sloped AS") : _SLOPES.index("predicted AS")].rstrip().rstrip(",")}"""
 
@@ -833,7 +860,17 @@ solved AS (SELECT p.*, s.b1, s.b2, s.b3 FROM (SELECT fold, alpha, max_by(b1, swe
 @_query("lasso", f"{_LASSO} SELECT fold, feature, {_r('alpha', 'coef', 'slope')} FROM coefs")
 def lasso(spark, sf):
     df = _complete(spark, sf)
-    return rounded(evaluate.lasso(df, _folds(df), _X, _Y))
+    return rounded(evaluate.lasso(df, _folds(df), _X, _Y, tol=1e-11))
+
+
+@_query("predict_paths", f"{_RIDGE} SELECT fold, alpha, ticker, bar_ts, {_r('predicted', 'actual')} FROM predicted WHERE alpha IN (0.0001, 50000.0)")
+def predict_paths(spark, sf):
+    """The least and the greatest penalty of each row's predictions under all."""
+    df = _complete(spark, sf)
+    folds = _folds(df)
+    p = evaluate.predict_paths(df, folds, _ridge(df, folds), _X, _Y)
+    cells = p.select("fold", "ticker", "bar_ts", "actual", F.explode(F.arrays_zip("alphas", "predicted")).alias("c"))
+    return rounded(cells.select("fold", F.col("c.alphas").alias("alpha"), "ticker", "bar_ts", F.col("c.predicted").alias("predicted"), "actual").where("alpha IN (0.0001D, 50000.0D)"))
 
 
 @_query("predict", f"{_OLS} SELECT fold, alpha, ticker, bar_ts, {_r('predicted', 'actual')} FROM predicted")
@@ -863,7 +900,7 @@ def daily_rmse(spark, sf):
 def _walk_forward(spark, sf):
     df = _complete(spark, sf)
     folds = _folds(df)
-    return evaluate.predict(df, folds, _ridge(df, folds), _X, _Y)
+    return evaluate.walk_forward_scores(df, folds, _ridge(df, folds), _X, _Y)
 
 
 _WALK_IC = f"""{_RIDGE}, rk AS (
@@ -876,13 +913,13 @@ m AS (SELECT alpha, avg(ic) AS mean_ic FROM ic GROUP BY alpha)"""
 @_query("alpha_scores", f"{_WALK_IC} SELECT alpha, round(mean_ic, 4) + 0.0 AS mean_ic, alpha = first_value(alpha) OVER (ORDER BY round(mean_ic, 4) DESC, alpha) AS is_best FROM m")
 def alpha_scores(spark, sf):
     """Penalties of the walk-forward ridge; means of daily scores count to 4 places, as predictions of near penalties rank alike."""
-    scores = evaluate.daily_ic(_walk_forward(spark, sf)).groupBy("alpha").agg(F.round(F.avg("ic"), 4).alias("ic"))
+    scores = _walk_forward(spark, sf).groupBy("alpha").agg(F.round(F.avg("ic"), 4).alias("ic"))
     return rounded(evaluate.alpha_scores(scores), 4)
 
 
 @_query("walk_forward_rmse", f"{_RIDGE} SELECT alpha, bar_ts, round(sqrt(avg((predicted - actual) * (predicted - actual))), 6) AS rmse FROM predicted GROUP BY alpha, bar_ts")
 def walk_forward_rmse(spark, sf):
-    return rounded(evaluate.daily_rmse(_walk_forward(spark, sf)))
+    return rounded(_walk_forward(spark, sf).select("alpha", "bar_ts", "rmse"))
 
 
 _COEF = f"{_RIDGE}, st AS (SELECT alpha, feature, avg(coef) AS mean_coef, stddev_samp(coef) AS std_coef, avg(abs(coef)) AS mean_abs FROM coefs WHERE feature <> '1' GROUP BY alpha, feature)"
