@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import BAR, bar_rows
@@ -507,6 +508,26 @@ def test_hierarchical_weights_equal_the_published_order(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-5) for k in want)
 
 
+@pytest.mark.parametrize("p,n", [(600, 150), (1, 5)])
+def test_covariance_of_many_assets_equals_numpy(spark, p, n):
+    rng = np.random.default_rng(p)
+    x = 0.01 * rng.normal(size=(n, p)) + 0.05 * rng.normal(size=(1, p)) + 0.01 * rng.normal(size=(n, 1))
+    rows = [("A", dt.datetime(2024, 1, 1) + dt.timedelta(days=t), [f"s{k:04d}" for k in range(p)], x[t].tolist()) for t in range(n)]
+    df = spark.createDataFrame(rows, "portfolio string, bar_ts timestamp_ntz, assets array<string>, rets array<double>").repartition(3)
+    df = df.select("portfolio", "bar_ts", F.explode(F.arrays_zip("assets", "rets")).alias("c")).select("portfolio", "bar_ts", F.col("c.assets").alias("asset"), F.col("c.rets").alias("ret"))
+    found = risk.ledoit_wolf(df).toPandas()
+    sample, centred = np.cov(x.T, bias=True).reshape(p, p), x - x.mean(axis=0)
+    mu = np.trace(sample) / p
+    delta = ((sample - mu * np.eye(p)) ** 2).sum() / p
+    beta = min(delta, (((centred**2).sum(axis=1) ** 2).mean() - (sample**2).sum()) / (p * n))
+    share = beta / delta if delta > 0 else 0.0
+    want = (1 - share) * sample + share * mu * np.eye(p)
+    i, j = (found[c].str[1:].astype(int).to_numpy() for c in "ij")
+    assert len(found) == p * (p + 1) // 2 and (i <= j).all()
+    np.testing.assert_allclose(found["cov"], want[i, j], rtol=1e-9, atol=1e-15)
+    np.testing.assert_allclose(found["shrinkage"], share, rtol=1e-8)
+
+
 def test_a_portfolio_counts_the_rows_that_it_used(spark):
     df, x = returns(spark)
     name = df.first()["portfolio"]
@@ -735,6 +756,16 @@ def test_batches_hold_their_windows(spark, tmp_path, length, size, per_block):
         windows.write_blocks(df.where("split = 'val'"), ["a"], ["y"], str(tmp_path / "none"), length)
 
 
+def test_errors_show_the_first_bad_rows(spark, single):
+    w = Window.partitionBy("ticker").orderBy("bar_ts")
+    df = single.withColumn("seq", F.row_number().over(w))
+    bad = df.withColumn("low", F.when(F.col("seq") % 10 == 0, -F.col("seq").cast("double")).otherwise(F.col("low"))).withColumn("bar_ts", F.when(F.col("seq") % 50 == 0, F.lit(dt.datetime(2020, 1, 1))).otherwise(F.col("bar_ts")))
+    with pytest.raises(validate.DataValidationError) as e:
+        validate.raise_if_failed(validate.validation_report(bad, "seq"), bad, "seq")
+    assert [f"'low': -{k}.0" in str(e.value) for k in (10, 50, 60)] == [True, True, False] and str(e.value).count("'before'") == 3 and "'seq': 150, " in str(e.value) and "'seq': 200, " not in str(e.value)
+    validate.raise_if_failed(validate.validation_report(df, "seq"), df, "seq")
+
+
 def test_lasso_path_equals_cold_starts_in_fewer_visits():
     rng, p, n = np.random.default_rng(4), 60, 400
     x = rng.normal(size=(n, p)) @ (np.eye(p) + 0.3 * rng.normal(size=(p, p)) / np.sqrt(p))

@@ -8,10 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.folders import stored
+
 CLOSE = 1e-6
+#: Assets of a side of a tile.
+TILE = 256
+#: Shares in which the tiles of tasks are merged first.
+SHARES = 64
+#: Products that a task holds before it sends them on.
+HELD_BYTES = 128 << 20
 
 
 def returns_wide(returns: DataFrame, assets: list[str]) -> DataFrame:
@@ -28,31 +38,127 @@ def _complete(returns: DataFrame) -> DataFrame:
     return rows.join(assets, "portfolio").where(full).select("portfolio", "bar_ts", "r")
 
 
-def _cov(complete: DataFrame) -> DataFrame:
-    first = complete.select("portfolio", F.posexplode("r").alias("k", "x"), "r")
-    pairs = first.select("portfolio", "x", F.explode(F.slice("r", F.col("k") + 1, F.size("r"))).alias("y"))
-    return pairs.groupBy("portfolio", F.col("x.asset").alias("i"), F.col("y.asset").alias("j")).agg(F.covar_pop("x.ret", "y.ret").alias("cov"))
+_TILE = "ti int, tj int, share int, assets_i array<string>, assets_j array<string>, n long, mean_i array<double>, mean_j array<double>, products binary"
+_TILE_ARROW = [
+    ("ti", pa.int32()), ("tj", pa.int32()), ("share", pa.int32()), ("assets_i", pa.list_(pa.string())), ("assets_j", pa.list_(pa.string())),
+    ("n", pa.int64()), ("mean_i", pa.list_(pa.float64())), ("mean_j", pa.list_(pa.float64())), ("products", pa.binary()),
+]
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """(n, mean_i, mean_j, centred products) of two sets of rows together."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    di, dj = b[1] - a[1], b[2] - a[2]
+    return n, a[1] + di * (b[0] / n), a[2] + dj * (b[0] / n), a[3] + b[3] + np.outer(di, dj) * (a[0] * b[0] / n)
+
+
+def _tiles(complete: DataFrame) -> DataFrame:
+    """(portfolio, ti, tj, assets, n, means, products): centred products of complete rows, in tiles of TILE assets a side, ti <= tj.
+
+    A task multiplies the times that it has as matrices and sends one set of tiles on; sets are
+    merged by tile, first within SHARES shares of them, with what their different means add
+    (Chan, Golub and LeVeque, 1979). Nothing is made for each time and pair, and a portfolio's
+    times and tiles lie in any number of tasks.
+    """
+    schema = f"portfolio {complete.schema['portfolio'].dataType.simpleString()}, {_TILE}"
+
+    def row(key, ti, tj, share, names, sums):
+        n, mi, mj, m = sums
+        return {"portfolio": key, "ti": ti, "tj": tj, "share": share, "assets_i": names[0], "assets_j": names[1], "n": n, "mean_i": mi.tolist(), "mean_j": mj.tolist(), "products": m.tobytes()}
+
+    def products(batches):
+        share = TaskContext.get().partitionId() % SHARES
+        held: dict = {}
+
+        def sent(arrow: pa.Schema):
+            for key, (names, n, mean, m) in held.items():
+                for i in range(0, len(names), TILE):
+                    for j in range(i, len(names), TILE):
+                        x, y = slice(i, i + TILE), slice(j, j + TILE)
+                        yield pa.RecordBatch.from_pylist([row(key, i // TILE, j // TILE, share, (names[x], names[y]), (n, mean[x], mean[y], np.ascontiguousarray(m[x, y])))], schema=arrow)
+            held.clear()
+
+        arrow = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            arrow = pa.schema([("portfolio", b.schema.field(0).type), *_TILE_ARROW])
+            code = b.column(0).dictionary_encode()
+            which = code.indices.to_numpy(zero_copy_only=False)
+            r = b.column(1)
+            at, p = r.offsets.to_numpy()[:-1] - r.offsets[0].as_py(), r.value_lengths().to_numpy()
+            flat = r.flatten()
+            ret, names = flat.field("ret").to_numpy(zero_copy_only=False).astype(float), flat.field("asset")
+            for k, key in enumerate(code.dictionary.to_pylist()):
+                rows = np.flatnonzero(which == k)
+                cells = at[rows][:, None] + np.arange(p[rows[0]])
+                x = ret[cells]
+                mean = x.mean(axis=0)
+                x -= mean
+                before = held.get(key)
+                n, m, _, s = _merged(None if before is None else (before[1], before[2], before[2], before[3]), (len(x), mean, mean, x.T @ x))
+                held[key] = (before[0] if before else names.take(pa.array(cells[0])).to_pylist(), n, m, s)
+            if sum(h[3].nbytes for h in held.values()) > HELD_BYTES:
+                yield from sent(arrow)
+        yield from sent(arrow)
+
+    def merge(t: pa.Table) -> pa.Table:
+        total = None
+        for x in t.to_batches(max_chunksize=1):
+            x = x.to_pylist()[0]
+            mi, mj = np.array(x["mean_i"]), np.array(x["mean_j"])
+            total = _merged(total, (x["n"], mi, mj, np.frombuffer(x["products"]).reshape(len(mi), len(mj))))
+            head = x
+        return pa.Table.from_pylist([row(head["portfolio"], head["ti"], head["tj"], head["share"], (head["assets_i"], head["assets_j"]), total)], schema=pa.schema([("portfolio", t.schema.field("portfolio").type), *_TILE_ARROW]))
+
+    sent = complete.select("portfolio", "r").mapInArrow(products, schema)
+    for keys in (("portfolio", "ti", "tj", "share"), ("portfolio", "ti", "tj")):
+        sent = sent.groupBy(*keys).applyInArrow(merge, schema)
+    return sent.drop("share")
+
+
+def _cov(tiles: DataFrame) -> DataFrame:
+    """(portfolio, i, j, cov) for i <= j."""
+
+    @F.pandas_udf("array<struct<i:int,j:int,cov:double>>")
+    def cells(products: pd.Series, n: pd.Series, p: pd.Series, q: pd.Series, diagonal: pd.Series) -> pd.Series:
+        out = []
+        for m, k, a, b, d in zip(products, n, p, q, diagonal, strict=True):
+            m = np.frombuffer(m).reshape(a, b) / k
+            i, j = np.triu_indices(a) if d else np.divmod(np.arange(a * b), b)
+            out.append([{"i": x, "j": y, "cov": v} for x, y, v in zip(i.tolist(), j.tolist(), m[i, j].tolist(), strict=True)])
+        return pd.Series(out)
+
+    found = tiles.select("portfolio", "assets_i", "assets_j", F.explode(cells("products", "n", F.size("assets_i"), F.size("assets_j"), F.col("ti") == F.col("tj"))).alias("c"))
+    return found.select("portfolio", F.get("assets_i", F.col("c.i")).alias("i"), F.get("assets_j", F.col("c.j")).alias("j"), "c.cov")
 
 
 def sample_cov(returns: DataFrame) -> DataFrame:
     """(portfolio, i, j, cov) for i <= j: population covariance of complete rows only.
 
     A time at which an asset of the portfolio has no return is left out for all pairs. A row of
-    all assets is gathered once as an array and its pairs are exploded, which needs one shuffle
-    by (portfolio, time); a self-join would need two and a sort.
+    all assets is gathered as an array, and tasks multiply their rows as matrices (``_tiles``).
     """
-    return _cov(_complete(returns))
+    return _cov(_tiles(_complete(returns)))
 
 
 def ledoit_wolf(returns: DataFrame, cov: DataFrame | None = None) -> DataFrame:
-    """(portfolio, i, j, cov, shrinkage) for i <= j: covariance of complete rows shrunk to a multiple of the identity (Ledoit and Wolf, 2004)."""
-    complete = _complete(returns)
-    cov = _cov(complete) if cov is None else cov
+    """(portfolio, i, j, cov, shrinkage) for i <= j: covariance of complete rows shrunk to a multiple of the identity (Ledoit and Wolf, 2004).
+
+    Complete rows and their tiles are written once; the fourth moments are a fold over a row's
+    array, less the means that the tiles hold.
+    """
+    complete = stored(_complete(returns), "complete")
+    tiles = stored(_tiles(complete), "tiles")
+    cov = _cov(tiles) if cov is None else cov
     both = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
     s = cov.groupBy("portfolio").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))).alias("trace"), F.sum(both * F.col("cov") * F.col("cov")).alias("norm"), F.count_if(F.col("i") == F.col("j")).alias("p"))
-    mean = F.avg("r.ret").over(Window.partitionBy("portfolio", "r.asset"))
-    centred = complete.select("portfolio", "bar_ts", F.explode("r").alias("r")).select("portfolio", "bar_ts", (F.col("r.ret") - mean).alias("x"))
-    fourth = centred.groupBy("portfolio", "bar_ts").agg(F.sum(F.col("x") * F.col("x")).alias("q")).groupBy("portfolio").agg(F.sum(F.col("q") * F.col("q")).alias("q2"), F.count("*").alias("n"))
+    means = tiles.where("ti = tj").groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct("ti", "mean_i"))).alias("m"), F.max("n").alias("n"))
+    means = means.select(F.col("portfolio").alias("of"), F.flatten("m.mean_i").alias("mean"), "n")
+    square = F.aggregate(F.zip_with("r.ret", "mean", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x)
+    fourth = complete.join(means, F.col("portfolio").eqNullSafe(F.col("of"))).select("portfolio", "n", square.alias("q")).groupBy("portfolio").agg(F.sum(F.col("q") * F.col("q")).alias("q2"), F.max("n").alias("n"))
     c = F.col
     mu = c("trace") / c("p")
     delta = (c("norm") - 2 * mu * c("trace") + c("p") * mu * mu) / c("p")

@@ -59,9 +59,10 @@ def validate_prices(df: DataFrame, min_price: float = 0.0, columns: tuple[str, .
     return _report(counts, "prices", columns, lambda bad, n: bad > 0)
 
 
-def price_sample(df: DataFrame, min_price: float = 0.0, n: int = 5) -> DataFrame:
-    """Up to n rows with a price under min_price, for a message."""
-    return df.where(reduce(lambda a, b: a | b, [F.col(c) < F.lit(min_price) for c in PRICES if c in df.columns])).limit(n)
+def price_sample(df: DataFrame, min_price: float = 0.0, n: int = 5, seq: str | None = None) -> DataFrame:
+    """Up to n rows with a price under min_price, the first by seq, for a message."""
+    rows = df.where(reduce(lambda a, b: a | b, [F.col(c) < F.lit(min_price) for c in PRICES if c in df.columns]))
+    return (rows.orderBy(seq) if seq else rows).limit(n)
 
 
 def validate_monotonic(df: DataFrame, group: str = "ticker", seq: str = "seq", ts: str = "bar_ts") -> DataFrame:
@@ -90,11 +91,30 @@ def validation_report(df: DataFrame, seq: str, tolerance: float = 0.001, min_pri
     return _counts(flagged, [bad for _, _, bad, _ in checks]).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def raise_if_failed(report: DataFrame) -> None:
-    """Raises one error that names every failed check; a report has a few rows."""
+def late_sample(df: DataFrame, group: str = "ticker", seq: str = "seq", ts: str = "bar_ts", n: int = 3) -> DataFrame:
+    """(group, seq, ts, before): the first n rows, by seq, whose time lies before that of the row that arrived before."""
+    before = F.lag(ts).over(Window.partitionBy(group).orderBy(seq))
+    return df.select(group, seq, ts, before.alias("before")).where(F.col(ts) < F.col("before")).orderBy(seq, group).limit(n)
+
+
+def raise_if_failed(report: DataFrame, df: DataFrame | None = None, seq: str | None = None, min_price: float = 0.0, group: str = "ticker", ts: str = "bar_ts") -> None:
+    """Raises one error that names every failed check; a report has a few rows.
+
+    df: what was checked; its first bad rows, by seq, go into the message: 5 of prices, 3 of
+    order. Only a failed check reads df again, and each task keeps so many rows at most.
+    """
     bad = report.where("failed").collect()
-    if bad:
-        raise DataValidationError("; ".join(f"{r['check']} {r['column']}: {r['n_bad']} of {r['n_rows']}" for r in bad))
+    if not bad:
+        return
+    said = [f"{r['check']} {r['column']}: {r['n_bad']} of {r['n_rows']}" for r in bad]
+    if df is not None:
+        shown = []
+        if any(r["check"] == "prices" for r in bad):
+            shown += price_sample(df, min_price, seq=seq).collect()
+        if seq and any(r["check"] == "monotonic" for r in bad):
+            shown += late_sample(df, group, seq, ts).collect()
+        said += [str(r.asDict()) for r in shown]
+    raise DataValidationError("; ".join(said))
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:
