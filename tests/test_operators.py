@@ -1,6 +1,7 @@
 """Semantics of the operators on small frames."""
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -70,7 +71,9 @@ def test_report_covers_schema_and_reads_once(spark, single):
     assert failed(validate.validation_report(df.drop("low").withColumn("volume", F.lit("x")), "seq")) >= {("missing", "low"), ("type", "volume")}
     assert ("empty", "") in failed(validate.validation_report(df.limit(0), "seq"))
     plan = report._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window ") == 1 and "Union" not in plan
+    # order, and then the running counts of what is bad: over one scan, in one order of rows
+    assert plan.count("Window ") == 2 and "Union" not in plan and "Join" not in plan and plan.count("InMemoryRelation") == 1
+    assert report._jdf.queryExecution().sparkPlan().toString().count("Window") == 2 and report._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(ticker") == 1
 
 
 def three(spark):
@@ -756,14 +759,21 @@ def test_batches_hold_their_windows(spark, tmp_path, length, size, per_block):
         windows.write_blocks(df.where("split = 'val'"), ["a"], ["y"], str(tmp_path / "none"), length)
 
 
-def test_errors_show_the_first_bad_rows(spark, single):
+def test_errors_show_the_first_bad_rows(spark, multi):
     w = Window.partitionBy("ticker").orderBy("bar_ts")
-    df = single.withColumn("seq", F.row_number().over(w))
-    bad = df.withColumn("low", F.when(F.col("seq") % 10 == 0, -F.col("seq").cast("double")).otherwise(F.col("low"))).withColumn("bar_ts", F.when(F.col("seq") % 50 == 0, F.lit(dt.datetime(2020, 1, 1))).otherwise(F.col("bar_ts")))
+    df = multi.withColumn("seq", F.row_number().over(w) * 2 + (F.col("ticker") == "BBB").cast("int"))
+    bad = df.withColumn("low", F.when(F.col("seq") % 10 < 2, -F.col("seq").cast("double")).otherwise(F.col("low"))).withColumn("bar_ts", F.when(F.col("seq") % 50 < 2, F.lit(dt.datetime(2020, 1, 1))).otherwise(F.col("bar_ts")))
+    report = validate.validation_report(bad, "seq")
+    plan = report._jdf.queryExecution().toString()
+    assert plan.count("Scan ExistingRDD") <= 1 or plan.count("InMemoryTableScan") >= 1
+    found = {(r["check"], r["column"]): [json.loads(x)["seq"] for x in r["detail"]] for r in report.collect()}
+    assert found["prices", "low"] == [10, 11, 20, 21, 30] and found["monotonic", "bar_ts"] == [50, 51, 100] and found["prices", "open"] == [] == found["nulls", "low"]
     with pytest.raises(validate.DataValidationError) as e:
-        validate.raise_if_failed(validate.validation_report(bad, "seq"), bad, "seq")
-    assert [f"'low': -{k}.0" in str(e.value) for k in (10, 50, 60)] == [True, True, False] and str(e.value).count("'before'") == 3 and "'seq': 150, " in str(e.value) and "'seq': 200, " not in str(e.value)
-    validate.raise_if_failed(validate.validation_report(df, "seq"), df, "seq")
+        validate.raise_if_failed(report)
+    assert '"low":-21.0' in str(e.value) and '"low":-31.0' not in str(e.value) and '"seq":100' in str(e.value)
+    validate.raise_if_failed(validate.validation_report(df, "seq"))
+    empty = validate.validation_report(df.limit(0), "seq")
+    assert ("empty", "") in failed(empty) and all(r["n_rows"] in (0, 1) and not r["detail"] for r in empty.collect())
 
 
 def test_lasso_path_equals_cold_starts_in_fewer_visits():

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REPORT = "check string, column string, n_bad long, n_rows long, failed boolean"
+#: Shares of the groups in which their first bad rows are cut to the first of all.
+SHARES = 256
 PRICES = ("open", "high", "low", "close")
 #: What a bar table has to have.
 BAR_SCHEMA = T.StructType([T.StructField("bar_ts", T.TimestampNTZType()), T.StructField("ticker", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in (*PRICES, "volume")]])
@@ -59,10 +61,9 @@ def validate_prices(df: DataFrame, min_price: float = 0.0, columns: tuple[str, .
     return _report(counts, "prices", columns, lambda bad, n: bad > 0)
 
 
-def price_sample(df: DataFrame, min_price: float = 0.0, n: int = 5, seq: str | None = None) -> DataFrame:
-    """Up to n rows with a price under min_price, the first by seq, for a message."""
-    rows = df.where(reduce(lambda a, b: a | b, [F.col(c) < F.lit(min_price) for c in PRICES if c in df.columns]))
-    return (rows.orderBy(seq) if seq else rows).limit(n)
+def price_sample(df: DataFrame, min_price: float = 0.0, n: int = 5) -> DataFrame:
+    """Up to n rows with a price under min_price, for a message."""
+    return df.where(reduce(lambda a, b: a | b, [F.col(c) < F.lit(min_price) for c in PRICES if c in df.columns])).limit(n)
 
 
 def validate_monotonic(df: DataFrame, group: str = "ticker", seq: str = "seq", ts: str = "bar_ts") -> DataFrame:
@@ -73,48 +74,50 @@ def validate_monotonic(df: DataFrame, group: str = "ticker", seq: str = "seq", t
 
 
 def validation_report(df: DataFrame, seq: str, tolerance: float = 0.001, min_price: float = 0.0, group: str = "ticker", ts: str = "bar_ts", required: T.StructType = BAR_SCHEMA) -> DataFrame:
-    """Schema, nulls of the price columns, prices and order: one aggregate over one scan gives all report rows.
+    """Schema, nulls of the price columns, prices and order, with the first bad rows as detail: one scan gives all report rows.
 
-    Columns that are missing fail in the schema's rows and are left out of the others.
+    Columns that are missing fail in the schema's rows and are left out of the others. detail:
+    up to 5 rows of prices and 3 of order as JSON, the first by seq and group. A group keeps its
+    own first ones, which its running count of bad rows tells, and they are cut to the first
+    again in shares of the groups and then over all, so no list grows with the bad rows.
     """
     prices = [c for c in PRICES if c in df.columns]
-    before = F.lag(ts).over(Window.partitionBy(group).orderBy(seq))
-    flagged = df.select(*prices, (F.col(ts) < before).alias("_late"))
+    w = Window.partitionBy(group).orderBy(seq)
+    low = F.coalesce(reduce(lambda a, b: a | b, [F.col(c) < F.lit(min_price) for c in prices], F.lit(False)), F.lit(False))
+    late = F.coalesce(F.col(ts) < F.lag(ts).over(w), F.lit(False))
+    row = F.struct(F.col(seq).alias("seq"), *[F.col(c) for c in dict.fromkeys((group, ts, *prices)) if c != "seq"])
+    flagged = df.select(*dict.fromkeys((group, seq, ts, *prices)), low.alias("_low"), late.alias("_late"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flagged = flagged.select(F.col(group).alias("_group"), *prices, "_low", "_late", row.alias("_row"), *[F.count_if(c).over(upto).alias(f"{c}_n") for c in ("_low", "_late")])
     share = lambda bad, rows: (rows == 0) | (bad > rows * F.lit(tolerance))
     any_bad = lambda bad, rows: bad > 0
-    checks = [("nulls", c, F.col(c).isNull(), share) for c in prices] + [("prices", c, F.col(c) < F.lit(min_price), any_bad) for c in prices] + [("monotonic", ts, F.col("_late"), any_bad)]
+    none = F.array().cast("array<string>")
+    checks = [("nulls", c, F.col(c).isNull(), share, None) for c in prices]
+    checks += [("prices", c, F.col(c) < F.lit(min_price), any_bad, "_low") for c in prices] + [("monotonic", ts, F.col("_late"), any_bad, "_late")]
+    counts = ["n_rows", *[f"bad_{i}" for i in range(len(checks))]]
+    kept = {"_low": 5, "_late": 3}
+    first = lambda rows, n: F.slice(F.array_sort(rows), 1, n)
+    each = flagged.groupBy("_group").agg(
+        F.count("*").alias("n_rows"), *[F.count_if(bad).alias(f"bad_{i}") for i, (_, _, bad, _, _) in enumerate(checks)],
+        *[first(F.collect_list(F.when(F.col(c) & (F.col(f"{c}_n") <= n), F.col("_row"))), n).alias(c) for c, n in kept.items()],
+    )
+    together = [F.sum(c).alias(c) for c in counts] + [first(F.flatten(F.collect_list(c)), n).alias(c) for c, n in kept.items()]
+    all_ = each.groupBy(F.pmod(F.xxhash64("_group"), F.lit(SHARES)).alias("_share")).agg(*together).agg(*together)
+    all_ = all_.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in counts], *[F.transform(c, lambda x: F.to_json(x)).alias(c) for c in kept])
     n = F.col("n_rows")
-    cell = lambda check, column, bad, rows, failed: F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), bad.cast("long").alias("n_bad"), rows.cast("long").alias("n_rows"), failed.alias("failed"))
+    cell = lambda check, column, bad, rows, failed, detail=none: F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"), bad.cast("long").alias("n_bad"), rows.cast("long").alias("n_rows"), failed.alias("failed"), detail.alias("detail"))
     cells = [cell(check, column, F.lit(bad), F.lit(rows), F.lit(failed)) for check, column, bad, rows, failed in _schema_rows(df, required)]
     cells += [cell("empty", "", (n == 0).cast("long"), F.least(n, F.lit(1)), n == 0)]
-    cells += [cell(check, column, F.col(f"bad_{i}"), n, failed(F.col(f"bad_{i}"), n)) for i, (check, column, _, failed) in enumerate(checks)]
-    return _counts(flagged, [bad for _, _, bad, _ in checks]).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-
-
-def late_sample(df: DataFrame, group: str = "ticker", seq: str = "seq", ts: str = "bar_ts", n: int = 3) -> DataFrame:
-    """(group, seq, ts, before): the first n rows, by seq, whose time lies before that of the row that arrived before."""
-    before = F.lag(ts).over(Window.partitionBy(group).orderBy(seq))
-    return df.select(group, seq, ts, before.alias("before")).where(F.col(ts) < F.col("before")).orderBy(seq, group).limit(n)
-
+    cells += [cell(check, column, F.col(f"bad_{i}"), n, failed(F.col(f"bad_{i}"), n), F.when(F.col(f"bad_{i}") > 0, F.col(of)).otherwise(none) if of else none) for i, (check, column, _, failed, of) in enumerate(checks)]
+    return all_.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
-def raise_if_failed(report: DataFrame, df: DataFrame | None = None, seq: str | None = None, min_price: float = 0.0, group: str = "ticker", ts: str = "bar_ts") -> None:
-    """Raises one error that names every failed check; a report has a few rows.
 
-    df: what was checked; its first bad rows, by seq, go into the message: 5 of prices, 3 of
-    order. Only a failed check reads df again, and each task keeps so many rows at most.
-    """
+def raise_if_failed(report: DataFrame) -> None:
+    """Raises one error that names every failed check, with the rows that its detail holds; a report has a few rows."""
     bad = report.where("failed").collect()
-    if not bad:
-        return
-    said = [f"{r['check']} {r['column']}: {r['n_bad']} of {r['n_rows']}" for r in bad]
-    if df is not None:
-        shown = []
-        if any(r["check"] == "prices" for r in bad):
-            shown += price_sample(df, min_price, seq=seq).collect()
-        if seq and any(r["check"] == "monotonic" for r in bad):
-            shown += late_sample(df, group, seq, ts).collect()
-        said += [str(r.asDict()) for r in shown]
-    raise DataValidationError("; ".join(said))
+    if bad:
+        shown = dict.fromkeys(x for r in bad for x in (r["detail"] if "detail" in report.columns else ()))
+        raise DataValidationError("; ".join([f"{r['check']} {r['column']}: {r['n_bad']} of {r['n_rows']}" for r in bad] + list(shown)))
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:

@@ -192,20 +192,26 @@ def validate_monotonic(spark, sf):
     return validate.validate_monotonic(views.table(spark, sf, "orders"), "o_custkey", "o_orderkey", "o_orderdate")
 
 
+_NO_DETAIL = "'' AS detail"
+
+
 @_query(
     "validation_report",
-    f"""{_D1}, m AS (SELECT *, bar_ts < lag(bar_ts) OVER (PARTITION BY ticker ORDER BY close, bar_ts) AS late FROM bars_d1)
+    f"""{_D1}, m AS (SELECT *, bar_ts < lag(bar_ts) OVER (PARTITION BY ticker ORDER BY close, bar_ts) AS late FROM bars_d1),
+firsts AS (SELECT coalesce(string_agg(ticker || ' ' || strftime(bar_ts, '%Y-%m-%d'), ', ' ORDER BY close, bar_ts, ticker), '') AS d FROM (SELECT * FROM m WHERE late ORDER BY close, bar_ts, ticker LIMIT 3)),
+cheap AS (SELECT coalesce(string_agg(ticker || ' ' || strftime(bar_ts, '%Y-%m-%d'), ', ' ORDER BY close, bar_ts, ticker), '') AS d FROM (SELECT * FROM m WHERE least(open, high, low, close) < 950 ORDER BY close, bar_ts, ticker LIMIT 5))
 """
     + " UNION ALL ".join(
-        [_schema_sql(("bar_ts", "ticker", *validate.PRICES, "volume")), _EMPTY]
-        + [f"SELECT 'nulls' AS \"check\", '{c}' AS \"column\", count(*) - count({c}) AS n_bad, count(*) AS n_rows, count(*) = 0 OR count(*) - count({c}) > count(*) * 0.001 AS failed FROM m" for c in validate.PRICES]
-        + [f"SELECT 'prices', '{c}', count(*) FILTER (WHERE {c} < 0), count(*), count(*) FILTER (WHERE {c} < 0) > 0 FROM m" for c in validate.PRICES]
-        + ["SELECT 'monotonic', 'bar_ts', count(*) FILTER (WHERE late), count(*), count(*) FILTER (WHERE late) > 0 FROM m"]
+        [f"SELECT *, {_NO_DETAIL} FROM ({_schema_sql(('bar_ts', 'ticker', *validate.PRICES, 'volume'))})", f"SELECT *, {_NO_DETAIL} FROM ({_EMPTY})"]
+        + [f"SELECT 'nulls' AS \"check\", '{c}' AS \"column\", count(*) - count({c}) AS n_bad, count(*) AS n_rows, count(*) = 0 OR count(*) - count({c}) > count(*) * 0.001 AS failed, {_NO_DETAIL} FROM m" for c in validate.PRICES]
+        + [f"SELECT 'prices', '{c}', count(*) FILTER (WHERE {c} < 950), count(*), count(*) FILTER (WHERE {c} < 950) > 0, CASE WHEN count(*) FILTER (WHERE {c} < 950) > 0 THEN (SELECT d FROM cheap) ELSE '' END FROM m" for c in validate.PRICES]
+        + ["SELECT 'monotonic', 'bar_ts', count(*) FILTER (WHERE late), count(*), count(*) FILTER (WHERE late) > 0, (SELECT d FROM firsts) FROM m"]
     ),
 )
 def validation_report(spark, sf):
     b = views.bars_d1(spark, sf).withColumn("seq", F.struct("close", "bar_ts"))
-    return validate.validation_report(b, "seq")
+    shown = F.transform("detail", lambda x: F.concat(F.get_json_object(x, "$.ticker"), F.lit(" "), F.substring(F.get_json_object(x, "$.bar_ts"), 1, 10)))
+    return validate.validation_report(b, "seq", min_price=950.0).withColumn("detail", F.array_join(shown, ", "))
 
 
 @_query("finite_check", f"WITH {views.PREDS} SELECT ticker, CAST(sum((actual IS NULL)::INT + (p1 IS NULL)::INT + (p2 IS NULL)::INT) AS BIGINT) AS n_null, CAST(sum(coalesce(isnan(actual), false)::INT + coalesce(isnan(p1), false)::INT + coalesce(isnan(p2), false)::INT) AS BIGINT) AS n_nan FROM ahead GROUP BY ticker")
