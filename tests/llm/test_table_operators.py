@@ -282,3 +282,10 @@ def test_precision_on_other_labels(spark):
     make = lambda k: spark.createDataFrame([(i, 1, int("bad" in u and rng.random() < 0.9)) for i, u in enumerate(urls) if i % 2 == k], LABELS)
     got = url_filter.precision(pages, make(1), url_filter.mine_rules(pages, make(0))).first()
     assert got["n_matched"] > 100 and got["bad_share"] > 0.8 > 0.6 > got["base_share"]
+
+
+def test_mined_url_rules_decide(spark, tmp_path):
+    rows = [(k, f"http{'s' * (k % 2)}://site{k % 7}.example.{('org', 'com', 'net')[k % 3]}/{('de', 'en', 'fr', 'es')[k % 4]}/{k}") for k in range(400)] + [(400, None), (None, "no url")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in queries.url_rules_mined(spark, str(tmp_path)).collect()}
+    assert got == {k: "block" if u and ".org/de/" in u else "allow" for k, u in rows} and Counter(got.values())["block"] > 30

@@ -81,6 +81,18 @@ def test_keys_survive_packing(keys):
     assert (suffix_dedup._keys(suffix_dedup._deltas(keys)) == keys).all()
 
 
+def test_suffix_dedup_stays_exact_when_fingerprints_collide(spark, docs):
+    want = Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 40, 3000)).collect())
+    for bits in (3, 9):
+        assert Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 40, 3000, bits)).collect()) == want
+    first, second = np.array([5, 5, 5, 1 << 63, 5], np.uint64), np.array([1, 2, 1, 7, 3], np.uint64)
+    deal = suffix_dedup._Pairs(first, second, 0)
+    ((bucket, blob),) = deal.rows()
+    assert bucket == 0 and suffix_dedup._read_pairs(blob).tolist() == [[5, 1], [5, 2], [5, 3], [1 << 63, 7]] and deal.repeated({}).tolist() == [True, False, True, False, False]
+    assert [b for b, _ in suffix_dedup._Pairs(first, second, 1).rows()] == [0, 1]
+    assert suffix_dedup._tied(np.array([[5, 1], [5, 2], [5, 1], [6, 2]], np.uint64)).tolist() == [True, False, True, False]
+
+
 def test_suffix_dedup_of_nothing(spark, docs):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 

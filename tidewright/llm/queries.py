@@ -64,6 +64,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), rules).select("page_id", "host", "path", "rule", "verdict", "n_rules")
 
 
+def url_rules_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of mined rules alone, with labels that follow the urls: German pages of .org are bad."""
+    pages = read(spark, sf_dir, "pages")
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("quality"), F.col("url").rlike(r"^[a-z]+://[^/]*\.org/de/").cast("int").alias("toxic"))
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    return url_filter.judge(pages, labels, none).select("page_id", "verdict")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -109,7 +117,7 @@ def queries() -> dict:
         "op1_suffix_array_dedup": op1, "op2_chat_formatting": op2, "op3_exact_topk": op3, "op4_language_id": op4, "op5_source_mixing": op5,
         "op6_simhash_near_dedup": op6, "op7_token_shards": op7, "op8_url_filter": op8, "op9_token_counts": op9, "op10_decontamination": op10,
         "op11_merkle_manifest": op11, "op12_periodic_runs": op12, "op13_line_dedup": op13,
-        "pipeline": corpus_pipeline.run,
+        "url_rules_mined": url_rules_mined, "pipeline": corpus_pipeline.run,
     }
 
 
@@ -127,6 +135,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM parts GROUP BY conv_id, alone
 """
 
+_URLS = r"""
+SELECT page_id, CASE WHEN regexp_matches(url, '^[a-z]+://[^/]*\.org/de/') THEN 'block' ELSE 'allow' END AS verdict FROM pages
+"""
+
 _OP3 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS w FROM embeddings
@@ -233,4 +245,4 @@ FROM j GROUP BY r, doc_id
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator; the others are tested against brute force."""
-    return {"op2_chat_formatting": _OP2, "op3_exact_topk": _OP3, "op5_source_mixing": _OP5, "op11_merkle_manifest": _merkle_sql(), "op13_line_dedup": _OP13}
+    return {"op2_chat_formatting": _OP2, "op3_exact_topk": _OP3, "op5_source_mixing": _OP5, "url_rules_mined": _URLS, "op11_merkle_manifest": _merkle_sql(), "op13_line_dedup": _OP13}

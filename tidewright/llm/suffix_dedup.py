@@ -10,7 +10,9 @@ share that many. Construction follows the difference-cover scheme, block by bloc
 2. Sample strings are ranked: each bucket of ranks is sorted by itself, and samples whose rank
    another sample shares are the long ties.
 3. Only suffixes within v bytes before such a tie can equal another suffix. They are dealt to
-   suffix buckets, and one bucket is sorted at a time; equal neighbours are repeats.
+   suffix buckets, and one bucket is sorted at a time; equal neighbours may be repeats.
+4. Those few are dealt and sorted once more, by that fingerprint and a second, independent one
+   together: 128 bits say what is equal, so strings that one fingerprint takes for equal stay.
 
 The order within a bucket is that of 62-bit fingerprints of the strings, not of the strings;
 for finding equal ones any total order serves. Keys travel sorted, as differences, one binary
@@ -43,7 +45,7 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 20
 KEYS_PER_BUCKET = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
 
@@ -65,10 +67,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 class _Fingerprints:
     """64-bit fingerprints of the strings of a given length at many positions of a buffer."""
 
-    def __init__(self, longest: int):
+    def __init__(self, longest: int, multiplier: int = _MULTIPLIER, seed: int = 20):
         n = CHUNK + longest + 1
-        self.up, self.down = _powers(_MULTIPLIER, n), _powers(pow(_MULTIPLIER, -1, 1 << 64), n)
-        self.table = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=_U)
+        self.up, self.down = _powers(multiplier, n), _powers(pow(multiplier, -1, 1 << 64), n)
+        self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=_U)
 
     def at(self, buf: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
         out = np.empty(len(pos), _U)
@@ -130,18 +132,52 @@ class _Deal:
         return hit[self.where]
 
 
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """Sorts one bucket; returns for each block that sent keys the bits of those found again."""
-    blocks, blobs = table.column("block").to_pylist(), table.column("blob").to_pylist()
-    lists = [_keys(b) for b in blobs]
-    keys = np.concatenate(lists)
-    order = np.argsort(keys, kind="stable")
+class _Pairs(_Deal):
+    """Sorted distinct pairs of fingerprints of a block, dealt to buckets by the leading bits of the first."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, bucket_bits: int):
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        new = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        group = np.cumsum(new) - 1
+        self.where = np.empty(len(a), np.int64)
+        self.where[order] = group
+        self.keys, self.second, self.own = a[new], b[new], np.bincount(group, minlength=int(new.sum())) > 1
+        # a shift by all 64 bits is none
+        self.rest = _U(63 - bucket_bits)
+        bucket = (self.keys >> _U(1) >> self.rest).astype(np.int64)
+        self.starts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
+        self.stops = np.append(self.starts, len(bucket))[1:]
+        self.buckets = bucket[self.starts]
+
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        for b, i, j in zip(self.buckets, self.starts, self.stops, strict=True):
+            yield int(b), _U(j - i).tobytes() + self.second[i:j].tobytes() + _deltas(self.keys[i:j])
+
+
+def _read_pairs(blob: bytes) -> np.ndarray:
+    """The pairs of a blob, a row each."""
+    n = int(np.frombuffer(blob, _U, 1)[0])
+    return np.stack([_keys(blob[8 + 8 * n :]), np.frombuffer(blob, _U, n, 8)], axis=1)
+
+
+def _tied(keys: np.ndarray) -> np.ndarray:
+    """Which keys (numbers, or rows of two) occur again."""
+    order = np.argsort(keys, kind="stable") if keys.ndim == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
+    same = same if keys.ndim == 1 else same.all(axis=1)
     tie = np.zeros(len(keys), bool)
     tie[order[1:][same]] = True
     tie[order[:-1][same]] = True
-    out, at = [], 0
+    return tie
+
+
+def _sort_bucket(table: pa.Table, read=_keys) -> pa.Table:
+    """Sorts one bucket; returns for each block that sent keys the bits of those found again."""
+    blocks, blobs = table.column("block").to_pylist(), table.column("blob").to_pylist()
+    lists = [read(b) for b in blobs]
+    tie, out, at = _tied(np.concatenate(lists)), [], 0
     for block, part in zip(blocks, lists, strict=True):
         mine = tie[at : at + len(part)]
         at += len(part)
@@ -151,6 +187,10 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "bits": pa.array([x[2] for x in out], pa.binary())})
 
 
+def _sort_pairs(table: pa.Table) -> pa.Table:
+    return _sort_bucket(table, _read_pairs)
+
+
 _BITS = "part long, block long, bucket long, bits binary"
 
 
@@ -249,14 +289,15 @@ def _pack(batches, block_bytes: int):
 _PACKED = "part long, block long, size long, ids binary, null_ids binary, lens binary, texts array<struct<digest:binary,places:array<int>>>, data binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_BYTES, key_bits: int = 62) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary), one row for each row of docs.
 
     spans: maximal runs of removed bytes, in bytes of the text. Null text: empty. Repeated rows
     and rows with a null or repeated doc_id are separate texts, so both lose what they share.
     Strings never cross documents. Texts shorter than length are kept whole; a text longer than a
     block is a block of its own. An empty table gives an empty result. Other columns are left
-    out, so names can't clash. Strings of equal 62-bit fingerprint count as equal.
+    out, so names can't clash. Strings count as equal if two independent 64-bit fingerprints are;
+    key_bits: what the first sort of suffixes compares of one, the second sort decides.
     """
     spark = docs.sparkSession
     packed = stored(id_and_bytes(docs).mapInArrow(lambda it: _pack(it, block_bytes), _PACKED), "packed")
@@ -295,8 +336,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         for block, b, _ in _blocks(batches, length, at_copies):
             yield from _sent(block, _Deal(b.samples(prints)[1], rank_bits, rank_bucket))
 
-    def sort(sent: DataFrame, name: str) -> str:
-        return kept_bits(sent.groupBy("bucket").applyInArrow(_sort_bucket, _BITS), name)
+    def sort(sent: DataFrame, name: str, by=_sort_bucket) -> str:
+        return kept_bits(sent.groupBy("bucket").applyInArrow(lambda t: by(t), _BITS), name)
 
     _SENT = "bucket long, block long, blob binary"
     at_ranks = sort(plain.mapInArrow(send_samples, _SENT), "ranks")
@@ -306,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
         pos, keys = b.samples(prints)
         ties = pos[_Deal(keys, rank_bits, rank_bucket).repeated(ranks)]
         pos, keys = b.suffixes(prints, ties)
-        return pos, _Deal(keys, 62, suffix_bucket)
+        return pos, _Deal(keys, key_bits, min(key_bits, suffix_bucket))
 
     def send_suffixes(batches):
         prints = _Fingerprints(length)
@@ -315,11 +356,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
 
     at_suffixes = sort(plain.mapInArrow(send_suffixes, _SENT), "suffixes")
 
+    def pairs(b: _Block, prints: _Fingerprints, again: _Fingerprints, ranks: dict[int, bytes], found: dict[int, bytes]) -> tuple[np.ndarray, _Pairs]:
+        pos, deal = suffixes(b, prints, ranks)
+        pos = pos[deal.repeated(found)]
+        return pos, _Pairs(prints.at(b.buf, pos, length), again.at(b.buf, pos, length), suffix_bucket)
+
+    def send_pairs(batches):
+        prints, again = _Fingerprints(length), _Fingerprints(length, _SECOND, 21)
+        for block, b, (ranks, found) in _blocks(batches, length, at_copies, at_ranks, at_suffixes):
+            yield from _sent(block, pairs(b, prints, again, ranks, found)[1])
+
+    at_pairs = sort(plain.mapInArrow(send_pairs, _SENT), "pairs", _sort_pairs)
+
     def finish(batches):
-        prints = _Fingerprints(length)
-        for _, b, (ranks, found) in _blocks(batches, length, at_copies, at_ranks, at_suffixes):
-            pos, deal = suffixes(b, prints, ranks)
-            pos = pos[deal.repeated(found)]
+        prints, again = _Fingerprints(length), _Fingerprints(length, _SECOND, 21)
+        for _, b, (ranks, found, sure) in _blocks(batches, length, at_copies, at_ranks, at_suffixes, at_pairs):
+            pos, deal = pairs(b, prints, again, ranks, found)
+            pos = pos[deal.repeated(sure)]
             edge = np.zeros(len(b.buf) + 1, np.int32)
             edge[pos] += 1
             edge[pos + length] -= 1

@@ -139,10 +139,11 @@ def _batches(path: str, raw: list[bytes | None]):
     """(owner, part) lists of about BATCH_BYTES each; a long text may lie in several."""
     style, owner, found, size = style_of(path), [], [], 0
     for i, d in enumerate(raw):
-        for p in parts((d or b"").decode("utf-8", "replace"), style):
+        cut = parts((d or b"").decode("utf-8", "replace"), style)
+        for p in cut:
             owner.append(i)
             found.append(p)
-            size += len(p)
+            size += len(d or b"") if len(cut) == 1 else len(p.encode())
             if size >= BATCH_BYTES:
                 yield owner, found
                 owner, found, size = [], [], 0
