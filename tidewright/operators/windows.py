@@ -7,17 +7,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import series
 from tidewright.functions.windows import TIES, by_ticker, numbered
 
 BLOCK = "split string, block long, first long, size int, length int, pieces array<struct<ticker:string,start:long,n:long>>, features binary, targets binary"
 
 
-def window_index(df: DataFrame, length: int = 60) -> DataFrame:
+def window_index(df: DataFrame, length: int = 60, split: bool = False) -> DataFrame:
     """(ticker, start, end_ts): one row a window, starts 0..n-length-1.
 
     The window that ends on a ticker's last row is left out; tickers of fewer than length + 1
-    rows have none. No window is built: storage keeps this index and the panel.
+    rows have none. No window is built: storage keeps this index and the panel. split: rows get
+    their places by a range sort (``series.places``), so a ticker may lie in any number of tasks.
     """
+    if split:
+        at = series.places(df.select("ticker", "bar_ts"), "ticker", ["bar_ts"], total="n")
+        return at.where((F.col("place") >= length - 1) & (F.col("place") < F.col("n") - 1)).select("ticker", (F.col("place") - length + 1).alias("start"), F.col("bar_ts").alias("end_ts"))
     w = by_ticker()
     placed = df.select("ticker", "bar_ts", F.row_number().over(w).alias("rn"), F.lead(F.lit(1)).over(w).alias("more"))
     return placed.where((F.col("rn") >= length) & F.col("more").isNotNull()).select("ticker", (F.col("rn") - length).cast("long").alias("start"), F.col("bar_ts").alias("end_ts"))

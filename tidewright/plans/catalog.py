@@ -547,9 +547,25 @@ def adf_test(spark, sf):
     return rounded(fracdiff.adf_test(views.levels(spark, sf)))
 
 
-@_query("adf_p_value")
+def _normal(z: str) -> str:
+    """SQL: the normal distribution function by its series of positive terms, z^(2n+1) over the odd factorial of 2n+1."""
+    series = f"list_sum(list_transform(range(400), lambda n: exp((2 * n + 1) * ln(abs({z})) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1))))"
+    return f"CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 12 THEN CASE WHEN {z} > 0 THEN 1 ELSE 0 END ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series} END"
+
+
+def _cubic(c: tuple[float, ...]) -> str:
+    return " + ".join(f"{x!r}::DOUBLE * pow(stat, {k})" for k, x in enumerate(c))
+
+
+@_query(
+    "adf_p_value",
+    f"""WITH {views.LEVELS}, one AS (SELECT ticker, rn, x, 0 AS d FROM levels), {_adf('one')},
+z AS (SELECT *, CASE WHEN stat <= {fracdiff.SPLIT} THEN {_cubic(fracdiff.SMALL_P)} ELSE {_cubic(fracdiff.LARGE_P)} END AS z FROM adf),
+p AS (SELECT *, CASE WHEN stat > {fracdiff.TOP} THEN 1 WHEN stat < {fracdiff.BOTTOM} THEN 0 ELSE {_normal('z')} END AS p FROM z)
+SELECT ticker, n, lag, round(stat, 6) AS stat, round(p, 6) + 0.0 AS p_value, coalesce(p < 0.05, false) AS is_stationary FROM p""",
+)
 def adf_p_value(spark, sf):
-    return fracdiff.with_p(fracdiff.adf_test(views.levels(spark, sf)))
+    return rounded(fracdiff.with_p(fracdiff.adf_test(views.levels(spark, sf))))
 
 
 @_query("min_d_grid", f"{_SEARCH} SELECT ticker, d FROM mind")
@@ -603,6 +619,12 @@ def window_index(spark, sf):
     return windows.window_index(views.bars_d1(spark, sf), 60)
 
 
+@_query("window_index_split", f"{_IDX} SELECT ticker, CAST(rn - 60 AS BIGINT) AS start, bar_ts AS end_ts FROM i WHERE rn >= 60 AND rn < n")
+def window_index_split(spark, sf):
+    """The same index, with the rows of a ticker in any number of tasks."""
+    return windows.window_index(views.bars_d1(spark, sf), 60, split=True)
+
+
 @_query("sliding_windows", f"{_IDX} SELECT e.ticker, CAST(e.rn - 10 AS BIGINT) AS start, CAST(p.rn - e.rn + 9 AS INTEGER) AS pos, CAST(p.volume AS DOUBLE) AS volume, CAST(CAST(p.close AS FLOAT) AS DOUBLE) AS close, CAST(e.volume AS DOUBLE) AS target FROM i e JOIN i p ON p.ticker = e.ticker AND p.rn BETWEEN e.rn - 9 AND e.rn WHERE e.rn >= 10 AND e.rn < e.n")
 def sliding_windows(spark, sf):
     """Every value of every window: one row a window and place."""
