@@ -140,7 +140,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
     # null sorts first and joins with itself as a string of its own
     g = F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group))
     rows = docs.select(g.alias("g"), docs[f"`{id_col}`"].cast("long").alias("id"), leaf(*own).alias("digest"), leaf(*[altered.get(c, v) for c, v in zip(columns, own, strict=True)]).alias("now"))
-    leaves = stored(places(rows, "g", ["id", "digest", "now"], "i", "n"), "numbered")
+    leaves = stored(places(rows, "g", ["id", "digest"], "i", "n"), "numbered")
     tiers = _tiers(leaves, levels)
     groups = stored(places(tiers[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), "g", ["name"], "i", "n"), "groups")
     upper = _tiers(groups, levels)
