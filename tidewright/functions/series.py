@@ -20,7 +20,8 @@ def places(df: DataFrame, group: str, order: Sequence[str], at: str = "place", t
 
     A range sort over all groups, places within a task's part of a group, and counts by part: a
     group may lie in any number of tasks. Nulls come first. Rows that are equal in order are told
-    apart by where they were read, so that they don't all go to one task.
+    apart by where they were read, so that they don't all go to one task; df should read stored
+    tables without a shuffle, so that a task that runs again reads its rows in the same order.
     """
     kept, read = df.columns, f"{at}_read"
     by = [group, *order, read]
@@ -68,8 +69,9 @@ def over_chunks(df: DataFrame, op: Callable[[DataFrame], DataFrame], before: int
     op sees a ticker's chunk with its halo as a ticker of its own: its windows are partitioned by
     (ticker, chunk). The result is op's at the rows of the chunks themselves, so it equals op(df)
     where op keeps its rows, and its row numbers only matter up to ``before``. Rows of one time
-    come by order, then as they were read.
+    come by order, then as they were read. df is written once.
     """
+    df = stored(df, "series")
     d = chunked(places(df, "ticker", [*order, *[c for c in ("close", "high", "low", "open", "volume", "x") if c in df.columns and c not in order]]), rows, before, after)
     whole = d.withColumn("ticker", F.struct("ticker", "chunk")).drop("chunk")
     return op(whole).where("own").withColumn("ticker", F.col("ticker.ticker")).drop("own", "place")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import series
 from tidewright.functions.windows import TIES, by_ticker, numbered
+from tidewright.sources.folders import stored
 
 BLOCK = "split string, block long, first long, size int, length int, pieces array<struct<ticker:string,start:long,n:long>>, features binary, targets binary"
 
@@ -21,7 +22,7 @@ def window_index(df: DataFrame, length: int = 60, split: bool = False) -> DataFr
     their places by a range sort (``series.places``), so a ticker may lie in any number of tasks.
     """
     if split:
-        at = series.places(df.select("ticker", "bar_ts"), "ticker", ["bar_ts"], total="n")
+        at = series.places(stored(df.select("ticker", "bar_ts"), "times"), "ticker", ["bar_ts"], total="n")
         return at.where((F.col("place") >= length - 1) & (F.col("place") < F.col("n") - 1)).select("ticker", (F.col("place") - length + 1).alias("start"), F.col("bar_ts").alias("end_ts"))
     w = by_ticker()
     placed = df.select("ticker", "bar_ts", F.row_number().over(w).alias("rn"), F.lead(F.lit(1)).over(w).alias("more"))
@@ -132,7 +133,7 @@ def write_blocks(df: DataFrame, features: list[str], targets: list[str], path: s
     return path
 
 
-def cut_batches(stored: DataFrame) -> DataFrame:
+def cut_batches(written: DataFrame) -> DataFrame:
     """(split, batch, first, n, length, features binary, targets binary): a batch a row, cut from blocks; ``tensors`` opens a row.
 
     features: n x length x columns float32, targets: n x columns. Windows are views of a block's
@@ -167,13 +168,13 @@ def cut_batches(stored: DataFrame) -> DataFrame:
                         pa.array([memoryview(out).cast("B")], pa.binary()), pa.array([target.tobytes()], pa.binary()),
                     ], names=["split", "batch", "first", "n", "length", "features", "targets"])
 
-    return stored.mapInArrow(cut, "split string, batch long, first long, n int, length int, features binary, targets binary")
+    return written.mapInArrow(cut, "split string, batch long, first long, n int, length int, features binary, targets binary")
 
 
 def read_batches(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """The batches of blocks that were written, of one split or all; only that split's folder is read."""
-    stored = spark.read.schema(BLOCK).parquet(path)
-    return cut_batches(stored if split is None else stored.where(F.col("split") == split))
+    written = spark.read.schema(BLOCK).parquet(path)
+    return cut_batches(written if split is None else written.where(F.col("split") == split))
 
 
 def tensors(batch) -> tuple[np.ndarray, np.ndarray]:
