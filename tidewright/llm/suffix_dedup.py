@@ -45,7 +45,7 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 20
 KEYS_PER_BUCKET = 1 << 20
-_MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_MULTIPLIER = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
@@ -65,20 +65,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Fingerprints:
-    """64-bit fingerprints of the strings of a given length at many positions of a buffer."""
+    """64-bit fingerprints of the strings of a given length at many positions of a buffer; two that differ in their random numbers for bytes."""
 
-    def __init__(self, longest: int, multiplier: int = _MULTIPLIER, seed: int = 20):
+    def __init__(self, longest: int):
         n = CHUNK + longest + 1
-        self.up, self.down = _powers(multiplier, n), _powers(pow(multiplier, -1, 1 << 64), n)
-        self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=_U)
+        self.up, self.down = _powers(_MULTIPLIER, n), _powers(pow(_MULTIPLIER, -1, 1 << 64), n)
+        self.tables = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), dtype=_U)
 
-    def at(self, buf: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
+    def at(self, buf: np.ndarray, pos: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         out = np.empty(len(pos), _U)
         for lo in range(0, len(buf), CHUNK):
             i, j = np.searchsorted(pos, (lo, lo + CHUNK))
             if i == j:
                 continue
-            part = self.table[buf[lo : lo + CHUNK + length]]
+            part = self.tables[which][buf[lo : lo + CHUNK + length]]
             part *= self.down[: len(part)]
             sums = np.zeros(len(part) + 1, _U)
             np.cumsum(part, out=sums[1:])
@@ -356,22 +356,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, block_bytes: int = BLOCK_
 
     at_suffixes = sort(plain.mapInArrow(send_suffixes, _SENT), "suffixes")
 
-    def pairs(b: _Block, prints: _Fingerprints, again: _Fingerprints, ranks: dict[int, bytes], found: dict[int, bytes]) -> tuple[np.ndarray, _Pairs]:
+    def pairs(b: _Block, prints: _Fingerprints, ranks: dict[int, bytes], found: dict[int, bytes]) -> tuple[np.ndarray, _Pairs]:
         pos, deal = suffixes(b, prints, ranks)
         pos = pos[deal.repeated(found)]
-        return pos, _Pairs(prints.at(b.buf, pos, length), again.at(b.buf, pos, length), suffix_bucket)
+        del deal  # a few numbers a suffix, which the pairs don't need
+        return pos, _Pairs(prints.at(b.buf, pos, length), prints.at(b.buf, pos, length, 1), suffix_bucket)
 
     def send_pairs(batches):
-        prints, again = _Fingerprints(length), _Fingerprints(length, _SECOND, 21)
+        prints = _Fingerprints(length)
         for block, b, (ranks, found) in _blocks(batches, length, at_copies, at_ranks, at_suffixes):
-            yield from _sent(block, pairs(b, prints, again, ranks, found)[1])
+            yield from _sent(block, pairs(b, prints, ranks, found)[1])
 
     at_pairs = sort(plain.mapInArrow(send_pairs, _SENT), "pairs", _sort_pairs)
 
     def finish(batches):
-        prints, again = _Fingerprints(length), _Fingerprints(length, _SECOND, 21)
+        prints = _Fingerprints(length)
         for _, b, (ranks, found, sure) in _blocks(batches, length, at_copies, at_ranks, at_suffixes, at_pairs):
-            pos, deal = pairs(b, prints, again, ranks, found)
+            pos, deal = pairs(b, prints, ranks, found)
             pos = pos[deal.repeated(sure)]
             edge = np.zeros(len(b.buf) + 1, np.int32)
             edge[pos] += 1
