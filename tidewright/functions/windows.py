@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: What orders rows of one ticker and time, so far as a table has it: prices, volume, the value of a series.
+#: What orders rows of one ticker and time where a whole table is placed: prices, volume, the value of a series.
 TIES = ("close", "high", "low", "open", "volume", "x")
 
 
-def by_ticker(df: DataFrame | None = None, ts: str = "bar_ts"):
-    """A ticker's rows by time; those of one time by TIES of df, nulls first. Rows of chunks (``series.over_chunks``) by their place."""
-    names = df.columns if df is not None else []
-    if "place" in names and "own" in names:
+def by_ticker(df: DataFrame | None = None, *values: str, ts: str = "bar_ts"):
+    """A ticker's rows by time; those of one time by the values that the window reads, nulls first, so that what it gives is stated.
+
+    No other column is read for it. Rows of chunks (``series.over_chunks``) go by their place.
+    """
+    if df is not None and {"place", "own"} <= set(df.columns):
         return Window.partitionBy("ticker").orderBy("place")
-    return Window.partitionBy("ticker").orderBy(ts, *[c for c in TIES if c in names])
+    return Window.partitionBy("ticker").orderBy(ts, *values)
 
 
 def full_mean(x: Column, n: int, w) -> Column:

@@ -20,7 +20,7 @@ LAGGED = (1, 5, 10, 21)
 LOOKBACKS = (1, 2, 3, 4, 5)
 HORIZONS = (1, 5, 10, 21)
 #: Bins of a round of refinement.
-BINS = 1024
+BINS = 8192
 MONTH_BARS = {"1d": 21, "1h": 147}
 NOT_FEATURES = ("bar_ts", "ticker", "sector", "industry")
 
@@ -31,7 +31,7 @@ def dollar_volume(df: DataFrame) -> DataFrame:
 
 def dollar_volume_month(df: DataFrame, bars: int = MONTH_BARS["1d"]) -> DataFrame:
     """Rolling mean of dollar volume over a month of bars."""
-    return df.withColumn("dollar_vol_1m", full_mean(F.col("dollar_vol"), bars, by_ticker(df)))
+    return df.withColumn("dollar_vol_1m", full_mean(F.col("dollar_vol"), bars, by_ticker(df, "dollar_vol")))
 
 
 def dollar_volume_rank(df: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def log_price(df: DataFrame) -> DataFrame:
 
 def raw_returns(df: DataFrame, lags=LAGS) -> DataFrame:
     """close / close L bars before - 1; null at the start and after a zero price."""
-    w = by_ticker(df)
+    w = by_ticker(df, "close")
     return df.withColumns({f"raw_{n}b": F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1 for n in lags})
 
 
@@ -68,19 +68,33 @@ def order_statistics(rows: DataFrame, places: list[tuple[str, int]], bins: int =
 
     Refinement in rounds: the values between the bounds of a place are counted in even bins, the
     bin that holds the place gives the next bounds, and its least and greatest values tighten
-    them, until these are equal. A round is one aggregate of at most ``bins`` rows a place, so no
-    task ranks or holds values, however many fall together; equal values end in one round.
+    them, until these are equal or no more than ``bins`` values are left, which are fetched. A round
+    is one aggregate of at most ``bins`` rows a place, so no task ranks or holds values, however
+    many fall together; equal values end in one round.
     """
     columns = list(dict.fromkeys(c for c, _ in places))
     finite = {c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`").cast("double")) for c in columns}
     ends = rows.agg(*[f(finite[c]).alias(f"{f.__name__}_{i}") for i, c in enumerate(columns) for f in (F.min, F.max)]).first()
     span = {c: (ends[f"min_{i}"], ends[f"max_{i}"]) for i, c in enumerate(columns)}
     # what is known of each place: bounds that it lies between, and the values before them
-    known = [(*span[c], 0) for c, _ in places]
-    while open_ := [i for i, (lo, hi, _) in enumerate(known) if lo < hi]:
+    known: list[tuple] = [(*span[c], 0, None) for c, _ in places]
+    while open_ := [i for i, (lo, hi, _, _) in enumerate(known) if lo < hi]:
+        few = [i for i in open_ if known[i][3] is not None and known[i][3] <= bins]
+        if len(few) == len(open_):
+            cells = []
+            for i in few:
+                x, (lo, hi, _, _) = finite[places[i][0]], known[i]
+                cells.append(F.struct(F.lit(i).alias("place"), F.when((x >= lo) & (x <= hi), x).alias("x")))
+            left: dict[int, list[float]] = {i: [] for i in few}
+            for r in rows.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("x IS NOT NULL").collect():
+                left[r["place"]].append(r["x"])
+            for i in few:
+                x = sorted(left[i])[places[i][1] - known[i][2]]
+                known[i] = (x, x, known[i][2], 1)
+            break
         cells = []
         for i in open_:
-            x, (lo, hi, _) = finite[places[i][0]], known[i]
+            x, (lo, hi, _, _) = finite[places[i][0]], known[i]
             part = (x - F.lit(lo)) / F.lit(hi - lo) if math.isfinite(hi - lo) else (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
             at = F.least(F.floor(part * bins).cast("int"), F.lit(bins - 1))
             cells.append(F.struct(F.lit(i).alias("place"), F.when((x >= lo) & (x <= hi), at).alias("bin"), x.alias("x")))
@@ -92,10 +106,10 @@ def order_statistics(rows: DataFrame, places: list[tuple[str, int]], bins: int =
             before = known[i][2]
             for r in counts[i]:
                 if before + r["n"] > places[i][1]:
-                    known[i] = (r["lo"], r["hi"], before)
+                    known[i] = (r["lo"], r["hi"], before, r["n"])
                     break
                 before += r["n"]
-    return [lo for lo, _, _ in known]
+    return [k[0] for k in known]
 
 
 def clip_bounds(raw: DataFrame, lags=LAGS, q: float = 0.001, interpolation: str = "nearest", fit_until: str | None = None, method: str = "exact", accuracy: int = 100_000) -> DataFrame:
@@ -143,13 +157,13 @@ def clipped_returns(df: DataFrame, lags=LAGS, q: float = 0.001, interpolation: s
 
 def lagged_returns(df: DataFrame, lags=LAGGED, lookbacks=LOOKBACKS) -> DataFrame:
     """return_Lb_lagT: return_Lb of T * L bars before."""
-    w = by_ticker(df)
+    w = by_ticker(df, *[f"return_{n}b" for n in lags])
     return df.withColumns({f"return_{n}b_lag{t}": F.lag(f"return_{n}b", t * n).over(w) for n in lags for t in lookbacks})
 
 
 def forward_targets(df: DataFrame, horizons=HORIZONS) -> DataFrame:
     """target_Hb: return_Hb of H bars ahead."""
-    w = by_ticker(df)
+    w = by_ticker(df, *[f"return_{h}b" for h in horizons])
     return df.withColumns({f"target_{h}b": F.lead(f"return_{h}b", h).over(w) for h in horizons})
 
 

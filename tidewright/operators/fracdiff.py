@@ -64,7 +64,7 @@ def frac_diff(series: DataFrame, d: float, threshold: float = 0.001, col: str =
     """
     w, name = weights(d, threshold, max_lags), f"{col}_frac_diff"
     if len(w) <= EXPRESSED:
-        order = by_ticker(series.select("ticker", "bar_ts", F.col(col).alias("x"))) if "place" not in series.columns and col == "x" else by_ticker(series)
+        order = by_ticker(series, col)
         terms = [F.lit(wk) * (F.lag(col, k).over(order) if k else F.col(col)) for k, wk in enumerate(w)]
         return series.withColumn(name, reduce(add, terms))
     halo, table = len(w) - 1, np.array(w)

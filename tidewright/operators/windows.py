@@ -35,7 +35,7 @@ def sliding_windows(df: DataFrame, features: list[str], targets: list[str], leng
     features: the window's rows in order; target: the target columns of its last row. Each value
     is cast to float before it is gathered, and the frame holds length rows.
     """
-    w = by_ticker(df)
+    w = by_ticker(df, *features, *targets)
     row = F.array(*[F.col(c).cast("float") for c in features])
     framed = df.select(
         "ticker", F.row_number().over(w).alias("rn"), F.lead(F.lit(1)).over(w).alias("more"),

@@ -30,7 +30,7 @@ def flagged(batch: DataFrame, seq: str = "seq", min_price: float = 0.0, last: Da
     low = reduce(lambda a, b: a | b, [F.col(c) < F.lit(min_price) for c in PRICES])
 
     def arrived(df: DataFrame) -> DataFrame:
-        w = by_ticker(df, seq)
+        w = by_ticker(df, ts=seq)
         return df.withColumns({"_first": F.lag(F.lit(1)).over(w).isNull(), "_before": F.lag("bar_ts").over(w)})
 
     rows = arrived(batch) if series.longest(batch) <= chunk else series.over_chunks(batch, arrived, 1, 0, chunk, (seq,))
