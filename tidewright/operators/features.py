@@ -20,7 +20,7 @@ LAGGED = (1, 5, 10, 21)
 LOOKBACKS = (1, 2, 3, 4, 5)
 HORIZONS = (1, 5, 10, 21)
 #: Bins of a round of refinement.
-BINS = 8192
+BINS = 1024
 MONTH_BARS = {"1d": 21, "1h": 147}
 NOT_FEATURES = ("bar_ts", "ticker", "sector", "industry")
 
@@ -68,7 +68,7 @@ def order_statistics(rows: DataFrame, places: list[tuple[str, int]], bins: int =
 
     Refinement in rounds: the values between the bounds of a place are counted in even bins, the
     bin that holds the place gives the next bounds, and its least and greatest values tighten
-    them, until these are equal or no more than ``bins`` values are left, which are fetched. A round
+    them, until these are equal or no more than ``4 * bins`` values are left, which are fetched. A round
     is one aggregate of at most ``bins`` rows a place, so no task ranks or holds values, however
     many fall together; equal values end in one round.
     """
@@ -79,7 +79,7 @@ def order_statistics(rows: DataFrame, places: list[tuple[str, int]], bins: int =
     # what is known of each place: bounds that it lies between, and the values before them
     known: list[tuple] = [(*span[c], 0, None) for c, _ in places]
     while open_ := [i for i, (lo, hi, _, _) in enumerate(known) if lo < hi]:
-        few = [i for i in open_ if known[i][3] is not None and known[i][3] <= bins]
+        few = [i for i in open_ if known[i][3] is not None and known[i][3] <= 4 * bins]
         if len(few) == len(open_):
             cells = []
             for i in few:
