@@ -5,6 +5,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -906,3 +907,12 @@ class _Cluster:
 def test_a_cluster_without_a_shared_folder_is_an_error():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         folders.shared_dir(_Session(_Cluster))
+
+
+def test_short_chunks_and_tickers_share_a_call(spark, multi):
+    for chunk in (1 << 16, 100):
+        assert "hand" in indicators.recursive(multi, chunk=chunk)._jdf.queryExecution().toString()
+    assert indicators._powers(0.5, 16) is indicators._powers(0.5, 16)
+    assert [series.stretches(pa.table({"k": pa.array([None, None, "a", "b", "b"]), "c": [1, 1, 1, 1, 2]}), *keys) for keys in (("k",), ("k", "c"))] == [[(0, 2), (2, 3), (3, 5)], [(0, 2), (2, 3), (3, 4), (4, 5)]]
+    few = spark.range(1000).select(series.dealt(10, "id").alias("h")).distinct().count()
+    assert few == 1 and spark.range(1000).select(series.dealt(3 * series.CHUNK, "id").alias("h")).distinct().count() == 3
