@@ -909,6 +909,25 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
         folders.shared_dir(_Session(_Cluster))
 
 
+def test_quantiles_write_few_values_and_scan_without_expanding(spark, monkeypatch):
+    held = []
+    kept = features.stored
+    monkeypatch.setattr(features, "stored", lambda df, name: held.append(kept(df, name)) or held[-1])
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(((F.col("id") * 7919) % n).cast("double")).alias("x"))
+    x = np.sort([0.0 if i % 2 == 0 else float(i * 7919 % n) for i in range(n)])
+    places = [0, n // 4, n // 2 + 7, n - 200, n - 1]
+    assert features.order_statistics(df, [("x", k) for k in places]) == [x[k] for k in places]
+    assert sum(t.count() for t in held) < n / 100
+
+
+def test_a_wrong_bracket_is_widened(spark):
+    x = np.random.default_rng(3).normal(size=5000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    # a sketch this coarse may miss, the counts tell
+    assert features.order_statistics(df, [("x", k) for k in (5, 2500, 4990)], 16, 3) == [np.sort(x)[k] for k in (5, 2500, 4990)]
+
+
 def test_short_chunks_and_tickers_share_a_call(spark, multi):
     for chunk in (1 << 16, 100):
         assert "hand" in indicators.recursive(multi, chunk=chunk)._jdf.queryExecution().toString()
