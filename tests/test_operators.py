@@ -935,3 +935,21 @@ def test_short_chunks_and_tickers_share_a_call(spark, multi):
     assert [series.stretches(pa.table({"k": pa.array([None, None, "a", "b", "b"]), "c": [1, 1, 1, 1, 2]}), *keys) for keys in (("k",), ("k", "c"))] == [[(0, 2), (2, 3), (3, 5)], [(0, 2), (2, 3), (3, 4), (4, 5)]]
     few = spark.range(1000).select(series.dealt(10, "id").alias("h")).distinct().count()
     assert few == 1 and spark.range(1000).select(series.dealt(3 * series.CHUNK, "id").alias("h")).distinct().count() == 3
+
+
+def test_batches_are_sent_on_many_at_a_time_and_bounded():
+    n = 1000
+    two = np.arange(2, dtype=np.float32).tobytes()
+    block = pa.RecordBatch.from_pydict({
+        "split": ["train"] * n, "block": list(range(n)), "first": list(range(n)), "size": pa.array([1] * n, pa.int32()), "length": pa.array([2] * n, pa.int32()),
+        "pieces": [[{"ticker": "A", "start": 0, "n": 1}]] * n, "features": [two] * n, "targets": [two] * n,
+    })
+
+    class Written:
+        def mapInArrow(self, f, schema):
+            self.sent = list(f(iter([block])))
+
+    written = Written()
+    windows.cut_batches(written)
+    assert [b.num_rows for b in written.sent] == [windows.SENT_ROWS] * (n // windows.SENT_ROWS) + [n % windows.SENT_ROWS]
+    assert [r["batch"] for b in written.sent for r in b.to_pylist()] == list(range(n))

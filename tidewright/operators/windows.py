@@ -13,6 +13,9 @@ from tidewright.sources.folders import stored
 
 BLOCK = "split string, block long, first long, size int, length int, pieces array<struct<ticker:string,start:long,n:long>>, features binary, targets binary"
 
+#: Bytes and rows of tensors that a task sends on at once.
+SENT, SENT_ROWS = 1 << 20, 256
+
 
 def window_index(df: DataFrame, length: int = 60, split: bool = False) -> DataFrame:
     """(ticker, start, end_ts): one row a window, starts 0..n-length-1.
@@ -133,40 +136,51 @@ def write_blocks(df: DataFrame, features: list[str], targets: list[str], path: s
     return path
 
 
+def _cut_block(b: pa.RecordBatch, i: int):
+    """The batches of the block in row i of b, one after another; the block's bytes are read where they lie."""
+    split, block_first, length, size, pieces = (b.column(c)[i].as_py() for c in ("split", "first", "length", "size", "pieces"))
+    rows = sum(p["n"] + length - 1 for p in pieces)
+    x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(rows, -1) for c in ("features", "targets"))
+    views, ends, at = [], [], 0
+    for p in pieces:
+        part = slice(at, at + p["n"] + length - 1)
+        views.append(np.lib.stride_tricks.sliding_window_view(x[part], length, axis=0).transpose(0, 2, 1))
+        ends.append(y[part][length - 1 :])
+        at = part.stop
+    for i in range(0, sum(map(len, views)), size):
+        n = min(size, sum(map(len, views)) - i)
+        out, target, filled, skipped = np.empty((n, length, x.shape[1]), np.float32), np.empty((n, y.shape[1]), np.float32), 0, 0
+        for v, e in zip(views, ends, strict=True):
+            lo, hi = max(0, i - skipped), min(len(v), i + n - skipped)
+            if lo < hi:
+                out[filled : filled + hi - lo], target[filled : filled + hi - lo] = v[lo:hi], e[lo:hi]
+                filled += hi - lo
+            skipped += len(v)
+        yield split, (block_first + i) // size, block_first + i, n, length, out.tobytes(), target.tobytes()
+
+
 def cut_batches(written: DataFrame) -> DataFrame:
     """(split, batch, first, n, length, features binary, targets binary): a batch a row, cut from blocks; ``tensors`` opens a row.
 
     features: n x length x columns float32, targets: n x columns. Windows are views of a block's
-    rows until their batch is sent on.
+    rows until their batch is cut; a task holds what Spark hands it, and sends on about a
+    megabyte at a time.
     """
 
+    kinds = pa.schema([("split", pa.string()), ("batch", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("length", pa.int32()), ("features", pa.binary()), ("targets", pa.binary())])
+
     def cut(batches):
+        held, weight = [], 0
         for b in batches:
-            for row in b.to_pylist():
-                length, size, pieces = row["length"], row["size"], row["pieces"]
-                rows = sum(p["n"] + length - 1 for p in pieces)
-                x, y = (np.frombuffer(row[c], np.float32).reshape(rows, -1) for c in ("features", "targets"))
-                views, ends, at = [], [], 0
-                for p in pieces:
-                    part = slice(at, at + p["n"] + length - 1)
-                    views.append(np.lib.stride_tricks.sliding_window_view(x[part], length, axis=0).transpose(0, 2, 1))
-                    ends.append(y[part][length - 1 :])
-                    at = part.stop
-                total = sum(map(len, views))
-                for i in range(0, total, size):
-                    n = min(size, total - i)
-                    out, target, filled, skipped = np.empty((n, length, x.shape[1]), np.float32), np.empty((n, y.shape[1]), np.float32), 0, 0
-                    for v, e in zip(views, ends, strict=True):
-                        lo, hi = max(0, i - skipped), min(len(v), i + n - skipped)
-                        if lo < hi:
-                            out[filled : filled + hi - lo], target[filled : filled + hi - lo] = v[lo:hi], e[lo:hi]
-                            filled += hi - lo
-                        skipped += len(v)
-                    first = row["first"] + i
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["split"]]), pa.array([first // size]), pa.array([first]), pa.array([n], pa.int32()), pa.array([length], pa.int32()),
-                        pa.array([memoryview(out).cast("B")], pa.binary()), pa.array([target.tobytes()], pa.binary()),
-                    ], names=["split", "batch", "first", "n", "length", "features", "targets"])
+            for i in range(b.num_rows):
+                for row in _cut_block(b, i):
+                    held.append(row)
+                    weight += len(row[-2]) + len(row[-1])
+                    if weight >= SENT or len(held) >= SENT_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+                        held, weight = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
 
     return written.mapInArrow(cut, "split string, batch long, first long, n int, length int, features binary, targets binary")
 
