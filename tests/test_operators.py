@@ -953,3 +953,17 @@ def test_batches_are_sent_on_many_at_a_time_and_bounded():
     windows.cut_batches(written)
     assert [b.num_rows for b in written.sent] == [windows.SENT_ROWS] * (n // windows.SENT_ROWS) + [n % windows.SENT_ROWS]
     assert [r["batch"] for b in written.sent for r in b.to_pylist()] == list(range(n))
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_average_ranks_take_one_sort(spark, ascending):
+    from tidewright.functions.windows import average_rank
+
+    x = [3.0, 1.0, None, 1.0, -0.0, 0.0, float("nan"), 5.0]
+    df = spark.createDataFrame([("a", v) for v in x] + [("b", None)], "k string, x double")
+    ranked = df.select("k", "x", average_rank(F.col("x"), "k", ascending=ascending).alias("r"))
+    want = {3.0: 5.0, 1.0: 3.5, 0.0: 1.5, "nan": 7.0, 5.0: 6.0}
+    for r in ranked.collect():
+        v = "nan" if r["x"] is not None and math.isnan(r["x"]) else r["x"]
+        assert r["r"] == (None if v is None else want[v] if ascending else 8 - want[v])
+    assert ranked._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1
