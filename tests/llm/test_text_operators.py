@@ -81,6 +81,26 @@ def test_keys_survive_packing(keys):
     assert (suffix_dedup._keys(suffix_dedup._deltas(keys)) == keys).all()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, (1 << 64) - 1) | st.integers(0, 300), min_size=1))
+def test_keys_of_all_widths_and_repeated_ones_survive_packing(keys):
+    keys = np.array(sorted(keys), np.uint64)
+    assert (suffix_dedup._keys(suffix_dedup._deltas(keys)) == keys).all()
+
+
+def test_suffix_keys_and_pairs_take_few_bytes():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 33, 3000, dtype=np.uint64))
+    assert len(suffix_dedup._deltas(keys)) < 3.1 * len(keys)
+    first, second = rng.integers(0, 1 << 64, (2, 20000), dtype=np.uint64)
+    for bits in (0, 4):
+        deal = suffix_dedup._Pairs(first, second, bits)
+        rows = list(deal.rows())
+        assert len(rows) == 1 << bits and sum(len(b) for _, b in rows) < 14.6 * 20000
+        found = [(int(b) << 64 - bits | a, c) for b, blob in rows for a, c in suffix_dedup._read_pairs(blob).tolist()]
+        assert found == sorted(zip(first.tolist(), second.tolist(), strict=True))
+
+
 def test_suffix_dedup_stays_exact_when_fingerprints_collide(spark, docs):
     want = Counter(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 40, 3000)).collect())
     for bits in (3, 9):
