@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import BAR, bar_rows
 from tidewright.functions import series
+from tidewright.functions.windows import mean_and_deviation
 from tidewright.operators import evaluate, features, fracdiff, indicators, risk, validate, windows
 from tidewright.sources import bars, folders
 from tidewright.streaming import incremental
@@ -271,6 +272,33 @@ def test_windows_over_chunks_equal_those_over_whole_series(spark, multi):
     assert "chunk" in series.over_chunks(df, features.forward_targets, 0, 21, 50)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("n", [1, 5, 20, 33])
+def test_mean_and_deviation_of_lags_equal_those_of_a_frame(spark, n):
+    rng = np.random.default_rng(n)
+    odd = {50: None, 90: math.nan, 130: math.inf, **dict.fromkeys(range(170, 230), 7.25)}
+    rows = [(t, i, odd.get(i, float(x))) for t in ("A", "B", None) for i, x in enumerate(rng.normal(1e6, 3, 260))]
+    df = spark.createDataFrame([*rows, ("C", 0, 1.5)], "ticker string, bar_ts int, close double").repartition(3)
+    w = Window.partitionBy("ticker").orderBy("bar_ts")
+    found = mean_and_deviation(df, "close", n, w)
+    assert found.columns == [*df.columns, "mean", "dev"]
+    before = {}
+    for r in found.orderBy("ticker", "bar_ts").collect():
+        seen = before.setdefault(r.ticker, [])
+        seen.append(r.close)
+        last = seen[-n:]
+        if len(last) < n or None in last:
+            assert r.mean is None and r.dev is None
+        elif not all(map(math.isfinite, last)):
+            assert not math.isfinite(r.mean) and math.isnan(r.dev)
+        else:
+            assert r.mean == pytest.approx(np.mean(last), rel=1e-12) and r.dev == pytest.approx(np.std(last), rel=1e-9, abs=1e-9)
+            assert r.dev == 0 or set(last) != {7.25}
+
+
+def test_bands_update_no_moments_for_each_row_of_a_frame(single):
+    assert "stddev_pop" not in indicators.bollinger_distance(single)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeated_times_do_not_multiply_rows(spark, single):
     twice = single.unionByName(single.limit(5))
     assert indicators.technical(twice).count() == 305
