@@ -571,3 +571,26 @@ def test_keep_one_with_clashing_names(spark):
     for options in ({}, {"words": 5, "similarity": 0.8}):
         kept = simhash.keep_one(df, **options)
         assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_counts_hand_the_library_each_piece_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "_counts", {})
+    handed = []
+    library = tokens._lengths
+    monkeypatch.setattr(tokens, "_lengths", lambda path, texts: handed.extend(texts) or library(path, texts))
+    raw = [b"the same few words, said again and again\n" * 50] * 40
+    want = library(path, [r.decode() for r in raw])
+    assert tokens.lengths(path, raw).tolist() == want
+    assert tokens.lengths(path, raw).tolist() == want
+    assert sum(map(len, handed)) < 200
+
+
+def test_counts_by_pieces_equal_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pick = random.Random(5)
+    bits = ["a", "B", "é", "ß", "Ɓ", " ", "  ", "\n", "\t", "\r\n", "\u0085", " ", "　", "'s", "'", "'re", "!", "(", "23", "漢", "😀", "́", "Ж", "don't"]
+    for extra in ([], ["<|endoftext|>", "<|end"]):
+        raw = [None, b"", b" ", b"a\xc3 b", b"\xff\xfe x", b"\xe2\xc3\xa9 x", ("ab " * 60_000).encode(), b"x" * 5000]
+        raw += ["".join(pick.choices(bits + extra, k=pick.randint(0, 30))).encode() for _ in range(3000)]
+        assert tokens.lengths(path, raw).tolist() == tokens._lengths(path, [(r or b"").decode("utf-8", "replace") for r in raw])

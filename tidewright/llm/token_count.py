@@ -15,7 +15,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     Texts go to the library's batch encoder, a few MB at a time; long ones are cut at boundaries
     that no token spans, so their parts may lie in several batches and no batch is larger than
-    others. Where the tokenizer's settings prove no boundary safe, texts stay whole. Null text:
+    others. With a byte-level tokenizer all texts are cut into short pieces, and the encoder gets
+    each distinct piece of a batch once (``tokens.Counts``). Where the tokenizer's settings prove
+    no boundary safe, texts stay whole. Null text:
     empty, 0 tokens. Null and repeated ids, and repeated rows: every row is counted by itself.
     Empty table: empty result. Other columns of docs are left out, so names can't clash. path: a
     tokenizer file that every executor has.
