@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, language_id, shingle_sets, simhash, suffix_dedup, token_count, token_shards, tokens
+from tidewright.llm import common, decontaminate, language_id, shingle_sets, simhash, suffix_dedup, token_count, token_shards, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ta", "ri", "mo", "sel", "vun", "pra", "ko") for b in ("na", "lek", "dor", "mi", "sha", "")]
@@ -169,6 +169,22 @@ def test_links_equal_all_pairs(spark, seed):
     assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
 
 
+def test_components_are_carried_over(spark, monkeypatch):
+    rng = random.Random(7)
+    chain = [(i, i + 1) for i in range(200)]
+    further = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    first, second = (spark.createDataFrame(x, "a long, b long") for x in (chain, further))
+    labels = common.components(first)
+    want = {r["node"]: r["root"] for r in common.components(first.union(second)).collect()}
+    got = {r["node"]: r["root"] for r in common.regrouped(labels, second).collect()}
+    assert got.keys() == want.keys()
+    assert len({(want[n], got[n]) for n in want}) == len(set(want.values())) == len(set(got.values()))
+    written, kept = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: written.append(name) or kept(df, name))
+    assert len({r["root"] for r in common.regrouped(labels, spark.createDataFrame([(0, 200), (5, 300)], "a long, b long")).collect()}) == 1
+    assert len(written) <= 5
+
+
 def test_large_keys_are_split(monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(simhash, "DIRECT", 16)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.sources.folders import scratch, stored
 
-__all__ = ["components", "id_and_bytes", "opened", "scratch", "sliced", "stored"]
+__all__ = ["components", "id_and_bytes", "opened", "regrouped", "scratch", "sliced", "stored"]
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -65,3 +65,16 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return labels
+
+
+def regrouped(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, root) of all edges so far, from labels, those of the earlier ones, and edges (a, b), the further ones.
+
+    Edges are drawn between the roots found before, so the rounds are as many as the further
+    edges need, however many there were earlier.
+    """
+    ends = [labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    between = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    more = components(between)
+    moved = labels.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(moved.unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")

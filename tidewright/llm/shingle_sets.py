@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, id_and_bytes, sliced, stored
+from tidewright.llm.common import components, id_and_bytes, regrouped, sliced, stored
 
 #: Members of a key that are paired with each other at once; keys of more go through again, BLOCK members against BLOCK.
 DIRECT, BLOCK = 16, 4096
@@ -290,19 +290,19 @@ def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, similarity: Fr
 
 
 def completed(links: DataFrame, docs: DataFrame, least: DataFrame, similarity: Fraction, words: int, id_col: str, text_col: str) -> DataFrame:
-    """links and what the join on prefixes adds: all components of pairs of that similarity.
+    """(node, root): the components of all pairs of that similarity, from links and what the join on prefixes adds.
 
     least: (fp, least, n, prefix, bits), a row a set.
     """
-    roots = components(links).withColumnRenamed("node", "fp")
-    sets = least.join(roots, "fp", "left").select("fp", "n", "prefix", F.coalesce("root", "fp").alias("root"))
+    roots = components(links)
+    sets = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "prefix", F.coalesce("root", "fp").alias("root"))
     found = stored(candidates(sets, similarity), "candidates")
     pairs = stored(found.where("run IS NULL").select("a", "b").distinct(), "pairs")
-    links = stored(links.unionByName(verified(pairs, docs, least, similarity, words, id_col, text_col)), "links")
+    roots = regrouped(roots, verified(pairs, docs, least, similarity, words, id_col, text_col))
     runs = found.where("run IS NOT NULL")
     if not runs.isEmpty():
         for nearest in (True, False):
-            more = stored(open_pairs(runs, components(links), least, similarity, nearest).join(pairs, ["a", "b"], "left_anti"), "more")
-            links = stored(links.unionByName(verified(more, docs, least, similarity, words, id_col, text_col)), "links")
+            more = stored(open_pairs(runs, roots, least, similarity, nearest).join(pairs, ["a", "b"], "left_anti"), "more")
+            roots = regrouped(roots, verified(more, docs, least, similarity, words, id_col, text_col))
             pairs = pairs.unionByName(more)
-    return links
+    return roots

@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, similarity:
         return _similar(docs, words, limit, Fraction(str(similarity)), id_col, text_col)
     prints = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return named(prints, distinct, stored(links(distinct, limit), "links"))
+    return named(prints, distinct, components(stored(links(distinct, limit), "links")))
 
 
 def _similar(docs: DataFrame, words: int, limit: int, similarity: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -171,9 +171,8 @@ def _similar(docs: DataFrame, words: int, limit: int, similarity: Fraction, id_c
     return named(sets.select("doc_id", "fp"), least.select("fp", "least"), shingle_sets.completed(found, docs, least, similarity, words, id_col, text_col))
 
 
-def named(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) from prints (doc_id, fp), distinct (fp, least doc_id) and edges (a, b) between fps."""
-    roots = components(edges)
+def named(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from prints (doc_id, fp), distinct (fp, least doc_id) and the components (node, root) of fps."""
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = stored(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "named")
