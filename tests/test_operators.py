@@ -14,6 +14,7 @@ from tests.conftest import BAR, bar_rows
 from tidewright.functions import series
 from tidewright.functions.windows import mean_and_deviation
 from tidewright.operators import evaluate, features, fracdiff, indicators, risk, validate, windows
+from tidewright.plans import catalog, views
 from tidewright.sources import bars, folders
 from tidewright.streaming import incremental
 
@@ -995,3 +996,65 @@ def test_average_ranks_take_one_sort(spark, ascending):
         v = "nan" if r["x"] is not None and math.isnan(r["x"]) else r["x"]
         assert r["r"] == (None if v is None else want[v] if ascending else 8 - want[v])
     assert ranked._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1
+
+
+def _odd_bars(spark, multi):
+    """Bars with a ticker that is null, a null time, repeated times and a null close."""
+    odd = multi.limit(40).withColumns({"close": F.when(F.col("bar_ts") != "2024-01-09", F.col("close") + 1), "bar_ts": F.when(F.col("bar_ts") != "2024-01-05", F.col("bar_ts"))})
+    return multi.unionByName(odd).unionByName(multi.where("ticker = 'BBB'").withColumns({"ticker": F.lit(None).cast("string"), "close": F.col("close") * 2})).repartition(5)
+
+
+def _flat(df):
+    return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+
+def test_windows_over_held_tables_shuffle_nothing_and_equal_those_by_ticker(spark, multi):
+    odd = _odd_bars(spark, multi).select("ticker", "bar_ts", "close").cache()
+    # lags of returns go by the values of one time without a held table, by the closes with one
+    single = odd.groupBy("ticker", "bar_ts").agg(F.max("close").alias("close"))
+    for df, op in ((odd, features.raw_returns), (single, lambda d: features.forward_targets(features.lagged_returns(features.clipped_returns(d))))):
+        held = series.held(df)
+        longest = df.groupBy("ticker").count().agg(F.max("count")).first()[0]
+        assert series.held(held) is held and series.extent(held) == (df.count(), longest)
+        found = op(held)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        plain = op(df)
+        assert _flat(found.select(plain.columns)) == _flat(plain)
+
+
+@pytest.mark.parametrize("longest", [1 << 16, 100])
+def test_all_features_equal_their_parts_and_shuffle_ranks_alone(spark, multi, monkeypatch, longest):
+    monkeypatch.setattr(series, "CHUNK", longest)
+    df = multi.unionByName(multi.where("ticker = 'BBB'").withColumns({"ticker": F.lit(None).cast("string"), "close": F.col("close") * 2, "sector": F.lit(None).cast("string")}))
+    df = df.withColumn("close", F.when(F.col("bar_ts") != "2024-03-05", F.col("close"))).repartition(5)
+    found = features.all_features(df)
+    if longest > 300:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(bar_ts") == 1 and plan.count("Exchange hashpartitioning") == 2
+    parts = indicators.technical(features.dollar_volume_rank(features.dollar_volume_month(features.dollar_volume(df))))
+    parts = features.sector_dummies(features.time_cycles(features.forward_targets(features.lagged_returns(features.clipped_returns(parts)))))
+    assert found.columns == parts.columns and _flat(found) == _flat(parts)
+
+
+def test_bars_dealt_by_supplier_are_the_bars(spark):
+    a, b = views.bars_d1(spark, "/root/testdata/sf0.001"), views.bars_by_supplier(spark, "/root/testdata/sf0.001")
+    assert a.columns == b.columns and _flat(a) == _flat(b)
+
+
+def test_written_tables_leave_no_shuffle_files_and_the_setting_as_it_was(spark, tmp_path):
+    import pathlib
+    import time
+
+    files = lambda: {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+    before = files()
+    with folders.shuffles_deleted(spark):
+        assert spark.conf.get(folders.CLEANUP) == "true"
+    assert folders.stored(spark.range(1000).repartition(3, "id"), "some").count() == 1000
+    spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "kept"))
+    for _ in range(50):
+        if len(files() - before) <= 4:
+            break
+        time.sleep(0.1)
+    assert spark.conf.get(folders.CLEANUP) == "false"
+    # what is left is the plain write's
+    assert 0 < len(files() - before) <= 8
