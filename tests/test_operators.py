@@ -1022,6 +1022,15 @@ def test_windows_over_held_tables_shuffle_nothing_and_equal_those_by_ticker(spar
         assert _flat(found.select(plain.columns)) == _flat(plain)
 
 
+def test_lagged_returns_write_closes_alone(spark, monkeypatch):
+    written = []
+    kept = series.stored
+    monkeypatch.setattr(series, "stored", lambda df, *a: written.append(df.columns) or kept(df, *a))
+    found = catalog.queries()["lagged_returns"](spark, "/root/testdata/sf0.001")
+    assert written == [["ticker", "bar_ts", "close", "__hand", "__at"]]
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("longest", [1 << 16, 100])
 def test_all_features_equal_their_parts_and_shuffle_ranks_alone(spark, multi, monkeypatch, longest):
     monkeypatch.setattr(series, "CHUNK", longest)
