@@ -1067,3 +1067,10 @@ def test_written_tables_leave_no_shuffle_files_and_the_setting_as_it_was(spark,
     assert spark.conf.get(folders.CLEANUP) == "false"
     # what is left is the plain write's
     assert 0 < len(files() - before) <= 8
+
+
+def test_buckets_grow_with_the_rows_where_shuffles_have_few_partitions(spark, single):
+    assert series.buckets(spark) == series.buckets(spark, series.BUCKET) == 4 and series.buckets(spark, 9 * series.BUCKET + 1) == 10
+    held = series.held(single.select("ticker", "bar_ts", "close"), rows=9 * series.BUCKET + 1)
+    assert "SelectedBucketsCount: 10 out of 10" in features.raw_returns(held)._jdf.queryExecution().executedPlan().toString()
+    assert _flat(features.raw_returns(held).drop("__hand", "__at")) == _flat(features.raw_returns(single.select("ticker", "bar_ts", "close")))
